@@ -121,3 +121,14 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared checkpoint folder and read again: later jobs start from it, whatever executors are lost."""
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
