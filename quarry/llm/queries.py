@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality
+from . import bpe, decontaminate, minhash, quality, repeats
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return repeats.remove_repeats(docs).select("doc_id", "n_words", "n_removed", _sha(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -34,4 +39,4 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe}
