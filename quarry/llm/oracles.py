@@ -1,3 +1,17 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(conv_id, turn, role, text)),
+shown AS (
+  SELECT *, CASE WHEN contains(text, '###') OR contains(text, '</turn>') OR contains(text, '\\') OR text LIKE '%\'
+      THEN replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') ELSE text END AS body FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op9_chat": _CHAT}
