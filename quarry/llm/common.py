@@ -36,9 +36,14 @@ def held_out(folds: int, col: str = "doc_id") -> Column:
     return F.crc32(id_text(col)) % folds == 0
 
 
-def shards(spark: SparkSession, least: int = 24) -> int:
-    """How many shards an all-to-all exchange uses: follows the session's shuffle partitions."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size, from its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_of(df: DataFrame, mb: float, least: int) -> int:
+    """In how many parts of about `mb` megabytes a table is dealt: follows the data, not the cluster."""
+    return max(least, min(1 << 30, int(input_bytes(df) / (mb * 1e6)) + 1))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

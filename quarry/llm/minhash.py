@@ -3,9 +3,10 @@
 Every document's set of distinct word shingles gets `BANDS * ROWS` minima under multiply-shift universal hash functions.
 Documents with the same set are one node from the start, so a group of exact copies costs one row. Nodes that agree in a
 band share a bucket; in each bucket all nodes are compared with the smallest one (a star, not all pairs) and links are
-confirmed on full shingle sets. Only nodes that their bucket's centre did not take are then compared with the rest of the
-bucket: estimated from the signatures inside the join's condition (which drops pairs more than eight standard deviations
-below the threshold), large buckets in blocks, and again confirmed on full sets. Components come from large-star/small-star.
+confirmed on full shingle sets. What these links connect needs no further comparison. Only in buckets that still hold several
+components, nodes outside the bucket's main component are compared with nodes of other components: estimated from the
+signatures inside the join's condition (which drops pairs over five standard deviations below the threshold), large buckets
+in blocks, and again confirmed on full sets. Components come from large-star/small-star.
 
 With 36 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability under 1e-6.
 
@@ -27,8 +28,8 @@ from .components import connected_components
 BANDS, ROWS = 36, 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Signature agreement below which a pair is not confirmed: eight standard deviations under the threshold.
-LEAST_AGREEING = 0.55
+#: Signature agreement below which a pair is not confirmed: five standard deviations under the threshold.
+LEAST_AGREEING = 0.65
 #: Buckets up to this size are compared by an SQL join, larger ones in blocks of this many nodes.
 BLOCK = 64
 
@@ -107,8 +108,7 @@ def agreeing(x, y):
 
 
 def in_blocks(rest: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs of large buckets: every block of nodes left over against every block of its bucket."""
-
+    """Candidate pairs of large buckets: blocks of stray nodes against the blocks of their bucket, each pair in its first common band."""
     import pandas as pd
 
     def run(key, left, right):
@@ -116,16 +116,19 @@ def in_blocks(rest: DataFrame, least: float) -> DataFrame:
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         x = np.stack([np.frombuffer(s, np.uint32) for s in left["sig"]])
         y = np.stack([np.frombuffer(s, np.uint32) for s in right["sig2"]])
-        out = []
-        for i, a in enumerate(left["node"].tolist()):
-            out += [(min(a, b), max(a, b)) for b in right["other"].to_numpy()[(y == x[i]).mean(axis=1) >= least].tolist() if a != b]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+        out, band, other, comp = [], int(left["band"].iloc[0]), right["other"].to_numpy(), right["comp2"].to_numpy()
+        for i, (a, c) in enumerate(zip(left["node"].tolist(), left["comp"].tolist(), strict=True)):
+            at = np.flatnonzero(comp != c)
+            at = at[(y[at] == x[i]).mean(axis=1) >= least]
+            first = (y[at] == x[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            out += [(min(a, b), max(a, b)) for b in other[at[first == band]].tolist()]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64").drop_duplicates()
 
     n_blocks = F.ceil(F.col("m") / (BLOCK * 16))
     block = F.pmod(F.xxhash64("node"), n_blocks)
     every = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
-    left = rest.filter(~F.col("taken")).select("bucket", block.alias("i"), every.alias("j"), "node", "sig")
-    right = rest.select(F.col("bucket").alias("bucket2"), every.alias("i2"), block.alias("j2"), F.col("node").alias("other"), F.col("sig").alias("sig2"))
+    left = rest.filter("stray").select("bucket", block.alias("i"), every.alias("j"), "node", "sig", "comp", "band")
+    right = rest.select(F.col("bucket").alias("bucket2"), every.alias("i2"), block.alias("j2"), F.col("node").alias("other"), F.col("sig").alias("sig2"), F.col("comp").alias("comp2"))
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket2", "i2", "j2")).applyInPandas(run, "u long, v long")
 
 
@@ -136,7 +139,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     signed = stored(signatures(docs, width), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("sig").alias("sig"))
     bands = [F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
-    keys = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
+    keys = nodes.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     groups = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("m")).filter("m > 1")
     shared = stored(keys.join(groups, "bucket"), "buckets")  # only nodes that share a bucket
     stars = shared.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
@@ -144,19 +147,21 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     sets = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["node"]), "sets")
     links = stored(confirmed(stars, sets, percent), "stars")
 
-    # Nodes that their bucket's centre did not take, and the other nodes of such buckets (without the centre).
-    told = shared.filter("node <> centre").join(links.select(F.col("u").alias("centre"), F.col("v").alias("node"), F.lit(True).alias("taken")), ["centre", "node"], "left")
-    told = told.select("bucket", "node", "m", F.coalesce("taken", F.lit(False)).alias("taken"))
-    open_buckets = told.filter(~F.col("taken") & (F.col("m") > 2)).select("bucket").distinct()
-    rest = told.join(open_buckets, "bucket", "left_semi").join(signed.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "node")
+    # What the stars connect is settled; other components of a bucket are compared with each other.
+    settled = stored(connected_components(links), "settled")
+    told = shared.join(settled, "node", "left").select("bucket", "band", "node", "centre", "m", F.coalesce("component", "node").alias("comp"))
+    sizes = told.groupBy("bucket", "comp").count()
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).filter("n > 1")
+    signs = signed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
+    rest = told.filter("node <> centre and m > 2").join(mixed, "bucket").join(signs, "node").select("bucket", "band", "node", "m", "comp", "sig", (F.col("comp") != F.col("main")).alias("stray"))
     small = rest.filter(F.col("m") <= BLOCK)
-    x, y = small.filter(~F.col("taken")).alias("x"), small.alias("y")
-    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") != F.col("y.node")) & (F.col("y.taken") | (F.col("x.node") < F.col("y.node"))) & (agreeing(F.col("x.sig"), F.col("y.sig")) >= LEAST_AGREEING))
-    near = near.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    x, y = small.filter("stray").alias("x"), small.alias("y")
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.stray") | (F.col("x.node") < F.col("y.node")))
+    near = x.join(y, apart & (agreeing(F.col("x.sig"), F.col("y.sig")) >= LEAST_AGREEING)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
     more = near.union(in_blocks(rest.filter(F.col("m") > BLOCK), LEAST_AGREEING)).distinct()
-    links = links.union(confirmed(more, sets, percent))
+    more = stored(confirmed(more, sets, percent), "more")
 
-    labels = connected_components(links)
+    labels = connected_components(settled.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = nodes.select("node", "first_doc").join(labels, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     ids = named.join(first, "component").select("node", "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, quality, repeats, toxicity
+from . import ann, bpe, chat, decontaminate, minhash, quality, repeats, toxicity
 from .common import table
 
 
@@ -56,4 +56,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_chat": op9_chat}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_chat": op9_chat, "op10_neighbours": op10_neighbours}

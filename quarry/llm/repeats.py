@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, mix64, pack, pack_sorted, prepare, raw_words, rolling, shards, unpack, unpack_sorted
+from .common import WordHasher, pack, pack_sorted, parts_of, prepare, raw_words, rolling, unpack, unpack_sorted
 
 WIDTH = 13
 #: First of the letters that stand for words; two blocks of surrogates are skipped.
@@ -139,11 +139,10 @@ def removed_words(b: Block, answers: list[tuple[np.ndarray, np.ndarray]], width:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, blocks: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, shard_mb: float = 4.0) -> DataFrame:
     """docs with n_words, n_removed and kept_text (kept words joined by one blank; the text itself where nothing goes)."""
-    spark = prepare(docs.sparkSession)
-    n_shards = shards(spark)
-    blocks = blocks or 8 * n_shards
+    prepare(docs.sparkSession)
+    n_shards, blocks = parts_of(docs, shard_mb, 12), parts_of(docs, block_mb, 32)
     clash = {"_block", "n_words", "n_removed", "kept_text"} & set(docs.columns)
     if clash:
         raise ValueError(f"rename the columns {sorted(clash)} first")
