@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, minhash, quality, repeats, toxicity
+from . import ann, bpe, chat, decontaminate, minhash, pitman_yor, quality, repeats, toxicity, warc
 from .common import table
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _sha(joined):
     return F.sha2(F.encode(joined, "UTF-8"), 256)
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), _sha(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
@@ -44,6 +54,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica with damage to be found: a changed character in some pages, an end cut off in others."""
+    changed, cut = F.col("page_id") % 97 == 13, F.col("page_id") % 211 == 7
+    return pages.withColumn("html", F.when(changed, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).when(cut, F.substr("html", F.lit(1), F.greatest(F.length("html") - 9, F.lit(0)))).otherwise(F.col("html")))
+
+
+def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.audit(pages, damaged(pages))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,4 +82,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op9_chat": op9_chat, "op10_neighbours": op10_neighbours}
+QUERIES = {"op1_pitman_yor": op1_pitman_yor, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_fixity": op8_fixity, "op9_chat": op9_chat, "op10_neighbours": op10_neighbours, "pipeline": pipeline}

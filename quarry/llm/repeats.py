@@ -14,7 +14,7 @@ no document meets more than one automaton. Memory of a task is that of one block
 hash per block.
 
 A null text has no words. Repeated rows of one id do not count against each other (no smaller id); texts below `width` words lose
-nothing; null ids own nothing and lose nothing. Extra columns are kept by `remove_repeats`.
+nothing; null ids own nothing and lose nothing. Extra columns are kept by `remove_repeats`; those named like its results are replaced.
 """
 
 from __future__ import annotations
@@ -143,9 +143,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, s
     """docs with n_words, n_removed and kept_text (kept words joined by one blank; the text itself where nothing goes)."""
     prepare(docs.sparkSession)
     n_shards, blocks = parts_of(docs, shard_mb, 12), parts_of(docs, block_mb, 32)
-    clash = {"_block", "n_words", "n_removed", "kept_text"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
+    docs = docs.drop("_block", "n_words", "n_removed", "kept_text")
     # The block comes first, so that both uses of the dealt documents can share one exchange.
     dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("_block"), "*")
 
