@@ -10,8 +10,11 @@ A null text counts as empty and has no tokens. Repeated rows are encoded each; e
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,13 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
-#: Distinct pieces remembered in a worker.
-MOST_PIECES = 300_000
+#: Distinct words and pairs remembered in a worker.
+MOST_WORDS = 600_000
 MOST_PAIRS = 2_000_000
+#: Stands for the word end while guessing; no byte's letter.
+END = "\uffff"
+#: What str.split() takes for blanks beyond Unicode's white space.
+_NOT_BLANK = re.compile("[\x1c-\x1f]")
 
 
 def load(path: str) -> dict:
@@ -56,27 +63,40 @@ class Encoder:
         self.blank = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(byte_letters()))
-        self.longest = max(map(len, self.vocab))
+        self.unit = {t: i for t, i in self.vocab.items() if len(t) == 1}
+        marked = lambda t: t[: -len(self.end)] + END if self.end and t.endswith(self.end) and len(t) > len(self.end) else t
+        self.entries = {marked(t): i for t, i in self.vocab.items()}
+        self.reach: dict[str, int] = {}  # longest entry by its first three letters
+        for t in self.entries:
+            self.reach[t[:3]] = max(self.reach.get(t[:3], 2), len(t))
         self.size = len(self.names) + 1
-        self.pieces: dict[str, tuple] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         self.symbols: dict[int, list[int]] = {}
         self.merged = 0
+        keys = np.array([a * self.size + b for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
+        self.none = len(spec["merges"])
+        self.results = np.array([self.vocab[a + b] for a, b in spec["merges"]], np.int64)
 
-    def normal(self, text: str) -> str:
-        text = self.blank.sub(" ", unicodedata.normalize("NFC", text))
-        return text.replace("Σ", "σ").lower()  # letter by letter: no word-final sigma
+    def units(self, piece: str) -> list[int]:
+        """The single-unit tokens of a piece (those that the vocabulary has)."""
+        s = self.spelled(piece)
+        return [t for c in s[:-1] if (t := self.unit.get(c)) is not None] + [t for t in [self.vocab.get(s[-1] + self.end)] if t is not None]
 
-    def units(self, piece: str) -> list[str]:
-        s = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return [*s[:-1], s[-1] + self.end]
+    def spelled(self, piece: str) -> str:
+        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
-    def greedy(self, units: list[str]) -> list[int]:
-        s, n, out, i, get = "".join(units), len(units), [], 0, self.vocab.get
+    def greedy(self, piece: str) -> list[int]:
+        """Longest vocabulary entries from left to right; the word end counts as a letter of its own."""
+        s = self.spelled(piece) + END
+        n, out, i, get, reach = len(s), [], 0, self.entries.get, self.reach.get
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                t = get(s[i:] if j == n else s[i:j])
-                if t is not None:
+            for j in range(min(n, i + reach(s[i : i + 3], 2)), i, -1):
+                t = get(s[i:j])
+                if t is not None and j != n - 1:  # the last letter carries the word end
                     out.append(t)
                     i = j
                     break
@@ -86,6 +106,8 @@ class Encoder:
 
     def exact(self, ids: list[int]) -> list[int]:
         """Merges in rank order, leftmost first."""
+        if len(ids) > 64:
+            return self.exact_long(ids)
         ids, rank = list(ids), self.rank
         while len(ids) > 1:
             found = [rank[p] for p in zip(ids, ids[1:], strict=False) if p in rank]
@@ -99,6 +121,70 @@ class Encoder:
                 i += 1
         return ids
 
+    def exact_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap and links between neighbours, for very long pieces."""
+        import heapq
+
+        ids, n = list(ids), len(ids)
+        left, right, rank = [*range(-1, n - 1)], [*range(1, n), -1], self.rank
+        heap = [(*rank[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rank]
+        heap = [(r, i, a, b, t) for r, t, i, a, b in heap]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, t = heapq.heappop(heap)
+            j = right[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j], right[i] = t, -1, right[j]
+            if right[i] >= 0:
+                left[right[i]] = i
+            for k in (left[i], i):
+                if k >= 0 and right[k] >= 0 and (p := (ids[k], ids[right[k]])) in rank:
+                    heapq.heappush(heap, (rank[p][0], k, *p, rank[p][1]))
+        return [t for t in ids if t >= 0]
+
+    def exact_many(self, words: list[list[int]]) -> list[list[int]]:
+        """Exact merging of many words side by side: in each round every word merges its leftmost pair of lowest rank."""
+        out: list[list[int]] = [[]] * len(words)
+        short = sorted((k for k, w in enumerate(words) if len(w) <= 64), key=lambda k: len(words[k]))
+        for k in (k for k, w in enumerate(words) if len(w) > 64):
+            out[k] = self.exact_long(words[k])
+        for at in range(0, len(short), 4096):
+            part = short[at : at + 4096]
+            width = max(2, len(words[part[-1]]))
+            ids = np.full((len(part), width + 1), -1, np.int64)
+            for r, k in enumerate(part):
+                ids[r, : len(words[k])] = words[k]
+            ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+            live = np.arange(len(part))
+            columns = np.arange(width)
+            while len(live):
+                at_best = ranks[live].argmin(axis=1)
+                best = ranks[live, at_best]
+                going = best < self.none
+                live, at_best, best = live[going], at_best[going], best[going]
+                if not len(live):
+                    break
+                ids[live, at_best] = self.results[best]
+                move = columns[None, :] + (columns[None, :] > at_best[:, None])  # closes the gap right of the merged token
+                ids[live, :-1] = np.take_along_axis(ids[live], move, axis=1)
+                ranks[live, :-1] = np.take_along_axis(ranks[live], move[:, :-1], axis=1)
+                ranks[live, -1] = self.none
+                ranks[live, at_best] = self.ranks(ids[live, at_best], ids[live, at_best + 1])
+                inner = at_best > 0
+                rows, cols = live[inner], at_best[inner]
+                ranks[rows, cols - 1] = self.ranks(ids[rows, cols - 1], ids[rows, cols])
+            for r, k in enumerate(part):
+                row = ids[r].tolist()
+                out[k] = row[: row.index(-1)]
+        return out
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge ranks of pairs, elementwise; `none` where the pair does not merge."""
+        key = a * self.size + b
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[i] == key) & (a >= 0) & (b >= 0), self.key_ranks[i], self.none)
+
     def base(self, token: int) -> list[int]:
         """The single-unit tokens that a token's text consists of."""
         if token not in self.symbols:
@@ -108,57 +194,65 @@ class Encoder:
             self.symbols[token] = [self.vocab[u] for u in units]
         return self.symbols[token]
 
-    def compatible(self, a: int, b: int) -> bool:
-        return self.exact([*self.base(a), *self.base(b)]) == [a, b] and self.exact(self.base(a)) == [a] and self.exact(self.base(b)) == [b]
+    def check(self, keys: list[int]) -> None:
+        """Remembers for pairs a * size + b, and for single tokens -1 - a, whether BPE leaves them as they are."""
+        new = [k for k in keys if k not in self.pairs]
+        tokens = [[-1 - k] if k < 0 else [*divmod(k, self.size)] for k in new]
+        merged = self.exact_many([[u for t in pair for u in self.base(t)] for pair in tokens])
+        self.pairs.update((k, got == pair) for k, got, pair in zip(new, merged, tokens, strict=True))
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes new pieces: all guesses, then one look-up of all adjacent pairs, then exact merging of what fails."""
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
         if len(self.pairs) > MOST_PAIRS:
             self.pairs.clear()
         new = [p for p in pieces if p not in self.pieces]
-        units = [self.units(p) for p in new]
-        guess = [self.greedy(u) for u in units]
+        guess = list(map(self.greedy, new))
         lengths = np.fromiter(map(len, guess), np.int64, len(guess))
         flat = np.fromiter((t for g in guess for t in g), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(new)), lengths)
         inside = owner[:-1] == owner[1:]
-        keys, back = np.unique(flat[:-1][inside] * self.size + flat[1:][inside], return_inverse=True)
-        for k in keys.tolist():
-            if k not in self.pairs:
-                self.pairs[k] = self.compatible(*divmod(k, self.size))
-        good = np.fromiter(map(self.pairs.__getitem__, keys.tolist()), bool, len(keys))
+        # A guess stands if BPE gives each token for its own text and leaves each adjacent pair apart.
+        singles, of_single = np.unique(-1 - flat, return_inverse=True)
+        pairs, of_pair = np.unique(flat[:-1][inside] * self.size + flat[1:][inside], return_inverse=True)
+        self.check([*singles.tolist(), *pairs.tolist()])
+        good = lambda keys: np.fromiter(map(self.pairs.__getitem__, keys.tolist()), bool, len(keys))
         failing = np.zeros(len(new), bool)
-        failing[owner[:-1][inside][~good[back]]] = True
-        single = lengths == 1
-        for i, p in enumerate(new):
-            g = guess[i]
-            if failing[i] or single[i] and len(units[i]) > 1 and not self.whole(g[0]):
-                g = self.exact([self.vocab[u] for u in units[i] if u in self.vocab])
-                self.merged += 1
-            self.pieces[p] = tuple(g)
-
-    def whole(self, token: int) -> bool:
-        k = -1 - token
-        if k not in self.pairs:
-            self.pairs[k] = self.exact(self.base(token)) == [token]
-        return self.pairs[k]
+        failing[owner[~good(singles)[of_single]]] = True
+        failing[owner[:-1][inside][~good(pairs)[of_pair]]] = True
+        again = np.flatnonzero(failing).tolist()
+        for i, g in zip(again, self.exact_many([self.units(new[i]) for i in again]), strict=True):
+            guess[i] = g
+        self.merged += len(again)
+        self.pieces.update(zip(new, guess, strict=True))
+
+    def split(self, text: str) -> list[str]:
+        """The normalised words of a text; blanks part pieces, so each word can be cut into pieces on its own."""
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        low = text.replace("Σ", "σ").lower()  # letter by letter: no word-final sigma
+        return self.blank.split(low) if _NOT_BLANK.search(low) else low.split()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         plans: list[list] = []
         new: set[str] = set()
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+            self.pieces.clear()
         for t in texts:
             plan: list = []
             for part, special in self.parts(t or ""):
                 if part:
-                    found = self.find(self.normal(part))
-                    new.update(found)
-                    plan.append(found)
+                    plan.append(self.split(part))
+                    new.update(plan[-1])
                 if special is not None:
                     plan.append(special)
             plans.append(plan)
-        self.learn(new)
+        new.difference_update(self.words)
+        cut = {w: self.find(w) for w in new}
+        self.learn({p for found in cut.values() for p in found})
+        known = self.pieces
+        for w, found in cut.items():
+            self.words[w] = known[found[0]] if len(found) == 1 else [t for p in found for t in known[p]]
         out = []
         for plan in plans:
             ids: list[int] = []
@@ -166,8 +260,7 @@ class Encoder:
                 if isinstance(p, int):
                     ids.append(p)
                 else:
-                    for g in map(self.pieces.__getitem__, p):
-                        ids += g
+                    ids += chain.from_iterable(map(self.words.__getitem__, p))
             out.append(ids)
         return out
 
@@ -195,6 +288,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         if path not in _ENCODERS:
+            gc.disable()  # the tables of known words hold very many lists and no cycles
             _ENCODERS[path] = Encoder(shared.value)
         e = _ENCODERS[path]
         for b in batches:
