@@ -17,6 +17,7 @@ labels every score is 0. Repeated rows get equal scores; extra columns are ignor
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import held_out, prepare
 from .quality import sampled_labels
 
-MAX_ROWS, FOLDS, THRESHOLD = 5_000, 5, 0.5
+MAX_ROWS, FOLDS, THRESHOLD = 3_000, 5, 0.5
 DECAY, SPAN, ALPHABET, LONGEST = 0.6, 7, 40, 24
 LANDMARKS, ROUNDS = 64, 4
 #: Decision value of a text without terms.
@@ -72,7 +73,7 @@ def by_length(words: list[str]):
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for part in np.array_split(at, max(1, len(at) * 150 // 2_000_000)):
+        for part in np.array_split(at, max(1, len(at) * 150 // 500_000)):
             c = np.array([[code(x) for x in words[i]] for i in part.tolist()], np.int64)
             t, w, norm = shape(int(n))
             yield part, (c[:, t[:, 0]] * ALPHABET + c[:, t[:, 1]]) * ALPHABET + c[:, t[:, 2]], w / norm
@@ -172,6 +173,8 @@ def witnesses(toxic: list[tuple], clean: list[tuple]) -> list[str]:
     own = [frozenset().union(*(pieces[w] for w in t)) for t in toxic]
     least = max(2, round(0.008 * len(toxic)))
     seen = {g for g, n in Counter(g for t in own for g in t).items() if n >= least}
+    own = [t & seen for t in own]
+    pieces = {w: g & seen for w, g in pieces.items()}
     of_clean: dict[str, frozenset] = {}
     bad = Counter()
     for t in clean:
@@ -245,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([" ".join(sorted(terms(t))) for t in b.column(0).to_pylist()], pa.string())], ["label", "terms"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(run, "label int, terms string").toPandas()
-    return fit([(int(y), t.split()) for y, t in zip(rows["label"], rows["terms"], strict=True)])
+    return fit([(int(y), [sys.intern(w) for w in t.split()]) for y, t in zip(rows["label"], rows["terms"], strict=True)])
 
 
 def score(docs: DataFrame, machine: Machine, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
