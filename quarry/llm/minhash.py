@@ -5,8 +5,8 @@ Documents with the same set are one node from the start, so a group of exact cop
 band share a bucket; in each bucket all nodes are compared with the smallest one (a star, not all pairs) and links are
 confirmed on full shingle sets. What these links connect needs no further comparison. Only in buckets that still hold several
 components, nodes outside the bucket's main component are compared with nodes of other components: estimated from the
-signatures inside the join's condition (which drops pairs over five standard deviations below the threshold), large buckets
-in blocks, and again confirmed on full sets. Components come from large-star/small-star.
+signatures inside the join's condition (which drops pairs over five standard deviations below the threshold) and again
+confirmed on full sets; large buckets block by block, most likely pairs first, skipping what is connected by then. Components come from large-star/small-star.
 
 With 36 bands of 5 rows a pair at similarity 0.8 shares no bucket with probability under 1e-6.
 
@@ -107,28 +107,57 @@ def agreeing(x, y):
     return same / F.lit(float(k))
 
 
-def in_blocks(rest: DataFrame, least: float) -> DataFrame:
-    """Candidate pairs of large buckets: blocks of stray nodes against the blocks of their bucket, each pair in its first common band."""
+def in_blocks(rest: DataFrame, least: float, percent: int) -> DataFrame:
+    """Confirmed links of large buckets: blocks of stray nodes against the blocks of their bucket, each pair in its first common band.
+
+    The likeliest pairs come first, and what a block's links connect already is not compared again, so a block gives
+    fewer links than it has nodes.
+    """
     import pandas as pd
 
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
     def run(key, left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
         x = np.stack([np.frombuffer(s, np.uint32) for s in left["sig"]])
         y = np.stack([np.frombuffer(s, np.uint32) for s in right["sig2"]])
-        out, band, other, comp = [], int(left["band"].iloc[0]), right["other"].to_numpy(), right["comp2"].to_numpy()
-        for i, (a, c) in enumerate(zip(left["node"].tolist(), left["comp"].tolist(), strict=True)):
+        band, other, comp = int(left["band"].iloc[0]), right["other"].to_numpy(), right["comp2"].to_numpy()
+        sx, sy, nodes, comps = left["set"].tolist(), right["set2"].tolist(), left["node"].tolist(), left["comp"].tolist()
+        rows, cols, like = [], [], []
+        for i, c in enumerate(comps):
             at = np.flatnonzero(comp != c)
-            at = at[(y[at] == x[i]).mean(axis=1) >= least]
-            first = (y[at] == x[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            out += [(min(a, b), max(a, b)) for b in other[at[first == band]].tolist()]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64").drop_duplicates()
+            share = (y[at] == x[i]).mean(axis=1)
+            at, share = at[share >= least], share[share >= least]
+            first = (y[at] == x[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            rows.append(np.full(int(first.sum()), i))
+            cols.append(at[first])
+            like.append(share[first])
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        root: dict[int, int] = {}
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for k in np.argsort(-np.concatenate(like), kind="stable").tolist():
+            i, j = int(rows[k]), int(cols[k])
+            a, b = find(comps[i]), find(int(comp[j]))
+            if a != b and linked(sx[i], sy[j]):
+                root[a] = b
+                out.append((min(nodes[i], int(other[j])), max(nodes[i], int(other[j]))))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     n_blocks = F.ceil(F.col("m") / (BLOCK * 16))
     block = F.pmod(F.xxhash64("node"), n_blocks)
     every = F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1))
-    left = rest.filter("stray").select("bucket", block.alias("i"), every.alias("j"), "node", "sig", "comp", "band")
-    right = rest.select(F.col("bucket").alias("bucket2"), every.alias("i2"), block.alias("j2"), F.col("node").alias("other"), F.col("sig").alias("sig2"), F.col("comp").alias("comp2"))
+    left = rest.filter("stray").select("bucket", block.alias("i"), every.alias("j"), "node", "sig", "set", "comp", "band")
+    right = rest.select(F.col("bucket").alias("bucket2"), every.alias("i2"), block.alias("j2"), F.col("node").alias("other"), F.col("sig").alias("sig2"), F.col("set").alias("set2"), F.col("comp").alias("comp2"))
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket2", "i2", "j2")).applyInPandas(run, "u long, v long")
 
 
@@ -158,8 +187,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     x, y = small.filter("stray").alias("x"), small.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.stray") | (F.col("x.node") < F.col("y.node")))
     near = x.join(y, apart & (agreeing(F.col("x.sig"), F.col("y.sig")) >= LEAST_AGREEING)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
-    more = near.union(in_blocks(rest.filter(F.col("m") > BLOCK), LEAST_AGREEING)).distinct()
-    more = stored(confirmed(more, sets, percent), "more")
+    large = in_blocks(rest.filter(F.col("m") > BLOCK).join(sets, "node"), LEAST_AGREEING, percent)
+    more = stored(confirmed(near.distinct(), sets, percent).union(large).distinct(), "more")
 
     labels = connected_components(settled.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = nodes.select("node", "first_doc").join(labels, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
