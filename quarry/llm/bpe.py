@@ -41,10 +41,41 @@ def load(path: str) -> dict:
     split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     return {
         "vocab": model["vocab"], "merges": [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]],
-        "special": {t["content"]: t["id"] for t in j["added_tokens"]}, "pattern": split["pattern"]["Regex"], "end": model["end_of_word_suffix"] or "",
+        "special": {t["content"]: t["id"] for t in j["added_tokens"]}, "pattern": same_classes(split["pattern"]["Regex"]), "end": model["end_of_word_suffix"] or "",
     }
 
 
+def same_classes(pattern: str) -> str:
+    r"""The pattern with \p{L}, \p{N} and \s adjusted to the characters that the tokenizers library counts among them.
+
+    The two regular-expression libraries follow different Unicode versions, so the newest characters' classes can differ.
+    """
+    import regex
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for name, ours in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
+        theirs = {c for run, _ in pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every) for c in run}
+        mine = set(regex.findall(ours, every))
+        shown = ours
+        for op, odd in (("--", mine - theirs), ("||", theirs - mine)):
+            if odd:
+                shown = f"[{shown}{op}[{''.join(map(span, ranges(odd)))}]]"
+        pattern = pattern.replace(name, shown)
+    return pattern
+
+
+def ranges(letters: set[str]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for c in sorted(map(ord, letters)):
+        out[-1:] = [(out[-1][0], c)] if out and out[-1][1] == c - 1 else [*out[-1:], (c, c)]
+    return out
+
+
+def span(r: tuple[int, int]) -> str:
+    return f"\\U{r[0]:08X}-\\U{r[1]:08X}"
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as is, the rest from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -59,7 +90,7 @@ class Encoder:
         self.vocab, self.end, self.special = spec["vocab"], spec["end"], spec["special"]
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed([*enumerate(spec["merges"])])}
-        self.find = regex.compile(spec["pattern"].replace(r"\s", r"\p{White_Space}")).findall
+        self.find = regex.compile(spec["pattern"], regex.V1).findall
         self.blank = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(byte_letters()))

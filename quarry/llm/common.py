@@ -36,9 +36,17 @@ def held_out(folds: int, col: str = "doc_id") -> Column:
     return F.crc32(id_text(col)) % folds == 0
 
 
+#: Estimates beyond this are the planner's way to say that it does not know.
+UNKNOWN = 1 << 55
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The planner's estimate of a table's size, from its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's estimate of a table's size, from its files; measured where there is none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN:
+        return size
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(8))
+    return df.agg(F.sum(texts)).first()[0] or 0
 
 
 def parts_of(df: DataFrame, mb: float, least: int) -> int:

@@ -27,8 +27,8 @@ rows AS (
     || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(block) || chr(13) || chr(10) || chr(13) || chr(10) || block || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM shown),
 placed AS (
   SELECT r, file, row_number() OVER w - 1 AS seq, page_id, strlen(record) AS length,
-    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY r, file ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte, sha256(record) AS hash
-  FROM rows WINDOW w AS (PARTITION BY r, file ORDER BY page_id, url, html))
+    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY r, file ORDER BY page_id, sha256(url), sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte, sha256(record) AS hash
+  FROM rows WINDOW w AS (PARTITION BY r, file ORDER BY page_id, sha256(url), sha256(record)))
 SELECT a.file, a.seq, a.page_id, a.first_byte, a.length, a.hash AS expected_sha256, b.hash AS found_sha256
 FROM placed a JOIN placed b ON a.r = 0 AND b.r = 1 AND a.file = b.file AND a.seq = b.seq WHERE a.hash <> b.hash
 """

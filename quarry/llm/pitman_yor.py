@@ -83,6 +83,11 @@ def discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
 
+def predictive(count, tables, customers, laid, parent, d: float, theta: float = THETA):
+    """Probability of dishes with so many customers at so many tables, in restaurants with `customers` at `laid` tables; the parent's in an empty one."""
+    return (count - d * tables + (theta + d * laid) * parent) / (theta + customers)
+
+
 def pack_block(docs: list[tuple[int, bool, list[bytes]]], n_shards: int, hot: np.ndarray, hasher: WordHasher):
     """Rows of OCCURRENCES for some documents."""
     end, start = hasher([END])[0], hasher([START])[0]
@@ -271,16 +276,14 @@ def score(docs: DataFrame, folds: int = FOLDS, shard_mb: float = 3.5) -> DataFra
             out[asked] = np.concatenate([unpack(x, np.int64) for x in told[name]])
         n_all, v_all, m_all, s_sum, m1, m2 = (int(told[k].sum()) for k in ("n_all", "v_all", "m_all", "s_all", "m1", "m2"))
         d0, d1 = discount(m1, m2), discount(int(told["ones"].iloc[0]), int(told["twos"].iloc[0]))
-        root = (m - d0 * tables / KEPT) / (THETA + m_all) + (THETA + d0 * s_sum / KEPT) / (THETA + m_all) / (v_all + 1)
+        root = predictive(m, tables / KEPT, m_all, s_sum / KEPT, 1 / (v_all + 1), d0)
         customers, laid = np.bincount(s.v, s.count, size), np.bincount(s.v, mean, size)
         hot = np.concatenate([np.frombuffer(x, np.uint64) for x in told["hv"]])
         at = np.searchsorted(s.words, hot)
         ok = (at < size) & (s.words[np.minimum(at, size - 1)] == hot)
         customers[at[ok]] = np.concatenate([np.frombuffer(x) for x in told["hc"]])[ok]
         laid[at[ok]] = np.concatenate([np.frombuffer(x) for x in told["ht"]])[ok]
-        open_ = customers[s.v] > 0
-        p = np.where(open_, (s.count - d1 * mean + (THETA + d1 * laid[s.v]) * root[s.w]) / (THETA + customers[s.v]), root[s.w])
-        log_p = np.log10(p)
+        log_p = np.log10(predictive(s.count, mean, customers[s.v], laid[s.v], root[s.w], d1))
         log_base = np.log10((c + 0.1) / (n_all + 0.1 * (v_all + 1)))
         ids, number = np.unique(s.ids, return_inverse=True)
         of = number[s.doc]

@@ -41,7 +41,7 @@ class Block:
         self.words = [raw_words(t) for t in texts]
         self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.ids = np.array([NONE if d is None or d != d else int(d) for d in ids], np.int64)
+        self.ids = np.array(ids, np.int64).reshape(-1)
         hashes = [hasher(w) for w in self.words]
         self.word_hash = np.concatenate([*hashes, np.empty(0, np.uint64)])
         starts = [np.arange(max(0, n - width + 1)) + f for n, f in zip(self.lengths, self.first, strict=False)]
@@ -95,7 +95,8 @@ def removed_words(b: Block, answers: list[tuple[np.ndarray, np.ndarray]], width:
         at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
         ok = values[at] == hashes
         np.minimum.at(least, at[ok], owners[ok])
-    positions = np.flatnonzero(least[back] < b.ids[b.doc])
+    loses = (least[back] < b.ids[b.doc]) & (b.ids[b.doc] != NONE)
+    positions = np.flatnonzero(loses)
     if not len(positions):
         return mask
     # Also where the owner itself stands in this block: a passage is the same passage there.
@@ -132,7 +133,7 @@ def removed_words(b: Block, answers: list[tuple[np.ndarray, np.ndarray]], width:
     n = length[which]
     start = np.repeat(ends - (n + width - 2), n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))  # each window of each occurrence
     at = np.searchsorted(b.starts, start)
-    gone = start[least[back[at]] < b.ids[b.doc[at]]]
+    gone = start[loses[at]]
     edges = np.zeros(len(mask) + 1, np.int64)
     np.add.at(edges, gone, 1)
     np.add.at(edges, gone + width, -1)
@@ -143,12 +144,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, s
     """docs with n_words, n_removed and kept_text (kept words joined by one blank; the text itself where nothing goes)."""
     prepare(docs.sparkSession)
     n_shards, blocks = parts_of(docs, shard_mb, 12), parts_of(docs, block_mb, 32)
-    docs = docs.drop("_block", "n_words", "n_removed", "kept_text")
+    docs = docs.drop("_block", "_id", "n_words", "n_removed", "kept_text")
     # The block comes first, so that both uses of the dealt documents can share one exchange.
-    dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int").alias("_block"), "*")
+    block, number = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE)))
+    dealt = docs.select(block.alias("_block"), number.alias("_id"), "*")
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf["doc_id"].tolist(), pdf["text"].tolist(), width)
+        b = Block(pdf["_id"].tolist(), pdf["text"].tolist(), width)
         values, least, _ = b.owners()
         cut = np.searchsorted(values, np.array([(s << 64) // n_shards for s in range(1, n_shards)], np.uint64))
         out = [(s, int(pdf["_block"].iloc[0]), pack_sorted(v), pack(o)) for s, (v, o) in enumerate(zip(np.split(values, cut), np.split(least, cut), strict=True)) if len(v)]
@@ -174,16 +176,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, s
         return pd.DataFrame(out, columns=["_from", "hashes", "owners"])
 
     def remove(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf["doc_id"].tolist(), pdf["text"].tolist(), width)
+        b = Block(pdf["_id"].tolist(), pdf["text"].tolist(), width)
         mask = removed_words(b, [(unpack_sorted(h), unpack(o, np.int64)) for h, o in zip(told["hashes"], told["owners"], strict=True)], width)
         kept, gone = [], []
         for d, w in enumerate(b.words):
             m = mask[b.first[d] : b.first[d + 1]]
             gone.append(int(m.sum()))
             kept.append(b" ".join([x for x, out in zip(w, m.tolist(), strict=True) if not out] if gone[-1] else w).decode("utf-8", "surrogatepass"))
-        return pdf.drop(columns="_block").assign(n_words=b.lengths, n_removed=gone, kept_text=kept)
+        return pdf.drop(columns=["_block", "_id"]).assign(n_words=b.lengths, n_removed=gone, kept_text=kept)
 
-    small = dealt.select("_block", "doc_id", "text")
+    small = dealt.select("_block", "_id", "doc_id", "text")
     sent = small.groupBy("_block").applyInPandas(send, "shard int, _from int, hashes binary, owners binary")
     told = sent.groupBy("shard").applyInPandas(confirm, "_from int, hashes binary, owners binary")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])

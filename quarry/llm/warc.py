@@ -5,7 +5,7 @@ A tree hashes each record (SHA-256), then ordered ranges of `fanout` neighbours
 up to one root. Both replicas' trees are stored; the audit compares roots and descends only into branches that differ, so an intact
 replica costs one comparison and damage is located in as many steps as the tree is high.
 
-Null urls and pages count as empty, a null id is file 0's first; repeated rows are records of their own, ordered by url and page.
+Null urls and pages count as empty, a null id is file 0's first; repeated rows are records of their own, ordered by the hashes of url and record.
 Records missing from either replica count as damaged (no hash). Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -22,8 +22,11 @@ DATE, PER_FILE, FANOUT = "2024-01-01T00:00:00Z", 1_000, 16
 CRLF = "\r\n"
 
 
-def records(pages: DataFrame, date: str = DATE, per_file: int = PER_FILE) -> DataFrame:
-    """file, seq, page_id, first_byte, length, record for every page."""
+def records(pages: DataFrame, date: str = DATE, per_file: int = PER_FILE, contents: bool = True) -> DataFrame:
+    """file, seq, page_id, first_byte, length, hash and (with contents) record of every page.
+
+    Records are hashed where they are read; without contents only hashes and lengths are dealt to the files.
+    """
     url, html = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit(""))
     block = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"), html)
     record = F.concat(
@@ -31,12 +34,11 @@ def records(pages: DataFrame, date: str = DATE, per_file: int = PER_FILE) -> Dat
         F.lit(f">{CRLF}WARC-Date: {date}{CRLF}WARC-Target-URI: "), url, F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.sha2(html, 256),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block, F.lit(CRLF * 2),
     )
-    in_file = Window.partitionBy("file").orderBy("page_id", "url", "html")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), record.alias("record"))
-    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(0))).withColumn("seq", F.row_number().over(in_file).cast("long") - 1)
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
+    in_file = Window.partitionBy("file").orderBy("page_id", "key", "hash")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(url, 256).alias("key"), record.alias("record"))
+    rows = rows.select("page_id", "key", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(0)).alias("file"), F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("length"), *(["record"] if contents else []))
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", "seq", "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("first_byte"), "length", "record")
+    return rows.select("file", (F.row_number().over(in_file).cast("long") - 1).alias("seq"), "page_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("first_byte"), "length", "hash", *(["record"] if contents else []))
 
 
 def heights(rows: DataFrame, fanout: int) -> tuple[int, int]:
@@ -48,7 +50,7 @@ def heights(rows: DataFrame, fanout: int) -> tuple[int, int]:
 
 def tree(rows: DataFrame, height: tuple[int, int], fanout: int = FANOUT) -> DataFrame:
     """level, file, node, hash of every node; over the files the node numbers are file numbers and file is 0."""
-    below = rows.select("file", F.col("seq").alias("node"), F.sha2("record", 256).alias("hash"))
+    below = rows.select("file", F.col("seq").alias("node"), "hash")
     levels = [below]
     for step in range(height[0] + height[1]):
         if step == height[0]:
@@ -62,7 +64,7 @@ def tree(rows: DataFrame, height: tuple[int, int], fanout: int = FANOUT) -> Data
 def audit(kept: DataFrame, replica: DataFrame, fanout: int = FANOUT, per_file: int = PER_FILE) -> DataFrame:
     """The damaged records: file, seq, page_id, first_byte, length (as kept; null if only the replica has it) and both hashes."""
     prepare(kept.sparkSession)
-    a_rows, b_rows = records(kept, per_file=per_file), records(replica, per_file=per_file)
+    a_rows, b_rows = (stored(records(x, per_file=per_file, contents=False), "records") for x in (kept, replica))
     a_high, b_high = heights(a_rows, fanout), heights(b_rows, fanout)
     high = (max(a_high[0], b_high[0]), max(a_high[1], b_high[1]))
     a, b = stored(tree(a_rows, high, fanout), "tree"), stored(tree(b_rows, high, fanout), "tree")
