@@ -53,13 +53,13 @@ class Bm25Index:
         avgdl = self.totals().select("avgdl").scalar()
         hits = self.postings.join(F.broadcast(asked), "tok").join(self.term_stats(), "tok")  # asked: the words of one question
         part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-        best = hits.groupBy("chunk_key").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "chunk_key").limit(k)
-        return ranked(best, F.desc("score"), F.col("chunk_key")).filter("score > 0")
+        best = hits.groupBy("chunk_key").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "chunk_key").limit(k)
+        return ranked(best, F.round("score", 9).desc(), F.col("chunk_key")).filter("score > 0")
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """rank from 1; only for rows already cut to a top k."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

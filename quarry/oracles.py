@@ -47,7 +47,7 @@ idf AS (SELECT tok, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM rawidf)
 def _keyword(k: int) -> str:
     return f"""{_BM25}, asked AS (SELECT tok, count(*) AS qf FROM (SELECT unnest({_tokens(_quoted(KEYWORDS))}) AS tok) GROUP BY tok),
 scored AS (SELECT p.chunk_key, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM tot)))) AS score FROM post p JOIN asked USING (tok) JOIN idf USING (tok) JOIN lens l ON p.chunk_key = l.chunk_key GROUP BY 1),
-kw AS (SELECT * FROM (SELECT chunk_key, score, row_number() OVER (ORDER BY score DESC, chunk_key) AS rank FROM scored) WHERE rank <= {k} AND score > 0)"""
+kw AS (SELECT * FROM (SELECT chunk_key, score, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_key) AS rank FROM scored) WHERE rank <= {k} AND score > 0)"""
 
 
 def _semantic(k: int) -> str:
@@ -104,7 +104,7 @@ _SCAN = f"""{_DOCS}, scan AS (SELECT CASE WHEN id % 17 = 2 THEN file_path || '.n
   file_type, file_size, CASE WHEN id % 5 = 1 THEN last_modified + INTERVAL 1 DAY ELSE last_modified END AS last_modified FROM docs WHERE id % 13 <> 5)"""
 _APART = "abs(epoch_us(s.last_modified) - epoch_us(d.last_modified)) < 2000000"
 _TITLES = ", ".join(_quoted(t.upper()) for t in TAXONOMY)
-_SHEET = """rows AS (SELECT '/books/' || (l_suppkey % 8) || '.xlsx' AS file_path, l_returnflag AS sheet, l_orderkey * 10 + l_linenumber AS row_no,
+_SHEET = """rows AS (SELECT '/books/' || (l_suppkey % 8) || '.xlsx' AS file_path, l_returnflag AS sheet, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 2 + CAST(l_linestatus = 'O' AS INT) AS row_no,
   [l_orderkey::VARCHAR, l_partkey::VARCHAR, l_linenumber::VARCHAR, l_linestatus] AS cells FROM lineitem),
 placed AS (SELECT *, row_number() OVER w - 2 AS k, first(cells) OVER w AS header FROM rows WINDOW w AS (PARTITION BY file_path, sheet ORDER BY row_no)),
 body AS (SELECT *, k // 20 AS g FROM placed WHERE k >= 0),
@@ -170,8 +170,8 @@ CASE WHEN length(arg_max(text, turn)) > 300 THEN substr(arg_max(text, turn), 1,
     "truncate_context": r"""WITH s AS (SELECT conv_id AS id, turn AS pos, text, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
 SELECT id, coalesce(string_agg(CASE WHEN k = 1 AND n > 500 THEN rtrim(substr(text, 1, 500), E' \t\n\r') WHEN n <= 500 THEN text END, chr(10) || chr(10) ORDER BY pos), '') AS context, max(n) > 500 AS omitted FROM s GROUP BY id""",
     "sheet_chunks": f"WITH {_SHEET} SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY sheet, g) - 1 AS INT) AS chunk_id, text, CAST(length(text) AS INT) AS end_pos, CAST(count(*) OVER (PARTITION BY file_path) AS INT) AS total_chunks FROM texts",
-    "page_lookup": """WITH m AS (SELECT doc_id, 'Intro. ' || replace(text, '. ', '. [Page 3] ') AS t FROM documents), a AS (SELECT doc_id, t, unnest([0, 50, 100, 400, 2000]) AS at FROM m)
-SELECT doc_id, at, CAST((length(t) - length(replace(t, '[Page 3]', ''))) // 8 AS BIGINT) AS marks, CASE WHEN strpos(t, '[Page 3]') > 0 AND strpos(t, '[Page 3]') - 1 <= at THEN 3 END AS page FROM a""",
+    "page_lookup": """WITH m AS (SELECT doc_id, 'Intro. ' || replace(text, '. ', '. [Page 3] ') AS t FROM documents), a AS (SELECT doc_id, t, unnest([0, 50, 100, 400, 2000]) AS place FROM m)
+SELECT doc_id, place, CAST((length(t) - length(replace(t, '[Page 3]', ''))) // 8 AS BIGINT) AS marks, CASE WHEN strpos(t, '[Page 3]') > 0 AND strpos(t, '[Page 3]') - 1 <= place THEN 3 END AS page FROM a""",
     "doc_title": rf"""SELECT doc_id, list_filter(list_transform(string_split(substr(text, 1, {TITLE_SCAN}), chr(10)), lambda x: upper(regexp_replace(trim(x), '\s+', ' ', 'g'))), lambda x: x IN ({_TITLES}))[1] AS title FROM documents""",
     "listing_previews": rf"""{_DOCS}, p AS (SELECT *, regexp_replace(coalesce(content_preview, ''), '(?i)^Page \d+:\n?', '') AS t FROM docs)
 SELECT id, CASE WHEN processing_status = 'metadata_only' THEN '[Indexing in progress...] ' || {_BASE} WHEN trim(t) = '' AND chunks_count > 0 THEN '[' || chunks_count || ' chunks indexed] ' || {_BASE} ELSE substr(t, 1, 120) END AS preview FROM p""",
@@ -200,10 +200,10 @@ FROM scan s FULL JOIN docs d ON s.file_path = d.file_path""",
   CASE WHEN s.file_path IS NULL THEN d.processing_status ELSE 'metadata_only' END AS processing_status, CAST(CASE WHEN s.file_path IS NULL THEN d.chunks_count ELSE 0 END AS INT) AS chunks_count,
   {_TS.format('coalesce(s.last_modified, d.last_modified)')} AS last_modified, {_TS.format(f"coalesce(d.indexed_at, TIMESTAMP '{AS_OF}')")} AS indexed_at FROM docs d FULL JOIN scan s ON s.file_path = d.file_path""",
     "delete_cascade": f"{_DOCS} SELECT file_type, count(*) AS documents, CAST(sum(chunks_count) AS BIGINT) AS chunks FROM docs WHERE id % 3 <> 0 GROUP BY 1",
-    "edit_apply_counts": """WITH a AS (SELECT doc_id AS id, text AS t0, contains(substr(text, 1, 12000), 'the') AS v1, contains(substr(text, 1, 12000), 'THE ') AS v2, contains(substr(text, 1, 12000), ' ') AS v3, contains(substr(text, 1, 12000), 'never there') AS v4 FROM documents),
-b AS (SELECT *, CASE WHEN v1 THEN replace(t0, 'the', 'THE') ELSE t0 END AS t1 FROM a), c AS (SELECT *, CASE WHEN v2 THEN replace(t1, 'THE ', '') ELSE t1 END AS t2 FROM b), d AS (SELECT *, CASE WHEN v3 THEN replace(t2, ' ', '_') ELSE t2 END AS t3 FROM c)
+    "edit_apply_counts": """WITH a AS (SELECT doc_id AS id, text AS t0, contains(substr(text, 1, 12000), 'the') AS v1, contains(substr(text, 1, 12000), 'THE ') AS v2, contains(substr(text, 1, 12000), 'e ') AS v3, contains(substr(text, 1, 12000), 'never there') AS v4 FROM documents),
+b AS (SELECT *, CASE WHEN v1 THEN replace(t0, 'the', 'THE') ELSE t0 END AS t1 FROM a), c AS (SELECT *, CASE WHEN v2 THEN replace(t1, 'THE ', '') ELSE t1 END AS t2 FROM b), d AS (SELECT *, CASE WHEN v3 THEN replace(t2, 'e ', '_') ELSE t2 END AS t3 FROM c)
 SELECT id, sha256(CASE WHEN v4 THEN replace(t3, 'never there', 'x') ELSE t3 END) AS text_sha256, CAST(CASE WHEN v1 THEN (length(t0) - length(replace(t0, 'the', ''))) // 3 ELSE 0 END + CASE WHEN v2 THEN (length(t1) - length(replace(t1, 'THE ', ''))) // 4 ELSE 0 END
-  + CASE WHEN v3 THEN length(t2) - length(replace(t2, ' ', '')) ELSE 0 END + CASE WHEN v4 THEN (length(t3) - length(replace(t3, 'never there', ''))) // 11 ELSE 0 END AS BIGINT) AS applied FROM d""",
+  + CASE WHEN v3 THEN (length(t2) - length(replace(t2, 'e ', ''))) // 2 ELSE 0 END + CASE WHEN v4 THEN (length(t3) - length(replace(t3, 'never there', ''))) // 11 ELSE 0 END AS BIGINT) AS applied FROM d""",
     "cell_values": "SELECT * FROM (VALUES ('s', '1', 'null', NULL), ('s', '2', 'null', NULL), ('s', '3', 'int', '12'), ('s', '4', 'int', '-7'), ('s', '5', 'float', '3.5'), ('s', '6', 'text', 'abc'), ('s', '7', 'float', '1000.0')) v(sheet, cell, kind, value)",
     "reject_reasons": r"""SELECT file_path, length, CASE WHEN regexp_matches(n, '^~\$') THEN 'lock file' WHEN regexp_matches(n, '\.\d{8}_\d{6}\.bak\.') THEN 'backup file' WHEN NOT regexp_matches(lower(n), '\.(pdf|docx|txt|xlsx|xls|pptx)$') THEN 'unsupported type' WHEN length > 52428800 THEN 'too large' WHEN length = 0 THEN 'empty' END AS reason
 FROM (SELECT *, regexp_extract(file_path, '([^/]*)$', 1) AS n FROM (VALUES ('/a/~$plan.docx', 5), ('/a/plan.20240101_101010.bak.docx', 5), ('/a/plan.exe', 5), ('/a/plan.PDF', 62914560), ('/a/plan.txt', 0), ('/a/plan.txt', 1), ('/a/noextension', 1), ('/a/pic.png', 9)) v(file_path, length))""",

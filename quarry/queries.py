@@ -286,14 +286,14 @@ def prose_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").filter("l_linenumber is not null")
     cells = F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_linestatus")])
-    sheet = rows.select(F.concat(F.lit("/books/"), (F.col("l_suppkey") % 8).cast("string"), F.lit(".xlsx")).alias("file_path"), F.col("l_returnflag").alias("sheet"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), cells.alias("cells"))
+    sheet = rows.select(F.concat(F.lit("/books/"), (F.col("l_suppkey") % 8).cast("string"), F.lit(".xlsx")).alias("file_path"), F.col("l_returnflag").alias("sheet"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 2 + (F.col("l_linestatus") == "O").cast("int")).alias("row_no"), cells.alias("cells"))
     return chunking.sheet_chunks(sheet).select("file_path", "chunk_id", "text", "end_pos", "total_chunks")
 
 
 def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
     marked = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro. "), F.regexp_replace("text", "\\. ", ". [Page 3] ")).alias("t"))
-    marks = marked.select("doc_id", chunking.page_marks(F.col("t")).alias("m"), F.explode(F.array(*[F.lit(x) for x in (0, 50, 100, 400, 2000)])).alias("at"))
-    return marks.select("doc_id", "at", F.size("m").cast("long").alias("marks"), chunking.page_column(F.col("m"), F.col("at")).alias("page"))
+    marks = marked.select("doc_id", chunking.page_marks(F.col("t")).alias("m"), F.explode(F.array(*[F.lit(x) for x in (0, 50, 100, 400, 2000)])).alias("place"))
+    return marks.select("doc_id", "place", F.size("m").cast("long").alias("marks"), chunking.page_column(F.col("m"), F.col("place")).alias("page"))
 
 
 def doc_title(spark: SparkSession, sf: str) -> DataFrame:
@@ -403,7 +403,7 @@ def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def edit_apply_counts(spark: SparkSession, sf: str) -> DataFrame:
     change = T.ArrayType(T.StructType([T.StructField("find", T.StringType()), T.StructField("replace", T.StringType())]))
-    changes = F.lit('[{"find":"the","replace":"THE"},{"find":"THE ","replace":""},{"find":" ","replace":"_"},{"find":"never there","replace":"x"}]')
+    changes = F.lit('[{"find":"the","replace":"THE"},{"find":"THE ","replace":""},{"find":"e ","replace":"_"},{"find":" ","replace":"dropped"},{"find":"never there","replace":"x"}]')
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.from_json(changes, change).alias("changes"))
     return edit.apply_changes(rows).select("id", F.sha2("text", 256).alias("text_sha256"), "applied")
 

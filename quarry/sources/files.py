@@ -10,7 +10,10 @@ from ..operators.ingest import reject_reason
 
 
 def scan(spark: SparkSession, directory: str, content: bool = True) -> DataFrame:
-    """Every file below a directory: file_path, file_name, file_type, file_size, size_mb, last_modified, file_hash, reject_reason, content."""
+    """Every file below a directory: file_path, file_name, file_type, file_size, size_mb, last_modified, file_hash, reject_reason, content.
+
+    Files without a byte are left out by the scan itself.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     path = F.regexp_replace("path", "^file:/*", "/")
     out = rows.select(
