@@ -137,3 +137,14 @@ def snippet_position(text: Column, snippet: Column) -> Column:
     low = F.lower(text)
     at = lambda n: F.nullif(F.position(F.lower(F.substring(snippet, 1, n)), low), F.lit(0))
     return F.coalesce(at(80), at(40), at(20), F.lit(0))
+
+
+def shown_number(value: Column) -> Column:
+    """A sheet's number as shown: whole, or two decimals without closing zeros."""
+    return F.when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.2f", value.cast("double")), "0+$", ""), r"\.$", ""))
+
+
+def tool_result(row: Column, folder_level: Column) -> Column:
+    """JSON of a tool's result; results about the whole folder say that they need no citation."""
+    hint = "[About the folder as a whole; cite no document.]\n"
+    return F.concat(F.when(folder_level, F.lit(hint)).otherwise(F.lit("")), F.to_json(row))

@@ -98,3 +98,25 @@ def last_source(messages: DataFrame) -> DataFrame:
     """First usable source path of each session's latest message."""
     usable = F.filter("sources", lambda s: F.coalesce(F.trim(s["file_path"]), F.lit("")) != "")
     return last_message(messages).select("session_id", F.try_element_at(usable, F.lit(1))["file_path"].alias("file_path"))
+
+
+def create_session(sessions: DataFrame, session_id: int, directory: str, as_of: str, title: str = "New Chat") -> DataFrame:
+    """sessions with a new one; the directory is normalised."""
+    import posixpath
+
+    row = sessions.sparkSession.createDataFrame([(session_id, title, posixpath.normpath(directory), as_of)], "id long, title string, directory_path string, t string")
+    new = row.select("id", "title", "directory_path", F.to_timestamp("t").alias("created_at"), F.to_timestamp("t").alias("updated_at"))
+    return sessions.select(new.columns).unionByName(new)
+
+
+def set_title(sessions: DataFrame, session_id: int, title: str, as_of: str) -> DataFrame:
+    hit = F.col("id") == session_id
+    return sessions.withColumn("title", F.when(hit, F.lit(title)).otherwise(F.col("title"))).withColumn("updated_at", F.when(hit, F.to_timestamp(F.lit(as_of))).otherwise(F.col("updated_at")))
+
+
+def set_answers(messages: DataFrame, answers: DataFrame) -> DataFrame:
+    """messages whose answer, sources and response time are now known (answers: id, ai_response, sources, response_time)."""
+    a = answers.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("ai_response", "sources", "response_time")))
+    known = F.col("_id").isNotNull()
+    out = messages.join(a, messages["id"] == a["_id"], "left")
+    return out.select(*(F.when(known, F.col(f"_{c}")).otherwise(messages[c]).alias(c) if c in ("ai_response", "sources", "response_time") else messages[c] for c in messages.columns))

@@ -36,6 +36,23 @@ class Bm25Index:
         self.lengths = chunks.select("chunk_key", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
         self.postings = toks.select("chunk_key", F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok")).groupBy("chunk_key", "dl", "tok").agg(F.count("*").alias("tf"))
 
+    def save(self, folder: str) -> None:
+        """Postings and lengths as tables; statistics are derived from them, so nothing else can go stale."""
+        self.postings.write.mode("overwrite").parquet(f"{folder}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+
+    @classmethod
+    def load(cls, spark, folder: str) -> Bm25Index:
+        out = cls.__new__(cls)
+        out.postings, out.lengths = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
+        return out
+
+    def without(self, chunk_keys: DataFrame) -> Bm25Index:
+        """The index without some chunks (chunk_key)."""
+        out = Bm25Index.__new__(Bm25Index)
+        out.postings, out.lengths = (t.join(chunk_keys.select("chunk_key"), "chunk_key", "left_anti") for t in (self.postings, self.lengths))
+        return out
+
     def totals(self) -> DataFrame:
         return self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
@@ -154,6 +171,24 @@ def truncate_context(blocks: DataFrame, most: int, separator: int) -> DataFrame:
     return rows.select("id", F.array_join(F.transform("p", lambda x: x["part"]), "\n" * separator).alias("context"), (F.col("total") > most).alias("omitted"))
 
 
+# When contexts are compressed.
+COMPRESS_CHARS, COMPRESS_LEAST, KEPT_CHARS, SHORT = 8_000, 2, 400, 30
+
+
+def compressed(rows: DataFrame, extract=lambda text: text, filename: str | None = None, aggregation: bool = False) -> DataFrame:
+    """rows with their texts compressed by extract (a function of columns), if no file is named, nothing is added up and the context is long.
+
+    Too short an extract falls back to the beginning of the text; long ones are cut.
+    """
+    if filename or aggregation:
+        return rows
+    every = Window.partitionBy(F.lit(0))  # a final top k at most
+    sized = rows.withColumn("_c", F.sum(F.length("text")).over(every)).withColumn("_n", F.count("*").over(every))
+    short = F.when(F.length(F.trim(extract(F.col("text")))) < SHORT, F.col("text")).otherwise(extract(F.col("text")))
+    text = F.when((F.col("_c") >= COMPRESS_CHARS) & (F.col("_n") >= COMPRESS_LEAST), cut(short, KEPT_CHARS, " [...]")).otherwise(F.col("text"))
+    return sized.withColumn("text", text).drop("_c", "_n")
+
+
 def hashed_vectors(chunks: DataFrame, size: int = 64) -> DataFrame:
     """Deterministic default embedding: normalised hashed term frequencies of the first 1800 characters."""
     toks = chunks.select("chunk_key", F.transform(tokens(F.substring("text", 1, 1800)), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int")).alias("h"))

@@ -51,6 +51,15 @@ class Corpus:
         query = self.embed(spark.createDataFrame([("q", question)], "chunk_key string, text string")).first()["embedding"]
         return r.hybrid(self.chunks, r.cosine_topk(self.vectors, query, policy.top_k), self.keywords.search(question, policy.top_k), policy, filename)
 
+    def inspect(self, question: str, filename: str | None = None) -> dict[str, DataFrame]:
+        """The intermediate results of a search, to be looked at."""
+        policy = r.POLICIES["file" if filename else "search"]
+        query = self.embed(self.documents.sparkSession.createDataFrame([("q", question)], "chunk_key string, text string")).first()["embedding"]
+        semantic, keyword = r.cosine_topk(self.vectors, query, policy.top_k), self.keywords.search(question, policy.top_k)
+        rows = r.hybrid(self.chunks, semantic, keyword, policy, filename)
+        blocks = r.context_blocks(rows, policy.per_document)
+        return {"semantic": semantic, "keyword": keyword, "fused": r.fuse(semantic, keyword), "rows": rows, "blocks": blocks, "sources": r.sources(blocks, policy)}
+
     def search(self, question: str, filename: str | None = None, aggregation: bool = False) -> tuple[DataFrame, DataFrame]:
         """(context blocks, sources) of a question."""
         policy = r.POLICIES["aggregation" if aggregation else "file" if filename else "search"]

@@ -9,6 +9,18 @@ from ..functions.text import basename, suffix
 from ..operators.ingest import reject_reason
 
 
+def load_taxonomy(path: str) -> list[str]:
+    """Upper-cased standalone types of a JSON file; none if it is missing or not as expected."""
+    import json
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            types = json.load(f).get("standalone_types")
+    except (OSError, ValueError, AttributeError):
+        return []
+    return sorted({str(t).strip().upper() for t in types if str(t).strip()}) if isinstance(types, list) else []
+
+
 def scan(spark: SparkSession, directory: str, content: bool = True) -> DataFrame:
     """Every file below a directory: file_path, file_name, file_type, file_size, size_mb, last_modified, file_hash, reject_reason, content.
 

@@ -191,3 +191,44 @@ def test_engine_answers(spark):
     assert answer.query_type == "document_search" and answer.sources[0]["file_path"] == "/d/cement.txt"
     assert [k for k, _ in corpus.ask_stream("hi")][0] == "meta"
     assert corpus.run_tools([("summarize_corpus", {}), ("unknown", {})])[1][1].startswith("error")
+
+
+def test_history_and_messages(spark):
+    from quarry.plans import history as h
+
+    pairs = spark.createDataFrame([(1, i, f"q{i}", f"a{i}" if i else " ") for i in range(9)], "session_id long, position long, user_message string, ai_response string")
+    rows = h.history(pairs).orderBy("position").collect()
+    assert rows[0]["role"] == "system" and "q2" in rows[0]["content"] and len(rows) == 13
+    asked = h.messages("Be brief.", h.history(pairs, keep=1), "and now?").first()["messages"]
+    assert [m["role"] for m in asked] == ["system", "user", "assistant", "user"] and asked[0]["content"].startswith("Be brief.\nEarlier: ")
+    assert h.history(pairs.filter("position < 3")).filter("role = 'system'").count() == 0
+    assert h.listing_budget("groq", 1000) == 80 and h.limit("openai", "context") == 400_000
+    assert h.token_usage(spark.createDataFrame([(1, 2), (3, None)], "prompt_tokens int, completion_tokens int")).first()["total_tokens"] == 6
+
+
+def test_sessions_and_answers(spark):
+    none = spark.createDataFrame([], "id long, title string, directory_path string, created_at timestamp, updated_at timestamp")
+    s = chats.set_title(chats.create_session(none, 1, "/a/../b/", "2024-01-01 00:00:00"), 1, "T", "2024-01-02 00:00:00").first()
+    assert (s["title"], s["directory_path"], s["updated_at"]) == ("T", "/b", datetime(2024, 1, 2))
+    m = spark.createDataFrame([(1, "", None, 0.0), (2, "", None, 0.0)], "id long, ai_response string, sources array<string>, response_time double")
+    got = {r["id"]: r["ai_response"] for r in chats.set_answers(m, spark.createDataFrame([(2, "yes", ["x"], 1.5)], m.schema)).collect()}
+    assert got == {1: "", 2: "yes"}
+
+
+def test_index_is_saved_loaded_and_cut(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "cement bags"), ("b", "steel rods"), ("c", "cement mixer"), ("d", "sand")], "chunk_key string, text string")
+    rt.Bm25Index(chunks).save(str(tmp_path))
+    index = rt.Bm25Index.load(spark, str(tmp_path))
+    assert [r["chunk_key"] for r in index.search("steel").collect()] == ["b"]
+    assert index.without(chunks.filter("chunk_key = 'b'")).search("steel").count() == 0
+
+
+def test_compression_numbers_and_taxonomy(spark, tmp_path):
+    from quarry.functions import text as tx
+
+    rows = spark.createDataFrame([("x" * 5000,), ("y" * 5000,)], "text string")
+    assert {len(r["text"]) for r in rt.compressed(rows).collect()} == {406} and rt.compressed(rows, filename="f").first()["text"] == "x" * 5000
+    shown = spark.createDataFrame([(3.0,), (3.5,), (3.126,)], "v double").select(tx.shown_number(F.col("v")).alias("s"))
+    assert [r["s"] for r in shown.collect()] == ["3", "3.5", "3.13"]
+    (tmp_path / "t.json").write_text('{"standalone_types": [" invoice ", "", "Report"]}')
+    assert files.load_taxonomy(str(tmp_path / "t.json")) == ["INVOICE", "REPORT"] and files.load_taxonomy("/missing") == []
