@@ -59,7 +59,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set, null without one) and signature (binary, 4 bytes a minimum)."""
+    """doc_id, n_shingles, node (hash of the whole set, null without one) and signature (its minima)."""
 
     def run(batches):
         hasher, (a, b) = WordHasher(), functions()
@@ -69,10 +69,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 s = shingle_set(t, width, hasher)
                 n.append(len(s))
                 node.append(node_of(s) if len(s) else None)
-                sig.append(minima(s, a, b).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                sig.append(minima(s, a, b).view(np.int32) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -102,9 +102,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def agreeing(x, y):
     """Share of equal minima of two signatures, in SQL."""
-    k = BANDS * ROWS
-    same = sum(F.when(F.substring(x, 4 * i + 1, 4) == F.substring(y, 4 * i + 1, 4), 1).otherwise(0) for i in range(k))
-    return same / F.lit(float(k))
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same)) / F.lit(float(BANDS * ROWS))
 
 
 def in_blocks(rest: DataFrame, least: float, percent: int) -> DataFrame:
@@ -122,8 +120,8 @@ def in_blocks(rest: DataFrame, least: float, percent: int) -> DataFrame:
     def run(key, left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        x = np.stack([np.frombuffer(s, np.uint32) for s in left["sig"]])
-        y = np.stack([np.frombuffer(s, np.uint32) for s in right["sig2"]])
+        x = np.stack(left["sig"])
+        y = np.stack(right["sig2"])
         band, other, comp = int(left["band"].iloc[0]), right["other"].to_numpy(), right["comp2"].to_numpy()
         sx, sy, nodes, comps = left["set"].tolist(), right["set2"].tolist(), left["node"].tolist(), left["comp"].tolist()
         rows, cols, like = [], [], []
@@ -167,7 +165,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, width), "signatures")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("sig").alias("sig"))
-    bands = [F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]
+    bands = [F.xxhash64(F.lit(i), F.slice("sig", ROWS * i + 1, ROWS)) for i in range(BANDS)]
     keys = nodes.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     groups = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("m")).filter("m > 1")
     shared = stored(keys.join(groups, "bucket"), "buckets")  # only nodes that share a bucket

@@ -185,8 +185,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, s
             kept.append(b" ".join([x for x, out in zip(w, m.tolist(), strict=True) if not out] if gone[-1] else w).decode("utf-8", "surrogatepass"))
         return pdf.drop(columns=["_block", "_id"]).assign(n_words=b.lengths, n_removed=gone, kept_text=kept)
 
-    small = dealt.select("_block", "_id", "doc_id", "text")
-    sent = small.groupBy("_block").applyInPandas(send, "shard int, _from int, hashes binary, owners binary")
+    sent = dealt.groupBy("_block").applyInPandas(send, "shard int, _from int, hashes binary, owners binary")
     told = sent.groupBy("shard").applyInPandas(confirm, "_from int, hashes binary, owners binary")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return dealt.groupBy("_block").cogroup(told.groupBy("_from")).applyInPandas(lambda a, b: remove(a, b) if len(a) else pd.DataFrame(columns=schema.names), schema)
