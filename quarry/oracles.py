@@ -128,7 +128,7 @@ ORACLES: dict[str, str] = {
 SELECT 'This folder contains ' || CAST(sum(n) AS BIGINT) || ' document(s). By type: ' || string_agg(upper(file_type) || ' (' || n || ')', ', ' ORDER BY n DESC, file_type) || '. Date range: ' || strftime(min(a), '%b %Y') || ' – ' || strftime(max(z), '%b %Y') || '.' AS summary FROM t""",
     "distinct_types": f"{_DOCS} SELECT DISTINCT file_type FROM docs WHERE file_type IS NOT NULL",
     "ui_filtered": f"{_DOCS} SELECT id, file_path FROM docs WHERE contains(lower({_BASE}), 'doc_12') AND file_type = 'fr'",
-    "ui_sort": f"{_DOCS} SELECT id, file_path, file_size FROM docs ORDER BY coalesce(file_size, 0) DESC, file_path LIMIT 100",
+    "ui_sort": f"{_DOCS} SELECT id, file_path, file_size FROM docs ORDER BY coalesce(file_size, 0) DESC, file_path",
     "folder_tree": f"""{_DOCS}, p AS (SELECT {_PARTS} AS p FROM docs), l AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM p)
 SELECT DISTINCT '/' || array_to_string(p[1:depth], '/') AS path, '/' || array_to_string(p[1:depth - 1], '/') AS parent, p[depth] AS name, CAST(depth AS INT) AS depth, depth = len(p) AS is_file FROM l""",
     "filename_prefix": f"{_DOCS} SELECT DISTINCT file_path FROM docs WHERE starts_with(lower({_BASE}), 'doc_7')",
@@ -190,7 +190,7 @@ SELECT file_path, arg_max(event_type, ts) AS event_type, {_TS.format('max(ts)')}
     "stream_dedup": "SELECT DISTINCT 'f' || user_id AS file_path, event_type AS file_hash FROM events",
     "update_priority": """SELECT doc_id, CAST(CASE WHEN doc_id % 97 = 0 THEN 1000 ELSE least(1000, greatest(0, CASE WHEN doc_id % 3 = 0 THEN 200 ELSE 0 END + floor(greatest(0, 400 - (doc_id % 60) * 10)) + floor(greatest(0, 200 - n_chars * 5000 / 1048576.0 * 2))
   + floor(greatest(0, (1 - (doc_id % 11)::DOUBLE / 10.0::DOUBLE) * 200)))) END AS INT) AS priority FROM documents""",
-    "update_queue": "SELECT 'f' || user_id AS file_path, CAST(max(event_id) % 1000 AS INT) AS priority, max(event_id) AS enqueued_at FROM events GROUP BY user_id ORDER BY 2 DESC, 3, 1 LIMIT 100",
+    "update_queue": "SELECT 'f' || user_id AS file_path, CAST(max(event_id) % 1000 AS INT) AS priority, max(event_id) AS enqueued_at FROM events GROUP BY user_id ORDER BY 2 DESC, 3, 1 LIMIT 1000",
     "queue_retention": """WITH s AS (SELECT event_id AS task_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'completed' END AS status, ts FROM events)
 SELECT task_id, status FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY ts DESC, task_id DESC) AS k FROM s) WHERE status = 'pending' OR (status = 'completed' AND k <= 100) OR (status = 'failed' AND k <= 50)""",
     "ingest_diff": f"""{_SCAN} SELECT coalesce(s.file_path, d.file_path) AS file_path, CASE WHEN s.file_hash IS NULL THEN 'removed' WHEN d.file_hash IS NULL THEN 'new' WHEN d.processing_status <> 'indexed' THEN 'pending' WHEN s.file_hash <> d.file_hash THEN 'changed' WHEN {_APART} THEN 'unchanged' ELSE 'touched' END AS state

@@ -101,7 +101,7 @@ def ui_filtered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ui_sort(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.ui_sort(fx.indexed_documents(spark, sf), "size", descending=True).limit(100).select("id", "file_path", "file_size")
+    return catalog.ui_sort(fx.indexed_documents(spark, sf), "size", descending=True).select("id", "file_path", "file_size")
 
 
 def folder_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +358,7 @@ def update_priority(spark: SparkSession, sf: str) -> DataFrame:
 
 def update_queue(spark: SparkSession, sf: str) -> DataFrame:
     tasks = table(spark, sf, "events").select(F.concat(F.lit("f"), "user_id").alias("file_path"), (F.col("event_id") % 1000).cast("int").alias("priority"), F.col("event_id").alias("enqueued_at"))
-    return ev.queue(tasks, 100)
+    return ev.queue(tasks)
 
 
 def queue_retention(spark: SparkSession, sf: str) -> DataFrame:
