@@ -14,7 +14,7 @@ import gc
 import json
 import re
 import unicodedata
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,10 @@ ENCODED = "doc_id long, ids array<int>, decoded string"
 #: Distinct words and pairs remembered in a worker.
 MOST_WORDS = 600_000
 MOST_PAIRS = 2_000_000
+#: Letters below this (Latin, Greek, Cyrillic) are letters in every Unicode version.
+OLD_LETTERS = "\u0530"
+#: Marks special tokens among words; a blank, so no word starts with it.
+SPECIAL = " "
 #: Stands for the word end while guessing; no byte's letter.
 END = "\uffff"
 #: What str.split() takes for blanks beyond Unicode's white space.
@@ -41,7 +45,7 @@ def load(path: str) -> dict:
     split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     return {
         "vocab": model["vocab"], "merges": [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]],
-        "special": {t["content"]: t["id"] for t in j["added_tokens"]}, "pattern": same_classes(split["pattern"]["Regex"]), "end": model["end_of_word_suffix"] or "",
+        "special": {t["content"]: t["id"] for t in j["added_tokens"]}, "pattern": same_classes(split["pattern"]["Regex"]), "plain": split["pattern"]["Regex"], "end": model["end_of_word_suffix"] or "",
     }
 
 
@@ -90,7 +94,7 @@ class Encoder:
         self.vocab, self.end, self.special = spec["vocab"], spec["end"], spec["special"]
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed([*enumerate(spec["merges"])])}
-        self.find = regex.compile(spec["pattern"], regex.V1).findall
+        self.findall, self.find_old = regex.compile(spec["pattern"], regex.V1).findall, regex.compile(spec["plain"]).findall
         self.blank = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(byte_letters()))
@@ -102,7 +106,8 @@ class Encoder:
             self.reach[t[:3]] = max(self.reach.get(t[:3], 2), len(t))
         self.size = len(self.names) + 1
         self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
         self.pairs: dict[int, bool] = {}
         self.symbols: dict[int, list[int]] = {}
         self.merged = 0
@@ -112,6 +117,12 @@ class Encoder:
         self.none = len(spec["merges"])
         self.results = np.array([self.vocab[a + b] for a, b in spec["merges"]], np.int64)
 
+    def find(self, word: str) -> list[str]:
+        """The pieces of a word without blanks; with letters of old scripts only, any Unicode version gives the same."""
+        if max(word) >= OLD_LETTERS:
+            return self.findall(word)
+        return [word] if word.isalpha() else self.find_old(word)
+
     def units(self, piece: str) -> list[int]:
         """The single-unit tokens of a piece (those that the vocabulary has)."""
         s = self.spelled(piece)
@@ -261,45 +272,42 @@ class Encoder:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         low = text.replace("Σ", "σ").lower()  # letter by letter: no word-final sigma
-        return self.blank.split(low) if _NOT_BLANK.search(low) else low.split()
+        return [w for w in self.blank.split(low) if w] if _NOT_BLANK.search(low) else low.split()
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        plans: list[list] = []
+        return [np.frombuffer(ids, np.int32).tolist() for ids, _ in self.packed(texts)]
+
+    def packed(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """(ids as 32-bit integers, decoded text) of each text; both are remembered by word."""
+        plans: list[list[str]] = []
         new: set[str] = set()
         if len(self.words) > MOST_WORDS:
             self.words.clear()
+            self.shown.clear()
             self.pieces.clear()
         for t in texts:
-            plan: list = []
+            plan: list[str] = []
             for part, special in self.parts(t or ""):
-                if part:
-                    plan.append(self.split(part))
-                    new.update(plan[-1])
+                plan += self.split(part)
                 if special is not None:
                     plan.append(special)
             plans.append(plan)
+            new.update(plan)
         new.difference_update(self.words)
-        cut = {w: self.find(w) for w in new}
+        cut = {w: self.find(w) for w in new if w[0] != SPECIAL}
         self.learn({p for found in cut.values() for p in found})
         known = self.pieces
-        for w, found in cut.items():
-            self.words[w] = known[found[0]] if len(found) == 1 else [t for p in found for t in known[p]]
-        out = []
-        for plan in plans:
-            ids: list[int] = []
-            for p in plan:
-                if isinstance(p, int):
-                    ids.append(p)
-                else:
-                    ids += chain.from_iterable(map(self.words.__getitem__, p))
-            out.append(ids)
-        return out
+        for w in new:
+            ids = [self.special[w[1:]]] if w[0] == SPECIAL else [t for p in cut[w] for t in known[p]]
+            self.words[w], self.shown[w] = array("i", ids).tobytes(), self.decode(ids)
+        ids, shown = self.words.__getitem__, self.shown.__getitem__
+        return [(b"".join(map(ids, plan)), " ".join(filter(None, map(shown, plan)))) for plan in plans]
 
     def parts(self, text: str):
-        """(ordinary text, the special token after it or None)."""
+        """(ordinary text, the special token after it, marked, or None)."""
         last = 0
         for m in self.cut.finditer(text) if self.cut and any(s in text for s in self.special) else ():
-            yield text[last : m.start()], self.special[m[0]]
+            yield text[last : m.start()], SPECIAL + m[0]
             last = m.end()
         yield text[last:], None
 
@@ -323,7 +331,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             _ENCODERS[path] = Encoder(shared.value)
         e = _ENCODERS[path]
         for b in batches:
-            ids = e.encode(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(e.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            packed = e.packed(b.column(1).to_pylist())
+            ids, decoded = [x for x, _ in packed], [x for _, x in packed]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
