@@ -1,7 +1,7 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence kernel with Nystroem landmarks.
 
 Terms are lower-cased words (without outer punctuation), their letters alone if something else stands between them, and joined runs of three or more
-single letters. The kernel of two terms compares all subsequences of three characters that span at most seven positions, each
+single letters. The kernel of two terms compares all subsequences of four characters that span at most seven positions, each
 weighted by DECAY to the power of its span, and divides by the norm that a term of that length has; so inserted characters
 and gaps only lower a match. Training is multiple-instance: labelled sentences carry their document's label, and only the terms that speak
 for a toxic text are positive (`witnesses`); terms of clean texts are negative, the hardest are added each round, and copies of positive
@@ -20,6 +20,7 @@ import re
 import sys
 from collections import Counter
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from .common import held_out, prepare
 from .quality import sampled_labels
 
 MAX_ROWS, FOLDS, THRESHOLD = 3_000, 5, 0.5
-DECAY, SPAN, ALPHABET, LONGEST = 0.6, 7, 40, 24
-LANDMARKS, ROUNDS = 64, 4
+ORDER, DECAY, SPAN, ALPHABET, LONGEST = 4, 0.6, 7, 40, 24
+LANDMARKS, ROUNDS = 128, 4
 #: Decision value of a text without terms.
 FLOOR = -4.0
 OUTER = ".,;:!?\"'()[]{}<>|*%$&#~_-+=/\\"
@@ -53,7 +54,7 @@ def terms(text: str | None) -> set[str]:
     out.difference_update(long)
     for w in long:
         out.update(w[i : i + LONGEST] for i in range(0, len(w) - LONGEST // 2, LONGEST // 2))
-    return {w for w in out if len(w) > 2}
+    return {w for w in out if len(w) >= ORDER}
 
 
 def code(c: str) -> int:
@@ -62,21 +63,24 @@ def code(c: str) -> int:
 
 @lru_cache(maxsize=64)
 def shape(n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Positions and weights of all subsequences of three characters in a term of n characters, and their norm."""
-    t = np.array([(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))])
-    w = DECAY ** (t[:, 2] - t[:, 0] + 1.0)
+    """Positions and weights of all subsequences of ORDER characters in a term of n characters, and their norm."""
+    t = np.array([(i, *rest) for i in range(n) for rest in combinations(range(i + 1, min(n, i + SPAN)), ORDER - 1)])
+    w = DECAY ** (t[:, -1] - t[:, 0] + 1.0)
     return t, w, float(np.sqrt((w**2).sum()))
 
 
 def by_length(words: list[str]):
     """(indices, subsequence numbers, weights / norm) for the terms of each length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[lengths >= ORDER]):
         at = np.flatnonzero(lengths == n)
-        for part in np.array_split(at, max(1, len(at) * 150 // 500_000)):
+        for part in np.array_split(at, max(1, len(at) * 250 // 500_000)):
             c = np.array([[code(x) for x in words[i]] for i in part.tolist()], np.int64)
             t, w, norm = shape(int(n))
-            yield part, (c[:, t[:, 0]] * ALPHABET + c[:, t[:, 1]]) * ALPHABET + c[:, t[:, 2]], w / norm
+            ids = np.zeros((len(part), len(t)), np.int64)
+            for k in range(ORDER):
+                ids = ids * ALPHABET + c[:, t[:, k]]
+            yield part, ids, w / norm
 
 
 def against(words: list[str], table: np.ndarray) -> np.ndarray:
@@ -88,7 +92,7 @@ def against(words: list[str], table: np.ndarray) -> np.ndarray:
 
 
 def vector(word: str) -> np.ndarray:
-    v = np.zeros(ALPHABET**3)
+    v = np.zeros(ALPHABET**ORDER)
     for _, ids, w in by_length([word]):
         np.add.at(v, ids[0], w)
     return v
@@ -106,7 +110,7 @@ def far_apart(words: list[str], most: int, like: float = 0.7) -> list[str]:
     return chosen
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the active rows (y is -1 or 1)."""
     z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
     ridge = np.append(np.ones(x.shape[1]), 1e-3)
@@ -131,31 +135,47 @@ def summary(margins: np.ndarray) -> list[float]:
 
 
 class Machine:
-    """table: decision weight of every subsequence; bias; curve: weights of a text's summary; landmarks for the record."""
+    """table: decision weight of every subsequence; bias; curves: weights of a text's summary and of its highest value alone; landmarks for the record."""
 
     def __init__(self, table: np.ndarray, bias: float, landmarks: tuple = ()):
         self.table, self.bias, self.landmarks = table, bias, landmarks
-        self.curve = np.array([0.0] * 5 + [-50.0])
+        self.curves = [np.array([0.0] * 5 + [-50.0])] * 2
 
     def margins(self, words: list[str]) -> np.ndarray:
         return against(words, self.table) + self.bias
 
     def scores(self, summaries: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(summaries @ self.curve[:-1] + self.curve[-1], -60, 60)))
+        """Several weak terms or a single clear one make a text toxic: the higher of both probabilities."""
+        z = np.hstack([summaries, np.ones((len(summaries), 1))])
+        return np.max([1 / (1 + np.exp(-np.clip(z @ w, -60, 60))) for w in self.curves], axis=0)
 
 
-def nystroem(positive: list[str], negative: list[str], noisy: list[str]) -> Machine:
-    marks = [*far_apart(positive, LANDMARKS * 3 // 4), *far_apart(negative[:2000], LANDMARKS // 4)]
-    vectors = np.stack([vector(m) for m in marks])
-    values, basis = np.linalg.eigh(vectors @ vectors.T)
+def logistic(z: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+    return w
+
+
+def nystroem(positive: list[str], negative: list[str], noisy: list[str], weights: dict[str, float]) -> Machine:
+    """A machine on landmarks of both kinds, the hardest negative terms (by weight) first."""
+    hardest = sorted(negative, key=lambda w: (-weights.get(w, 1.0), w))
+    marks = [*far_apart(positive, LANDMARKS // 2), *far_apart(hardest[:2000], LANDMARKS // 2)]
+    words = [*marks, *positive, *noisy, *negative]
+    rows = np.stack([against(words, vector(m)) for m in marks], axis=1)
+    kernel = rows[: len(marks)]
+    values, basis = np.linalg.eigh((kernel + kernel.T) / 2)
     good = values > 1e-6 * values.max()
     root = basis[:, good] / np.sqrt(values[good])  # kernel row -> Nystroem features
-    words = [*positive, *noisy, *negative]
-    x = np.stack([against(words, v) for v in vectors], axis=1) @ root
+    x = rows[len(marks) :] @ root
     y = np.array([1.0] * (len(positive) + len(noisy)) + [-1.0] * len(negative))
-    weight = np.concatenate([np.full(len(positive), 1.0 / max(1, len(positive))), np.full(len(noisy), 0.5 / max(1, len(noisy))), np.full(len(negative), 3.0 / max(1, len(negative)))]) * 200
+    weight = np.concatenate([np.full(len(positive), 1.0 / max(1, len(positive))), np.full(len(noisy), 0.5 / max(1, len(noisy))), np.array([weights.get(w, 1.0) for w in negative]) * 3.0 / max(1, len(negative))]) * 200
     w, b = svm(x, y, weight)
-    return Machine((root @ w) @ vectors, b, landmarks=tuple(marks))
+    table = np.zeros(ALPHABET**ORDER)
+    for share, m in zip((root @ w).tolist(), marks, strict=True):
+        table += share * vector(m)
+    return Machine(table.astype(np.float32), b, landmarks=tuple(marks))
 
 
 def grams(word: str) -> set[str]:
@@ -207,12 +227,12 @@ def fit(texts: list[tuple[int, list[str]]], seed: int = 4) -> Machine:
     texts = sorted({(y, tuple(sorted(t))) for y, t in texts})  # copies count once
     toxic, clean = [t for y, t in texts if y], [t for y, t in texts if not y]
     if not toxic or not clean:
-        return Machine(np.zeros(ALPHABET**3), 0.0)
+        return Machine(np.zeros(ALPHABET**ORDER), 0.0)
     rng = np.random.default_rng(seed)
     in_toxic, in_clean = Counter(w for t in toxic for w in t), Counter(w for t in clean for w in t)
     positive = witnesses(toxic, clean)[:1500]
     if not positive:
-        return Machine(np.zeros(ALPHABET**3), 0.0)
+        return Machine(np.zeros(ALPHABET**ORDER), 0.0)
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:1000]]
     every = sorted(in_clean)
     negative = [*common, *(every[i] for i in rng.choice(len(every), min(4000, len(every)), replace=False))]
@@ -222,20 +242,27 @@ def fit(texts: list[tuple[int, list[str]]], seed: int = 4) -> Machine:
         k = int(rng.integers(1, len(w)))
         noisy.append(w[:k] + letters[int(rng.integers(len(letters)))] + w[k:])
     noisy = [w for w in noisy if len(w) <= LONGEST]
+    weights: dict[str, float] = {}
     for _ in range(ROUNDS):
-        m = nystroem(positive, negative, noisy)
+        m = nystroem(positive, negative, noisy, weights)
         hard = m.margins(every)
-        negative = list(dict.fromkeys([*negative, *(every[i] for i in np.argsort(-hard, kind="stable")[:800])]))
-    m = nystroem(positive, negative, noisy)
+        worst = [int(i) for i in np.argsort(-hard, kind="stable")[:800]]
+        negative = list(dict.fromkeys([*negative, *(every[i] for i in worst)]))
+        weights.update({every[i]: 4 * weights.get(every[i], 1.0) for i in worst if hard[i] > -0.5})
+        # Terms of few toxic texts that look like clean ones were no witnesses.
+        own = m.margins(positive)
+        positive = [w for w, v in zip(positive, own.tolist(), strict=True) if v > 0 or in_toxic[w] > 2] or positive
+    m = nystroem(positive, negative, noisy, weights)
     words = sorted(set(in_toxic) | set(in_clean))
     of = dict(zip(words, m.margins(words).tolist(), strict=True))
     x = np.array([summary(np.array([of[w] for w in t])) for _, t in texts])
     y = np.array([float(t[0]) for t in texts])
-    z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(6)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(6), z.T @ (y - p) - 0.1 * w)
-    m.curve = w
+    z = np.hstack([x, np.ones((len(x), 1))])
+    alone = [0, 5]
+    m.curves = [logistic(z, y), np.zeros(6)]
+    # A single clear term: what witnesses and their gapped copies reach, against the highest values of clean texts.
+    one = np.concatenate([m.margins(positive), m.margins(noisy), np.tile(x[y == 0, 0], 3)])
+    m.curves[1][alone] = logistic(np.stack([one, np.ones(len(one))], axis=1), (np.arange(len(one)) < len(positive) + len(noisy)).astype(float), 1e-2)
     return m
 
 
