@@ -25,7 +25,7 @@ from .common import prepare
 
 ENCODED = "doc_id long, ids array<int>, decoded string"
 #: Distinct words and pairs remembered in a worker.
-MOST_WORDS = 600_000
+MOST_WORDS = 900_000
 MOST_PAIRS = 2_000_000
 #: Letters below this (Latin, Greek, Cyrillic) are letters in every Unicode version.
 OLD_LETTERS = "\u0530"
@@ -105,7 +105,6 @@ class Encoder:
         for t in self.entries:
             self.reach[t[:3]] = max(self.reach.get(t[:3], 2), len(t))
         self.size = len(self.names) + 1
-        self.pieces: dict[str, list[int]] = {}
         self.words: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
         self.pairs: dict[int, bool] = {}
@@ -247,7 +246,7 @@ class Encoder:
         """Encodes new pieces: all guesses, then one look-up of all adjacent pairs, then exact merging of what fails."""
         if len(self.pairs) > MOST_PAIRS:
             self.pairs.clear()
-        new = [p for p in pieces if p not in self.pieces]
+        new = list(pieces)
         guess = list(map(self.greedy, new))
         lengths = np.fromiter(map(len, guess), np.int64, len(guess))
         flat = np.fromiter((t for g in guess for t in g), np.int64, int(lengths.sum()))
@@ -265,7 +264,8 @@ class Encoder:
         for i, g in zip(again, self.exact_many([self.units(new[i]) for i in again]), strict=True):
             guess[i] = g
         self.merged += len(again)
-        self.pieces.update(zip(new, guess, strict=True))
+        for p, ids in zip(new, guess, strict=True):
+            self.words[p], self.shown[p] = array("i", ids).tobytes(), self.decode(ids)
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text; blanks part pieces, so each word can be cut into pieces on its own."""
@@ -284,7 +284,6 @@ class Encoder:
         if len(self.words) > MOST_WORDS:
             self.words.clear()
             self.shown.clear()
-            self.pieces.clear()
         for t in texts:
             plan: list[str] = []
             for part, special in self.parts(t or ""):
@@ -295,11 +294,13 @@ class Encoder:
             new.update(plan)
         new.difference_update(self.words)
         cut = {w: self.find(w) for w in new if w[0] != SPECIAL}
-        self.learn({p for found in cut.values() for p in found})
-        known = self.pieces
-        for w in new:
-            ids = [self.special[w[1:]]] if w[0] == SPECIAL else [t for p in cut[w] for t in known[p]]
-            self.words[w], self.shown[w] = array("i", ids).tobytes(), self.decode(ids)
+        self.learn({p for found in cut.values() for p in found if p not in self.words})  # a piece is a word of one piece
+        words, names = self.words, self.shown
+        for w in new.difference(words):
+            if w[0] == SPECIAL:
+                words[w], names[w] = array("i", [self.special[w[1:]]]).tobytes(), w[1:]
+            else:
+                words[w], names[w] = b"".join(map(words.__getitem__, cut[w])), " ".join(map(names.__getitem__, cut[w]))
         ids, shown = self.words.__getitem__, self.shown.__getitem__
         return [(b"".join(map(ids, plan)), " ".join(filter(None, map(shown, plan)))) for plan in plans]
 
