@@ -29,32 +29,37 @@ POLICIES = {"listing": Policy(120, 120, 1000, 0), "aggregation": Policy(100, 50,
 
 
 class Bm25Index:
-    """Postings, lengths and term statistics of (chunk_key, text), all derived from the postings table."""
+    """Postings (chunk_key, tok, tf) of (chunk_key, text), kept while they are used; lengths and statistics derive from them."""
 
     def __init__(self, chunks: DataFrame):
-        toks = chunks.select("chunk_key", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
-        self.lengths = chunks.select("chunk_key", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
-        self.postings = toks.select("chunk_key", F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok")).groupBy("chunk_key", "dl", "tok").agg(F.count("*").alias("tf"))
+        self.chunks = chunks.select("chunk_key")
+        # Tokens are only exploded, so that each text is tokenised once.
+        occurrences = chunks.select("chunk_key", F.explode(tokens(F.col("text"))).alias("tok"))
+        self.postings = occurrences.groupBy("chunk_key", "tok").agg(F.count("*").alias("tf")).persist()
+
+    @classmethod
+    def of(cls, postings: DataFrame, chunks: DataFrame) -> Bm25Index:
+        out = cls.__new__(cls)
+        out.postings, out.chunks = postings, chunks
+        return out
 
     def save(self, folder: str) -> None:
-        """Postings and lengths as tables; statistics are derived from them, so nothing else can go stale."""
+        """Postings and chunk keys as tables; statistics are derived from them, so nothing else can go stale."""
         self.postings.write.mode("overwrite").parquet(f"{folder}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+        self.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
 
     @classmethod
     def load(cls, spark, folder: str) -> Bm25Index:
-        out = cls.__new__(cls)
-        out.postings, out.lengths = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths")
-        return out
+        return cls.of(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/chunks"))
 
     def without(self, chunk_keys: DataFrame) -> Bm25Index:
         """The index without some chunks (chunk_key)."""
-        out = Bm25Index.__new__(Bm25Index)
-        out.postings, out.lengths = (t.join(chunk_keys.select("chunk_key"), "chunk_key", "left_anti") for t in (self.postings, self.lengths))
-        return out
+        return Bm25Index.of(*(t.join(chunk_keys.select("chunk_key"), "chunk_key", "left_anti") for t in (self.postings, self.chunks)))
 
     def totals(self) -> DataFrame:
-        return self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        """n chunks (also those without tokens) and their mean length."""
+        n = self.chunks.agg(F.count("*")).scalar()
+        return self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).select(n.alias("n"), F.try_divide("tokens", n).alias("avgdl"))
 
     def term_stats(self) -> DataFrame:
         """tok, df, idf; negative idfs become a quarter of the mean over all terms."""
@@ -68,7 +73,9 @@ class Bm25Index:
         spark = self.postings.sparkSession
         asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("qf"))
         avgdl = self.totals().select("avgdl").scalar()
-        hits = self.postings.join(F.broadcast(asked), "tok").join(self.term_stats(), "tok")  # asked: the words of one question
+        hits = self.postings.join(F.broadcast(asked), "tok")  # the words of one question
+        lengths = self.postings.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi").groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
+        hits = hits.join(lengths, "chunk_key").join(self.term_stats(), "tok")
         part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
         best = hits.groupBy("chunk_key").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "chunk_key").limit(k)
         return ranked(best, F.round("score", 9).desc(), F.col("chunk_key")).filter("score > 0")
