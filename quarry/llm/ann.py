@@ -3,8 +3,8 @@
 Centroids come from balanced two-way splits of a bounded sample (`sample_rows`, the smallest hashes of the ids). Every vector of
 the table is indexed: it goes to its nearest list and is replicated to every further list whose centroid is at most
 (1 + `closure`) times as far (up to `replicas` lists), so boundary vectors are found from either side. Queries walk an in-memory
-graph over the centroids best-first and visit the lists whose centroids are at most (1 + `ratio`) times as far as the nearest
-one, up to `probes` lists. Distances to all vectors of the visited lists are exact.
+graph over the centroids best-first and visit every list it finds whose centroid is at most (1 + `ratio`) times as far as the nearest
+one, however many these are. Distances to all vectors of the visited lists are exact.
 
 Of exactly equal vectors only the k + 1 smallest ids can ever be among the k nearest (ties go to smaller ids), so copies beyond
 these are set aside before the lists are built, by a group limit that works before the shuffle. Lists that hold many distinct
@@ -30,6 +30,8 @@ from .common import prepare
 SAMPLE_ROWS = 20_000
 #: Vectors a list should hold, lists at most, and vectors in one block of a list.
 LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 200, 2_048, 4_000
+#: Closest centroids that a search follows at least, before distances end it.
+WIDTH = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -63,7 +65,9 @@ class CentroidGraph:
         d = distances(centroids, centroids)
         np.fill_diagonal(d, np.inf)
         k = min(degree, len(centroids) - 1)
-        self.links = np.argsort(d, axis=1, kind="stable")[:, :k]
+        linked = np.zeros(d.shape, bool)
+        np.put_along_axis(linked, np.argsort(d, axis=1, kind="stable")[:, :k], True, axis=1)
+        self.links = [np.flatnonzero(row) for row in linked | linked.T]  # both ways: a centroid that is nobody's neighbour is found from its own
         self.entries = np.linspace(0, len(centroids) - 1, min(len(centroids), 16)).astype(int)
 
     def nearest(self, q: np.ndarray, n: int) -> list[tuple[float, int]]:
@@ -91,6 +95,22 @@ class CentroidGraph:
                         heapq.heappop(best)
         return sorted((-d, i) for d, i in best)
 
+    def within(self, q: np.ndarray, ratio: float) -> list[tuple[float, int]]:
+        """All centroids the graph leads to that are at most (1 + ratio) times as far as the nearest; their number has no bound."""
+        found = self.nearest(q, WIDTH)
+        limit = (1 + ratio) * found[0][0]
+        seen, todo = {i for _, i in found}, [i for _, i in found]
+        out = [(d, i) for d, i in found if d <= limit]
+        while todo:
+            new = np.setdiff1d(np.concatenate([self.links[i] for i in todo]), list(seen))
+            seen.update(new.tolist())
+            d = np.sqrt(((self.c[new] - q) ** 2).sum(axis=1))
+            near = d <= limit
+            todo = new[near].tolist()
+            out += zip(d[near].tolist(), todo, strict=True)
+        least = min(out)[0]
+        return sorted((d, i) for d, i in out if d <= (1 + ratio) * least)
+
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)[None, :]))
@@ -101,7 +121,7 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: float = 0.05, replicas: int = 4, ratio: float = 0.15, probes: int = 64, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: float = 0.05, replicas: int = 4, ratio: float = 0.15, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other vectors that the visited lists hold."""
     spark = prepare(vectors.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -134,8 +154,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: flo
             pdf = pdf[pdf["embedding"].map(len) == size]
             out = []
             for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                found = g.nearest(np.asarray(v), probes)
-                out += [(j, i, v) for d, j in found if d <= (1 + ratio) * found[0][0]]
+                out += [(j, i, v) for _, j in g.within(np.asarray(v), ratio)]
             yield pd.DataFrame(out, columns=["list", "query_id", "q"])
 
     postings = points.mapInPandas(assign, "list int, vec_id long, embedding array<double>")

@@ -101,3 +101,17 @@ def test_balanced_lists_and_graph_search():
         d = np.sqrt(((c - q) ** 2).sum(axis=1))
         hits += len({i for _, i in graph.nearest(q, 8)} & set(np.argsort(d)[:8].tolist()))
     assert hits / 800 > 0.95
+
+
+def test_the_distance_ratio_alone_chooses_the_lists():
+    """On near-uniform vectors far more than 64 centroids are within the ratio, and all of them are visited."""
+    x = np.random.default_rng(3).normal(size=(3_050, 64))
+    graph, most = ann.CentroidGraph(ann.balanced_centroids(x[50:], 300)), 0
+    for q in x[:50]:
+        d = np.sqrt(((graph.c - q) ** 2).sum(axis=1))
+        want = set(np.flatnonzero(d <= 1.15 * d.min()).tolist())
+        assert {i for _, i in graph.within(q, 0.15)} == want
+        most = max(most, len(want))
+    assert most > 100
+    one = ann.CentroidGraph(x[:1])
+    assert one.within(x[1], 0.15)[0][1] == 0 and len(one.within(x[0], 0.15)) == 1
