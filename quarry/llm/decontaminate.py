@@ -2,8 +2,8 @@
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. A test item gives one
 window for each `n` consecutive words, or one window of all its words if it has fewer. The windows' hashes are broadcast
-(the test set is small by nature; its size is checked and a larger one is scanned in several bounded parts), each hash hit
-is verified word by word, and the covered words become spans.
+(the test set is small by nature; a larger one is taken in bounded parts, one pass over the documents for each, and only one
+part is held at a time), each hash hit is verified word by word, and the covered words become spans.
 
 Null or empty texts have no words and are clean; repeated rows are judged each by itself; an empty benchmark leaves every
 document clean; extra columns are kept by `decontaminate` and ignored by `find_hits`.
@@ -12,19 +12,20 @@ document clean; extra columns are kept by `decontaminate` and ignored by `find_h
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import mix64, prepare
+from .common import mix64, prepare, stored
 
 #: Everything but a-z, 0-9 and bytes over 0x7F becomes a blank, A-Z become a-z.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Most bytes of benchmark text in one broadcast.
 PART_BYTES = 32 << 20
-HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:int,last:int>>, contaminated boolean"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -82,72 +83,104 @@ def scan(doc: list[bytes], index: dict) -> tuple[np.ndarray, set]:
     return mask, items
 
 
-def parts(benchmark: DataFrame, most: int = PART_BYTES) -> list[list[tuple]]:
-    """The test set in parts of bounded bytes; it is read part by part through a local iterator."""
-    out, size = [[]], 0
+def parts(benchmark: DataFrame, most: int = PART_BYTES) -> Iterator[list[tuple]]:
+    """The test set in parts of bounded bytes, at least one; it is read part by part through a local iterator."""
+    out, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         n = len(r.text or "")
-        if size + n > most and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
+        if size + n > most and out:
+            yield out
+            out, size = [], 0
+        out.append((r.item_id, r.text))
         size += n
-    return out
+    yield out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """One row a document (HITS): counts, matched items and covered word spans."""
+def spans_of(mask: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    return [{"first": int(a), "last": int(z) - 1} for a, z in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def mask_of(spans: list[dict], n: int) -> np.ndarray:
+    mask = np.zeros(n, bool)
+    for s in spans:
+        mask[s["first"] : s["last"] + 1] = True
+    return mask
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """docs with _n_words, _items and _spans: a pass for each part of the test set adds its hits to those of the parts before.
+
+    All passes but the last are written before the next part is compiled; then their broadcast and what the pass before wrote are removed.
+    """
     spark = prepare(docs.sparkSession)
-    shared = [spark.sparkContext.broadcast(compile_items(p, n)) for p in parts(benchmark)]
+    pair = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<string>").alias("_items"), F.array().cast("array<struct<first:int,last:int>>").alias("_spans"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
+
+    def run_with(shared):
+        def run(batches):
+            for b in batches:
+                of = b.schema.get_field_index
+                n_words, items, spans = [], [], []
+                for text, i, s in zip(*(b.column(of(c)).to_pylist() for c in ("text", "_items", "_spans")), strict=True):
+                    w = words(text)
+                    mask, found = scan(w, shared.value)
+                    n_words.append(len(w))
+                    items.append(sorted(found.union(i)))
+                    spans.append(spans_of(mask | mask_of(s, len(w))))
+                columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"_n_words": pa.array(n_words, pa.int64()), "_items": pa.array(items, pa.list_(pa.string())), "_spans": pa.array(spans, pair)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        return run
+
+    last, written = None, None
+    for part in parts(benchmark):
+        if last is not None:
+            kept = stored(out, "scanned")
+            last.destroy()
+            if written is not None:
+                unstored(written)
+            out = written = kept
+        last = spark.sparkContext.broadcast(compile_items(part, n))
+        out = out.mapInArrow(run_with(last), schema)
+    return out
+
+
+def unstored(df: DataFrame) -> None:
+    """Removes the folder that `stored` wrote df to."""
+    if files := df.inputFiles():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words(text)
-                mask, items = np.zeros(len(w), bool), set()
-                for s in shared:
-                    m, i = scan(w, s.value)
-                    mask |= m
-                    items |= i
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                spans = [{"first": int(a), "last": int(z) - 1} for a, z in zip(edges[::2], edges[1::2], strict=True)]
-                out.append((doc_id, len(w), int(mask.sum()), sorted(items), spans, bool(spans)))
-            c = list(zip(*out, strict=True)) if out else [[]] * 6
-            span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(span), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """One row a document (doc_id, n_words, n_hit, items, spans, contaminated): counts, matched items and covered word spans."""
+    out = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, n)
+    covered = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), covered.alias("n_hit"), F.col("_items").alias("items"), F.col("_spans").alias("spans"), (F.size("_spans") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """docs without the contaminated documents, or (remove="spans") with the covered words cut out of their texts.
 
-    Works in the pass over the documents themselves, so nothing is shuffled; all columns are kept.
+    Works in passes over the documents themselves, so nothing is shuffled; all columns are kept.
     """
-    spark = prepare(docs.sparkSession)
-    shared = [spark.sparkContext.broadcast(compile_items(p, n)) for p in parts(benchmark)]
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove}")
+    out = scanned(docs, benchmark, n)
+    if remove == "documents":
+        return out.filter(F.size("_spans") == 0).select(docs.columns)
 
     def run(batches):
         for b in batches:
             k = b.schema.get_field_index("text")
-            texts, keep = b.column(k).to_pylist(), []
-            for i, t in enumerate(texts):
-                w = words(t)
-                mask = np.zeros(len(w), bool)
-                for s in shared:
-                    mask |= scan(w, s.value)[0]
-                keep.append(remove == "spans" or not mask.any())
-                if remove == "spans" and mask.any():
-                    texts[i] = cut(t, mask)
-            if remove == "spans":
-                b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = [cut(t, mask_of(s, m)) if s else t for t, s, m in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "_spans", "_n_words")), strict=True)]
+            b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
+            yield b.select(b.schema.names[:-3])
+
+    return out.mapInArrow(run, docs.schema)
 
 
 def cut(text: str, mask: np.ndarray) -> str:

@@ -109,6 +109,21 @@ def test_benchmark_in_parts_gives_the_same(spark, corpus, monkeypatch):
     assert sorted(map(repr, decontaminate.find_hits(docs(spark, corpus), bench).collect())) == whole
 
 
+def test_only_one_part_of_the_benchmark_is_held(spark, corpus, monkeypatch):
+    import os
+
+    bench = spark.createDataFrame([(i, " ".join(words(120, 1)[i * 20 : i * 20 + 15])) for i in range(4)], "item_id long, text string")
+    modes = ("documents", "spans")
+    whole = [sorted(map(repr, decontaminate.decontaminate(docs(spark, corpus), bench, remove=m).collect())) for m in modes]
+    made, make = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: made.append(make(v)) or made[-1])
+    monkeypatch.setattr(decontaminate, "parts", lambda b, most=0, f=decontaminate.parts: f(b, 60))
+    for m, want in zip(modes, whole, strict=True):
+        made.clear()
+        assert sorted(map(repr, decontaminate.decontaminate(docs(spark, corpus), bench, remove=m).collect())) == want
+        assert len(made) == 4 and [os.path.exists(b._path) for b in made] == [False, False, False, True]
+
+
 # --- substring dedup --------------------------------------------------------------------------------------------------------
 
 
