@@ -170,8 +170,10 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     groups = keys.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("m")).filter("m > 1")
     shared = stored(keys.join(groups, "bucket"), "buckets")  # only nodes that share a bucket
     stars = shared.filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-    wanted = signed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = stored(full_sets(docs.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["node"]), "sets")
+    wanted = signed.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = full_sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), width)
+    nameless = full_sets(docs.filter("doc_id is null"), width).join(wanted.filter("doc_id is null").select("node"), "node", "left_semi")  # no id leads to them
+    sets = stored(named.union(nameless).dropDuplicates(["node"]), "sets")
     links = stored(confirmed(stars, sets, percent), "stars")
 
     # What the stars connect is settled; other components of a bucket are compared with each other.

@@ -215,6 +215,17 @@ def test_chains_and_large_buckets_lose_no_link(spark, monkeypatch):
     assert len({r["component_id"] for r in got}) == 1
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    """Texts whose only row has a null id: one joins two numbered documents that are not alike enough, two have only each other."""
+    base, other = words(200, 21), words(150, 22)
+    middle = [*base[:9], *words(9, 23), *base[18:]]
+    end = [*middle[:170], *words(9, 24), *middle[179:]]
+    rows = [(1, " ".join(base)), (None, " ".join(middle)), (2, " ".join(end)), (None, " ".join(other)), (None, " ".join([*other[:70], "new", *other[71:]])), (7, " ".join(words(90, 25)))]
+    got = minhash.components(docs(spark, rows), width=4).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute_groups(rows, 4)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {1: 1, 2: 1, 7: 7}
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------------------
 
 
