@@ -12,15 +12,17 @@ With 36 bands of 5 rows a pair at similarity 0.8 shares no bucket with probabili
 
 A text that is null or has no words has no shingles, is linked with nothing and is kept. Repeated rows (same id and text) fall in
 one group and carry the same component id; ids may repeat with different texts. Null ids take part but never name a group
-unless nothing else does. Extra columns are ignored by `components`, kept by `one_of_each`.
+unless nothing else does. Extra columns are ignored by `components`, kept by `one_of_each`,
+which decides row by row: one row of each group stays, whether its ids are null, repeated or neither.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHasher, lower_words, prepare, rolling, stored
 from .components import connected_components
@@ -159,8 +161,8 @@ def in_blocks(rest: DataFrame, least: float, percent: int) -> DataFrame:
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket2", "i2", "j2")).applyInPandas(run, "u long, v long")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node, component (a node, null without one), component_id, kept for every document."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(signatures(docs, width), "signatures")
@@ -193,13 +195,48 @@ def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataF
     labels = connected_components(settled.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     named = nodes.select("node", "first_doc").join(labels, "node", "left").select("node", "first_doc", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    ids = named.join(first, "component").select("node", "component_id")
+    ids = named.join(first, "component").select("node", "component", "component_id")
     return signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", "node", "component", F.coalesce("component_id", "doc_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def components(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def with_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """docs with the column _node."""
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in batches:
+            sets = [shingle_set(t, width, hasher) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.append_column("_node", pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents without all but the first of each near-duplicate group, with all their columns."""
-    lost = components(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long") == lost["_lost"], "left_anti")
+    """One row of each near-duplicate group, with all its columns, and all rows without shingles.
+
+    The row with the smallest id stays; null ids come last, and of several texts with that id the smallest node stays. Ids that stand
+    in one row are decided by the id; rows with a null or repeated id each by id and node.
+    """
+    rows = stored(labelled(docs, width, percent), "labelled")
+    alone = F.col("doc_id").isNotNull() & (F.count("*") == 1)
+    marks = rows.groupBy("doc_id").agg(alone.alias("_alone"), F.bool_and("kept").alias("_stays")).filter("not (_alone and _stays)").select(F.col("doc_id").alias("_id"), "_alone")
+    marks, own = stored(marks, "marks"), docs["doc_id"].cast("long")
+    plain = docs.filter(own.isNotNull()).join(marks, own == marks["_id"], "left_anti")
+    if marks.filter("not _alone").isEmpty():
+        return plain
+    unclear = docs.filter(own.isNull()).union(docs.join(marks.filter("not _alone"), own == marks["_id"], "left_semi"))
+    unclear = stored(with_nodes(unclear, width), "unclear")
+    best = rows.filter("node is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("best"))
+    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.node").alias("_best"))
+    order = ["text", *(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)]
+    equal = Window.partitionBy("_node", F.col("doc_id").cast("long")).orderBy(*order)
+    first = unclear.filter("_node is not null").withColumn("_nth", F.row_number().over(equal)).filter("_nth = 1").drop("_nth")
+    first = first.join(best, (F.col("_node") == F.col("_best")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return plain.union(unclear.filter("_node is null").drop("_node")).union(first.drop("_node"))

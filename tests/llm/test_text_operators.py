@@ -226,6 +226,23 @@ def test_near_copies_without_ids_are_linked(spark):
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {1: 1, 2: 1, 7: 7}
 
 
+def test_one_row_of_each_group_stays(spark, corpus):
+    """Ids repeated with other texts, equal rows and null ids, against brute force; groups stand for their texts."""
+    lone, pair = words(80, 31), words(90, 32)
+    odd = [(60, " ".join(words(120, 1))), (60, " ".join(lone)), (61, " ".join(pair)), (61, " ".join(pair)), (None, " ".join(pair)), (None, " ".join(words(70, 33))), (None, " ".join([*words(70, 33)[:69], "end"])), (None, None)]
+    for texts in ([*corpus, *odd], [t for t in corpus if not isinstance(t, tuple)]):
+        rows = rows_of(spark, texts)
+        numbered = {t: brute for (_, t), brute in zip(rows, range(len(rows)), strict=True)}
+        by_number = [(numbered[t], t) for _, t in rows]
+        group = {t: min(c for d, _, c in brute_groups(by_number, 5) if d == numbered[t]) if (t or "").split() else t for _, t in rows}
+        want = Counter((d, t) for d, t in rows if not (t or "").split())
+        for g in {g for t, g in group.items() if (t or "").split()}:
+            want[min(((d for d, t in rows if group[t] == g)), key=lambda d: (d is None, d)), g] += 1
+        got = minhash.one_of_each(docs(spark, texts))
+        assert got.columns == docs(spark, texts).columns
+        assert Counter((r["doc_id"], group[r["text"]]) for r in got.collect()) == want
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------------------
 
 
