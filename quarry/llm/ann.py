@@ -1,37 +1,44 @@
 """Approximate nearest neighbours with balanced posting lists.
 
-Centroids come from balanced two-way splits of a bounded sample (`sample_rows`, the smallest hashes of the ids). Every vector of
-the table is indexed: it goes to its nearest list and is replicated to every further list whose centroid is at most
-(1 + `closure`) times as far (up to `replicas` lists), so boundary vectors are found from either side. Queries walk an in-memory
-graph over the centroids best-first and visit every list it finds whose centroid is at most (1 + `ratio`) times as far as the nearest
-one, however many these are. Distances to all vectors of the visited lists are exact.
+Centroids come from balanced two-way splits of a bounded sample of the distinct vectors (`sample_rows`, the smallest hashes of the ids),
+one list for every LIST_ROWS distinct vectors. Every vector of the table is indexed: it goes to its nearest list and is replicated to every
+further list whose centroid is at most (1 + `closure`) times as far (up to `replicas` lists), so boundary vectors are found from either side.
+Lists that hold more than BLOCK_ROWS vectors are cut into blocks, each scanned by a task of its own, so tasks are balanced whatever the lists are.
+
+Queries walk an in-memory graph over the centroids best-first and visit every list whose centroid is at most (1 + ratio) times as far as the
+nearest one, however many these are. The ratio is calibrated on the table itself: a bounded number of sampled vectors is answered exactly in
+one pass over all rows, and the ratio is the smallest that leads to the share REACH of their neighbours; so recall holds while tables grow.
+A query visits LEAST_LISTS lists at least, and goes on to the next nearest lists until those it visits are certain to hold k candidates, so it
+gets k rows, or all candidates if there are fewer. Distances to all vectors of the visited lists are exact.
 
 Of exactly equal vectors only the k + 1 smallest ids can ever be among the k nearest (ties go to smaller ids), so copies beyond
-these are set aside before the lists are built, by a group limit that works before the shuffle. Lists that hold many distinct
-vectors are cut into blocks, each scanned by a task of its own.
+these are set aside before the lists are built, by a group limit that works before the shuffle.
 
 Vectors that are null, empty, zero, of another length than most of the sample, or that hold null or non-finite components take no
-part, nor do null ids. A repeated id is one candidate with its nearest distance. With fewer candidates than k all are
-returned; an empty table gives no rows. Extra columns are ignored.
+part, nor do null ids. A repeated id is one candidate with its nearest distance, and one query for the vectors near any of its own. With fewer
+candidates than k all are returned; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import mix64, prepare, stored
 
 #: Bound of the sample that centroids are fitted on.
 SAMPLE_ROWS = 20_000
-#: Vectors a list should hold, lists at most, and vectors in one block of a list.
-LIST_ROWS, MOST_LISTS, BLOCK_ROWS = 200, 2_048, 4_000
-#: Closest centroids that a search follows at least, before distances end it.
-WIDTH = 64
+#: Distinct vectors a list should hold, sampled vectors a centroid needs, and vectors in one block of a list.
+LIST_ROWS, FITTED_ROWS, BLOCK_ROWS = 200, 4, 4_000
+#: Closest centroids that a search follows at least, before distances end it; lists that it visits at least.
+WIDTH, LEAST_LISTS = 64, 4
+#: Sampled vectors that calibrate the ratio, the share of their neighbours that it must lead to, and queries of one block of an exact search.
+CALIBRATING, REACH, EXACT_BLOCK = 128, 0.98, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,12 +69,15 @@ class CentroidGraph:
 
     def __init__(self, centroids: np.ndarray, degree: int = 24):
         self.c = centroids
-        d = distances(centroids, centroids)
-        np.fill_diagonal(d, np.inf)
-        k = min(degree, len(centroids) - 1)
-        linked = np.zeros(d.shape, bool)
-        np.put_along_axis(linked, np.argsort(d, axis=1, kind="stable")[:, :k], True, axis=1)
-        self.links = [np.flatnonzero(row) for row in linked | linked.T]  # both ways: a centroid that is nobody's neighbour is found from its own
+        k, links = min(degree, len(centroids) - 1), [set() for _ in centroids]
+        for i in range(0, len(centroids), 256):  # rows at a time: the whole matrix of distances is never held
+            d = distances(centroids[i : i + 256], centroids)
+            d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+            for j, near in enumerate(np.argsort(d, axis=1, kind="stable")[:, :k].tolist(), i):
+                for other in near:  # both ways: a centroid that is nobody's neighbour is found from its own
+                    links[j].add(other)
+                    links[other].add(j)
+        self.links = [np.array(sorted(x), np.int64) for x in links]
         self.entries = np.linspace(0, len(centroids) - 1, min(len(centroids), 16)).astype(int)
 
     def nearest(self, q: np.ndarray, n: int) -> list[tuple[float, int]]:
@@ -121,20 +131,98 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(axis=1))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: float = 0.05, replicas: int = 4, ratio: float = 0.15, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k nearest other vectors that the visited lists hold."""
+def nearest_of(points: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score and lists of the k nearest other rows of each query, by an exact pass over all points; at most k rows a query and task are shuffled."""
+    shared = points.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches):
+        ids, q = shared.value
+        best: list[list[tuple]] = [[] for _ in ids]
+        for pdf in batches:
+            pdf = pdf[pdf["embedding"].map(len) == q.shape[1]]
+            if not len(pdf):
+                continue
+            x, own, lists = np.stack(pdf["embedding"]), pdf["vec_id"].to_numpy(), pdf["lists"].tolist()
+            rough, slack = distances(q, x), 1e-6 * (np.abs(q).sum(axis=1).max() + np.abs(x).sum(axis=1).max())  # only to leave out what cannot be among the nearest
+            for i, row in enumerate(rough):
+                limit = best[i][-1][0] if len(best[i]) == k else np.inf
+                if k < len(row):
+                    limit = min(limit, np.partition(row, k)[k])
+                at = np.flatnonzero((row <= limit + slack) & (own != ids[i]))
+                d = exact(q[i], x[at])
+                best[i] = sorted([*best[i], *((float(s), int(own[j]), lists[j]) for s, j in zip(d, at, strict=True))], key=lambda r: r[:2])[:k]
+        yield pd.DataFrame([(int(i), j, s, m) for i, rows in zip(ids, best, strict=True) for s, j, m in rows], columns=["query_id", "vec_id", "score", "lists"])
+
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = points.select("vec_id", "embedding", "lists").mapInPandas(run, "query_id long, vec_id long, score double, lists array<int>")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def query_blocks(queries: DataFrame, rows: int = EXACT_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of a query table, so many at a time."""
+    ids, vectors = [], []
+    for r in usable(queries).toLocalIterator():
+        if vectors and len(r["embedding"]) != len(vectors[0]):
+            continue
+        ids.append(r["vec_id"])
+        vectors.append(r["embedding"])
+        if len(ids) == rows:
+            yield np.array(ids), np.array(vectors)
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids), np.array(vectors)
+
+
+def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> float:
+    """Share of the queries' true k nearest neighbours that `found` (the result of `neighbours`) holds; a block of queries a pass over the vectors."""
+    hits = total = 0
+    points = usable(vectors).withColumn("lists", F.array().cast("array<int>"))
+    for ids, q in query_blocks(queries):
+        true = nearest_of(points, ids, q, k).select("query_id", "vec_id")
+        total += true.count()
+        hits += true.join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi").count()
+    return hits / total if total else 1.0
+
+
+def calibrated(placed: DataFrame, graph: CentroidGraph, ids: np.ndarray, q: np.ndarray, k: int) -> float:
+    """The smallest ratio that leads the sampled queries to the share REACH of their true neighbours."""
+    at = dict(zip(ids.tolist(), q, strict=True))
+    needed = []
+    for r in nearest_of(placed, ids, q, k).collect():  # k rows a sampled query
+        d = np.sqrt(((graph.c - at[r["query_id"]]) ** 2).sum(axis=1))
+        order = np.sort(d)
+        best = d[r["lists"]].min()
+        needed.append(0.0 if best <= order[min(LEAST_LISTS, len(order)) - 1] else best / max(order[0], 1e-300) - 1)
+    return float(np.quantile(needed, REACH, method="higher")) * (1 + 1e-9) if needed else 0.0
+
+
+def visited(graph: CentroidGraph, q: np.ndarray, ratio: float, held: np.ndarray, least: int) -> list[int]:
+    """Lists to visit: all within the ratio, LEAST_LISTS at least, then the next nearest until they hold `least` vectors (held: how many a list is nearest to)."""
+    lists = [j for _, j in graph.within(q, ratio)]
+    if len(lists) < min(LEAST_LISTS, len(graph.c)) or held[lists].sum() < least:
+        seen = set(lists)
+        for j in np.argsort(((graph.c - q) ** 2).sum(axis=1), kind="stable").tolist():
+            if len(lists) >= LEAST_LISTS and held[lists].sum() >= least:
+                break
+            if j not in seen:
+                lists.append(j)
+    return lists
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: float = 0.05, replicas: int = 4, ratio: float | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest other vectors that the visited lists hold; without a ratio it is calibrated."""
     spark = prepare(vectors.sparkSession)
     schema = "query_id long, rank int, vec_id long, score double"
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    points = usable(vectors).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
-    sample = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    points = stored(usable(vectors).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1), "points")
+    distinct = points.filter("copy = 1")
+    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
     if not len(sample):
         return spark.createDataFrame([], schema)
     size = int(sample["embedding"].map(len).mode().iloc[0])
-    x = np.stack([v for v in sample["embedding"] if len(v) == size]).astype(float)
-    total = usable(vectors).count()
-    lists = int(min(MOST_LISTS, max(1, total // LIST_ROWS), max(1, len(x) // 4)))
-    graph = CentroidGraph(balanced_centroids(np.unique(x, axis=0), lists))
+    sample = sample[sample["embedding"].map(len) == size]
+    x = np.stack(sample["embedding"]).astype(float)
+    graph = CentroidGraph(balanced_centroids(x, int(max(1, min(distinct.count() // LIST_ROWS, len(x) // FITTED_ROWS)))))
     shared = spark.sparkContext.broadcast(graph)
 
     def assign(batches):
@@ -145,25 +233,38 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: flo
                 d = distances(np.stack(pdf["embedding"]), c)
                 near = np.argsort(d, axis=1, kind="stable")[:, :replicas]
                 dn = np.take_along_axis(d, near, axis=1)
-                rows, cols = np.nonzero(dn <= (1 + closure) * dn[:, :1])
-                yield pd.DataFrame({"list": near[rows, cols], "vec_id": pdf["vec_id"].to_numpy()[rows], "embedding": pdf["embedding"].to_numpy()[rows]})
+                n = (dn <= (1 + closure) * dn[:, :1]).sum(axis=1)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": [row[:m] for row, m in zip(near.astype(np.int32), n, strict=True)]})
+
+    placed = stored(points.select("vec_id", "embedding").mapInPandas(assign, "vec_id long, embedding array<double>, lists array<int>"), "placed")
+    if ratio is None:
+        few = sample.iloc[:CALIBRATING]
+        ratio = calibrated(placed, graph, few["vec_id"].to_numpy(), np.stack(few["embedding"]).astype(float), k)
+    # One row a list: how many vectors are nearest to it, and how many it holds with replicas.
+    each = placed.select(F.posexplode("lists").alias("pos", "list")).groupBy("list").agg(F.count_if(F.col("pos") == 0).alias("own"), F.count("*").alias("all")).collect()
+    held, blocks = np.zeros(len(graph.c), np.int64), np.ones(len(graph.c), np.int64)
+    for r in each:
+        held[r["list"]], blocks[r["list"]] = r["own"], -(-r["all"] // BLOCK_ROWS)
+    repeats = placed.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1  # rows that one candidate can have
+    plan, least = spark.sparkContext.broadcast((held, blocks)), (k + 1) * int(repeats)
+
+    def post(batches):
+        _, blocks = plan.value
+        for pdf in batches:
+            n = pdf["lists"].map(len).to_numpy()
+            lists, ids = np.concatenate([*pdf["lists"], np.empty(0, np.int32)]).astype(np.int64), np.repeat(pdf["vec_id"].to_numpy(), n)
+            block = (mix64(ids.astype(np.int64).view(np.uint64)) % blocks[lists].astype(np.uint64)).astype(np.int64)
+            yield pd.DataFrame({"list": lists, "block": block, "vec_id": ids, "embedding": np.repeat(pdf["embedding"].to_numpy(), n)})
 
     def route(batches):
-        g = shared.value
+        g, (held, blocks) = shared.value, plan.value
         for pdf in batches:
             pdf = pdf[pdf["embedding"].map(len) == size]
-            out = []
-            for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
-                out += [(j, i, v) for _, j in g.within(np.asarray(v), ratio)]
-            yield pd.DataFrame(out, columns=["list", "query_id", "q"])
-
-    postings = points.mapInPandas(assign, "list int, vec_id long, embedding array<double>")
-    counts = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list, bounded
-    cuts = F.create_map(*[F.lit(int(v)) for r, n in counts.items() if n > BLOCK_ROWS for v in (r, -(-n // BLOCK_ROWS))]) if any(n > BLOCK_ROWS for n in counts.values()) else F.create_map().cast("map<int,int>")
-    blocks = F.coalesce(F.element_at(cuts, F.col("list")), F.lit(1))
-    postings = postings.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    asked = usable(asked).mapInPandas(route, "list int, query_id long, q array<double>").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            out = [(j, b, i, v) for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True) for j in visited(g, np.asarray(v), ratio, held, least) for b in range(blocks[j])]
+            yield pd.DataFrame(out, columns=["list2", "block2", "query_id", "q"])
+
+    postings = placed.mapInPandas(post, "list int, block int, vec_id long, embedding array<double>")
+    asked = usable(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).mapInPandas(route, "list2 int, block2 int, query_id long, q array<double>")
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -172,11 +273,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: flo
             for i, q in zip(right["query_id"].tolist(), right["q"], strict=True):
                 d = exact(np.asarray(q), x)
                 own = ids != i
-                order = np.lexsort((ids[own], d[own]))[:k]
+                order = np.lexsort((ids[own], d[own]))[: k * int(repeats)]
                 out += [(i, int(j), float(s)) for j, s in zip(ids[own][order], d[own][order], strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = postings.groupBy("list", "block").cogroup(asked.withColumnsRenamed({"list": "list2", "block": "block2"}).groupBy("list2", "block2")).applyInPandas(scan, "query_id long, vec_id long, score double")
+    found = postings.groupBy("list", "block").cogroup(asked.groupBy("list2", "block2")).applyInPandas(scan, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -91,6 +91,59 @@ def test_neighbours(spark):
     assert ann.neighbours(df.filter("false"), df).count() == 0
 
 
+def vectors_of(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def hard_tables():
+    """Many equal vectors beside few others, tight clusters smaller than k, chains of clusters, plain Gaussian vectors, and far outliers."""
+    r = np.random.default_rng(7)
+    equal = np.repeat(r.normal(size=(1, 16)), 3_900, axis=0)
+    clusters = np.repeat(r.normal(size=(20, 16)) * 10, 5, axis=0) + r.normal(size=(100, 16)) * 0.01
+    yield "clusters of five", np.vstack([clusters, equal])
+    yield "gaussian", np.vstack([r.normal(size=(100, 16)), equal])
+    many = np.repeat(r.normal(size=(900, 16)) * 10, 5, axis=0) + r.normal(size=(4_500, 16)) * 0.01
+    yield "many clusters of five", many[r.permutation(len(many))]
+    yield "outliers", np.vstack([r.normal(size=(3_000, 16)), r.normal(size=(12, 16)) * 1e4])
+    yield "line", np.outer(np.arange(1, 2_501), np.ones(16))
+
+
+@pytest.mark.parametrize("name,x", list(hard_tables()), ids=[n for n, _ in hard_tables()])
+def test_rows_are_complete_and_recall_holds_on_hard_tables(spark, monkeypatch, name, x):
+    """Every query gets min(k, candidates) rows, ranked, and at least 0.9 of the true neighbours (queries: ids divisible by 20)."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 50)  # so that the small tables have many lists
+    df = vectors_of(spark, x)
+    queries = df.filter("vec_id % 20 = 0")
+    found = ann.neighbours(df, queries).cache()
+    counts = {r["query_id"]: (r["n"], r["top"]) for r in found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("top")).collect()}
+    assert set(counts) == set(range(0, len(x), 20)) and set(counts.values()) == {(10, 10)}
+    want = brute(list(range(len(x))), x, range(0, len(x), 20), 10)
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    share = np.mean([len(got[q].keys() & {i for i, _ in want[q]}) / 10 for q in want])
+    # Equal distances of distinct candidates are as good as the ones that ties prefer, so scores are compared too.
+    near = np.mean([sum(a <= b + 1e-9 for a, b in zip(sorted(got[q].values()), [s for _, s in want[q]], strict=True)) / 10 for q in want])
+    assert share >= 0.9 and near >= 0.9
+    assert abs(ann.recall(found, df, queries) - share) < 1e-9
+
+
+def test_repeated_ids_and_few_lists_still_give_k_candidates(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(400, 4))
+    df = spark.createDataFrame([(i % 40, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, df.filter("vec_id = 0")).collect()
+    assert [g["rank"] for g in sorted(got, key=lambda g: g["rank"])] == list(range(1, 11)) and len({g["vec_id"] for g in got}) == 10
+
+
+def test_lists_are_widened_until_they_hold_k():
+    graph = ann.CentroidGraph(np.arange(20.0)[:, None])
+    held = np.array([1] * 19 + [100])
+    assert sorted(ann.visited(graph, np.array([0.0]), 0.0, held, 11)) == list(range(11))
+    assert len(ann.visited(graph, np.array([3.0]), 0.0, held, 1)) == ann.LEAST_LISTS
+    assert sorted(ann.visited(graph, np.array([0.0]), 0.0, held, 10_000)) == list(range(20))
+
+
 def test_balanced_lists_and_graph_search():
     x = np.random.default_rng(2).normal(size=(2_000, 8))
     c = ann.balanced_centroids(x, 64)
