@@ -1,24 +1,31 @@
 """Substring dedup: repeated-phrase automata over words.
 
-A window is `width` consecutive words of one document. The pass has three steps.
+A window is `width` consecutive words of one document. The pass has four steps.
 
 1. Documents are dealt into blocks by their id. Each block sends every distinct window's 64-bit hash with the smallest id of the
    block to a shard of the hash space, packed (sorted deltas, compressed), so the exchange costs some 7 bytes a window.
-2. A shard confirms which windows recur: it tells each block the hashes whose smallest id over all blocks is below the block's own.
-3. Each block chains its confirmed recurring windows into the longest passages that are always followed the same way, compiles
-   these passages (letters of the automaton are words) with pyahocorasick, streams all its documents through the automaton
-   and locates every occurrence. A word is removed if an occurrence's window that covers it has an owner with a smaller id.
+2. A shard confirms which windows recur in other blocks and asks the block of the smallest id (the owner) to show them to the others.
+3. The owner's block joins windows that are asked for and follow each other to passages, and sends these word sequences, with the
+   owner's id, to the blocks that asked: every block is the shard of all phrases that its documents can contain, and of no others.
+4. Each block compiles its passages (those it was sent, and those of its own owners), cut where its texts part, with pyahocorasick; letters of the
+   automaton are words. All its documents stream through the automaton, which locates every occurrence. A word is removed if
+   an occurrence's window that covers it has an owner with a smaller id.
 
-So every automaton holds only phrases that its own documents can contain, its size follows the block and not the corpus, and
-no document meets more than one automaton. Memory of a task is that of one block or one shard; a very frequent passage is one
-hash per block.
+Hashes only choose who is shown what; a word goes only if the automaton finds the owner's very words. (Of two different windows with equal hashes
+one may lack its owner and stay: some 0.0005 such pairs are expected among 140 million windows.) Every document meets one automaton, its size
+follows the block and not the corpus. Memory of a task is that of one block with its passages or of one shard; a very frequent passage is one
+hash and one passage for a block.
 
 A null text has no words. Repeated rows of one id do not count against each other (no smaller id); texts below `width` words lose
-nothing; null ids own nothing and lose nothing. Extra columns are kept by `remove_repeats`; those named like its results are replaced.
+nothing; null ids own nothing and lose nothing, and are not dealt to any block. Very long texts are blocks of their own; there is no limit on
+distinct words. An empty table gives no rows. Extra columns are kept by `remove_repeats`; those named like its results are replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,40 +35,47 @@ from pyspark.sql import types as T
 from .common import WordHasher, pack, pack_sorted, parts_of, prepare, raw_words, rolling, unpack, unpack_sorted
 
 WIDTH = 13
-#: First of the letters that stand for words; two blocks of surrogates are skipped.
-FIRST, SURROGATES, LAST = 16, (0xD800, 0xE000), 0x10FFFF
-NONE = np.int64(2**63 - 1)
+#: First of the letters that stand for words; two blocks of surrogates are skipped. With more distinct words than letters, words are numbers.
+FIRST, SURROGATES, LETTERS = 16, (0xD800, 0xE000), 1_100_000
+#: Windows of one phrase at most: longer passages are several phrases, so that the automaton stays shallow.
+PHRASE = 256
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 class Block:
     """The words and windows of some documents, end to end."""
 
-    def __init__(self, ids: list, texts: list, width: int):
+    def __init__(self, ids: list, words: list[list[bytes]], width: int):
         hasher = WordHasher()
-        self.words = [raw_words(t) for t in texts]
-        self.lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.words = words
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))
         self.ids = np.array(ids, np.int64).reshape(-1)
-        hashes = [hasher(w) for w in self.words]
-        self.word_hash = np.concatenate([*hashes, np.empty(0, np.uint64)])
         starts = [np.arange(max(0, n - width + 1)) + f for n, f in zip(self.lengths, self.first, strict=False)]
         self.starts = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)  # of windows, in words
-        self.doc = np.repeat(np.arange(len(self.words)), np.maximum(0, self.lengths - width + 1))
-        self.window = np.concatenate([*(rolling(h, width) for h in hashes), np.empty(0, np.uint64)])
+        self.doc = np.repeat(np.arange(len(words)), np.maximum(0, self.lengths - width + 1))
+        self.window = np.concatenate([*(rolling(hasher(w), width) for w in words), np.empty(0, np.uint64)])
 
-    def owners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct windows, smallest id of each, which distinct window each window is)."""
-        values, back = np.unique(self.window, return_inverse=True)
-        least = np.full(len(values), NONE)
+    def owners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct windows, where each is first, smallest id of each, which distinct window each window is)."""
+        values, first, back = np.unique(self.window, return_index=True, return_inverse=True)
+        least = np.full(len(values), 2**63 - 1)
         np.minimum.at(least, back, self.ids[self.doc])
-        return values, least, back
+        return values, first, least, back
+
+    def slice(self, window: int, n: int, width: int) -> list[bytes]:
+        """The words of n windows that follow each other."""
+        d = self.doc[window]
+        at = int(self.starts[window] - self.first[d])
+        return self.words[d][at : at + n + width - 1]
 
 
 def passages(order: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chains of windows that always occur together.
 
     order: the window number at each recurring position, in text order; follows[i]: position i + 1 continues position i.
-    Returns for each chain the first position of one occurrence and its length, so that each window is in exactly one chain.
+    Returns for each chain (in pieces of PHRASE windows) the first position of its first occurrence and its length, so that each window is in
+    exactly one piece.
     """
     n = int(order.max()) + 1 if len(order) else 0
     low, high = np.full(n, n + 1), np.full(n, -2)
@@ -80,112 +94,166 @@ def passages(order: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.nda
     begin = np.flatnonzero(heads)
     length = np.diff(np.append(begin, len(order)))
     _, once = np.unique(order[begin], return_index=True)
-    return begin[once], length[once]
-
-
-def removed_words(b: Block, answers: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
-    """Mask over the block's words: those covered by a window that an earlier document has too."""
-    import ahocorasick
-
-    mask = np.zeros(int(b.first[-1]), bool)
-    values, least, back = b.owners()
-    if not len(values):
-        return mask
-    for hashes, owners in answers:
-        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-        ok = values[at] == hashes
-        np.minimum.at(least, at[ok], owners[ok])
-    loses = (least[back] < b.ids[b.doc]) & (b.ids[b.doc] != NONE)
-    positions = np.flatnonzero(loses)
+    begin, length = begin[once], length[once]
+    pieces = -(-length // PHRASE)
+    skip = PHRASE * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return np.repeat(begin, pieces) + skip, np.minimum(PHRASE, np.repeat(length, pieces) - skip)
+
+
+class Phrases:
+    """An Aho-Corasick automaton over words."""
+
+    def __init__(self, phrases: list[list[bytes]]):
+        import ahocorasick
+
+        self.code: dict[bytes, int] = {}
+        numbers = [[self.code.setdefault(w, len(self.code) + 1) for w in p] for p in phrases]  # 0: a word that no phrase has
+        self.plain = len(self.code) < LETTERS
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, *([] if self.plain else [ahocorasick.KEY_SEQUENCE]))
+        for k, p in enumerate(numbers):
+            self.machine.add_word(self.spelt(np.array(p)), k)
+        self.machine.make_automaton()
+
+    def spelt(self, numbers: np.ndarray):
+        if not self.plain:
+            return tuple(numbers.tolist())
+        letters = numbers + FIRST
+        return (letters + np.where(letters >= SURROGATES[0], SURROGATES[1] - SURROGATES[0], 0)).astype(np.uint32).tobytes().decode("utf-32-le")
+
+    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(last word, phrase) of every occurrence."""
+        get = self.code.get
+        return self.machine.iter(self.spelt(np.fromiter((get(w, 0) for w in words), np.int64, len(words))))
+
+
+def wanted_passages(b: Block, asked: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[int, list[int], list[list[bytes]]]]:
+    """For every block that asked (hashes, blocks): the owners and the word sequences of what it asked for."""
+    values, first, least, _ = b.owners()
+    hashes, to = (np.concatenate(x) for x in zip(*asked, strict=True))
+    at = np.searchsorted(values, hashes)
+    window = first[at]
+    order = np.lexsort((window, to))
+    window, to = window[order], to[order]
+    runs = np.flatnonzero(np.concatenate(([True], (np.diff(to) != 0) | (np.diff(window) != 1) | (np.diff(b.doc[window]) != 0))))
+    ends = np.append(runs[1:], len(window))
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(to[runs]) != 0)))
+    for i, j in zip(cut, np.append(cut[1:], len(runs)), strict=True):
+        w = [(int(window[a]), int(z - a)) for a, z in zip(runs[i:j], ends[i:j], strict=True)]
+        yield int(to[runs[i]]), [int(b.ids[b.doc[x]]) for x, _ in w], [b.slice(x, n, width) for x, n in w]
+
+
+def removed_words(ids: list[int], words: list[list[bytes]], shown: list[tuple[int, list[bytes]]], width: int) -> list[np.ndarray]:
+    """For each document a mask of the words under an occurrence of a window that has an owner with a smaller id.
+
+    ids have to rise; shown: passages of other blocks with their owners' ids.
+    """
+    shown = sorted(shown, key=lambda x: x[0])
+    n_shown = len(shown)
+    b = Block([*(i for i, _ in shown), *ids], [*(w for _, w in shown), *words], width)
+    masks = [np.zeros(len(w), bool) for w in words]
+    _, _, least, back = b.owners()
+    recurs = np.zeros(len(least), bool)
+    recurs[back[(b.doc >= n_shown) & (least[back] < b.ids[b.doc])]] = True
+    positions = np.flatnonzero(recurs[back])
     if not len(positions):
-        return mask
-    # Also where the owner itself stands in this block: a passage is the same passage there.
-    positions = np.flatnonzero(np.isin(back, np.unique(back[positions])))
-    order = np.unique(back[positions], return_inverse=True)[1]
+        return masks
+    kinds, order = np.unique(back[positions], return_inverse=True)
     follows = np.append((np.diff(positions) == 1) & (np.diff(b.doc[positions]) == 0), False)
-    begin, length = passages(order, follows)
-
-    # Words of passages become letters; all others share one letter that no passage has.
-    used = np.zeros(len(mask) + 1, np.int64)
-    np.add.at(used, b.starts[positions], 1)
-    np.add.at(used, b.starts[positions] + width, -1)
-    used = np.cumsum(used[:-1]) > 0
-    letters = np.zeros(len(mask), np.uint32)
-    _, code = np.unique(b.word_hash[used], return_inverse=True)
-    code = code + FIRST
-    code += np.where(code >= SURROGATES[0], SURROGATES[1] - SURROGATES[0], 0)
-    if len(code) and code.max() > LAST:
-        raise ValueError("a block has more distinct words than letters; use more blocks")
-    letters[used] = code
-
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k, (i, n) in enumerate(zip(b.starts[positions[begin]].tolist(), length.tolist(), strict=True)):
-        machine.add_word(letters[i : i + n + width - 1].tobytes().decode("utf-32-le"), k)
-    machine.make_automaton()
-    ends, which = [], []
-    for d in range(len(b.words)):  # every document streams through the automaton
-        f = int(b.first[d])
-        if b.lengths[d] >= width:
-            for end, k in machine.iter(letters[f : b.first[d + 1]].tobytes().decode("utf-32-le")):
-                ends.append(f + end)
-                which.append(k)
-    ends, which = np.array(ends, np.int64), np.array(which, np.int64)
-    n = length[which]
-    start = np.repeat(ends - (n + width - 2), n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))  # each window of each occurrence
-    at = np.searchsorted(b.starts, start)
-    gone = start[loses[at]]
-    edges = np.zeros(len(mask) + 1, np.int64)
-    np.add.at(edges, gone, 1)
-    np.add.at(edges, gone + width, -1)
-    return np.cumsum(edges[:-1]) > 0
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, shard_mb: float = 4.0) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (kept words joined by one blank; the text itself where nothing goes)."""
+    begin, length = passages(order, follows)  # first occurrences: in what was shown, else in the owner's own text
+    phrases = Phrases([b.slice(int(positions[i]), int(n), width) for i, n in zip(begin, length, strict=True)])
+    owner = least[kinds]
+    for d, w in enumerate(words):  # every document streams through the automaton
+        if len(w) < width or not (found := list(phrases.occurrences(w))):
+            continue
+        ends, which = np.array(found, np.int64).T
+        n = length[which]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(ends - (n + width - 2), n) + within  # each window of each occurrence
+        gone = start[owner[order[np.repeat(begin[which], n) + within]] < ids[d]]
+        edges = np.zeros(len(w) + 1, np.int64)
+        np.add.at(edges, gone, 1)
+        np.add.at(edges, gone + width, -1)
+        masks[d] = np.cumsum(edges[:-1]) > 0
+    return masks
+
+
+def kept_text(text: str | None, words: list[bytes], mask: np.ndarray, layout: bool) -> str | None:
+    if layout and not mask.any():
+        return text
+    if layout:
+        raw, gone = text.encode("utf-8", "surrogatepass"), mask.tolist()
+        pieces = list(_WORD.finditer(raw))
+        out = raw[: pieces[0].start()] + b"".join(m[0] for m, out in zip(pieces, gone, strict=True) if not out)
+    else:
+        out = b" ".join([x for x, out in zip(words, mask.tolist(), strict=True) if not out] if mask.any() else words)
+    return out.decode("utf-8", "surrogatepass")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, shard_mb: float = 4.0, layout: bool = False) -> DataFrame:
+    """docs with n_words, n_removed and kept_text: the kept words joined by one blank, or (layout) the text without the removed words and the white space after each."""
+    import zstandard
+
     prepare(docs.sparkSession)
     n_shards, blocks = parts_of(docs, shard_mb, 12), parts_of(docs, block_mb, 32)
     docs = docs.drop("_block", "_id", "n_words", "n_removed", "kept_text")
-    # The block comes first, so that both uses of the dealt documents can share one exchange.
-    block, number = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).cast("int"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NONE)))
-    dealt = docs.select(block.alias("_block"), number.alias("_id"), "*")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    # The block comes first, so that all uses of the dealt documents can share one exchange.
+    number = F.col("doc_id").cast("long")
+    block = F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int")
+    dealt = docs.filter(number.isNotNull()).select(block.alias("_block"), number.alias("_id"), "*")
+
+    def block_of(pdf: pd.DataFrame) -> Block:
+        pdf = pdf.sort_values("_id", kind="stable")
+        return Block(pdf["_id"].tolist(), [raw_words(t) for t in pdf["text"]], width)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf["_id"].tolist(), pdf["text"].tolist(), width)
-        values, least, _ = b.owners()
+        values, _, least, _ = block_of(pdf).owners()
         cut = np.searchsorted(values, np.array([(s << 64) // n_shards for s in range(1, n_shards)], np.uint64))
         out = [(s, int(pdf["_block"].iloc[0]), pack_sorted(v), pack(o)) for s, (v, o) in enumerate(zip(np.split(values, cut), np.split(least, cut), strict=True)) if len(v)]
         return pd.DataFrame(out, columns=["shard", "_from", "hashes", "owners"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = [unpack_sorted(x) for x in pdf["hashes"]]
-        owner = np.concatenate([unpack(x, np.int64) for x in pdf["owners"]])
-        sizes = [len(h) for h in hashes]
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
-        new = np.concatenate(([True], np.diff(every[order]) != 0))
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
-        of = np.empty(len(every), np.int64)
-        of[order] = least[group]
-        out, at = [], 0
-        for k, n in enumerate(sizes):
-            mine = of[at : at + n] < owner[at : at + n]
-            if mine.any():
-                out.append((int(pdf["_from"].iloc[k]), pack_sorted(hashes[k][mine]), pack(of[at : at + n][mine])))
-            at += n
-        return pd.DataFrame(out, columns=["_from", "hashes", "owners"])
-
-    def remove(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf["_id"].tolist(), pdf["text"].tolist(), width)
-        mask = removed_words(b, [(unpack_sorted(h), unpack(o, np.int64)) for h, o in zip(told["hashes"], told["owners"], strict=True)], width)
-        kept, gone = [], []
-        for d, w in enumerate(b.words):
-            m = mask[b.first[d] : b.first[d + 1]]
-            gone.append(int(m.sum()))
-            kept.append(b" ".join([x for x, out in zip(w, m.tolist(), strict=True) if not out] if gone[-1] else w).decode("utf-8", "surrogatepass"))
-        return pdf.drop(columns=["_block", "_id"]).assign(n_words=b.lengths, n_removed=gone, kept_text=kept)
+        sender = np.repeat(pdf["_from"].to_numpy(), [len(h) for h in hashes])
+        every, ids = np.concatenate(hashes), np.concatenate([unpack(x, np.int64) for x in pdf["owners"]])
+        order = np.lexsort((ids, every))
+        every, sender = every[order], sender[order]
+        first = np.flatnonzero(np.concatenate(([True], np.diff(every) != 0)))
+        later = np.ones(len(every), bool)
+        later[first] = False  # the owner's block comes first, all others ask
+        owner = np.repeat(sender[first], np.diff(np.append(first, len(every))))[later]
+        every, sender = every[later], sender[later]
+        order = np.argsort(owner, kind="stable")
+        owner, every, sender = owner[order], every[order], sender[order]
+        cut = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+        out = [(int(owner[a]), pack_sorted(every[a:z]), pack(sender[a:z].astype(np.uint32))) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame(out, columns=["_owner", "hashes", "blocks"])
+
+    def show(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf) and len(asked):
+            asked = [(unpack_sorted(h), unpack(x, np.uint32)) for h, x in zip(asked["hashes"], asked["blocks"], strict=True)]
+            for to, owners, texts in wanted_passages(block_of(pdf), asked, width):
+                out.append((to, np.array(owners, np.int64).tobytes(), zstandard.ZstdCompressor(level=1).compress(b"\n".join(map(b" ".join, texts)))))
+        return pd.DataFrame(out, columns=["_to", "owners", "texts"])
+
+    def remove(pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=schema.names)
+        pdf = pdf.sort_values("_id", kind="stable")
+        words = [raw_words(t) for t in pdf["text"]]
+        shown = [(i, t.split(b" ")) for o, x in zip(sent["owners"], sent["texts"], strict=True) for i, t in zip(np.frombuffer(o, np.int64).tolist(), zstandard.ZstdDecompressor().decompress(x).split(b"\n"), strict=True)]
+        masks = removed_words(pdf["_id"].tolist(), words, shown, width)
+        kept = [kept_text(t, w, m, layout) for t, w, m in zip(pdf["text"], words, masks, strict=True)]
+        return pdf.drop(columns=["_block", "_id"]).assign(n_words=[len(w) for w in words], n_removed=[int(m.sum()) for m in masks], kept_text=kept)
+
+    def unchanged(batches):
+        for pdf in batches:
+            words = [raw_words(t) for t in pdf["text"]]
+            yield pdf.assign(n_words=[len(w) for w in words], n_removed=0, kept_text=[kept_text(t, w, np.zeros(len(w), bool), layout) for t, w in zip(pdf["text"], words, strict=True)])
 
     sent = dealt.groupBy("_block").applyInPandas(send, "shard int, _from int, hashes binary, owners binary")
-    told = sent.groupBy("shard").applyInPandas(confirm, "_from int, hashes binary, owners binary")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return dealt.groupBy("_block").cogroup(told.groupBy("_from")).applyInPandas(lambda a, b: remove(a, b) if len(a) else pd.DataFrame(columns=schema.names), schema)
+    asked = sent.groupBy("shard").applyInPandas(confirm, "_owner int, hashes binary, blocks binary")
+    shown = dealt.groupBy("_block").cogroup(asked.groupBy("_owner")).applyInPandas(show, "_to int, owners binary, texts binary")
+    out = dealt.groupBy("_block").cogroup(shown.groupBy("_to")).applyInPandas(remove, schema)
+    return out.unionAll(docs.filter(number.isNull()).mapInPandas(unchanged, schema))

@@ -147,22 +147,69 @@ def brute_repeats(rows, width=13):
     return sorted(out, key=repr)
 
 
-def test_repeats_match_brute_force(spark, corpus):
-    out = repeats.remove_repeats(docs(spark, corpus))
-    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect() if r["doc_id"] is not None), key=repr)
-    assert got == [x for x in brute_repeats(rows_of(spark, [c for c in corpus if not isinstance(c, tuple) or c[0] is not None]))]
+@pytest.mark.parametrize("block_mb", [0.4, 0.0001])
+def test_repeats_match_brute_force(spark, corpus, block_mb):
+    """With one block a document nearly, and with all documents in some blocks; null ids keep all their words."""
+    out = repeats.remove_repeats(docs(spark, corpus), block_mb=block_mb)
+    rows = out.collect()
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in rows if r["doc_id"] is not None), key=repr)
+    assert got == brute_repeats(rows_of(spark, [c for c in corpus if not isinstance(c, tuple) or c[0] is not None]))
+    assert Counter((r["text"], r["n_removed"], r["kept_text"]) for r in rows if r["doc_id"] is None) == Counter((t, 0, " ".join((t or "").split())) for d, t in rows_of(spark, corpus) if d is None)
     assert set(docs(spark, corpus).columns) - {"_block"} <= set(out.columns)
     assert repeats.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_the_layout_of_a_text_can_stay(spark):
+    line = " ".join(words(20, 77))
+    out = repeats.remove_repeats(docs(spark, [line, f"  a\nb\t{line}\n\nc  d\n", None, " x\n"]), layout=True).orderBy("doc_id").collect()
+    assert [r["kept_text"] for r in out] == [line, "  a\nb\tc  d\n", None, " x\n"] and out[1]["n_removed"] == 20
+
+
+def by_automaton(texts, width=4, shown=()):
+    ids, w = list(range(len(texts))), [t.encode().split() for t in texts]
+    return [int(m.sum()) for m in repeats.removed_words(ids, w, [(i, t.encode().split()) for i, t in shown], width)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=8))
 def test_automaton_matches_brute_force_on_periodic_texts(texts):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    b = repeats.Block([i for i, _ in rows], [t for _, t in rows], 4)
-    mask = repeats.removed_words(b, [], 4)
-    got = sorted(((i, len(b.words[i]), int(mask[b.first[i] : b.first[i + 1]].sum())) for i, _ in rows), key=repr)
-    assert got == [x[:3] for x in brute_repeats(rows, 4)]
+    assert list(enumerate(by_automaton([t for _, t in rows]))) == [(d, gone) for d, _, gone, _ in brute_repeats(rows, 4)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=2, max_size=8))
+def test_passages_shown_by_other_blocks_give_the_same(texts):
+    """Every second document lies in another block, whose words arrive only as the passages that were asked for."""
+    width, w = 4, [" ".join(t).encode().split() for t in texts]
+    blocks = [repeats.Block(list(range(k, len(w), 2)), w[k::2], width) for k in (0, 1)]
+    own = [dict(zip(v.tolist(), least.tolist(), strict=True)) for v, _, least, _ in (b.owners() for b in blocks)]
+    got = {}
+    for k in (0, 1):
+        mine, other = own[k], own[1 - k]
+        asked = np.array(sorted(h for h in mine if other.get(h, 99) < mine[h]), np.uint64)
+        shown = [(i, t) for _, ids, texts_ in repeats.wanted_passages(blocks[1 - k], [(asked, np.zeros(len(asked), np.uint32))], width) for i, t in zip(ids, texts_, strict=True)] if len(asked) else []
+        got |= dict(zip(range(k, len(w), 2), (int(m.sum()) for m in repeats.removed_words(list(range(k, len(w), 2)), w[k::2], shown, width)), strict=True))
+    assert [got[d] for d in range(len(w))] == [x[2] for x in brute_repeats([(i, " ".join(t)) for i, t in enumerate(texts)], width)]
+
+
+def test_the_automaton_decides_by_words(monkeypatch):
+    """Windows with equal hashes but other words stay, and without the automaton nothing is found."""
+    texts, shown = ["a b c d e", "p q r s t", "a b c d e x"], [(-5, "k l m n o")]
+    assert by_automaton([*texts, "k l m n"], shown=shown) == [0, 0, 5, 4]
+    monkeypatch.setattr(repeats, "rolling", lambda h, n: np.full(max(0, len(h) - n + 1), 7, np.uint64))  # every window has the same hash
+    assert by_automaton(["p q r s t", "a b c d e"], shown=shown) == [0, 0]
+    monkeypatch.undo()
+    monkeypatch.setattr(repeats.Phrases, "occurrences", lambda self, w: iter(()))
+    assert by_automaton([*texts, "k l m n"], shown=shown) == [0, 0, 0, 0]
+
+
+def test_more_distinct_words_than_letters(monkeypatch):
+    long = " ".join(f"w{i}" for i in range(1_200_000))
+    assert by_automaton([long, "new " + long], 13) == [0, 1_200_000]
+    monkeypatch.setattr(repeats, "LETTERS", 3)
+    monkeypatch.setattr(repeats, "PHRASE", 2)
+    assert by_automaton(["a b c d e f", "c d e f g", "z a b c d", "a b c"], 4) == [0, 4, 4, 0]
 
 
 # --- MinHash ----------------------------------------------------------------------------------------------------------------
