@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, pack, pack_sorted, parts_of, prepare, raw_words, rolling, unpack, unpack_sorted
+from .common import mix64, pack, pack_sorted, parts_of, prepare, raw_words, rolling, unpack, unpack_sorted
 
 WIDTH = 13
 #: First of the letters that stand for words; two blocks of surrogates are skipped. With more distinct words than letters, words are numbers.
@@ -40,34 +40,59 @@ FIRST, SURROGATES, LETTERS = 16, (0xD800, 0xE000), 1_100_000
 #: Windows of one phrase at most: longer passages are several phrases, so that the automaton stays shallow.
 PHRASE = 256
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+#: Base of the words' polynomial hashes.
+BASE = 0xD6E8FEB86659FD93
 
 
-class Block:
-    """The words and windows of some documents, end to end."""
+def plain(text: str | None) -> bytes:
+    """The words joined by one blank."""
+    return b" ".join(raw_words(text))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
 
-    def __init__(self, ids: list, words: list[list[bytes]], width: int):
-        hasher = WordHasher()
-        self.words = words
-        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+def word_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words text[begin:end]: polynomials in an odd base, from one running sum, mixed with the lengths."""
+    up, down = powers(BASE, len(text)), powers(pow(BASE, -1, 1 << 64), len(text))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64)))
+    return mix64((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+
+
+class Block:
+    """The words and windows of some documents (given as their words joined by one blank), end to end."""
+
+    def __init__(self, ids: list, texts: list[bytes], width: int):
+        self.ids, self.text = np.array(ids, np.int64).reshape(-1), b"\n".join([*texts, b""])
+        raw = np.frombuffer(self.text, np.uint8)
+        stops = np.flatnonzero((raw == 32) | (raw == 10))  # words hold neither
+        begin = np.concatenate(([0], stops[:-1] + 1)) if len(stops) else stops
+        real = stops > begin
+        of = np.cumsum(raw[stops] == 10) - (raw[stops] == 10)
+        self.begin, self.end = begin[real], stops[real]
+        self.lengths = np.bincount(of[real], minlength=len(texts))
         self.first = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.ids = np.array(ids, np.int64).reshape(-1)
-        starts = [np.arange(max(0, n - width + 1)) + f for n, f in zip(self.lengths, self.first, strict=False)]
-        self.starts = np.concatenate([*starts, np.empty(0, np.int64)]).astype(np.int64)  # of windows, in words
-        self.doc = np.repeat(np.arange(len(words)), np.maximum(0, self.lengths - width + 1))
-        self.window = np.concatenate([*(rolling(hasher(w), width) for w in words), np.empty(0, np.uint64)])
-
-    def owners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct windows, where each is first, smallest id of each, which distinct window each window is)."""
-        values, first, back = np.unique(self.window, return_index=True, return_inverse=True)
-        least = np.full(len(values), 2**63 - 1)
-        np.minimum.at(least, back, self.ids[self.doc])
-        return values, first, least, back
-
-    def slice(self, window: int, n: int, width: int) -> list[bytes]:
-        """The words of n windows that follow each other."""
-        d = self.doc[window]
-        at = int(self.starts[window] - self.first[d])
-        return self.words[d][at : at + n + width - 1]
+        self.word = word_hashes(raw, self.begin, self.end)
+        starts = np.arange(max(0, len(self.begin) - width + 1))
+        doc = of[real][: len(starts)]
+        inside = starts + width <= self.first[doc + 1]
+        self.starts, self.doc = starts[inside], doc[inside]  # of windows: first word and document
+        self.window = rolling(self.word, width)[inside]
+
+    def owners(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct windows, smallest id of each, which distinct window each window is)."""
+        order = np.argsort(self.window)
+        first = np.flatnonzero(np.concatenate(([True] * bool(len(order)), np.diff(self.window[order]) != 0)))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return self.window[order[first]], np.minimum.reduceat(self.ids[self.doc[order]], first) if len(first) else np.empty(0, np.int64), back
+
+    def slice(self, word: int, n: int) -> bytes:
+        """n words that follow each other."""
+        return self.text[self.begin[word] : self.end[word + n - 1]]
 
 
 def passages(order: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,91 +126,97 @@ def passages(order: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Phrases:
-    """An Aho-Corasick automaton over words."""
+    """An Aho-Corasick automaton over the words of a block: phrases are given by their first words and lengths."""
 
-    def __init__(self, phrases: list[list[bytes]]):
+    def __init__(self, b: Block, at: np.ndarray, length: np.ndarray):
         import ahocorasick
 
-        self.code: dict[bytes, int] = {}
-        numbers = [[self.code.setdefault(w, len(self.code) + 1) for w in p] for p in phrases]  # 0: a word that no phrase has
-        self.plain = len(self.code) < LETTERS
+        self.b, self.length = b, length.tolist()
+        self.phrase = [b.slice(a, n) for a, n in zip(at.tolist(), self.length, strict=True)]
+        used = np.unique(np.concatenate([b.word[a : a + n] for a, n in zip(at.tolist(), self.length, strict=True)]))
+        rank = np.minimum(np.searchsorted(used, b.word), len(used) - 1)
+        self.letters = np.where(used[rank] == b.word, rank + 1, 0)  # 0: a word that no phrase has
+        self.plain = len(used) < LETTERS
+        if self.plain:
+            self.letters += FIRST
+            self.letters += np.where(self.letters >= SURROGATES[0], SURROGATES[1] - SURROGATES[0], 0)
+            self.letters = self.letters.astype(np.uint32)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, *([] if self.plain else [ahocorasick.KEY_SEQUENCE]))
-        for k, p in enumerate(numbers):
-            self.machine.add_word(self.spelt(np.array(p)), k)
+        for k, (a, n) in enumerate(zip(at.tolist(), self.length, strict=True)):
+            self.machine.add_word(self.spelt(a, n), k)
         self.machine.make_automaton()
 
-    def spelt(self, numbers: np.ndarray):
-        if not self.plain:
-            return tuple(numbers.tolist())
-        letters = numbers + FIRST
-        return (letters + np.where(letters >= SURROGATES[0], SURROGATES[1] - SURROGATES[0], 0)).astype(np.uint32).tobytes().decode("utf-32-le")
+    def spelt(self, word: int, n: int):
+        letters = self.letters[word : word + n]
+        return letters.tobytes().decode("utf-32-le") if self.plain else tuple(letters.tolist())
 
-    def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(last word, phrase) of every occurrence."""
-        get = self.code.get
-        return self.machine.iter(self.spelt(np.fromiter((get(w, 0) for w in words), np.int64, len(words))))
+    def occurrences(self, word: int, n: int) -> Iterator[tuple[int, int]]:
+        """(first word, phrase) of every occurrence in n words: letters are words' hashes, so what is found is compared byte by byte."""
+        for end, k in self.machine.iter(self.spelt(word, n)):
+            at = word + end - self.length[k] + 1
+            if self.b.slice(at, self.length[k]) == self.phrase[k]:
+                yield at, k
 
 
-def wanted_passages(b: Block, asked: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[int, list[int], list[list[bytes]]]]:
-    """For every block that asked (hashes, blocks): the owners and the word sequences of what it asked for."""
-    values, first, least, _ = b.owners()
+def wanted_passages(b: Block, asked: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """For every block that asked (hashes, blocks): the owners and the word sequences of what it asked for; the ids of b have to rise."""
     hashes, to = (np.concatenate(x) for x in zip(*asked, strict=True))
-    at = np.searchsorted(values, hashes)
-    window = first[at]
+    wanted = np.unique(hashes)
+    at = np.minimum(np.searchsorted(wanted, b.window), len(wanted) - 1)
+    here = np.flatnonzero(wanted[at] == b.window)
+    found, first = np.unique(at[here], return_index=True)  # the first occurrence is the owner's
+    window = here[first][np.searchsorted(found, np.searchsorted(wanted, hashes))]
     order = np.lexsort((window, to))
     window, to = window[order], to[order]
     runs = np.flatnonzero(np.concatenate(([True], (np.diff(to) != 0) | (np.diff(window) != 1) | (np.diff(b.doc[window]) != 0))))
     ends = np.append(runs[1:], len(window))
     cut = np.flatnonzero(np.concatenate(([True], np.diff(to[runs]) != 0)))
-    for i, j in zip(cut, np.append(cut[1:], len(runs)), strict=True):
-        w = [(int(window[a]), int(z - a)) for a, z in zip(runs[i:j], ends[i:j], strict=True)]
-        yield int(to[runs[i]]), [int(b.ids[b.doc[x]]) for x, _ in w], [b.slice(x, n, width) for x, n in w]
+    word, size, owner, to = b.starts[window[runs]].tolist(), (ends - runs + width - 1).tolist(), b.ids[b.doc[window[runs]]].tolist(), to[runs]
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(runs)], strict=True):
+        yield int(to[i]), owner[i:j], [b.slice(a, n) for a, n in zip(word[i:j], size[i:j], strict=True)]
 
 
-def removed_words(ids: list[int], words: list[list[bytes]], shown: list[tuple[int, list[bytes]]], width: int) -> list[np.ndarray]:
+def removed_words(ids: list[int], texts: list[bytes], shown: list[tuple[int, bytes]], width: int) -> list[np.ndarray]:
     """For each document a mask of the words under an occurrence of a window that has an owner with a smaller id.
 
-    ids have to rise; shown: passages of other blocks with their owners' ids.
+    ids have to rise; texts are words joined by one blank; shown: passages of other blocks with their owners' ids.
     """
     shown = sorted(shown, key=lambda x: x[0])
-    n_shown = len(shown)
-    b = Block([*(i for i, _ in shown), *ids], [*(w for _, w in shown), *words], width)
-    masks = [np.zeros(len(w), bool) for w in words]
-    _, _, least, back = b.owners()
-    recurs = np.zeros(len(least), bool)
-    recurs[back[(b.doc >= n_shown) & (least[back] < b.ids[b.doc])]] = True
+    b = Block([*(i for i, _ in shown), *ids], [*(t for _, t in shown), *texts], width)
+    own = int(b.first[len(shown)])  # the first word of the block's own documents
+    gone = np.zeros(len(b.begin) + 1, np.int64)
+    values, least, back = b.owners()
+    recurs = np.zeros(len(values), bool)
+    recurs[back[(b.starts >= own) & (least[back] < b.ids[b.doc])]] = True
     positions = np.flatnonzero(recurs[back])
-    if not len(positions):
-        return masks
-    kinds, order = np.unique(back[positions], return_inverse=True)
-    follows = np.append((np.diff(positions) == 1) & (np.diff(b.doc[positions]) == 0), False)
-    begin, length = passages(order, follows)  # first occurrences: in what was shown, else in the owner's own text
-    phrases = Phrases([b.slice(int(positions[i]), int(n), width) for i, n in zip(begin, length, strict=True)])
-    owner = least[kinds]
-    for d, w in enumerate(words):  # every document streams through the automaton
-        if len(w) < width or not (found := list(phrases.occurrences(w))):
-            continue
-        ends, which = np.array(found, np.int64).T
-        n = length[which]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(ends - (n + width - 2), n) + within  # each window of each occurrence
-        gone = start[owner[order[np.repeat(begin[which], n) + within]] < ids[d]]
-        edges = np.zeros(len(w) + 1, np.int64)
-        np.add.at(edges, gone, 1)
-        np.add.at(edges, gone + width, -1)
-        masks[d] = np.cumsum(edges[:-1]) > 0
-    return masks
-
-
-def kept_text(text: str | None, words: list[bytes], mask: np.ndarray, layout: bool) -> str | None:
-    if layout and not mask.any():
-        return text
+    if len(positions):
+        kinds, order = np.unique(back[positions], return_inverse=True)
+        follows = np.append((np.diff(positions) == 1) & (np.diff(b.doc[positions]) == 0), False)
+        begin, length = passages(order, follows)  # first occurrences: in what was shown, else in the owner's own text
+        phrases, owner = Phrases(b, b.starts[positions[begin]], length + width - 1), least[kinds]
+        for d, i in enumerate(ids, len(shown)):  # every document streams through the automaton
+            f, n = int(b.first[d]), int(b.lengths[d])
+            if n >= width and (found := list(phrases.occurrences(f, n))):
+                at, which = np.array(found, np.int64).T
+                n = length[which]
+                within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # each window of each occurrence
+                lost = (np.repeat(at, n) + within)[owner[order[np.repeat(begin[which], n) + within]] < i]
+                np.add.at(gone, lost, 1)
+                np.add.at(gone, lost + width, -1)
+    mask = np.cumsum(gone[:-1]) > 0
+    return [mask[a:z] for a, z in zip(b.first[len(shown) : -1].tolist(), b.first[len(shown) + 1 :].tolist(), strict=True)]
+
+
+def kept_text(text: str | None, words: bytes, mask: np.ndarray, layout: bool) -> str | None:
+    if not mask.any():
+        return text if layout else words.decode("utf-8", "surrogatepass")
+    gone = mask.tolist()
     if layout:
-        raw, gone = text.encode("utf-8", "surrogatepass"), mask.tolist()
+        raw = text.encode("utf-8", "surrogatepass")
         pieces = list(_WORD.finditer(raw))
         out = raw[: pieces[0].start()] + b"".join(m[0] for m, out in zip(pieces, gone, strict=True) if not out)
     else:
-        out = b" ".join([x for x, out in zip(words, mask.tolist(), strict=True) if not out] if mask.any() else words)
+        out = b" ".join([x for x, out in zip(words.split(b" "), gone, strict=True) if not out])
     return out.decode("utf-8", "surrogatepass")
 
 
@@ -204,25 +235,26 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, s
 
     def block_of(pdf: pd.DataFrame) -> Block:
         pdf = pdf.sort_values("_id", kind="stable")
-        return Block(pdf["_id"].tolist(), [raw_words(t) for t in pdf["text"]], width)
+        return Block(pdf["_id"].tolist(), [plain(t) for t in pdf["text"]], width)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, _, least, _ = block_of(pdf).owners()
+        values, least, _ = block_of(pdf).owners()
         cut = np.searchsorted(values, np.array([(s << 64) // n_shards for s in range(1, n_shards)], np.uint64))
         out = [(s, int(pdf["_block"].iloc[0]), pack_sorted(v), pack(o)) for s, (v, o) in enumerate(zip(np.split(values, cut), np.split(least, cut), strict=True)) if len(v)]
         return pd.DataFrame(out, columns=["shard", "_from", "hashes", "owners"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = [unpack_sorted(x) for x in pdf["hashes"]]
-        sender = np.repeat(pdf["_from"].to_numpy(), [len(h) for h in hashes])
-        every, ids = np.concatenate(hashes), np.concatenate([unpack(x, np.int64) for x in pdf["owners"]])
-        order = np.lexsort((ids, every))
-        every, sender = every[order], sender[order]
-        first = np.flatnonzero(np.concatenate(([True], np.diff(every) != 0)))
-        later = np.ones(len(every), bool)
-        later[first] = False  # the owner's block comes first, all others ask
-        owner = np.repeat(sender[first], np.diff(np.append(first, len(every))))[later]
-        every, sender = every[later], sender[later]
+        every = np.concatenate(hashes)
+        order = np.argsort(every)
+        same = np.diff(every[order]) == 0
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        every, ids = every[order], np.concatenate([unpack(x, np.int64) for x in pdf["owners"]])[order]
+        sender = np.repeat(pdf["_from"].to_numpy(), [len(h) for h in hashes])[order]
+        first = np.flatnonzero(np.diff(every, prepend=every[:1] + np.uint64(1)) != 0)
+        n = np.diff(np.append(first, len(every)))
+        owns = ids == np.repeat(np.minimum.reduceat(ids, first), n) if len(first) else np.zeros(0, bool)  # one block for each window: all other blocks ask it
+        owner, every, sender = np.repeat(sender[owns], n)[~owns], every[~owns], sender[~owns]
         order = np.argsort(owner, kind="stable")
         owner, every, sender = owner[order], every[order], sender[order]
         cut = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
@@ -234,23 +266,23 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, s
         if len(pdf) and len(asked):
             asked = [(unpack_sorted(h), unpack(x, np.uint32)) for h, x in zip(asked["hashes"], asked["blocks"], strict=True)]
             for to, owners, texts in wanted_passages(block_of(pdf), asked, width):
-                out.append((to, np.array(owners, np.int64).tobytes(), zstandard.ZstdCompressor(level=1).compress(b"\n".join(map(b" ".join, texts)))))
+                out.append((to, np.array(owners, np.int64).tobytes(), zstandard.ZstdCompressor(level=1).compress(b"\n".join(texts))))
         return pd.DataFrame(out, columns=["_to", "owners", "texts"])
 
     def remove(pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=schema.names)
         pdf = pdf.sort_values("_id", kind="stable")
-        words = [raw_words(t) for t in pdf["text"]]
-        shown = [(i, t.split(b" ")) for o, x in zip(sent["owners"], sent["texts"], strict=True) for i, t in zip(np.frombuffer(o, np.int64).tolist(), zstandard.ZstdDecompressor().decompress(x).split(b"\n"), strict=True)]
+        words = [plain(t) for t in pdf["text"]]
+        shown = [x for o, t in zip(sent["owners"], sent["texts"], strict=True) for x in zip(np.frombuffer(o, np.int64).tolist(), zstandard.ZstdDecompressor().decompress(t).split(b"\n"), strict=True)]
         masks = removed_words(pdf["_id"].tolist(), words, shown, width)
         kept = [kept_text(t, w, m, layout) for t, w, m in zip(pdf["text"], words, masks, strict=True)]
-        return pdf.drop(columns=["_block", "_id"]).assign(n_words=[len(w) for w in words], n_removed=[int(m.sum()) for m in masks], kept_text=kept)
+        return pdf.drop(columns=["_block", "_id"]).assign(n_words=list(map(len, masks)), n_removed=[int(m.sum()) for m in masks], kept_text=kept)
 
     def unchanged(batches):
         for pdf in batches:
             words = [raw_words(t) for t in pdf["text"]]
-            yield pdf.assign(n_words=[len(w) for w in words], n_removed=0, kept_text=[kept_text(t, w, np.zeros(len(w), bool), layout) for t, w in zip(pdf["text"], words, strict=True)])
+            yield pdf.assign(n_words=list(map(len, words)), n_removed=0, kept_text=[kept_text(t, plain(t), np.zeros(0), layout) for t in pdf["text"]])
 
     sent = dealt.groupBy("_block").applyInPandas(send, "shard int, _from int, hashes binary, owners binary")
     asked = sent.groupBy("shard").applyInPandas(confirm, "_owner int, hashes binary, blocks binary")

@@ -166,8 +166,7 @@ def test_the_layout_of_a_text_can_stay(spark):
 
 
 def by_automaton(texts, width=4, shown=()):
-    ids, w = list(range(len(texts))), [t.encode().split() for t in texts]
-    return [int(m.sum()) for m in repeats.removed_words(ids, w, [(i, t.encode().split()) for i, t in shown], width)]
+    return [int(m.sum()) for m in repeats.removed_words(list(range(len(texts))), [t.encode() for t in texts], [(i, t.encode()) for i, t in shown], width)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -181,9 +180,9 @@ def test_automaton_matches_brute_force_on_periodic_texts(texts):
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=2, max_size=8))
 def test_passages_shown_by_other_blocks_give_the_same(texts):
     """Every second document lies in another block, whose words arrive only as the passages that were asked for."""
-    width, w = 4, [" ".join(t).encode().split() for t in texts]
+    width, w = 4, [" ".join(t).encode() for t in texts]
     blocks = [repeats.Block(list(range(k, len(w), 2)), w[k::2], width) for k in (0, 1)]
-    own = [dict(zip(v.tolist(), least.tolist(), strict=True)) for v, _, least, _ in (b.owners() for b in blocks)]
+    own = [dict(zip(v.tolist(), least.tolist(), strict=True)) for v, least, _ in (b.owners() for b in blocks)]
     got = {}
     for k in (0, 1):
         mine, other = own[k], own[1 - k]
@@ -200,10 +199,21 @@ def test_the_automaton_decides_by_words(monkeypatch):
     monkeypatch.setattr(repeats, "rolling", lambda h, n: np.full(max(0, len(h) - n + 1), 7, np.uint64))  # every window has the same hash
     assert by_automaton(["p q r s t", "a b c d e"], shown=shown) == [0, 0]
     monkeypatch.undo()
-    monkeypatch.setattr(repeats.Phrases, "occurrences", lambda self, w: iter(()))
+    monkeypatch.setattr(repeats, "word_hashes", lambda text, begin, end: (end - begin).astype(np.uint64))  # words of one length have the same hash
+    assert by_automaton(["p q r s t", "a b c d e"], shown=shown) == [0, 0] and by_automaton(["a b c d", "a b c d"]) == [0, 4]
+    monkeypatch.undo()
+    monkeypatch.setattr(repeats.Phrases, "occurrences", lambda self, word, n: iter(()))
     assert by_automaton([*texts, "k l m n"], shown=shown) == [0, 0, 0, 0]
 
 
+@given(st.lists(st.binary(max_size=12), max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_word_hashes_tell_words_apart(texts):
+    w = [x for t in texts for x in t.split()]
+    b = repeats.Block([0], [b" ".join(w)], 1)
+    assert len(set(b.word.tolist())) == len(set(w)) and b.lengths.tolist() == [len(w)] and [b.slice(i, 1) for i in range(len(w))] == w
+
+
 def test_more_distinct_words_than_letters(monkeypatch):
     long = " ".join(f"w{i}" for i in range(1_200_000))
     assert by_automaton([long, "new " + long], 13) == [0, 1_200_000]
