@@ -18,19 +18,24 @@ _FIXITY = r"""
 WITH replicas AS (
   SELECT 0 AS r, page_id, url, html FROM pages
   UNION ALL
-  SELECT 1, page_id, url, CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2) WHEN page_id % 211 = 7 THEN substr(html, 1, greatest(length(html) - 9, 0)) ELSE html END FROM pages),
+  SELECT 1, page_id, url, CASE WHEN page_id % 97 = 13 THEN '#' || substr(html, 2) WHEN page_id % 211 = 7 THEN substr(html, 1, greatest(length(html) - 9, 0)) ELSE html END FROM pages WHERE page_id % 389 <> 101
+  UNION ALL
+  SELECT 1, page_id, url || '?again', html FROM pages WHERE page_id % 503 = 11),
 shown AS (
   SELECT r, page_id, url, html, CAST(floor(page_id / 1000.0) AS BIGINT) AS file, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || html AS block FROM replicas),
 rows AS (
   SELECT r, file, page_id, url, html, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha256:' || sha256(page_id || ' ' || url) || '>' || chr(13) || chr(10)
-    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(html) || chr(13) || chr(10)
+    || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'X-Page-ID: ' || page_id || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(html) || chr(13) || chr(10)
     || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10) || 'Content-Length: ' || strlen(block) || chr(13) || chr(10) || chr(13) || chr(10) || block || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM shown),
 placed AS (
-  SELECT r, file, row_number() OVER w - 1 AS seq, page_id, strlen(record) AS length,
-    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY r, file ORDER BY page_id, sha256(url), sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte, sha256(record) AS hash
-  FROM rows WINDOW w AS (PARTITION BY r, file ORDER BY page_id, sha256(url), sha256(record)))
-SELECT a.file, a.seq, a.page_id, a.first_byte, a.length, a.hash AS expected_sha256, b.hash AS found_sha256
-FROM placed a JOIN placed b ON a.r = 0 AND b.r = 1 AND a.file = b.file AND a.seq = b.seq WHERE a.hash <> b.hash
+  SELECT r, file, row_number() OVER w - 1 AS seq, page_id, url, strlen(record) AS length,
+    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY r, file ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte, sha256(record) AS hash
+  FROM rows WINDOW w AS (PARTITION BY r, file ORDER BY page_id, sha256(record))),
+nth AS (SELECT *, row_number() OVER (PARTITION BY r, page_id, url ORDER BY hash) AS k FROM placed),
+a AS (SELECT * FROM nth WHERE r = 0), b AS (SELECT * FROM nth WHERE r = 1)
+SELECT coalesce(a.file, b.file) AS file, a.seq, coalesce(a.page_id, b.page_id) AS page_id, a.first_byte, a.length,
+  CASE WHEN b.hash IS NULL THEN 'lost' WHEN a.hash IS NULL THEN 'added' ELSE 'changed' END AS state, a.hash AS expected_sha256, b.hash AS found_sha256
+FROM a FULL JOIN b ON a.page_id = b.page_id AND a.url = b.url AND a.k = b.k WHERE a.hash IS DISTINCT FROM b.hash
 """
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -55,9 +55,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with damage to be found: a changed character in some pages, an end cut off in others."""
-    changed, cut = F.col("page_id") % 97 == 13, F.col("page_id") % 211 == 7
-    return pages.withColumn("html", F.when(changed, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).when(cut, F.substr("html", F.lit(1), F.greatest(F.length("html") - 9, F.lit(0)))).otherwise(F.col("html")))
+    """A replica with damage to be found: a changed character in some pages, an end cut off in others, some records lost, some added."""
+    changed, cut, number = F.col("page_id") % 97 == 13, F.col("page_id") % 211 == 7, F.col("page_id")
+    html = F.when(changed, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).when(cut, F.substr("html", F.lit(1), F.greatest(F.length("html") - 9, F.lit(0)))).otherwise(F.col("html"))
+    left = pages.filter(F.coalesce(number % 389 != 101, F.lit(True))).withColumn("html", html)
+    return left.unionByName(pages.filter(number % 503 == 11).withColumn("url", F.concat("url", F.lit("?again"))))
 
 
 def op8_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,12 +47,43 @@ def test_fixity_finds_exactly_the_damage(spark):
     hurt = F.col("page_id").isin(5, 33, 69)
     replica = kept.withColumn("html", F.when(hurt, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
     got = warc.audit(kept, replica, fanout=2, per_file=9).collect()
-    assert sorted(r["page_id"] for r in got) == [5, 33, 69] and all(r["expected_sha256"] != r["found_sha256"] for r in got)
+    assert sorted(r["page_id"] for r in got) == [5, 33, 69] and all(r["expected_sha256"] != r["found_sha256"] and r["state"] == "changed" for r in got)
     assert warc.audit(kept, kept, fanout=3, per_file=10).count() == 0
-    lost = warc.audit(kept, kept.filter("page_id <> 68 or page_id is null"), fanout=2, per_file=100).collect()
-    assert len(lost) >= 1 and any(r["found_sha256"] is None for r in lost)
     empty = kept.filter("false")
-    assert warc.audit(empty, empty).count() == 0 and warc.audit(kept, empty, per_file=10).count() == 72
+    assert warc.audit(empty, empty).count() == 0 and {(r["state"], r["n"]) for r in warc.audit(kept, empty, per_file=10).groupBy("state").agg(F.count("*").alias("n")).collect()} == {("lost", 72)}
+    assert {r["state"] for r in warc.audit(empty, kept, per_file=10).collect()} == {"added"}
+
+
+@pytest.mark.parametrize("lost", [0, 1, 449, 450, 899])
+def test_one_lost_or_added_record_is_exactly_one(spark, lost):
+    """Wherever it stands, whatever lies behind it; its place in the kept file is told."""
+    kept = pages(spark, 900)
+    less = kept.filter(F.col("page_id") != lost)
+    (r,) = warc.audit(kept, less, per_file=300).collect()
+    where = warc.records(kept, per_file=300, contents=False).filter(F.col("page_id") == lost).first()
+    assert (r["page_id"], r["state"], r["found_sha256"]) == (lost, "lost", None) and all(r[c] == where[c] for c in ("file", "seq", "first_byte", "length")) and r["expected_sha256"] == where["hash"]
+    (r,) = warc.audit(less, kept, per_file=300).collect()
+    assert (r["page_id"], r["state"], r["expected_sha256"], r["seq"]) == (lost, "added", None, None)
+
+
+def test_equal_records_and_records_without_ids_are_counted(spark):
+    rows = [(4, "u", "x")] * 5 + [(4, "u", "y"), (4, "v", "x")] + [(None, "u", "x")] * 3 + [(None, None, None)]
+    kept = spark.createDataFrame(rows, "page_id long, url string, html string")
+    state = lambda replica: sorted((r["page_id"], r["state"]) for r in warc.audit(kept, spark.createDataFrame(replica, kept.schema), per_file=10).collect())
+    assert state(rows[2:]) == [(4, "lost"), (4, "lost")] and state([*rows, rows[0]]) == [(4, "added")] and state(rows) == []
+    assert state([(4, "u", "z"), *rows[1:]]) == [(4, "changed")]
+    assert [s for _, s in state(rows[:7] + rows[8:])] == ["lost"]
+
+
+def test_equal_branches_are_not_read(spark, monkeypatch):
+    """Levels below the roots are compared only where their parents differ."""
+    seen, compare = [], warc.differing
+    monkeypatch.setattr(warc, "differing", lambda a, b: seen.append(a.count()) or compare(a, b))
+    kept = pages(spark, 256)
+    assert warc.audit(kept, kept, fanout=4, per_file=64).count() == 0 and seen == [1]
+    seen.clear()
+    assert warc.audit(kept, kept.withColumn("html", F.when(F.col("page_id") == 77, F.lit("x")).otherwise(F.col("html"))), fanout=4, per_file=64).count() == 1
+    assert seen == [1, 4, 4, 4, 4]
 
 
 def test_record_bytes(spark):
@@ -64,6 +95,33 @@ def test_record_bytes(spark):
     assert block[size:] == b"\r\n\r\n" and block[:size].endswith(b"<p>1</p>") and hashlib.sha256(body).hexdigest() == r[1]["hash"]
 
 
+def test_archives_are_written_and_read_back(spark, tmp_path):
+    odd = [(500, "http://h/é", "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"), (501, None, None), (None, "u", "x")]
+    kept = pages(spark, 40).drop("seq").unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    warc.write_archive(kept, str(tmp_path / "a"), per_file=20)
+    back = warc.read_archive(spark, str(tmp_path / "a"))
+    columns = ["file", "seq", "first_byte", "length", "hash"]
+    assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, warc.records(kept, per_file=20).select(columns).collect()))
+    assert sorted(map(repr, back.select("page_id", "url", "html").collect())) == sorted(map(repr, kept.fillna("").select("page_id", "url", "html").collect()))
+    for path in (tmp_path / "a").rglob("part-*"):  # each file's bytes are its records, one after the other
+        data = path.read_bytes()
+        assert b"".join(r for _, r, _, _ in warc.parse(data)) == data
+    warc.write_archive(kept, str(tmp_path / "b"), per_file=20)
+    assert warc.audit_archives(spark, str(tmp_path / "a"), str(tmp_path / "b"), per_file=20).count() == 0
+    (path,) = (p for p in (tmp_path / "b").rglob("part-*") if "file=1/" in str(p))
+    data = bytearray(path.read_bytes())
+    data[data.index(b"<p>25</p>") + 4] ^= 1  # one flipped bit
+    path.write_bytes(data)
+    for crc in path.parent.glob(".*.crc"):
+        crc.unlink()
+    (r,) = warc.audit_archives(spark, str(tmp_path / "a"), str(tmp_path / "b"), per_file=20).collect()
+    assert (r["page_id"], r["state"]) == (25, "changed")
+    at = data.index(b"WARC/1.0", data.index(b"<p>26</p>"))
+    path.write_bytes(data[:at] + b"XXXX/1.0" + data[at + 8 :])  # a record that no longer parses
+    got = warc.audit_archives(spark, str(tmp_path / "a"), str(tmp_path / "b"), per_file=20).collect()
+    assert sorted((r["page_id"] or -1, r["state"]) for r in got) == [(-1, "added"), (25, "changed"), (27, "lost")]
+
+
 def brute(ids, x, queries, k):
     out = {}
     for q in queries:
