@@ -6,7 +6,9 @@ window for each `n` consecutive words, or one window of all its words if it has
 part is held at a time), each hash hit is verified word by word, and the covered words become spans.
 
 Null or empty texts have no words and are clean; repeated rows are judged each by itself; an empty benchmark leaves every
-document clean; extra columns are kept by `decontaminate` and ignored by `find_hits`.
+document clean. Items without an id count like any other: their windows hit words, and all of them together are one item, which stands as
+a null at the end of `items`. Repeated item ids are one item with the windows of all its texts. Very long texts are scanned like others; extra columns
+are kept by `decontaminate` and ignored by `find_hits`.
 """
 
 from __future__ import annotations
@@ -38,15 +40,20 @@ def compile_items(rows: list[tuple], n: int) -> dict:
     windows: dict[tuple, set] = defaultdict(set)
     for item, text in rows:
         w = [vocab.setdefault(x, len(vocab) + 1) for x in words(text)]
-        if w and item is not None:
+        if w:
             for i in range(max(1, len(w) - n + 1)):
-                windows[tuple(w[i : i + n])].add(str(item))
+                windows[tuple(w[i : i + n])].add(None if item is None else str(item))
     by_length: dict[int, dict] = defaultdict(lambda: defaultdict(list))
     for w, items in windows.items():
-        by_length[len(w)][int(window_hashes(np.array(w, np.int64), len(w))[0])].append((w, sorted(items)))
+        by_length[len(w)][int(window_hashes(np.array(w, np.int64), len(w))[0])].append((w, in_order(items)))
     return {"vocab": vocab, "lengths": {k: (np.array(sorted(v), np.uint64), dict(v)) for k, v in by_length.items()}}
 
 
+def in_order(items: set) -> list:
+    """Ids as strings in order, the missing one last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     m = len(ids) - n + 1
     out = np.zeros(max(m, 0), np.uint64)
@@ -87,7 +94,7 @@ def parts(benchmark: DataFrame, most: int = PART_BYTES) -> Iterator[list[tuple]]
     """The test set in parts of bounded bytes, at least one; it is read part by part through a local iterator."""
     out, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(r.text or "")
+        n = len((r.text or "").encode("utf-8", "surrogatepass"))
         if size + n > most and out:
             yield out
             out, size = [], 0
@@ -127,7 +134,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
                     w = words(text)
                     mask, found = scan(w, shared.value)
                     n_words.append(len(w))
-                    items.append(sorted(found.union(i)))
+                    items.append(in_order(found.union(i)))
                     spans.append(spans_of(mask | mask_of(s, len(w))))
                 columns = dict(zip(b.schema.names, b.columns, strict=True)) | {"_n_words": pa.array(n_words, pa.int64()), "_items": pa.array(items, pa.list_(pa.string())), "_spans": pa.array(spans, pair)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))

@@ -74,7 +74,7 @@ def brute_hits(rows, items, n):
     for item, t in items:
         w = cut(t)
         for i in range(max(1, len(w) - n + 1)) if w else ():
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + n]), set()).add(None if item is None else str(item))
     out = []
     for doc_id, t in rows:
         w, hit, found = cut(t), set(), set()
@@ -83,16 +83,16 @@ def brute_hits(rows, items, n):
                 if (own := windows.get(tuple(w[i : i + k]))) is not None:
                     hit.update(range(i, i + k))
                     found |= own
-        out.append((doc_id, len(w), len(hit), sorted(found)))
+        out.append((doc_id, len(w), len(hit), sorted(found, key=lambda x: (x is None, x or ""))))
     return sorted(out, key=repr)
 
 
 def test_decontamination_matches_brute_force(spark, corpus):
-    items = [(1, " ".join(words(120, 1)[40:52])), (12, "One, TWO!"), (3, None), (4, "—"), (5, " ".join(words(40, 2)[5:25])), (None, "the the")]
+    items = [(1, " ".join(words(120, 1)[40:52])), (12, "One, TWO!"), (3, None), (4, "—"), (5, " ".join(words(40, 2)[5:25])), (None, "the the"), (None, " ".join(words(120, 1)[60:75])), (5, "ONE")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_hits(docs(spark, corpus), bench).collect()
     plain = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr)
-    assert plain == brute_hits(rows_of(spark, corpus), [i for i in items if i[0] is not None], 10)
+    assert plain == brute_hits(rows_of(spark, corpus), items, 10)
     assert all(r["contaminated"] == (r["n_hit"] > 0) == bool(r["spans"]) for r in got)
     kept = decontaminate.decontaminate(docs(spark, corpus), bench)
     assert kept.columns == docs(spark, corpus).columns and kept.count() == sum(not r["contaminated"] for r in got)
@@ -102,6 +102,17 @@ def test_decontamination_matches_brute_force(spark, corpus):
     assert decontaminate.find_hits(docs(spark, []), bench).count() == 0
 
 
+def test_digests_of_items_without_ids(spark, monkeypatch):
+    """The query's columns for a leak of an item without an id, beside an item with one."""
+    from quarry.llm import queries
+
+    tables = {"documents": docs(spark, ["x y z", "y z", "none"]), "benchmark": spark.createDataFrame([(None, "x y"), (7, "y z"), (None, "z")], "item_id long, text string")}
+    monkeypatch.setattr(queries, "table", lambda spark, sf, name: tables[name])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in queries.op2_decontaminate(spark, "").collect()}
+    seven, nothing = (hashlib.sha256(x).hexdigest() for x in (b"7", b""))
+    assert got == {0: (3, 2, seven, True), 1: (2, 2, seven, True), 2: (0, 0, nothing, False)}
+
+
 def test_benchmark_in_parts_gives_the_same(spark, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(words(120, 1)[i * 20 : i * 20 + 15])) for i in range(6)], "item_id long, text string")
     whole = sorted(map(repr, decontaminate.find_hits(docs(spark, corpus), bench).collect()))
