@@ -363,28 +363,105 @@ def test_side_by_side_merging_equals_merging_alone(encoder, word):
 
 
 def brute_base(rows):
-    count, texts = Counter(), {}
-    for d, t in rows:
-        w = [*(t or "").encode().lower().split(), "end"]
-        texts.setdefault(d, []).extend(w)
+    """One result a row, whatever its id."""
+    count, texts = Counter(), [(d, [*(t or "").encode().lower().split(), "end"]) for d, t in rows]
+    for d, w in texts:
         if d is not None and zlib.crc32(str(d).encode()) % 10:
             count.update(w)
     n, v = sum(count.values()), len(count)
-    return {d: (len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for d, w in texts.items()}
+    return [(d, d is None or zlib.crc32(str(d).encode()) % 10 == 0, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for d, w in texts]
 
 
 def test_language_model_base_and_gain(spark, corpus):
-    got = {r["doc_id"]: r for r in pitman_yor.score(docs(spark, corpus)).collect()}
-    want = brute_base(rows_of(spark, corpus))
-    assert set(got) == set(want)
-    for d, (n, known, total, base) in want.items():
-        r = got[d]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total) and math.isclose(r["base_score"], base, rel_tol=1e-9)
-        assert r["held_out"] == (d is None or zlib.crc32(str(d).encode()) % 10 == 0) and r["score"] < 0
-    assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
+    got = pitman_yor.score(docs(spark, corpus)).collect()
+    told = [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got]
+    assert sorted(told, key=repr) == sorted(brute_base(rows_of(spark, corpus)), key=repr)
+    assert all(r["score"] < 0 and math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"])) for r in got)
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert pitman_yor.score(docs(spark, [])).count() == 0
 
 
+def test_scores_do_not_depend_on_the_number_of_shards(spark, monkeypatch):
+    """Also with contexts so frequent that they are spread; the overall perplexity is that of all tokens."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.3, 120) % 400) for _ in range(120)]
+    means = []
+    for shards in (1, 7, 20):
+        monkeypatch.setattr(pitman_yor, "parts_of", lambda df, mb, least, n=shards: n if least == 32 else 1)
+        out = pitman_yor.score(docs(spark, texts)).cache()
+        rows = out.collect()
+        means.append([np.sum([x["score"] for x in rows if x["held_out"] == h]) / np.sum([x["n_tokens"] for x in rows if x["held_out"] == h]) for h in (False, True)])
+        whole = {x["held_out"]: x["perplexity"] for x in pitman_yor.perplexity(out).collect()}
+        assert all(math.isclose(whole[h], 10 ** -means[-1][h], rel_tol=1e-9) for h in (False, True))
+    assert np.ptp(means, axis=0).max() < 0.005
+
+
+def seated_one_by_one(rows, d1, d0, theta, sweeps, kept):
+    """A plain Chinese-restaurant sampler, customer by customer, and the mean log10 probability a token of held-out and training texts."""
+    r = np.random.default_rng(0)
+    texts = [([*t.split(), "<end>"], zlib.crc32(str(d).encode()) % 10 != 0) for d, t in rows]
+    pairs = [(v, w) for t, learn in texts if learn for v, w in zip(["<start>", *t], t, strict=False)]
+    vocabulary = len({w for _, w in pairs})
+    tables: dict = {}  # (restaurant, dish) -> sizes of its tables
+    sums = {"": [0, 0]}
+
+    def p(rest, w, base, d):
+        c, t = sums.get(rest, (0, 0))
+        own = tables.get((rest, w), [])
+        return (sum(own) - d * len(own) + (theta + d * t) * base) / (theta + c)
+
+    top = lambda w: p("", w, 1 / (vocabulary + 1), d0)
+
+    def sit(rest, w, base, d):
+        own = tables.setdefault((rest, w), [])
+        n = sums.setdefault(rest, [0, 0])
+        weights = np.array([*(x - d for x in own), (theta + d * n[1]) * base])
+        k = int(r.choice(len(weights), p=weights / weights.sum()))
+        n[0] += 1
+        if k < len(own):
+            own[k] += 1
+            return False
+        own.append(1)
+        n[1] += 1
+        return True
+
+    def leave(rest, w):
+        own, n = tables[rest, w], sums[rest]
+        k = int(r.choice(len(own), p=np.array(own) / sum(own)))
+        own[k] -= 1
+        n[0] -= 1
+        if own[k] == 0:
+            own.pop(k)
+            n[1] -= 1
+            return True
+        return False
+
+    chance = [np.zeros(len(t)) for t, _ in texts]
+    for sweep in range(sweeps):
+        for v, w in pairs:
+            if sweep and leave(("c", v), w):
+                leave("", w)
+            if sit(("c", v), w, top(w), d1):
+                sit("", w, 1 / (vocabulary + 1), d0)
+        if sweep >= sweeps - kept:
+            for k, (t, _) in enumerate(texts):
+                chance[k] += [p(("c", v), w, top(w), d1) / kept for v, w in zip(["<start>", *t], t, strict=False)]
+    return [np.concatenate([np.log10(c) for c, (_, learn) in zip(chance, texts, strict=True) if learn == own]).mean() for own in (False, True)]
+
+
+def test_scores_are_near_those_of_a_plain_sampler(spark):
+    r = np.random.default_rng(14)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.5, 40) % 60) for _ in range(100)]
+    rows = rows_of(spark, texts)
+    pairs = Counter((v, w) for d, t in rows if zlib.crc32(str(d).encode()) % 10 for v, w in zip(["<start>", *t.split()], [*t.split(), "<end>"], strict=True))
+    d1 = pitman_yor.discount(sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values()))
+    served = Counter(w for _, w in pairs)
+    want = seated_one_by_one(rows, d1, pitman_yor.discount(sum(c == 1 for c in served.values()), sum(c == 2 for c in served.values())), pitman_yor.THETA, 25, 10)
+    got = pitman_yor.score(docs(spark, texts)).collect()
+    mean = [sum(x["score"] for x in got if x["held_out"] != own) / sum(x["n_tokens"] for x in got if x["held_out"] != own) for own in (False, True)]
+    assert np.abs(np.array(mean) - want).max() < 0.02
+
+
 def test_language_model_without_training_texts(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     r = pitman_yor.score(docs(spark, [(held, "some words")])).first()
