@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PREVIEW, basename, cut, iso, normal_type, parse_iso, suffix, type_label
+from ..functions.text import PREVIEW, basename, cut, iso, listing_preview, normal_type, parse_iso, suffix, type_label
 
 LISTED = ("indexed", "metadata_only")
 
@@ -172,3 +172,37 @@ def category_listing(docs: DataFrame, types: list[str]) -> DataFrame:
     """Listed documents of the given categories by name."""
     wanted = [t.strip().upper() for t in types]
     return docs.filter(F.col("processing_status").isin(*LISTED) & F.upper(F.trim("document_category")).isin(*wanted)).select(basename(F.col("file_path")).alias("filename"), "file_path", "document_category").orderBy(F.lower("filename"), "file_path")
+
+
+def listed_rows(docs: DataFrame, budget: int, types: list[str] | None = None) -> DataFrame:
+    """Sources of a listing answer by name: every listed document (of some categories) with a preview within the budget."""
+    shown = docs.filter(F.col("processing_status").isin(*LISTED))
+    if types:
+        shown = shown.filter(F.upper(F.trim("document_category")).isin(*[t.strip().upper() for t in types]))
+    name = basename(F.col("file_path"))
+    preview = cut(listing_preview(F.col("processing_status"), F.col("content_preview"), F.col("chunks_count"), name, budget), 300)
+    return shown.select(
+        name.alias("filename"), "file_path", F.lit(1.0).alias("relevance_score"), preview.alias("content_snippet"), F.coalesce("chunks_count", F.lit(0)).alias("chunks_found"), "file_type", "processing_status",
+        F.nullif(F.trim("document_category"), F.lit("")).alias("category"),
+    ).orderBy(F.lower("filename"), "file_path")
+
+
+def category_answer(docs: DataFrame, types: list[str]) -> DataFrame:
+    """One row, kind and documents: the category's documents are listed (matched), there are none although others have categories (none), or nothing has one (generic)."""
+    wanted = F.upper(F.trim("document_category")).isin(*[t.strip().upper() for t in types])
+    counts = docs.filter(F.col("processing_status").isin(*LISTED)).agg(F.count_if(wanted).alias("documents"), F.count_if(F.coalesce(F.trim("document_category"), F.lit("")) != "").alias("any"))
+    return counts.select(F.when(F.col("documents") > 0, "matched").when(F.col("any") > 0, "none").otherwise("generic").alias("kind"), "documents")
+
+
+def by_path(docs: DataFrame, path: str) -> DataFrame:
+    return docs.filter(F.col("file_path") == path).limit(1)
+
+
+def by_id(docs: DataFrame, number: int) -> DataFrame:
+    return docs.filter(F.col("id") == number).limit(1)
+
+
+def first_page_progress(docs: DataFrame, most: int = 100) -> DataFrame:
+    """Counts by status over the newest documents, as a progress bar shows them."""
+    count = lambda s: F.count_if(F.col("processing_status") == s).alias(s)
+    return docs.orderBy(F.desc("indexed_at"), F.desc("id")).limit(most).agg(F.count("*").alias("total"), count("indexed"), count("metadata_only"), count("error"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, suffix
-from .chunking import prose_chunks, with_keys
+from ..functions.text import PREVIEW, basename, document_title, layout_preview, suffix
+from .chunking import SHEET_PREVIEW, prose_chunks, sheet_chunks, with_keys
 
 # What is accepted.
 EXTENSIONS = ("pdf", "docx", "txt", "xlsx", "xls", "pptx")
@@ -22,14 +24,14 @@ def reject_reason(path: Column, length: Column, ocr: bool = False) -> Column:
 
 
 def diff(known: DataFrame, scan: DataFrame) -> DataFrame:
-    """file_path and its state: new, unchanged (hash), touched (only the time), changed, removed; pending if known but not indexed.
+    """file_path and its state: new, unchanged (hash), touched (only the time), changed, removed; pending if known but not indexed. A file without a hash could not be read: unreadable.
 
     known: file_path, file_hash, last_modified, processing_status; scan: file_path, file_hash, last_modified.
     """
     k = known.select("file_path", F.col("file_hash").alias("old_hash"), F.col("last_modified").alias("old_time"), F.col("processing_status").alias("status"))
-    both = scan.select("file_path", "file_hash", "last_modified").join(k, "file_path", "full_outer")
+    both = scan.select("file_path", "file_hash", "last_modified", F.lit(True).alias("there")).join(k, "file_path", "full_outer")
     apart = F.abs(F.unix_micros("last_modified") - F.unix_micros("old_time")) / 1e6
-    state = F.when(F.col("file_hash").isNull(), "removed").when(F.col("old_hash").isNull(), "new").when(F.col("status") != "indexed", "pending").when(F.col("file_hash") != F.col("old_hash"), "changed").when(apart < SAME_SECONDS, "unchanged").otherwise("touched")
+    state = F.when(F.col("there").isNull(), "removed").when(F.col("file_hash").isNull(), "unreadable").when(F.col("old_hash").isNull(), "new").when(F.col("status") != "indexed", "pending").when(F.col("file_hash") != F.col("old_hash"), "changed").when(apart < SAME_SECONDS, "unchanged").otherwise("touched")
     return both.select("file_path", state.alias("state"))
 
 
@@ -85,3 +87,46 @@ def rename(rows: DataFrame, old: str, new: str) -> DataFrame:
     """A moved file or folder in any table with file_path."""
     p = F.col("file_path")
     return rows.withColumn("file_path", F.when(p == old, F.lit(new)).when(p.startswith(old.rstrip("/") + "/"), F.concat(F.lit(new.rstrip("/")), F.substr(p, F.lit(len(old.rstrip("/")) + 1)))).otherwise(p))
+
+
+def run(known: DataFrame, chunks: DataFrame, scan: DataFrame, read: Callable[[DataFrame], DataFrame], as_of: str, sheets: Callable[[DataFrame], DataFrame] | None = None, taxonomy: tuple[str, ...] = (), force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, chunks) after a scan (file_path, file_hash, file_type, file_size, last_modified, reject_reason and what `read` needs).
+
+    Accepted files that are new, changed or not indexed yet (all, if forced) are read by `read` (file_path, text), spreadsheets by `sheets` (file_path,
+    sheet, row_no, cells), and chunked; their old chunks go. Files without any text become errors, also on a later run, until they change.
+    Unchanged files cost neither reading nor chunking; a second run over the same scan changes nothing. Files that the scan does not have stay.
+    """
+    good = scan.filter("reject_reason is null")
+    done = known.filter("processing_status in ('indexed', 'error')").select("file_path", "file_hash")
+    work = good if force else good.join(done, ["file_path", "file_hash"], "left_anti")
+    prose = read(work).select("file_path", "text").filter(F.trim("text") != "")
+    made = prose_chunks(prose)
+    if sheets is not None:
+        made = made.unionByName(sheet_chunks(sheets(work)))
+    counts = made.groupBy("file_path").agg(F.count("*").cast("int").alias("chunks_count"), F.min_by("text", "chunk_id").alias("first"))
+    titles = prose.select("file_path", layout_preview(F.col("text"), PREVIEW).alias("shown"), document_title(F.col("text"), list(taxonomy)).alias("document_category"))
+    rows = work.select("file_path", "file_hash", "file_type", "file_size", "last_modified").join(counts, "file_path", "left").join(titles, "file_path", "left")
+    rows = rows.select(
+        "file_path", "file_hash", "file_type", "file_size", "last_modified", F.coalesce("shown", F.substring("first", 1, SHEET_PREVIEW), F.lit("")).alias("content_preview"), "document_category",
+        F.coalesce("chunks_count", F.lit(0)).alias("chunks_count"), F.when(F.col("chunks_count") > 0, "indexed").otherwise("error").alias("processing_status"),
+    )
+    return upsert(known, rows, as_of), without(chunks, work).unionByName(with_keys(made).select(chunks.columns))
+
+
+def removed(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
+    """All tables without some files: by file_path, or by the path in chunk_key where a table has only that (postings, vectors)."""
+    path = F.regexp_extract("chunk_key", r"^(.*):[^:]*$", 1)
+    gone = paths.select(F.col("file_path").alias("_gone")).distinct()
+    return {k: t.join(gone, (F.col("file_path") if "file_path" in t.columns else path) == F.col("_gone"), "left_anti") for k, t in tables.items()}
+
+
+def cleared(tables: dict[str, DataFrame], keep: tuple[str, ...] = ("sessions", "messages")) -> dict[str, DataFrame]:
+    """All tables emptied but those to keep."""
+    return {k: t if k in keep else t.limit(0) for k, t in tables.items()}
+
+
+def latest_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
+    """chunks after new rows with the same columns, the new ones winning by chunk_key."""
+    both = chunks.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = Window.partitionBy("chunk_key").orderBy(F.desc("_new"), F.desc("text"))
+    return both.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "_new")

@@ -13,6 +13,9 @@ from ..functions.text import SNIPPET, cut, suffix, tokens
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K, PER_FILE, DOMINANT, STRONGLY_DOMINANT, PRIMARY_CHUNKS = 60, 4, 0.6, 0.8, 3
 
+# Fixed value: what stands between documents of a context.
+SEPARATOR = "\n\n---\n\n"
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -29,13 +32,21 @@ POLICIES = {"listing": Policy(120, 120, 1000, 0), "aggregation": Policy(100, 50,
 
 
 class Bm25Index:
-    """Postings (chunk_key, tok, tf) of (chunk_key, text), kept while they are used; lengths and statistics derive from them."""
+    """Postings (chunk_key, tok, tf) of (chunk_key, text); lengths and statistics derive from them.
+
+    `keep` holds the postings in memory and on disk for further questions; `close` lets them go.
+    """
 
-    def __init__(self, chunks: DataFrame):
+    def __init__(self, chunks: DataFrame, keep: bool = False):
         self.chunks = chunks.select("chunk_key")
         # Tokens are only exploded, so that each text is tokenised once.
         occurrences = chunks.select("chunk_key", F.explode(tokens(F.col("text"))).alias("tok"))
-        self.postings = occurrences.groupBy("chunk_key", "tok").agg(F.count("*").alias("tf")).persist()
+        self.postings = occurrences.groupBy("chunk_key", "tok").agg(F.count("*").alias("tf"))
+        if keep:
+            self.postings.persist()
+
+    def close(self) -> None:
+        self.postings.unpersist()
 
     @classmethod
     def of(cls, postings: DataFrame, chunks: DataFrame) -> Bm25Index:
@@ -56,6 +67,10 @@ class Bm25Index:
         """The index without some chunks (chunk_key)."""
         return Bm25Index.of(*(t.join(chunk_keys.select("chunk_key"), "chunk_key", "left_anti") for t in (self.postings, self.chunks)))
 
+    def stats(self) -> DataFrame:
+        """chunks and whether anything is indexed."""
+        return self.chunks.agg(F.count("*").alias("chunks"), (F.count("*") > 0).alias("built"))
+
     def totals(self) -> DataFrame:
         """n chunks (also those without tokens) and their mean length."""
         n = self.chunks.agg(F.count("*")).scalar()
@@ -129,11 +144,16 @@ def diversity_cap(rows: DataFrame, final_top_k: int, per_file: int = PER_FILE) -
     return kept.filter(~F.col("_cap") | (F.col("_p") <= final_top_k)).drop("_n", "_f", "_k", "_cap", "_p")
 
 
-def hybrid(chunks: DataFrame, semantic: DataFrame, keyword: DataFrame, policy: Policy, filename: str | None = None) -> DataFrame:
-    """Fused, text-recovered, filtered and capped chunks: pos, chunk_key, file_path, chunk_id, text, score (cosine; 0 for keyword-only hits)."""
+def hybrid(chunks: DataFrame, semantic: DataFrame, keyword: DataFrame | None, policy: Policy, filename: str | None = None) -> DataFrame:
+    """Fused, text-recovered, filtered and capped chunks: pos, chunk_key, file_path, chunk_id, text, score (cosine; 0 for keyword-only hits).
+
+    Without a keyword index (None) the semantic order stands alone.
+    """
+    if keyword is None:
+        keyword = semantic.select("chunk_key", "rank").limit(0)
     fused = only_if_semantic(fuse(semantic, keyword)).join(semantic.select("chunk_key", "base_score"), "chunk_key", "left")
     found = fused.join(chunks, "chunk_key").filter(F.trim("text") != "")
-    rows = found.select("pos", "chunk_key", "file_path", "chunk_id", "text", F.coalesce("base_score", F.lit(0.0)).alias("score"), "rrf_score")
+    rows = found.select("pos", "chunk_key", "file_path", "chunk_id", "text", F.coalesce("base_score", F.lit(0.0)).alias("score"), "rrf_score", *[c for c in chunks.columns if c == "page_number"])
     return filename_filter(rows, filename) if filename else diversity_cap(rows, policy.final_top_k)
 
 
@@ -152,30 +172,70 @@ def single_file(rows: DataFrame, explicit: bool = False, aggregation: bool = Fal
     return shape.select(F.col("p.file_path").alias("file_path"), F.col("p.n").alias("primary_chunks"), "files", "chunks", alone.alias("single"))
 
 
+def capped(text: Column, most: int) -> Column:
+    """The text of a document as it goes into a context: cut with a mark if there is a cap."""
+    return F.when(F.length(text) > most, F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+$", ""), F.lit("\n[...]"))).otherwise(text) if most else text
+
+
 def context_blocks(rows: DataFrame, per_document: int = 0) -> DataFrame:
-    """file_path, pos, block, relevance_score, snippet, chunks_found, file_type: a block a file, in first-seen order."""
-    groups = rows.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("c"), F.min("pos").alias("pos"), F.round(F.avg("score"), 3).alias("relevance_score"), F.max_by("text", F.struct("score", -F.col("pos"))).alias("best"), F.count("*").alias("chunks_found"))
-    block = F.array_join(F.transform("c", lambda x: x["text"]), "\n")
-    return groups.select("file_path", "pos", (cut(block, per_document, "\n[...]") if per_document else block).alias("block"), "relevance_score", cut(F.col("best"), SNIPPET).alias("content_snippet"), "chunks_found", suffix(F.col("file_path")).alias("file_type"))
+    """file_path, pos, block, relevance_score, content_snippet, chunks_found, file_type (and page_number, if rows have it): a block a file, in first-seen order."""
+    best = [F.max_by("page_number", F.struct("score", -F.col("pos"))).alias("page_number")] if "page_number" in rows.columns else []
+    groups = rows.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("c"), F.min("pos").alias("pos"), F.round(F.avg("score"), 3).alias("relevance_score"), F.count("*").alias("chunks_found"), *best)
+    groups = groups.withColumn("block", capped(F.array_join(F.transform("c", lambda x: x["text"]), "\n"), per_document))
+    return groups.select("file_path", "pos", "block", "relevance_score", cut(F.col("block"), SNIPPET).alias("content_snippet"), "chunks_found", suffix(F.col("file_path")).alias("file_type"), *[b for b in ["page_number"] if best])
 
 
 def whole_file(chunks: DataFrame, path: str, per_document: int = 0) -> DataFrame:
-    """All chunks of a file as one block."""
+    """All chunks of a file as one block: file_path, block, content_snippet, chunks_found."""
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n")
-    return chunks.filter(F.col("file_path") == path).groupBy("file_path").agg(text.alias("t")).select("file_path", (cut(F.col("t"), per_document, "\n[...]") if per_document else F.col("t")).alias("block"))
+    whole = chunks.filter(F.col("file_path") == path).groupBy("file_path").agg(text.alias("t"), F.count("*").alias("chunks_found"))
+    return whole.select("file_path", capped(F.col("t"), per_document).alias("block"), cut(F.col("t"), SNIPPET).alias("content_snippet"), "chunks_found")
+
+
+def selected_only(rows: DataFrame, selected: list[str]) -> DataFrame:
+    return rows.filter(F.exists(F.array(*[F.lit(s) for s in selected]).cast("array<string>"), lambda s: F.col("file_path").contains(s)))
+
+
+def files_named(chunks: DataFrame, name: str | None) -> DataFrame:
+    """Paths of the files whose name starts like the one that a question names, case aside; nothing without a name."""
+    if not name:
+        return chunks.select("file_path").limit(0)
+    return chunks.select("file_path").distinct().filter(F.startswith(F.lower(F.regexp_extract("file_path", r"([^/]*)$", 1)), F.lit(name.lower())))
+
+
+def answer_blocks(rows: DataFrame, chunks: DataFrame, policy: Policy, explicit: bool = False, aggregation: bool = False, selected: tuple[str, ...] = ()) -> DataFrame:
+    """The blocks an answer is written from: all of one file if the hits point at it (`single_file`), else the hits of each file (of selected ones alone, if any are selected).
+
+    One row about the hits reaches the driver, which decides between the two.
+    """
+    ordered = prefer_files(rows, list(selected)).drop("selected") if selected else rows
+    one = single_file(ordered, explicit, aggregation).first()
+    if one is None or not one["single"]:
+        return context_blocks(selected_only(ordered, list(selected)) if selected else ordered, policy.per_document)
+    own = context_blocks(ordered.filter(F.col("file_path") == one["file_path"]))
+    rest = [c for c in own.columns if c not in ("block", "content_snippet", "chunks_found")]
+    names = own.columns
+    return own.select(rest).join(whole_file(chunks, one["file_path"], policy.per_document), "file_path").select(names)
 
 
 def sources(blocks: DataFrame, policy: Policy) -> DataFrame:
-    return blocks.orderBy(F.desc("relevance_score"), "pos").limit(policy.sources).select("file_path", "relevance_score", "content_snippet", "chunks_found", "file_type")
+    names = ["file_path", "relevance_score", "content_snippet", "chunks_found", "file_type", *[c for c in blocks.columns if c == "page_number"]]
+    return blocks.orderBy(F.desc("relevance_score"), "pos").limit(policy.sources).select(names)
+
+
+def joined_context(blocks: DataFrame) -> DataFrame:
+    """One row, context: every block under its document's name, in order."""
+    named = F.concat(F.lit("[Document: "), F.regexp_extract("file_path", r"([^/]*)$", 1), F.lit("]\n"), "block")
+    return blocks.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", named.alias("b")))), lambda x: x["b"]), SEPARATOR).alias("context"))
 
 
-def truncate_context(blocks: DataFrame, most: int, separator: int) -> DataFrame:
-    """(id, pos, block) -> (id, context, omitted): whole blocks while they fit, the first one cut if it alone is too long."""
+def truncate_context(blocks: DataFrame, most: int, separator: int, between: str | None = None) -> DataFrame:
+    """(id, pos, block) -> (id, context, omitted): whole blocks while they fit, the first one cut if it alone is too long; line feeds between them, or that text."""
     w = Window.partitionBy("id").orderBy("pos")
     sized = blocks.withColumn("n", F.sum(F.length("block") + separator).over(w) - separator).withColumn("k", F.row_number().over(w))
     part = F.when((F.col("k") == 1) & (F.col("n") > most), F.regexp_replace(F.substring("block", 1, most), r"\s+$", "")).when(F.col("n") <= most, F.col("block"))
     rows = sized.withColumn("part", part).groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("pos", "part")))).alias("p"), F.max("n").alias("total"))
-    return rows.select("id", F.array_join(F.transform("p", lambda x: x["part"]), "\n" * separator).alias("context"), (F.col("total") > most).alias("omitted"))
+    return rows.select("id", F.array_join(F.transform("p", lambda x: x["part"]), "\n" * separator if between is None else between).alias("context"), (F.col("total") > most).alias("omitted"))
 
 
 # When contexts are compressed.

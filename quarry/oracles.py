@@ -163,10 +163,10 @@ SELECT conv_id, CASE WHEN coalesce(t, '') = '' THEN 'New chat' WHEN length(CASE
     "selected_files_first": f"{_hybrid('search')} SELECT row_number() OVER (ORDER BY s DESC, p) AS pos, chunk_key, s AS selected FROM (SELECT pos AS p, chunk_key, contains(file_path, '/en/') OR contains(file_path, '/de/') AS s FROM rows)",
     "single_file_mode": f"""{_hybrid('search')}, f AS (SELECT file_path, count(*) AS n, min(pos) AS a FROM rows GROUP BY 1), s AS (SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks FROM f)
 SELECT file_path, n AS primary_chunks, files, chunks, files = 1 OR (n / chunks >= 0.8 AND n >= 3) AS single FROM f, s ORDER BY n DESC, a LIMIT 1""",
-    "source_rows": f"""{_hybrid('search')} SELECT file_path, round(avg(score), 3) AS relevance_score, CASE WHEN length(arg_max(text, (score, -pos))) > 300 THEN substr(arg_max(text, (score, -pos)), 1, 300) || '...' ELSE arg_max(text, (score, -pos)) END AS content_snippet, count(*) AS chunks_found, '' AS file_type
+    "source_rows": f"""{_hybrid('search')} SELECT file_path, round(avg(score), 3) AS relevance_score, CASE WHEN length(string_agg(text, chr(10) ORDER BY text)) > 300 THEN substr(string_agg(text, chr(10) ORDER BY text), 1, 300) || '...' ELSE string_agg(text, chr(10) ORDER BY text) END AS content_snippet, count(*) AS chunks_found, '' AS file_type
 FROM rows GROUP BY file_path ORDER BY 2 DESC, min(pos) LIMIT 25""",
     "context_blocks": """SELECT CAST(conv_id AS VARCHAR) AS file_path, min(conv_id * 100 + turn) AS pos, sha256(string_agg(text, chr(10) ORDER BY turn)) AS block_sha256, round(avg(turn / 10.0), 3) AS relevance_score,
-CASE WHEN length(arg_max(text, turn)) > 300 THEN substr(arg_max(text, turn), 1, 300) || '...' ELSE arg_max(text, turn) END AS content_snippet, count(*) AS chunks_found FROM conversations GROUP BY conv_id""",
+CASE WHEN length(string_agg(text, chr(10) ORDER BY turn)) > 300 THEN substr(string_agg(text, chr(10) ORDER BY turn), 1, 300) || '...' ELSE string_agg(text, chr(10) ORDER BY turn) END AS content_snippet, count(*) AS chunks_found FROM conversations GROUP BY conv_id""",
     "truncate_context": r"""WITH s AS (SELECT conv_id AS id, turn AS pos, text, sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn) - 2 AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
 SELECT id, coalesce(string_agg(CASE WHEN k = 1 AND n > 500 THEN rtrim(substr(text, 1, 500), E' \t\n\r') WHEN n <= 500 THEN text END, chr(10) || chr(10) ORDER BY pos), '') AS context, max(n) > 500 AS omitted FROM s GROUP BY id""",
     "sheet_chunks": f"WITH {_SHEET} SELECT file_path, CAST(row_number() OVER (PARTITION BY file_path ORDER BY sheet, g) - 1 AS INT) AS chunk_id, text, CAST(length(text) AS INT) AS end_pos, CAST(count(*) OVER (PARTITION BY file_path) AS INT) AS total_chunks FROM texts",
@@ -183,9 +183,9 @@ SELECT id, CASE WHEN q = '' OR q IN ({_list(nl.CASUAL)}) OR (len(w) <= 4 AND (le
     "aggregation_intent": f"WITH {_ASKED} SELECT id, regexp_matches(lower(trim(question)), {_any(nl.AGGREGATION)}) AS aggregation FROM asked",
     "detect_filename": f"WITH {_ASKED} SELECT id, coalesce(nullif(regexp_extract(question, '\"([^\"]+)\"', 1), ''), nullif(regexp_extract(question, {_quoted(nl.FILE_NAME)}, 1), '')) AS file_name FROM asked",
     "category_intent": _categories(),
-    "coalesce_events": f"""WITH e AS (SELECT 'f' || user_id AS file_path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event_type, ts FROM events),
+    "coalesce_events": f"""WITH e AS (SELECT 'f' || user_id AS file_path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event_type, ts, event_id FROM events),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY file_path ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY file_path ORDER BY ts) AS k FROM g)
-SELECT file_path, arg_max(event_type, ts) AS event_type, {_TS.format('max(ts)')} AS last_ts, count(*) AS events FROM s GROUP BY file_path, k""",
+SELECT file_path, arg_max(event_type, (ts, event_id)) AS event_type, {_TS.format('max(ts)')} AS last_ts, count(*) AS events FROM s GROUP BY file_path, k""",
     "stream_window_counts": f"SELECT {_TS.format('date_trunc(' + _quoted('day') + ', ts)')} AS window_start, event_type, count(*) AS events FROM events GROUP BY 1, 2",
     "stream_dedup": "SELECT DISTINCT 'f' || user_id AS file_path, event_type AS file_hash FROM events",
     "update_priority": """SELECT doc_id, CAST(CASE WHEN doc_id % 97 = 0 THEN 1000 ELSE least(1000, greatest(0, CASE WHEN doc_id % 3 = 0 THEN 200 ELSE 0 END + floor(greatest(0, 400 - (doc_id % 60) * 10)) + floor(greatest(0, 200 - n_chars * 5000 / 1048576.0 * 2))

@@ -335,14 +335,14 @@ def stream_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counts from a stream of the events; the newest days stay open until the watermark passes them, so the stream runs in complete mode."""
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(_folder(sf, "events"))
     timed = stream.selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type")
-    return ev.to_memory(ev.window_counts(timed), "complete").select(_ts("window_start").alias("window_start"), "event_type", "events")
+    return ev.collected(ev.window_counts(timed), "complete").select(_ts("window_start").alias("window_start"), "event_type", "events")
 
 
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """First sight of each content of a file, from a stream."""
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(_folder(sf, "events"))
     changes = stream.selectExpr("concat('f', user_id) AS file_path", "event_type AS file_hash", "CAST(ts AS TIMESTAMP) AS ts")
-    return ev.to_memory(ev.first_of_content(changes, "60 days")).select("file_path", "file_hash")
+    return ev.collected(ev.first_of_content(changes, "60 days")).select("file_path", "file_hash")
 
 
 def _folder(sf: str, name: str) -> str:

@@ -16,3 +16,15 @@ def session(app: str = "quarry", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the checkpoint folder of the context; on one machine a temporary one, on a cluster without any an error."""
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = f"{tempfile.gettempdir()}/quarry-checkpoints"
+    return root.rstrip("/")

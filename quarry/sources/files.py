@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, suffix
-from ..operators.ingest import reject_reason
+from ..operators.ingest import metadata_only, reject_reason, to_resume, upsert
 
 
 def load_taxonomy(path: str) -> list[str]:
@@ -24,10 +24,15 @@ def load_taxonomy(path: str) -> list[str]:
 def scan(spark: SparkSession, directory: str, content: bool = True) -> DataFrame:
     """Every file below a directory: file_path, file_name, file_type, file_size, size_mb, last_modified, file_hash, reject_reason, content.
 
-    Files without a byte are left out by the scan itself.
+    Files without a byte are left out by the scan itself; what vanishes or cannot be read between listing and reading is left out too.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    path = F.regexp_replace("path", "^file:/*", "/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(directory)
+    return described(rows if content else rows.drop("content"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """The columns of a scan from binaryFile rows (path, modificationTime, length and perhaps content)."""
+    path, content = F.regexp_replace("path", "^file:/*", "/"), "content" in rows.columns
     out = rows.select(
         path.alias("file_path"), basename(path).alias("file_name"), suffix(path).alias("file_type"), F.col("length").alias("file_size"), F.round(F.col("length") / 1048576.0, 2).alias("size_mb"),
         F.col("modificationTime").alias("last_modified"), *([F.sha2("content", 256).alias("file_hash"), F.col("content")] if content else []),
@@ -35,6 +40,13 @@ def scan(spark: SparkSession, directory: str, content: bool = True) -> DataFrame
     return out.withColumn("reject_reason", reject_reason(F.col("file_path"), F.col("file_size")))
 
 
+def scan_and_upsert(known: DataFrame, scanned: DataFrame, as_of: str, resume: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(documents with a metadata_only row for every accepted file whose content is to be read, these files). Without resume all are read again."""
+    good = scanned.filter("reject_reason is null")
+    todo = to_resume(known, good) if resume else good
+    return upsert(known, metadata_only(todo), as_of), todo
+
+
 def plain_text(files: DataFrame) -> DataFrame:
     """file_path, text of text files: UTF-8 if valid, else Latin-1."""
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))

@@ -6,14 +6,20 @@ Every function takes a batch or a streaming DataFrame of (file_path, event_type,
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import suffix
+from ..operators.ingest import EXTENSIONS
+from ..session import shared_folder
+
 # Quiet time before a change is acted on, queue capacity, retained results.
 QUIET = "2 seconds"
 CAPACITY, KEPT_DONE, KEPT_FAILED, URGENT = 1_000, 100, 50, 1_000
+#: File events that wait at most; more are dropped, the oldest first kept.
+WAITING = 100
 WATERMARK = "10 minutes"
 
 
@@ -29,7 +35,9 @@ def coalesce(events: DataFrame, quiet: str = QUIET, watermark: str | None = None
     On a stream give a watermark: bursts are emitted once it has passed them, later events are dropped.
     """
     timed = events.withWatermark("ts", watermark) if watermark else events
-    bursts = timed.groupBy("file_path", F.session_window("ts", quiet).alias("w")).agg(F.max_by("event_type", "ts").alias("event_type"), F.max("ts").alias("last_ts"), F.count("*").alias("events"))
+    # Of events at the same time the one with the larger id counts, without ids the alphabetically last.
+    last = F.struct("ts", *(["event_id"] if "event_id" in events.columns else []), "event_type")
+    bursts = timed.groupBy("file_path", F.session_window("ts", quiet).alias("w")).agg(F.max_by("event_type", last).alias("event_type"), F.max("ts").alias("last_ts"), F.count("*").alias("events"))
     return bursts.select("file_path", "event_type", "last_ts", "events")
 
 
@@ -63,10 +71,52 @@ def queue_status(tasks: DataFrame) -> DataFrame:
 
 
 def retained(results: DataFrame, done: int = KEPT_DONE, failed: int = KEPT_FAILED) -> DataFrame:
-    """The latest results (task_id, status, completed_at): so many completed, so many failed; other rows stay."""
-    w = Window.partitionBy("status").orderBy(F.desc("completed_at"), F.desc("task_id"))
-    most = F.when(F.col("status") == "completed", done).when(F.col("status") == "failed", failed)
-    return results.withColumn("_k", F.row_number().over(w)).filter(most.isNull() | (F.col("_k") <= most)).drop("_k")
+    """The latest results (task_id, status, completed_at): so many completed, so many failed; other rows stay.
+
+    Each status is a top-k that is cut in every task before anything is gathered, so a status with most of the rows fills no task.
+    """
+    rest = results.filter(~F.coalesce(F.col("status").isin("completed", "failed"), F.lit(False)))
+    latest = lambda s, n: results.filter(F.col("status") == s).orderBy(F.desc("completed_at"), F.desc("task_id")).limit(n)
+    return rest.unionAll(latest("completed", done)).unionAll(latest("failed", failed))
+
+
+def accepted(events: DataFrame, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """Events of files that can be ingested (deletions of any), moves split first."""
+    split = split_moves(events) if "target" in events.columns else events
+    return split.filter((F.col("event_type") == "deleted") | suffix(F.col("file_path")).isin(*extensions))
+
+
+def waiting(events: DataFrame, capacity: int = WAITING) -> DataFrame:
+    """The events that a full queue of so many does not drop: the first to come (a batch)."""
+    return events.orderBy("ts", "file_path", "event_type").limit(capacity)
+
+
+def taken(tasks: DataFrame, n: int) -> DataFrame:
+    """Tasks (file_path, priority, enqueued_at, state) after the first n pending ones were taken: they become active."""
+    first = queue(tasks.filter("state = 'pending'"), n).select(F.col("file_path").alias("_p"), F.lit(True).alias("_t"))
+    state = F.when(F.col("_t") & (F.col("state") == "pending"), "active").otherwise(F.col("state"))
+    return tasks.join(F.broadcast(first), F.col("file_path") == F.col("_p"), "left").withColumn("state", state).drop("_p", "_t")  # at most n rows
+
+
+def active(tasks: DataFrame) -> DataFrame:
+    """What is being worked on, by time."""
+    return tasks.filter("state = 'active'").orderBy("enqueued_at", "file_path")
+
+
+def enqueued(files: DataFrame, as_of: str, user_requested: bool = False) -> DataFrame:
+    """Tasks (file_path, priority, enqueued_at, state) of files (file_path, file_size, last_modified)."""
+    age = (F.unix_timestamp(F.to_timestamp(F.lit(as_of))) - F.unix_timestamp("last_modified")) / 3600.0
+    p = priority(F.col("file_size"), age, F.lit(False), F.lit(1.0), F.lit(user_requested))
+    return files.select("file_path", p.alias("priority"), F.to_timestamp(F.lit(as_of)).alias("enqueued_at"), F.lit("pending").alias("state"))
+
+
+def status_changes(statuses: Iterator[dict]) -> Iterator[dict]:
+    """Of a sequence of queue states only those that differ from the one before."""
+    last = None
+    for s in statuses:
+        if s != last:
+            yield s
+        last = s
 
 
 def not_in_flight(events: DataFrame, in_flight: DataFrame) -> DataFrame:
@@ -83,17 +133,27 @@ def ingest_stream(events: DataFrame, apply: Callable[[DataFrame, DataFrame], Non
     """Runs apply(upserts, deletions) on each micro-batch of coalesced events."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        last = rows.groupBy("file_path").agg(F.max_by("event_type", "ts").alias("event_type"))
+        last = rows.groupBy("file_path").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type"))
         apply(last.filter("event_type <> 'deleted'").select("file_path"), last.filter("event_type = 'deleted'").select("file_path"))
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
 
-def to_memory(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is available now and returns its rows as a batch."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{root.rstrip('/')}/{name}").trigger(availableNow=True).start()
+def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is available now into tables of the shared checkpoint folder and returns its rows as a batch.
+
+    Each micro-batch is a folder of its own, overwritten if it is repeated; in complete mode the last one counts.
+    """
+    spark = stream.sparkSession
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(rows: DataFrame, k: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/{k}")
+        batches.append(k)
+
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    done = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{root}/rows/{k}" for k in done]) if done else spark.createDataFrame([], stream.schema)

@@ -113,7 +113,7 @@ def test_stream_matches_batch(spark, tmp_path):
     rows = spark.createDataFrame([("f", "created", datetime(2024, 1, 1)), ("f", "deleted", datetime(2024, 1, 1, 0, 0, 1)), ("g", "modified", datetime(2024, 1, 2))], "file_path string, event_type string, ts timestamp")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    assert sorted(map(tuple, ev.to_memory(ev.window_counts(stream), "complete").collect())) == sorted(map(tuple, ev.window_counts(rows).collect()))
+    assert sorted(map(tuple, ev.collected(ev.window_counts(stream), "complete").collect())) == sorted(map(tuple, ev.window_counts(rows).collect()))
     seen = []
     ev.ingest_stream(stream, lambda up, down: seen.append((sorted(r[0] for r in up.collect()), [r[0] for r in down.collect()])), str(tmp_path / "ck")).awaitTermination()
     assert seen == [(["g"], ["f"])]
@@ -186,7 +186,8 @@ def test_engine_answers(spark):
     ).select("*", F.lit(10).alias("file_size"), F.lit(datetime(2024, 1, 1)).alias("last_modified"), F.lit(datetime(2024, 1, 1)).alias("indexed_at"), F.col("text").alias("content_preview"), F.lit("REPORT").alias("document_category"), F.lit("indexed").alias("processing_status"), F.lit(1).alias("chunks_count"))
     corpus = Corpus(docs, taxonomy=("REPORT",))
     assert corpus.ask("hello").query_type == "greeting"
-    assert corpus.ask("what are our reports").sources == ["cement.txt", "steel.pdf"]
+    listed = corpus.ask("what are our reports")
+    assert [x["filename"] for x in listed.sources] == ["cement.txt", "steel.pdf"] and listed.message.startswith("2 document(s) indexed as report:")
     answer = corpus.ask("when was that delivered?", "cement.txt")
     assert answer.query_type == "document_search" and answer.sources[0]["file_path"] == "/d/cement.txt"
     assert [k for k, _ in corpus.ask_stream("hi")][0] == "meta"

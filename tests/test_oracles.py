@@ -8,8 +8,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry.oracles import ORACLES
-from quarry.queries import QUERIES
+from quarry import oracles, queries, service_oracles, service_queries
+
+ORACLES, QUERIES = oracles.ORACLES | service_oracles.ORACLES, queries.QUERIES | service_queries.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
