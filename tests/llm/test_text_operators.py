@@ -553,6 +553,67 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert max(r["score"] for r in toxicity.score(d, none).collect()) < 1e-9
 
 
+def brute_kernel(a, b):
+    """Weighted subsequences that two terms share, character by character."""
+    from itertools import combinations
+
+    def subsequences(w):
+        w = toxicity.padded(w)
+        out = Counter()
+        for at in combinations(range(len(w)), toxicity.ORDER):
+            if at[-1] - at[0] < toxicity.SPAN:
+                out["".join(w[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        weights = [toxicity.DECAY ** (at[-1] - at[0] + 1) for at in combinations(range(len(w)), toxicity.ORDER) if at[-1] - at[0] < toxicity.SPAN]
+        return out, math.sqrt(sum(x * x for x in weights))
+
+    (x, n), (y, m) = subsequences(a), subsequences(b)
+    return sum(v * y[k] for k, v in x.items()) / n / m
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcé傻瓜", min_size=1, max_size=9), st.text(alphabet="abcé傻瓜", min_size=1, max_size=9))
+def test_kernel_equals_brute_force(a, b):
+    a, b = toxicity.padded(a), toxicity.padded(b)
+    assert math.isclose(toxicity.against([a], toxicity.vector(b))[0], brute_kernel(a, b), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_sentences_and_terms():
+    got = toxicity.sentences("You are an id-iot! Is it s c u m now?\nNo. 傻瓜。ok")
+    assert [sorted(x.strip("\x02\x03") for x in t) for t in got[:3]] == [["an", "are", "id-iot", "idiot", "you"], ["c", "is", "it", "m", "now", "s", "u"], ["no"]]
+    assert "scum" in got[-1] and any(toxicity.padded("傻瓜") in t for t in got) and toxicity.sentences(None) == toxicity.sentences(" \n ") == []
+    assert all(len(w) >= toxicity.ORDER for t in ("a", "ab", "abc", "abcd") for w in toxicity.terms(t))
+    assert toxicity.against(["\x02pig\x03"], toxicity.vector("\x02pig\x03"))[0] > 2 * toxicity.against(["\x02big\x03"], toxicity.vector("\x02pig\x03"))[0]
+
+
+@pytest.mark.parametrize("insults", [["sod", "git", "pig"], ["zq", "vx"], ["傻瓜", "你是傻瓜吗", "他真是笨蛋啊", "笨蛋"]], ids=["three letters", "two letters", "without blanks"])
+def test_short_insults_are_learned(insults):
+    """Held-out texts with words under four characters, or within a run of characters without blanks, beside clean ones."""
+    r, rows = np.random.default_rng(8), []
+    words_, other = [f"{a}{b}{c}" for a in "bdkl" for b in "aeiou" for c in "mnrst"] + ["of", "to", "an"], ["你好世界", "今天天气很好", "他们去学校"]
+    for i in range(600):
+        w = [*r.choice(words_, 60), *r.choice(other, 3)]
+        r.shuffle(w)
+        if i % 4 == 0:
+            for _ in range(2):
+                w[int(r.integers(len(w)))] = insults[int(r.integers(len(insults)))]
+        rows.append((int(i % 4 == 0), " ".join(w)))
+    machine = toxicity.fit([(y, [tuple(sorted(x)) for x in toxicity.sentences(t)]) for y, t in rows[:400]])
+    found = machine.scores(toxicity.Scorer(machine).summaries([t for _, t in rows[400:]])[0]) >= 0.5
+    assert np.mean(found == np.array([y for y, _ in rows[400:]], bool)) > 0.95
+
+
+def test_scores_of_texts_are_those_of_their_sentences(spark, corpus):
+    """The scorer's arrays against terms, sentences and values one by one."""
+    d, labels, *_ = labelled(spark)
+    machine = toxicity.train(d, labels)
+    texts = [t[1] if isinstance(t, tuple) else t for t in corpus if t is None or not isinstance(t, str) or len(t) < 5000] + ["What an idiot! You mo-ron.\nFine.", "i d i o t"]
+    got, best = toxicity.Scorer(machine).summaries(texts)
+    for t, row, term in zip(texts, got, best, strict=True):
+        values = [max(machine.margins(sorted(x))) for x in toxicity.sentences(t)]
+        assert np.allclose(row, toxicity.summary(np.array(values)))
+        assert (term is None) == (not values)
+
+
 def test_folded_table_equals_kernel():
     a, b = "idiot", "ixdiot"
     assert math.isclose(toxicity.against([b], toxicity.vector(a))[0], float(toxicity.vector(a) @ toxicity.vector(b)))
