@@ -5,12 +5,14 @@ exactly if every adjacent pair of tokens is one that BPE itself would leave apar
 once in a table of compatible pairs (a pair's verdict is worked out once and remembered). Only pieces with a failing pair
 go through exact merging in rank order.
 
-A null text counts as empty and has no tokens. Repeated rows are encoded each; extra columns are ignored.
+A null or empty text has no tokens; a very long text is encoded whole, word by word. Of equal pairs in a word the left one merges first. Repeated rows are
+encoded each; an empty table gives no rows; extra columns are ignored. Files with settings other than SETTINGS are refused.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import re
 import unicodedata
@@ -37,15 +39,45 @@ END = "\uffff"
 _NOT_BLANK = re.compile("[\x1c-\x1f]")
 
 
+#: Settings of a file that this encoder reproduces (fixed values of the format): normaliser, what follows the split, model, decoder.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "bytes": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    "split": ("Removed", True),
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    "decoder": None,
+}
+
+
+class Unsupported(ValueError):
+    """A tokenizers file asks for something that this encoder does not do."""
+
+
+def check(j: dict) -> None:
+    steps = (j["pre_tokenizer"] or {}).get("pretokenizers", [])
+    asked = {
+        "normalizer": j["normalizer"], "bytes": steps[-1] if len(steps) == 2 else steps, "split": (steps[0].get("behavior"), steps[0].get("invert")) if steps else None,
+        "model": {k: j["model"].get(k) for k in SETTINGS["model"]}, "decoder": j["decoder"],
+    }
+    for k, want in SETTINGS.items():
+        if asked[k] != want:
+            raise Unsupported(f"{k}: {asked[k]}")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in j["added_tokens"]):
+        raise Unsupported("added tokens that are stripped, normalised or whole words")
+
+
 def load(path: str) -> dict:
     """What encoding needs from a tokenizers file: vocabulary, merges, special tokens, pattern, word-end mark. Bounded by the file."""
-    with open(path, encoding="utf-8") as f:
-        j = json.load(f)
+    with open(path, "rb") as f:
+        raw = f.read()
+    j = json.loads(raw)
+    check(j)
     model = j["model"]
     split = next(p for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     return {
         "vocab": model["vocab"], "merges": [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]],
         "special": {t["content"]: t["id"] for t in j["added_tokens"]}, "pattern": same_classes(split["pattern"]["Regex"]), "plain": split["pattern"]["Regex"], "end": model["end_of_word_suffix"] or "",
+        "digest": hashlib.sha256(raw).hexdigest(),
     }
 
 
@@ -317,7 +349,7 @@ class Encoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
-#: One for each file, kept for the worker's life.
+#: One for each file's contents, kept for the worker's life.
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -327,15 +359,20 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(load(path))
 
     def run(batches):
-        if path not in _ENCODERS:
-            gc.disable()  # the tables of known words hold very many lists and no cycles
-            _ENCODERS[path] = Encoder(shared.value)
-        e = _ENCODERS[path]
-        for b in batches:
-            packed = e.packed(b.column(1).to_pylist())
-            ids, decoded = [x for x, _ in packed], [x for _, x in packed]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        spec, collected = shared.value, gc.isenabled()
+        gc.disable()  # the tables of known words hold very many lists and no cycles; for this task only
+        try:
+            if spec["digest"] not in _ENCODERS:
+                _ENCODERS[spec["digest"]] = Encoder(spec)
+            e = _ENCODERS[spec["digest"]]
+            for b in batches:
+                packed = e.packed(b.column(1).to_pylist())
+                ids, decoded = [x for x, _ in packed], [x for _, x in packed]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            if collected:
+                gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)

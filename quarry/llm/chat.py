@@ -4,7 +4,7 @@ A conversation is its turns in order, a turn is `### role: text</turn>` and a li
 a control string (`###`, `</turn>`, and `:` in a role) or before another backslash is dropped by the parser and what follows is ordinary text. A turn
 is first rendered as it stands and reparsed; only if the parser does not return exactly its role and text, its conflicting
 content is escaped, and the comparison repeats until both are identical. Turns are rendered side by side, whatever their conversation;
-only the finished strings meet. The loss mask covers the (escaped) texts of assistant turns.
+only the finished strings meet, and each whole conversation is parsed once more and compared with its source turns. The loss mask covers the (escaped) texts of assistant turns.
 
 A null text or role counts as empty. Turns with equal numbers follow role and text; null turn numbers come first; a null
 conversation id is a conversation of its own; repeated rows are turns of their own. Extra columns are ignored.
@@ -95,14 +95,18 @@ def format_conversations(rows: DataFrame) -> DataFrame:
         turn = pa.struct([("role", pa.string()), ("text", pa.string())])
         for b in batches:
             parsed = [parse(s) for s in b.column(1).to_pylist()]
+            for c, p, said in zip(b.column(0).to_pylist(), parsed, b.column(2).to_pylist(), strict=True):
+                if [x[:2] for x in p] != [(x["role"], x["text"]) for x in said]:
+                    raise Malformed(f"conversation {c} does not read back")
             turns = [[{"role": r, "text": t} for r, t, _, _ in p] for p in parsed]
             spans = [[{"first": a, "last": z} for r, _, a, z in p if r == LEARNED] for p in parsed]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(turns, pa.list_(turn)), pa.array(spans, pa.list_(span))], ["conv_id", "formatted", "turns", "loss_spans"])
 
     cast = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     shown = cast.mapInArrow(show, "conv_id long, turn long, role string, text string, shown string")
-    whole = shown.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown"))), lambda x: x["shown"]), "").alias("formatted"))
-    return whole.mapInArrow(back, FORMATTED)
+    turns = shown.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown"))).alias("t"))
+    said = F.transform("t", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["shown"]), "").alias("formatted"), said.alias("said")).mapInArrow(back, FORMATTED)
 
 
 def loss_text(formatted, spans):

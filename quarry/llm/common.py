@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Rows of one Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings that the Arrow operators rely on; a checkpoint folder only where none is set."""
+    """Session settings that the Arrow operators rely on; the checkpoint folder is the session's, on one machine a temporary one if it has none, on a cluster without one an error."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return spark
 
 
@@ -136,12 +138,31 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def sheltered(docs: DataFrame, work: Callable[[DataFrame], DataFrame], plain: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """What work makes of docs, whose columns but the plain ones have other names meanwhile, so that they clash with nothing; work may add columns, which go."""
+    inner = [c if c in plain else f"_column_{i}" for i, c in enumerate(docs.columns)]
+    return work(docs.toDF(*inner)).select(inner).toDF(*docs.columns)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared checkpoint folder and read again: later jobs start from it, whatever executors are lost."""
+    """df written as a table in the shared checkpoint folder and read again: later jobs start from it, whatever executors are lost. It goes when the application ends, or by `unstored`."""
     import uuid
 
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstored(df: DataFrame) -> None:
+    """Removes the folder that `stored` wrote df to; nothing may read it any more."""
+    if found := df.inputFiles():
+        files, place = _files(df.sparkSession, found[0])
+        files.delete(place.getParent(), True)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, prepare, stored
+from .common import mix64, prepare, sheltered, stored, unstored
 
 #: Everything but a-z, 0-9 and bytes over 0x7F becomes a blank, A-Z become a-z.
 TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -154,14 +154,6 @@ def scanned(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def unstored(df: DataFrame) -> None:
-    """Removes the folder that `stored` wrote df to."""
-    if files := df.inputFiles():
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """One row a document (doc_id, n_words, n_hit, items, spans, contaminated): counts, matched items and covered word spans."""
     out = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, n)
@@ -176,6 +168,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: documents or spans, not {remove}")
+    return sheltered(docs, lambda inner: _decontaminate(inner, benchmark, n, remove))
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, n: int, remove: str) -> DataFrame:
     out = scanned(docs, benchmark, n)
     if remove == "documents":
         return out.filter(F.size("_spans") == 0).select(docs.columns)

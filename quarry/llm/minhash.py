@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, lower_words, prepare, rolling, stored
+from .common import WordHasher, lower_words, prepare, rolling, sheltered, stored
 from .components import connected_components
 
 BANDS, ROWS = 36, 5
@@ -224,6 +224,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
     The row with the smallest id stays; null ids come last, and of several texts with that id the smallest node stays. Ids that stand
     in one row are decided by the id; rows with a null or repeated id each by id and node.
     """
+    return sheltered(docs, lambda inner: _one_of_each(inner, width, percent))
+
+
+def _one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = stored(labelled(docs, width, percent), "labelled")
     alone = F.col("doc_id").isNotNull() & (F.count("*") == 1)
     marks = rows.groupBy("doc_id").agg(alone.alias("_alone"), F.bool_and("kept").alias("_stays")).filter("not (_alone and _stays)").select(F.col("doc_id").alias("_id"), "_alone")

@@ -38,6 +38,13 @@ def test_conversations_with_nulls_ties_and_repeats(spark):
     assert chat.format_conversations(df.filter("false")).count() == 0
 
 
+def test_whole_conversations_are_compared(spark, monkeypatch):
+    """A rendering whose single turns read back but which merges turns is found out."""
+    monkeypatch.setattr(chat, "render", lambda r, t, f=chat.render: f(r, t) * 2)
+    with pytest.raises(Exception, match="does not read back"):
+        chat.format_conversations(spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")).collect()
+
+
 def pages(spark, n=70):
     return spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>", 1) for i in range(n)], "page_id long, url string, html string, seq int")
 

@@ -340,6 +340,16 @@ def test_bpe_matches_the_library(spark, corpus, tokenizer):
     assert bpe.encode(docs(spark, []), path).count() == 0
 
 
+def test_other_tokenizer_settings_are_refused(tokenizer, tmp_path):
+    import json
+
+    j = json.load(open(tokenizer[1], encoding="utf-8"))
+    for change in ({"normalizer": None}, {"normalizer": {"type": "Lowercase"}}, {"decoder": {"type": "ByteLevel"}}, {"model": j["model"] | {"byte_fallback": True}}, {"added_tokens": [j["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(j | change))
+        with pytest.raises(bpe.Unsupported):
+            bpe.load(str(tmp_path / "t.json"))
+
+
 @pytest.fixture(scope="module")
 def encoder(tokenizer):
     return bpe.Encoder(bpe.load(tokenizer[1]))
