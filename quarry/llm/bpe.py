@@ -77,7 +77,7 @@ def load(path: str) -> dict:
     return {
         "vocab": model["vocab"], "merges": [tuple(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]],
         "special": {t["content"]: t["id"] for t in j["added_tokens"]}, "pattern": same_classes(split["pattern"]["Regex"]), "plain": split["pattern"]["Regex"], "end": model["end_of_word_suffix"] or "",
-        "digest": hashlib.sha256(raw).hexdigest(),
+        "odd": odd_letters(), "digest": hashlib.sha256(raw).hexdigest(),
     }
 
 
@@ -101,6 +101,22 @@ def same_classes(pattern: str) -> str:
     return pattern
 
 
+def odd_letters() -> tuple[dict[str, str], dict[str, str]]:
+    """(letters that the tokenizers library lower-cases otherwise than Python, with its result; letters that only Python takes apart, with their parts).
+
+    The two follow different Unicode versions. What only the library takes apart is none of today's versions and is refused.
+    """
+    from tokenizers import normalizers
+
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)] if c != 10]
+    joined = "\n".join(every)
+    lower = {c: x for c, x in zip(every, normalizers.Lowercase().normalize_str(joined).split("\n"), strict=True) if x != c.replace("Σ", "σ").lower()}
+    apart = {c: unicodedata.normalize("NFD", c) for c, x in zip(every, normalizers.NFD().normalize_str(joined).split("\n"), strict=True) if x != unicodedata.normalize("NFD", c)}
+    if wrong := [c for c, x in apart.items() if x == c]:
+        raise Unsupported(f"canonical decompositions that Python does not know: {wrong}")
+    return lower, apart
+
+
 def ranges(letters: set[str]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for c in sorted(map(ord, letters)):
@@ -127,6 +143,9 @@ class Encoder:
         self.names = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
         self.rank = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in reversed([*enumerate(spec["merges"])])}
         self.findall, self.find_old = regex.compile(spec["pattern"], regex.V1).findall, regex.compile(spec["plain"]).findall
+        lower, apart = spec["odd"]
+        self.lower, self.apart = {ord(c): x for c, x in lower.items()}, list(apart.values())
+        self.odd = re.compile("[" + "".join(map(re.escape, lower)) + "]" + "".join(f"|{re.escape(x)}" for x in self.apart)) if lower or apart else re.compile("(?!)")
         self.blank = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(byte_letters()))
@@ -301,11 +320,20 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text; blanks part pieces, so each word can be cut into pieces on its own."""
+        odd = not text.isascii() and self.odd.search(text)
         if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            text = self.composed(text, self.apart) if odd else unicodedata.normalize("NFC", text)
+        if odd:
+            text = text.translate(self.lower)
         low = text.replace("Σ", "σ").lower()  # letter by letter: no word-final sigma
         return [w for w in self.blank.split(low) if w] if _NOT_BLANK.search(low) else low.split()
 
+    def composed(self, text: str, apart: list[str]) -> str:
+        """NFC, but for sequences that the library leaves apart."""
+        if not apart:
+            return unicodedata.normalize("NFC", text)
+        return apart[0].join(self.composed(x, apart[1:]) for x in text.split(apart[0]))
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [np.frombuffer(ids, np.int32).tolist() for ids, _ in self.packed(texts)]
 

@@ -325,7 +325,7 @@ def tokenizer():
     return t, P.path("word_bpe_49k.json")
 
 
-ODD = ["ΑΣ Σίσυφος", "<|endoftext|>hi<|startoftext|> don't I'll  \x1c\x85 x", "日本語 🤖 é ﬁ İstanbul ǅ", "a" * 3000 + " 1234 5.6!!...?", "it's 'S 'T they'VE", "zero​width­ ½ Ⅷ", "ẞ ß", "\x00 \x07\t\n", "ç reê"]
+ODD = ["ΑΣ Σίσυφος", "<|endoftext|>hi<|startoftext|> don't I'll  \x1c\x85 x", "日本語 🤖 é ﬁ İstanbul ǅ", "a" * 3000 + " 1234 5.6!!...?", "it's 'S 'T they'VE", "zero​width­ ½ Ⅷ", "ẞ ß", "\x00 \x07\t\n", "ç reê", "\U00010d50\ua7cbx \u1c89", "a\U00011935\U00011930 \U00011938e\u0301"]
 
 
 def test_bpe_matches_the_library(spark, corpus, tokenizer):
