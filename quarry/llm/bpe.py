@@ -112,11 +112,20 @@ def odd_letters() -> tuple[dict[str, str], dict[str, str]]:
     joined = "\n".join(every)
     lower = {c: x for c, x in zip(every, normalizers.Lowercase().normalize_str(joined).split("\n"), strict=True) if x != c.replace("Σ", "σ").lower()}
     apart = {c: unicodedata.normalize("NFD", c) for c, x in zip(every, normalizers.NFD().normalize_str(joined).split("\n"), strict=True) if x != unicodedata.normalize("NFD", c)}
-    if wrong := [c for c, x in apart.items() if x == c]:
-        raise Unsupported(f"canonical decompositions that Python does not know: {wrong}")
+    if wrong := [c for c, x in apart.items() if x == c] + [c for c in [*lower, *(x[0] for x in apart.values())] if c < "\u0100"]:
+        raise Unsupported(f"letters that Python treats otherwise: {wrong}")
     return lower, apart
 
 
+def beyond_latin(text: str) -> bool:
+    """Whether a text has letters beyond Latin-1, before which none is odd."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 def ranges(letters: set[str]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for c in sorted(map(ord, letters)):
@@ -145,7 +154,8 @@ class Encoder:
         self.findall, self.find_old = regex.compile(spec["pattern"], regex.V1).findall, regex.compile(spec["plain"]).findall
         lower, apart = spec["odd"]
         self.lower, self.apart = {ord(c): x for c, x in lower.items()}, list(apart.values())
-        self.odd = re.compile("[" + "".join(map(re.escape, lower)) + "]" + "".join(f"|{re.escape(x)}" for x in self.apart)) if lower or apart else re.compile("(?!)")
+        first = {*lower, *(x[0] for x in self.apart)}
+        self.odd = re.compile(f"[{''.join(map(re.escape, sorted(first)))}]" if first else "(?!)")
         self.blank = regex.compile(r"\p{White_Space}+")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = dict(enumerate(byte_letters()))
@@ -320,7 +330,7 @@ class Encoder:
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text; blanks part pieces, so each word can be cut into pieces on its own."""
-        odd = not text.isascii() and self.odd.search(text)
+        odd = beyond_latin(text) and self.odd.search(text)
         if not unicodedata.is_normalized("NFC", text):
             text = self.composed(text, self.apart) if odd else unicodedata.normalize("NFC", text)
         if odd:
@@ -352,7 +362,7 @@ class Encoder:
                     plan.append(special)
             plans.append(plan)
             new.update(plan)
-        new.difference_update(self.words)
+        new = new.difference(self.words)  # goes through the new words and not through all known ones
         cut = {w: self.find(w) for w in new if w[0] != SPECIAL}
         self.learn({p for found in cut.values() for p in found if p not in self.words})  # a piece is a word of one piece
         words, names = self.words, self.shown
