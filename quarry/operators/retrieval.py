@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SNIPPET, cut, suffix, tokens
+from ..session import stored, unstored
 
 # BM25 parameters, fusion constant, caps.
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -34,24 +35,27 @@ POLICIES = {"listing": Policy(120, 120, 1000, 0), "aggregation": Policy(100, 50,
 class Bm25Index:
     """Postings (chunk_key, tok, tf) of (chunk_key, text); lengths and statistics derive from them.
 
-    `keep` holds the postings in memory and on disk for further questions; `close` lets them go.
+    `keep` writes the postings to a table in the shared folder, so that texts are tokenised once for all that is asked of them; `close` removes it.
     """
 
     def __init__(self, chunks: DataFrame, keep: bool = False):
         self.chunks = chunks.select("chunk_key")
-        # Tokens are only exploded, so that each text is tokenised once.
-        occurrences = chunks.select("chunk_key", F.explode(tokens(F.col("text"))).alias("tok"))
+        # Texts are dealt by their key before they are tokenised: they are smaller than their tokens, and counting needs no exchange after it.
+        dealt = chunks.select("chunk_key", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_key")
+        occurrences = dealt.select("chunk_key", F.explode(tokens(F.col("text"))).alias("tok"))
         self.postings = occurrences.groupBy("chunk_key", "tok").agg(F.count("*").alias("tf"))
+        self.kept = keep
         if keep:
-            self.postings.persist()
+            self.postings = stored(self.postings, "postings")
 
     def close(self) -> None:
-        self.postings.unpersist()
+        if self.kept:
+            unstored(self.postings)
 
     @classmethod
     def of(cls, postings: DataFrame, chunks: DataFrame) -> Bm25Index:
         out = cls.__new__(cls)
-        out.postings, out.chunks = postings, chunks
+        out.postings, out.chunks, out.kept = postings, chunks, False
         return out
 
     def save(self, folder: str) -> None:

@@ -205,11 +205,11 @@ def tokenize_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_term_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.Bm25Index(_documents_as_chunks(spark, sf)).term_stats().select("tok", "df", F.round("idf", 6).alias("idf"))
+    return rt.Bm25Index(_documents_as_chunks(spark, sf), keep=True).term_stats().select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.Bm25Index(_documents_as_chunks(spark, sf)).search(KEYWORDS, 40).select("chunk_key", F.round("score", 6).alias("score"), "rank")
+    return rt.Bm25Index(_documents_as_chunks(spark, sf), keep=True).search(KEYWORDS, 40).select("chunk_key", F.round("score", 6).alias("score"), "rank")
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -229,7 +229,7 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 def _both(spark: SparkSession, sf: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, semantic, keyword): documents stand for chunks, the vector of document d is that of vec_id d."""
     chunks = _documents_as_chunks(spark, sf)
-    return chunks, rt.cosine_topk(_vectors(spark, sf), _query_vector(spark, sf), k), rt.Bm25Index(chunks).search(KEYWORDS, k)
+    return chunks, rt.cosine_topk(_vectors(spark, sf), _query_vector(spark, sf), k), rt.Bm25Index(chunks, keep=True).search(KEYWORDS, k)
 
 
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:

@@ -133,7 +133,7 @@ def chunk_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_without(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _documents_as_chunks(spark, sf)
-    return rt.Bm25Index(chunks).without(chunks.filter("chunk_key % 3 = 0")).term_stats().select("tok", "df", F.round("idf", 6).alias("idf"))
+    return rt.Bm25Index(chunks, keep=True).without(chunks.filter("chunk_key % 3 = 0")).term_stats().select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_stats(spark: SparkSession, sf: str) -> DataFrame:

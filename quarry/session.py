@@ -28,3 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"{tempfile.gettempdir()}/quarry-checkpoints"
     return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: later jobs start from it, whatever executors are lost. It goes when the application ends, or by `unstored`."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unstored(df: DataFrame) -> None:
+    """Removes the folder that `stored` wrote df to; nothing may read it any more."""
+    if found := df.inputFiles():
+        files, place = _files(df.sparkSession, found[0])
+        files.delete(place.getParent(), True)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
