@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import shared_folder, stored, unstored  # noqa: F401
 
 #: Rows of one Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 512
@@ -142,27 +142,3 @@ def sheltered(docs: DataFrame, work: Callable[[DataFrame], DataFrame], plain: tu
     """What work makes of docs, whose columns but the plain ones have other names meanwhile, so that they clash with nothing; work may add columns, which go."""
     inner = [c if c in plain else f"_column_{i}" for i, c in enumerate(docs.columns)]
     return work(docs.toDF(*inner)).select(inner).toDF(*docs.columns)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared checkpoint folder and read again: later jobs start from it, whatever executors are lost. It goes when the application ends, or by `unstored`."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    files, place = _files(spark, path)
-    files.deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstored(df: DataFrame) -> None:
-    """Removes the folder that `stored` wrote df to; nothing may read it any more."""
-    if found := df.inputFiles():
-        files, place = _files(df.sparkSession, found[0])
-        files.delete(place.getParent(), True)
-
-
-def _files(spark: SparkSession, path: str):
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
