@@ -35,7 +35,8 @@ POLICIES = {"listing": Policy(120, 120, 1000, 0), "aggregation": Policy(100, 50,
 class Bm25Index:
     """Postings (chunk_key, tok, tf) of (chunk_key, text); lengths and statistics derive from them.
 
-    `keep` writes the postings to a table in the shared folder, so that texts are tokenised once for all that is asked of them; `close` removes it.
+    `keep` writes the postings, and from them lengths and statistics, to tables in the shared folder, so that texts are tokenised and counted once for all
+    that is asked of them; `close` removes them.
     """
 
     def __init__(self, chunks: DataFrame, keep: bool = False):
@@ -44,18 +45,21 @@ class Bm25Index:
         dealt = chunks.select("chunk_key", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_key")
         occurrences = dealt.select("chunk_key", F.explode(tokens(F.col("text"))).alias("tok"))
         self.postings = occurrences.groupBy("chunk_key", "tok").agg(F.count("*").alias("tf"))
-        self.kept = keep
+        self.kept: dict[str, DataFrame] = {}
         if keep:
-            self.postings = stored(self.postings, "postings")
+            self.postings = self.kept["postings"] = stored(self.postings, "postings")
+            for name in ("lengths", "totals", "term_stats"):
+                self.kept[name] = stored(getattr(self, name)(), name)
 
     def close(self) -> None:
-        if self.kept:
-            unstored(self.postings)
+        for t in self.kept.values():
+            unstored(t)
+        self.kept = {}
 
     @classmethod
     def of(cls, postings: DataFrame, chunks: DataFrame) -> Bm25Index:
         out = cls.__new__(cls)
-        out.postings, out.chunks, out.kept = postings, chunks, False
+        out.postings, out.chunks, out.kept = postings, chunks, {}
         return out
 
     def save(self, folder: str) -> None:
@@ -75,13 +79,21 @@ class Bm25Index:
         """chunks and whether anything is indexed."""
         return self.chunks.agg(F.count("*").alias("chunks"), (F.count("*") > 0).alias("built"))
 
+    def lengths(self) -> DataFrame:
+        """chunk_key, dl: tokens of every chunk that has any."""
+        return self.kept["lengths"] if "lengths" in self.kept else self.postings.groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
+
     def totals(self) -> DataFrame:
         """n chunks (also those without tokens) and their mean length."""
+        if "totals" in self.kept:
+            return self.kept["totals"]
         n = self.chunks.agg(F.count("*")).scalar()
         return self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).select(n.alias("n"), F.try_divide("tokens", n).alias("avgdl"))
 
     def term_stats(self) -> DataFrame:
         """tok, df, idf; negative idfs become a quarter of the mean over all terms."""
+        if "term_stats" in self.kept:
+            return self.kept["term_stats"]
         n = self.totals().select("n").scalar()
         raw = self.postings.groupBy("tok").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).scalar()
@@ -93,8 +105,12 @@ class Bm25Index:
         asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("qf"))
         avgdl = self.totals().select("avgdl").scalar()
         hits = self.postings.join(F.broadcast(asked), "tok")  # the words of one question
-        lengths = self.postings.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi").groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
-        hits = hits.join(lengths, "chunk_key").join(self.term_stats(), "tok")
+        if "lengths" in self.kept:
+            lengths = self.kept["lengths"]
+        else:
+            lengths = self.postings.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi").groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
+        terms = self.term_stats().join(F.broadcast(asked.select("tok")), "tok", "left_semi")  # the words of one question
+        hits = hits.join(lengths, "chunk_key").join(F.broadcast(terms), "tok")
         part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
         best = hits.groupBy("chunk_key").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "chunk_key").limit(k)
         return ranked(best, F.round("score", 9).desc(), F.col("chunk_key")).filter("score > 0")
