@@ -70,4 +70,40 @@ reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, b F
 SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _LEAKS, "op5_repeats": _REPEATS, "op6_minhash": _NEAR, "op8_fixity": _FIXITY, "op9_chat": _CHAT}
+_TRIE = r"""
+WITH t AS (SELECT conv_id, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS k FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+bits AS (SELECT conv_id, n, list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST([ascii(c), 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]))),
+    lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), CAST(4294967295 AS BIGINT)) AS b FROM counts),
+heads AS (SELECT b.conv_id, xor(b, 4294967295) % 4 AS h, b.conv_id - b.conv_id % 20 AS source, coalesce(c.n, 0) AS n_source FROM bits b LEFT JOIN counts c ON c.conv_id = b.conv_id - b.conv_id % 20),
+rebuilt AS (
+  SELECT h.conv_id, t.k AS d, said, words FROM heads h JOIN t ON t.conv_id = h.source AND t.k <= h.h
+  UNION ALL SELECT h.conv_id, least(h.h, h.n_source) + t.k - h.h, said, words FROM heads h JOIN t ON t.conv_id = h.conv_id AND t.k > h.h),
+paths AS (SELECT conv_id, list(strlen(said) || ':' || said ORDER BY d) AS p, list(words ORDER BY d) AS w FROM rebuilt GROUP BY 1),
+whole AS (SELECT conv_id, coalesce(p, CAST([] AS VARCHAR[])) AS p, coalesce(w, CAST([] AS BIGINT[])) AS w FROM heads LEFT JOIN paths USING (conv_id)),
+members AS (SELECT conv_id, d, len(p) = d AS here, sha256(array_to_string(p[1:d], '')) AS key, sha256(array_to_string(p[1:d - 1], '')) AS up, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS words
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM whole)),
+nodes AS (SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (here), '')) AS ends FROM members GROUP BY 1, 2),
+kids AS (SELECT up AS key, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT m.key, m.d, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN kids k ON k.key = n.key AND k.d = n.d JOIN members m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.key = n.up AND p.d = n.d - 1 LEFT JOIN kids k ON k.key = n.key AND k.d = n.d JOIN below b ON b.key = n.key AND b.d = n.d
+"""
+_INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u FROM d),
+drawn AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+_COPIES = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+best AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM best
+"""
+
+ORACLES: dict[str, str] = {"op2_decontaminate": _LEAKS, "op5_repeats": _REPEATS, "op6_minhash": _NEAR, "op8_fixity": _FIXITY, "op9_chat": _CHAT, "op11_prefix_trie": _TRIE, "op12_infill": _INFILL, "op13_extendible": _COPIES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, minhash, pitman_yor, quality, repeats, toxicity, warc
+from . import ann, bpe, chat, decontaminate, extendible, infill, minhash, pitman_yor, prefix_trie, quality, repeats, toxicity, warc
 from .common import table
 
 
@@ -84,4 +84,18 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
-QUERIES = {"op1_pitman_yor": op1_pitman_yor, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_fixity": op8_fixity, "op9_chat": op9_chat, "op10_neighbours": op10_neighbours, "pipeline": pipeline}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.conversations(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_starts(convs, F.expr("conv_id - conv_id % 20"), (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int"), 3))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.cut(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", _sha(F.col("output")).alias("output_sha256"), _sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extendible.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_pitman_yor": op1_pitman_yor, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_toxicity": op4_toxicity, "op5_repeats": op5_repeats, "op6_minhash": op6_minhash, "op7_bpe": op7_bpe, "op8_fixity": op8_fixity, "op9_chat": op9_chat, "op10_neighbours": op10_neighbours, "op11_prefix_trie": op11_prefix_trie, "op12_infill": op12_infill, "op13_extendible": op13_extendible, "pipeline": pipeline}
