@@ -4,7 +4,7 @@ Texts are equal when they are identical without the characters `[\x20\x09-\x0D]`
 folder: its 64-bit hash, its digest and its text without white space. The directory's doubling starts at one bucket for all hashes; a bucket whose
 rows weigh more than `capacity` splits by the next bit of the hash, and the directory has as many slots as the deepest bucket asks for. All
 doublings are one pass over a histogram of the hashes' first 20 bits (2^20 rows at most). A hash that is overfull by itself cannot split: it gets an overflow chain
-of `salts` pages that are dealt apart (there are at most 65,536 such hashes, as capacity follows the table).
+of `salts` pages that are dealt apart (there are at most 262,144 such hashes, as capacity follows the table).
 
 A bucket is a range of hashes, and each page of it one owner's. Owners group the texts of a hash by their bytes; different texts of one hash are
 the links of its chain. Links of overflow pages meet once more, again by their bytes. The rows then look up their link by hash and digest: chains of
@@ -27,7 +27,7 @@ from .common import prepare, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 #: Bits that the directory can grow to, megabytes of a bucket, most buckets that their size aims at, what a row weighs beside its text, megabytes of one owner task.
-MOST_DEPTH, BUCKET_MB, MOST_BUCKETS, ROW_BYTES, TASK_MB = 20, 32.0, 1 << 16, 64, 64.0
+MOST_DEPTH, BUCKET_MB, MOST_BUCKETS, ROW_BYTES, TASK_MB = 20, 8.0, 1 << 18, 64, 64.0
 
 
 @dataclass
