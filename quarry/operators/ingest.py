@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PREVIEW, basename, document_title, layout_preview, suffix
+from ..session import stored
 from .chunking import SHEET_PREVIEW, prose_chunks, sheet_chunks, with_keys
 
 # What is accepted.
@@ -94,15 +95,16 @@ def run(known: DataFrame, chunks: DataFrame, scan: DataFrame, read: Callable[[Da
 
     Accepted files that are new, changed or not indexed yet (all, if forced) are read by `read` (file_path, text), spreadsheets by `sheets` (file_path,
     sheet, row_no, cells), and chunked; their old chunks go. Files without any text become errors, also on a later run, until they change.
-    Unchanged files cost neither reading nor chunking; a second run over the same scan changes nothing. Files that the scan does not have stay.
+    Each file is read once: texts and chunks are stored in the shared folder before anything is derived from them. Unchanged files cost neither reading nor chunking; a second run over the same scan changes nothing. Files that the scan does not have stay.
     """
     good = scan.filter("reject_reason is null")
     done = known.filter("processing_status in ('indexed', 'error')").select("file_path", "file_hash")
     work = good if force else good.join(done, ["file_path", "file_hash"], "left_anti")
-    prose = read(work).select("file_path", "text").filter(F.trim("text") != "")
+    prose = stored(read(work).select("file_path", "text").filter(F.trim("text") != ""), "texts")  # a reader sees each file once, whatever is made of its text
     made = prose_chunks(prose)
     if sheets is not None:
         made = made.unionByName(sheet_chunks(sheets(work)))
+    made = stored(made, "chunks")
     counts = made.groupBy("file_path").agg(F.count("*").cast("int").alias("chunks_count"), F.min_by("text", "chunk_id").alias("first"))
     titles = prose.select("file_path", layout_preview(F.col("text"), PREVIEW).alias("shown"), document_title(F.col("text"), list(taxonomy)).alias("document_category"))
     rows = work.select("file_path", "file_hash", "file_type", "file_size", "last_modified").join(counts, "file_path", "left").join(titles, "file_path", "left")

@@ -18,12 +18,11 @@ from ..functions.text import clean_lines
 from ..operators import catalog, edit
 from ..operators import retrieval as r
 from ..operators.chunking import prose_chunks, with_keys
+from ..session import stored, unstored
 from . import history, questions
 
 # Calls of one question, seconds of one, documents and letters in a prompt for suggestions, letters of an answer in one for follow-ups.
 MOST_CALLS, CALL_SECONDS, SUGGESTED, PREVIEW, ANSWER = 4, 30.0, 15, 80, 600
-#: Rows that a tool's result may bring to the driver.
-MOST_ROWS = 1_000
 GREETING = "Hello! Ask me anything about your documents."
 GENERAL = "I can list your documents, search them and summarise what they say."
 SYSTEM = "Answer from the documents given, and name them."
@@ -51,25 +50,28 @@ def no_changes(instruction: str, content: str) -> list[dict]:
 class Corpus:
     """documents (id, file_path, text and catalog columns), their chunks, keyword index and vectors, all as DataFrames.
 
-    The keyword postings are kept for further questions until `close`. writer: (question, context) -> answer; model: messages -> text, used instead where
+    Postings and vectors are stored for further questions until `close`; those of a workspace (keywords: KeywordIndex, vectors: VectorIndex) are its own. writer: (question, context) -> answer; model: messages -> text, used instead where
     there is one; editor: (instruction, content) -> changes.
     """
 
     def __init__(
         self, documents: DataFrame, chunks: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] = r.hashed_vectors, writer: Callable[[str, str], str] = extract, taxonomy: tuple[str, ...] = (),
         provider: str = "groq", model: Callable[[list[dict]], str] | None = None, editor: Callable[[str, str], list[dict]] = no_changes, compress: bool = False, keyword_index: bool = True,
+        keywords=None, vectors=None,
     ):
         self.documents = documents
         self.chunks = chunks if chunks is not None else with_keys(prose_chunks(documents))
         self.embed, self.writer, self.taxonomy = embed, writer, taxonomy
         self.provider, self.model, self.editor, self.compress = provider, model, editor, compress
-        self.keywords = r.Bm25Index(self.chunks, keep=True) if keyword_index else None
-        self.vectors = embed(self.chunks)
+        self.keywords = keywords if keywords is not None else r.Bm25Index(self.chunks, keep=True) if keyword_index else None
+        self.vectors, self.owned = vectors if vectors is not None else stored(embed(self.chunks), "vectors"), [t for t, given in (("keywords", keywords), ("vectors", vectors)) if given is None]
         self.proposals: list[DataFrame] = []
 
     def close(self) -> None:
-        if self.keywords is not None:
+        if "keywords" in self.owned and self.keywords is not None:
             self.keywords.close()
+        if "vectors" in self.owned:
+            unstored(self.vectors)
 
     def policy(self, filename: str | None, aggregation: bool) -> r.Policy:
         return r.POLICIES["aggregation" if aggregation else "file" if filename else "search"]
@@ -78,11 +80,14 @@ class Corpus:
         """(semantic, keyword) hits."""
         spark = self.documents.sparkSession
         query = self.embed(spark.createDataFrame([("q", question)], "chunk_key string, text string")).first()["embedding"]
-        return r.cosine_topk(self.vectors, query, k), None if self.keywords is None else self.keywords.search(question, k)
+        near = r.cosine_topk(self.vectors, query, k) if isinstance(self.vectors, DataFrame) else self.vectors.search(query, k)
+        return near, None if self.keywords is None else self.keywords.search(question, k)
 
     def rows(self, question: str, filename: str | None = None, aggregation: bool = False) -> DataFrame:
+        """The chunks that a question is answered from. They are at most two top ks and go to the driver once: whatever is asked of them does not search again."""
         policy = self.policy(filename, aggregation)
-        return r.hybrid(self.chunks, *self.candidates(question, policy.top_k), policy, filename)
+        found = r.hybrid(self.chunks, *self.candidates(question, policy.top_k), policy, filename)
+        return self.documents.sparkSession.createDataFrame(found.collect(), found.schema)
 
     def inspect(self, question: str, filename: str | None = None) -> dict[str, DataFrame]:
         """The intermediate results of a search, to be looked at."""
@@ -196,7 +201,7 @@ class Corpus:
     def run_tools(self, calls: list[tuple[str, dict]], seconds: float = CALL_SECONDS) -> list[tuple[str, DataFrame | str]]:
         """Results of at most MOST_CALLS tool calls (name, arguments), one after the other.
 
-        A result is complete (at most MOST_ROWS rows) when it is returned. Unknown tools, wrong arguments, failures and calls that take longer become error texts.
+        A result is complete when it is returned, a stored table of any size. Unknown tools, wrong arguments, failures and calls that take longer become error texts.
         """
         tools = {
             "list_documents": self.list_documents, "search_documents": lambda **a: self.search(**a)[0], "search_specific_document": lambda name: self.search(name, name)[0], "summarize_corpus": self.summarize,
@@ -207,8 +212,7 @@ class Corpus:
 
         def one(name: str, arguments: dict, group: str) -> DataFrame:
             spark.sparkContext.setJobGroup(group, f"tool {name}", interruptOnCancel=True)
-            found = tools[name](**arguments).limit(MOST_ROWS)
-            return spark.createDataFrame(found.collect(), found.schema)
+            return stored(tools[name](**arguments), "tool")
 
         for name, arguments in calls[:MOST_CALLS]:
             group, pool = uuid.uuid4().hex, ThreadPoolExecutor(1)

@@ -1,4 +1,4 @@
-"""A directory under analysis: its tables in a folder, opened, ingested, changed and cleared as a whole."""
+"""A directory under analysis: its tables, keyword index and vectors in a folder, opened, ingested, changed and cleared as a whole; a new process finds what the last one left."""
 
 from __future__ import annotations
 
@@ -9,13 +9,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import suffix
 from ..operators import catalog, ingest
+from ..operators import retrieval as r
 from ..operators.chunking import with_keys
+from ..operators.keyword import KeywordIndex
+from ..operators.vectors import VectorIndex
 from ..schemas import CHUNKS, INDEXED_DOCUMENTS
+from ..session import stored
 from ..sources import files, office, readers
+from ..sources.ledger import BUCKETS, Change, Ledger, Snapshot
 from ..streaming import events
+from .engine import Corpus
 
 DOCUMENTS = ", ".join(c for c in INDEXED_DOCUMENTS.split(", ") if not c.startswith("last_processed"))
+SCHEMAS = {"documents": DOCUMENTS, "chunks": f"{CHUNKS}, chunk_key string"}
+#: Paths of a micro-batch that are opened one by one; for more the directory is listed.
+LISTED = 1_000
 
 
 class Outside(ValueError):
@@ -24,9 +34,10 @@ class Outside(ValueError):
 
 @dataclass
 class Workspace:
-    """Tables of one directory, each a generation of parquet files in `folder` (a folder that all machines share).
+    """Tables of one directory in the ledger of `folder` (a folder that all machines share).
 
-    Every change writes the next generation of the tables it touches and only then names it, so a failure leaves the last one in force.
+    Every change is one commit of all it touches: documents, chunks, postings and vectors. It rewrites only the buckets of the files it is about; index segments are added. Two
+    workspaces on one folder, in one process or two, see each other's commits and never overwrite them.
     """
 
     spark: SparkSession
@@ -34,25 +45,21 @@ class Workspace:
     readers: dict[str, readers.Reader] = field(default_factory=dict)
     ocr: readers.Reader | None = None
     taxonomy: tuple[str, ...] = ()
-    directory: str | None = None
+    embed: Callable[[DataFrame], DataFrame] = r.hashed_vectors
+    buckets: int = BUCKETS
     opening: bool = False
-    generation: int = 0
-    paths: dict[str, str] = field(default_factory=dict)
     stream: object = None
 
-    def table(self, name: str) -> DataFrame:
-        if name in self.paths:
-            return self.spark.read.parquet(self.paths[name])
-        empty = self.spark.createDataFrame([], CHUNKS if name == "chunks" else DOCUMENTS)
-        return with_keys(empty) if name == "chunks" else empty
+    def __post_init__(self):
+        self.ledger = Ledger(self.spark, self.folder, self.buckets)
+        self.keywords, self.vectors = KeywordIndex(self.ledger), VectorIndex(self.ledger)
 
-    def put(self, **tables: DataFrame) -> None:
-        self.generation += 1
-        written = {}
-        for name, t in tables.items():
-            written[name] = f"{self.folder.rstrip('/')}/{name}-{self.generation}"
-            t.write.mode("overwrite").parquet(written[name])
-        self.paths |= written
+    @property
+    def directory(self) -> str | None:
+        return self.ledger.snapshot().properties.get("directory")
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self.ledger.snapshot(version).table(name, SCHEMAS[name])
 
     def open(self, directory: str, as_of: str, resume: bool = True) -> str:
         """opened, or why not: busy (being opened already), same (the directory is open and has files), empty (no file to accept)."""
@@ -65,20 +72,64 @@ class Workspace:
         try:
             if directory != self.directory:
                 self.clear()
-            self.directory = directory
+                self.ledger.change("open", lambda c: c.properties.update(directory=directory))
             scan = files.scan(self.spark, directory)
             if scan.filter("reject_reason is null").isEmpty():
                 return "empty"
-            docs, _ = files.scan_and_upsert(self.table("documents"), scan, as_of, resume)
-            self.put(documents=docs)
+
+            def noted(change: Change) -> None:
+                docs, _ = files.scan_and_upsert(change.table("documents", DOCUMENTS), scan.drop("content"), as_of, resume)
+                change.replace("documents", docs)
+
+            self.ledger.change("scan", noted)
             self.ingest(scan, as_of)
             return "opened"
         finally:
             self.opening = False
 
-    def ingest(self, scan: DataFrame, as_of: str, force: bool = False) -> None:
-        docs, chunks = ingest.run(self.table("documents"), self.table("chunks"), scan, lambda work: readers.texts(work, self.readers, self.ocr), as_of, office.sheets, self.taxonomy, force)
-        self.put(documents=docs, chunks=chunks)
+    def ingest(self, scan: DataFrame, as_of: str, force: bool = False) -> Snapshot:
+        return self.apply("ingest", as_of, scan=scan, force=force)
+
+    def apply(self, operation: str, as_of: str | None = None, scan: DataFrame | None = None, gone: DataFrame | None = None, force: bool = False) -> Snapshot:
+        """One commit: files that are gone (file_path) leave all tables, new and changed files of a scan are read, chunked and indexed. Nothing to do is no commit.
+
+        What has to be read is opened and hashed once and stored, so that a repeated attempt and all that is derived see the same bytes.
+        """
+        nothing = self.spark.createDataFrame([], "file_path string")
+        gone = nothing if gone is None else gone.select("file_path").distinct()
+        work = None
+        if scan is not None:
+            good, done = scan.filter("reject_reason is null"), self.table("documents").filter("processing_status in ('indexed', 'error')").select("file_path", "file_hash")
+            work = stored(good if force else good.join(done.join(gone, "file_path", "left_anti"), ["file_path", "file_hash"], "left_anti"), "work")
+
+        def run(change: Change) -> None:
+            paths = (gone if work is None else gone.unionByName(work.select("file_path"))).distinct()
+            buckets = change.touched(paths)
+            if not buckets:
+                return
+            tables = ingest.removed({n: change.table(n, kind, buckets) for n, kind in SCHEMAS.items()}, gone)
+            docs, chunks = tables["documents"], tables["chunks"]
+            if work is not None:
+                docs, chunks = ingest.run(docs, chunks, work, lambda rows: readers.texts(rows, self.readers, self.ocr), as_of, office.sheets, self.taxonomy, True)
+            self.write(change, docs, chunks, paths, buckets)
+
+        after = self.ledger.change(operation, run)
+        self.keywords.tidy()
+        return after
+
+    def write(self, change: Change, docs: DataFrame, chunks: DataFrame, paths: DataFrame, buckets: list[str]) -> None:
+        """New rows of some buckets, and what the files at `paths` have in them now instead of what they had, in both indexes."""
+        chunks = stored(chunks, "chunks")
+        change.replace("documents", docs, buckets=buckets)
+        change.replace("chunks", chunks, buckets=buckets)
+        of = lambda t: t.join(paths, "file_path", "left_semi").select("chunk_key", "text")
+        old, new = of(change.table("chunks", SCHEMAS["chunks"], buckets)), of(chunks)
+        self.keywords.update(change, new, old)
+        self.vectors.update(change, self.embed(new), old)
+
+    def corpus(self, **more) -> Corpus:
+        """Questions to the latest snapshot, by the stored indexes."""
+        return Corpus(self.table("documents"), self.table("chunks"), self.embed, taxonomy=self.taxonomy, keywords=self.keywords, vectors=self.vectors, **more)
 
     def inside(self, path: str) -> str:
         """The path, if it is in the directory."""
@@ -88,26 +139,47 @@ class Workspace:
         return path
 
     def remove(self, path: str) -> None:
-        gone = self.spark.createDataFrame([(self.inside(path),)], "file_path string")
-        self.put(**ingest.removed({k: self.table(k) for k in ("documents", "chunks")}, gone))
+        self.apply("remove", gone=self.spark.createDataFrame([(self.inside(path),)], "file_path string"))
 
     def rename(self, old: str, new: str) -> None:
         old, new = self.inside(old), self.inside(new)
-        chunks = ingest.rename(self.table("chunks"), old, new)
-        self.put(documents=ingest.rename(self.table("documents"), old, new), chunks=with_keys(chunks.drop("chunk_key")))
+
+        def run(change: Change) -> None:
+            before = F.col("file_path") == old
+            moved = change.base.table("documents", DOCUMENTS).select("file_path").filter(before | F.col("file_path").startswith(old.rstrip("/") + "/"))
+            paths = moved.unionByName(ingest.rename(moved, old, new))
+            if not (buckets := change.touched(paths)):
+                return
+            docs, chunks = (ingest.rename(change.table(n, SCHEMAS[n], buckets), old, new) for n in SCHEMAS)
+            self.write(change, docs, with_keys(chunks.drop("chunk_key")), paths, buckets)
+
+        self.ledger.change("rename", run)
 
     def clear(self) -> None:
-        self.put(**ingest.cleared({k: self.table(k) for k in ("documents", "chunks")}))
+        def run(change: Change) -> None:
+            for name in SCHEMAS:
+                if change.base.parts(name):
+                    change.drop(name)
+            if change.written:
+                self.keywords.clear(change)
+                self.vectors.clear(change)
+
+        self.ledger.change("clear", run)
 
     def document(self, path: str) -> DataFrame:
         return catalog.by_path(self.table("documents"), path)
 
+    def history(self) -> DataFrame:
+        return self.ledger.history()
+
     def apply_changes(self, upserts: DataFrame, deletions: DataFrame, as_of: str) -> None:
-        """A micro-batch of file events: deleted files go, others are scanned and ingested again."""
-        tables = ingest.removed({k: self.table(k) for k in ("documents", "chunks")}, deletions)
-        self.put(**tables)
-        changed = files.scan(self.spark, self.directory).join(upserts.select("file_path").distinct(), "file_path", "left_semi")
-        self.ingest(changed, as_of)
+        """A micro-batch of file events in one commit: deleted files go, others are scanned and ingested. Only the batch's files are opened (if they are more than LISTED, the directory is listed)."""
+        wanted = upserts.select("file_path").distinct()
+        some = [x[0] for x in wanted.filter(suffix(F.col("file_path")).isin(*ingest.EXTENSIONS)).limit(LISTED + 1).collect()]
+        place = self.ledger._path
+        here = [p for p in some if place(p).getFileSystem(self.ledger._conf).exists(place(p))] if len(some) <= LISTED else [self.directory]
+        scan = files.scan(self.spark, here).join(wanted, "file_path", "left_semi") if here else None
+        self.apply("events", as_of, scan=scan, gone=deletions)
 
     def watch(self, changes: DataFrame, checkpoint: str, now: Callable[[], str], once: bool = False):
         """Starts applying a stream of file events; a running one is stopped first."""

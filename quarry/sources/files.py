@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, suffix
-from ..operators.ingest import metadata_only, reject_reason, to_resume, upsert
+from ..operators.ingest import EXTENSIONS, IMAGES, MOST_BYTES, metadata_only, reject_reason, to_resume, upsert
 
 
 def load_taxonomy(path: str) -> list[str]:
@@ -21,13 +21,22 @@ def load_taxonomy(path: str) -> list[str]:
     return sorted({str(t).strip().upper() for t in types if str(t).strip()}) if isinstance(types, list) else []
 
 
-def scan(spark: SparkSession, directory: str, content: bool = True) -> DataFrame:
-    """Every file below a directory: file_path, file_name, file_type, file_size, size_mb, last_modified, file_hash, reject_reason, content.
+def scan(spark: SparkSession, directory: str | list[str], content: bool = True) -> DataFrame:
+    """Every file below a directory (or the files of a list): file_path, file_name, file_type, file_size, size_mb, last_modified, file_hash, reject_reason, content.
 
-    Files without a byte are left out by the scan itself; what vanishes or cannot be read between listing and reading is left out too.
+    Files are listed without their content; only those of a type and size that can be read are opened, by a second listing whose glob and filters the source applies before it reads, so a file of
+    any size costs nothing and fails nothing. The others have neither hash nor content. What vanishes or cannot be read between listing and reading is left out. Files without a byte are
+    left out by the source.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(directory)
-    return described(rows if content else rows.drop("content"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    if not content:
+        return described(rows.load(directory).drop("content"))
+    either = lambda t: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in t)
+    glob = "*.{" + ",".join(either(t) for t in (*EXTENSIONS, *IMAGES)) + "}"
+    fits = F.col("file_type").isin(*EXTENSIONS, *IMAGES) & F.col("file_size").between(1, MOST_BYTES)
+    opened = described(rows.option("pathGlobFilter", glob).load(directory).filter(F.col("length").between(1, MOST_BYTES))).filter(fits)
+    listed = described(rows.option("pathGlobFilter", "*").load(directory).drop("content")).filter(~fits)
+    return opened.unionByName(listed, allowMissingColumns=True)
 
 
 def described(rows: DataFrame) -> DataFrame:
