@@ -73,6 +73,8 @@ rows AS (SELECT * FROM kept WHERE NOT cap OR p <= {p.final_top_k})"""
 
 
 _ASKED = "asked(id, question) AS (VALUES " + ", ".join(f"({i}, {_quoted(q)})" for i, q in enumerate(QUESTIONS)) + ")"
+_TALK = _ASKED + """, talk AS (SELECT * FROM asked UNION ALL SELECT conv_id * 100 + turn + 1000, CASE WHEN conv_id % 2 = 0 THEN question ELSE question || ' ' || text END
+  FROM conversations JOIN asked ON asked.id = (conv_id + turn) % (SELECT count(*) FROM asked) WHERE role = 'user')"""
 _NORMAL = r"lower(trim(regexp_replace(trim(coalesce(question, ''), E' \t\n\r'), '[?!.,]+$', ''), E' \t\n\r'))"
 
 
@@ -91,13 +93,13 @@ def _rewritten() -> str:
         it = " AND len(list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda w: w <> '')) <= 8" if p == r"\bit\b" else ""
         cases.append(f"WHEN regexp_matches(question, {_quoted('(?i)' + p)}){it} THEN regexp_replace(question, {_quoted('(?i)' + p)}, {name})")
     usable = f"trim(question) <> '' AND length(trim(question)) <= 160 AND NOT contains(lower(question), lower({name})) AND (regexp_matches(lower(question), '\\b(that|this|it)\\b') OR contains(lower(question), 'document') OR contains(lower(question), 'file'))"
-    return f"WITH {_ASKED} SELECT id, CASE WHEN {usable} THEN CASE {' '.join(cases)} ELSE question END ELSE question END AS question FROM asked"
+    return f"WITH {_TALK} SELECT id, CASE WHEN {usable} THEN CASE {' '.join(cases)} ELSE question END ELSE question END AS question FROM talk"
 
 
 def _categories() -> str:
     names = ["DELIVERY RECEIPT", "DELIVERY-NOTE", "INVOICE", "PERMIT"]
     one = ", ".join(f"CASE WHEN regexp_matches(question, {_quoted('(?i)' + nl.category_pattern(t))}) THEN {_quoted(t.lower())} END" for t in names)
-    return f"WITH {_ASKED} SELECT id, nullif(array_to_string(list_filter([{one}], lambda x: x IS NOT NULL), ' or '), '') AS label FROM asked"
+    return f"WITH {_TALK} SELECT id, nullif(array_to_string(list_filter([{one}], lambda x: x IS NOT NULL), ' or '), '') AS label FROM talk"
 
 
 _SCAN = f"""{_DOCS}, scan AS (SELECT CASE WHEN id % 17 = 2 THEN file_path || '.new.txt' ELSE file_path END AS file_path, CASE WHEN id % 7 = 3 THEN sha256(text || '!') ELSE file_hash END AS file_hash,
@@ -180,8 +182,8 @@ q AS (SELECT id, {_NORMAL} AS q FROM every), w AS (SELECT *, list_filter(regexp_
 SELECT id, CASE WHEN q = '' OR q IN ({_list(nl.CASUAL)}) OR (len(w) <= 4 AND (len(list_filter(w, lambda x: x NOT IN ({_list(nl.GREETING_WORDS)}))) = 0 OR q IN ({_list(nl.GREETING_WORDS)}))) THEN 'greeting'
   WHEN regexp_matches(q, {_any(nl.GENERAL)}) THEN 'general' WHEN regexp_matches(q, {_any(nl.LISTING)}) AND NOT regexp_matches(q, {_quoted(nl.VALUE_SEEKING)}) THEN 'document_listing' ELSE 'document_search' END AS route FROM w""",
     "rewrite_questions": _rewritten(),
-    "aggregation_intent": f"WITH {_ASKED} SELECT id, regexp_matches(lower(trim(question)), {_any(nl.AGGREGATION)}) AS aggregation FROM asked",
-    "detect_filename": f"WITH {_ASKED} SELECT id, coalesce(nullif(regexp_extract(question, '\"([^\"]+)\"', 1), ''), nullif(regexp_extract(question, {_quoted(nl.FILE_NAME)}, 1), '')) AS file_name FROM asked",
+    "aggregation_intent": f"WITH {_TALK} SELECT id, regexp_matches(lower(trim(question)), {_any(nl.AGGREGATION)}) AS aggregation FROM talk",
+    "detect_filename": f"WITH {_TALK} SELECT id, coalesce(nullif(regexp_extract(question, '\"([^\"]+)\"', 1), ''), nullif(regexp_extract(question, {_quoted(nl.FILE_NAME)}, 1), '')) AS file_name FROM talk",
     "category_intent": _categories(),
     "coalesce_events": f"""WITH e AS (SELECT 'f' || user_id AS file_path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS event_type, ts, event_id FROM events),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY file_path ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY file_path ORDER BY ts) AS k FROM g)
@@ -204,7 +206,10 @@ FROM scan s FULL JOIN docs d ON s.file_path = d.file_path""",
 b AS (SELECT *, CASE WHEN v1 THEN replace(t0, 'the', 'THE') ELSE t0 END AS t1 FROM a), c AS (SELECT *, CASE WHEN v2 THEN replace(t1, 'THE ', '') ELSE t1 END AS t2 FROM b), d AS (SELECT *, CASE WHEN v3 THEN replace(t2, 'e ', '_') ELSE t2 END AS t3 FROM c)
 SELECT id, sha256(CASE WHEN v4 THEN replace(t3, 'never there', 'x') ELSE t3 END) AS text_sha256, CAST(CASE WHEN v1 THEN (length(t0) - length(replace(t0, 'the', ''))) // 3 ELSE 0 END + CASE WHEN v2 THEN (length(t1) - length(replace(t1, 'THE ', ''))) // 4 ELSE 0 END
   + CASE WHEN v3 THEN (length(t2) - length(replace(t2, 'e ', ''))) // 2 ELSE 0 END + CASE WHEN v4 THEN (length(t3) - length(replace(t3, 'never there', ''))) // 11 ELSE 0 END AS BIGINT) AS applied FROM d""",
-    "cell_values": "SELECT * FROM (VALUES ('s', '1', 'null', NULL), ('s', '2', 'null', NULL), ('s', '3', 'int', '12'), ('s', '4', 'int', '-7'), ('s', '5', 'float', '3.5'), ('s', '6', 'text', 'abc'), ('s', '7', 'float', '1000.0')) v(sheet, cell, kind, value)",
-    "reject_reasons": r"""SELECT file_path, length, CASE WHEN regexp_matches(n, '^~\$') THEN 'lock file' WHEN regexp_matches(n, '\.\d{8}_\d{6}\.bak\.') THEN 'backup file' WHEN NOT regexp_matches(lower(n), '\.(pdf|docx|txt|xlsx|xls|pptx)$') THEN 'unsupported type' WHEN length > 52428800 THEN 'too large' WHEN length = 0 THEN 'empty' END AS reason
-FROM (SELECT *, regexp_extract(file_path, '([^/]*)$', 1) AS n FROM (VALUES ('/a/~$plan.docx', 5), ('/a/plan.20240101_101010.bak.docx', 5), ('/a/plan.exe', 5), ('/a/plan.PDF', 62914560), ('/a/plan.txt', 0), ('/a/plan.txt', 1), ('/a/noextension', 1), ('/a/pic.png', 9)) v(file_path, length))""",
+    "cell_values": '''WITH c AS (SELECT CAST(l_orderkey AS VARCHAR) AS sheet, CAST(l_linenumber AS VARCHAR) AS cell, l_orderkey % 8 AS k, CAST(l_partkey AS VARCHAR) AS n, l_linenumber, l_returnflag FROM lineitem)
+SELECT sheet, cell, CASE WHEN k < 2 THEN 'null' WHEN k < 4 THEN 'int' WHEN k IN (4, 6) THEN 'float' ELSE 'text' END AS kind,
+  CASE k WHEN 2 THEN n WHEN 3 THEN CAST(-CAST(n AS BIGINT) AS VARCHAR) WHEN 4 THEN n || '.5' WHEN 5 THEN l_returnflag || n WHEN 6 THEN l_linenumber || '000.0' WHEN 7 THEN n || ' ' || n END AS value FROM c''',
+    "reject_reasons": r'''WITH f AS (SELECT '/a.b/' || ['', '', '~$'][doc_id % 3 + 1] || doc_id || ['', '.20240101_101010.bak', '', '.x.bak', ''][doc_id % 5 + 1] || ['.docx', '.exe', '.PDF', '.txt', '', '.png', '.xls'][doc_id % 7 + 1] AS file_path,
+  doc_id % 3 = 2 AS locked, doc_id % 5 = 1 AS saved, doc_id % 7 AS kind, CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 11 < 3 THEN 52428800 + doc_id % 2 ELSE n_chars END AS length FROM documents)
+SELECT file_path, CAST(length AS BIGINT) AS length, CASE WHEN locked THEN 'lock file' WHEN saved AND kind <> 4 THEN 'backup file' WHEN kind IN (1, 4, 5) THEN 'unsupported type' WHEN length > 52428800 THEN 'too large' WHEN length = 0 THEN 'empty' END AS reason FROM f''',
 }

@@ -40,6 +40,14 @@ def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUESTIONS)), "id long, question string")
 
 
+def _talk(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions alone, and one for each turn of a user, every second one with what the user said after it."""
+    asked = _questions(spark)
+    turns = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn") + 1000).alias("id"), "text", "conv_id", ((F.col("conv_id") + F.col("turn")) % len(QUESTIONS)).alias("k"))
+    said = turns.join(F.broadcast(asked.withColumnRenamed("id", "k")), "k")  # a question list
+    return asked.unionByName(said.select("id", F.when(F.col("conv_id") % 2 == 0, F.col("question")).otherwise(F.concat("question", F.lit(" "), "text")).alias("question")))
+
+
 def doc_search_page(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.search(fx.indexed_documents(spark, sf), limit=50, offset=20, query="src1", file_type="EN")
 
@@ -311,20 +319,20 @@ def classify_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rewrite_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return _questions(spark).select("id", nl.rewritten(F.col("question"), F.lit("Plan.pdf")).alias("question"))
+    return _talk(spark, sf).select("id", nl.rewritten(F.col("question"), F.lit("Plan.pdf")).alias("question"))
 
 
 def aggregation_intent(spark: SparkSession, sf: str) -> DataFrame:
-    return _questions(spark).select("id", nl.is_aggregation(F.col("question")).alias("aggregation"))
+    return _talk(spark, sf).select("id", nl.is_aggregation(F.col("question")).alias("aggregation"))
 
 
 def detect_filename(spark: SparkSession, sf: str) -> DataFrame:
-    return _questions(spark).select("id", nl.explicit_file(F.col("question")).alias("file_name"))
+    return _talk(spark, sf).select("id", nl.explicit_file(F.col("question")).alias("file_name"))
 
 
 def category_intent(spark: SparkSession, sf: str) -> DataFrame:
     found = nl.categories(F.col("question"), ["INVOICE", "DELIVERY-NOTE", "DELIVERY RECEIPT", "PERMIT"])
-    return _questions(spark).select("id", nl.category_label(found).alias("label"))
+    return _talk(spark, sf).select("id", nl.category_label(found).alias("label"))
 
 
 def coalesce_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -396,8 +404,11 @@ def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    names = [("/a/~$plan.docx", 5), ("/a/plan.20240101_101010.bak.docx", 5), ("/a/plan.exe", 5), ("/a/plan.PDF", 60 << 20), ("/a/plan.txt", 0), ("/a/plan.txt", 1), ("/a/noextension", 1), ("/a/pic.png", 9)]
-    files = spark.createDataFrame(names, "file_path string, length long")
+    """A file for every document: by its id a lock or backup file, of some type in either case, of no size, its text's size or one about the limit."""
+    of = lambda k, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % k).cast("int") + 1)
+    name = F.concat(F.lit("/a.b/"), of(3, "", "", "~$"), F.col("doc_id").cast("string"), of(5, "", ".20240101_101010.bak", "", ".x.bak", ""), of(7, ".docx", ".exe", ".PDF", ".txt", "", ".png", ".xls"))
+    size = F.when(F.col("doc_id") % 11 == 0, 0).when(F.col("doc_id") % 11 < 3, (50 << 20) + F.col("doc_id") % 2).otherwise(F.col("n_chars")).cast("long")
+    files = table(spark, sf, "documents").select(name.alias("file_path"), size.alias("length"))
     return files.select("file_path", "length", ingest.reject_reason(F.col("file_path"), F.col("length")).alias("reason"))
 
 
@@ -409,9 +420,12 @@ def edit_apply_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cell_values(spark: SparkSession, sf: str) -> DataFrame:
-    values = [(1, None), (2, "  "), (3, " 12 "), (4, "-7"), (5, "3.50"), (6, "abc"), (7, "1e3")]
-    edits = spark.createDataFrame([("s", str(i), v) for i, v in values], "sheet string, cell string, value string")
-    return edit.typed_cells(edits)
+    """A cell for every line item, written in one of eight ways."""
+    n, k = F.col("l_partkey").cast("string"), F.col("l_orderkey") % 8
+    ways = (F.lit(None).cast("string"), F.lit("  "), F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit("-"), n), F.concat(n, F.lit(".50")), F.concat(F.col("l_returnflag"), n), F.concat(F.col("l_linenumber").cast("string"), F.lit("e3")), F.concat(n, F.lit(" "), n))
+    value = F.coalesce(*(F.when(k == i, w) for i, w in enumerate(ways)))
+    cells = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("sheet"), F.col("l_linenumber").cast("string").alias("cell"), value.alias("value"))
+    return edit.typed_cells(cells)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

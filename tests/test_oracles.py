@@ -8,9 +8,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quarry import oracles, queries, service_oracles, service_queries
+from quarry import index_queries, oracles, queries, service_oracles, service_queries
 
-ORACLES, QUERIES = oracles.ORACLES | service_oracles.ORACLES, queries.QUERIES | service_queries.QUERIES
+ORACLES, QUERIES = oracles.ORACLES | service_oracles.ORACLES | index_queries.ORACLES, queries.QUERIES | service_queries.QUERIES | index_queries.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
