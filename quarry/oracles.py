@@ -192,7 +192,7 @@ SELECT file_path, arg_max(event_type, (ts, event_id)) AS event_type, {_TS.format
     "stream_dedup": "SELECT DISTINCT 'f' || user_id AS file_path, event_type AS file_hash FROM events",
     "update_priority": """SELECT doc_id, CAST(CASE WHEN doc_id % 97 = 0 THEN 1000 ELSE least(1000, greatest(0, CASE WHEN doc_id % 3 = 0 THEN 200 ELSE 0 END + floor(greatest(0, 400 - (doc_id % 60) * 10)) + floor(greatest(0, 200 - n_chars * 5000 / 1048576.0 * 2))
   + floor(greatest(0, (1 - (doc_id % 11)::DOUBLE / 10.0::DOUBLE) * 200)))) END AS INT) AS priority FROM documents""",
-    "update_queue": "SELECT 'f' || user_id AS file_path, CAST(max(event_id) % 1000 AS INT) AS priority, max(event_id) AS enqueued_at FROM events GROUP BY user_id ORDER BY 2 DESC, 3, 1 LIMIT 1000",
+    "update_queue": "SELECT file_path, priority, enqueued_at FROM (SELECT 'f' || user_id AS file_path, CAST(max(event_id) % 1000 AS INT) AS priority, max(event_id) AS enqueued_at, min(event_id) AS came FROM events GROUP BY user_id ORDER BY came, file_path LIMIT 1000)",
     "queue_retention": """WITH s AS (SELECT event_id AS task_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'completed' END AS status, ts FROM events)
 SELECT task_id, status FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY ts DESC, task_id DESC) AS k FROM s) WHERE status = 'pending' OR (status = 'completed' AND k <= 100) OR (status = 'failed' AND k <= 50)""",
     "ingest_diff": f"""{_SCAN} SELECT coalesce(s.file_path, d.file_path) AS file_path, CASE WHEN s.file_hash IS NULL THEN 'removed' WHEN d.file_hash IS NULL THEN 'new' WHEN d.processing_status <> 'indexed' THEN 'pending' WHEN s.file_hash <> d.file_hash THEN 'changed' WHEN {_APART} THEN 'unchanged' ELSE 'touched' END AS state

@@ -19,7 +19,7 @@ from ..schemas import CHUNKS, INDEXED_DOCUMENTS
 from ..session import stored
 from ..sources import files, office, readers
 from ..sources.ledger import BUCKETS, Change, Ledger, Snapshot
-from ..streaming import events
+from ..streaming import events, stateful
 from .engine import Corpus
 
 DOCUMENTS = ", ".join(c for c in INDEXED_DOCUMENTS.split(", ") if not c.startswith("last_processed"))
@@ -181,10 +181,13 @@ class Workspace:
         scan = files.scan(self.spark, here).join(wanted, "file_path", "left_semi") if here else None
         self.apply("events", as_of, scan=scan, gone=deletions)
 
-    def watch(self, changes: DataFrame, checkpoint: str, now: Callable[[], str], once: bool = False):
-        """Starts applying a stream of file events; a running one is stopped first."""
+    def watch(self, changes: DataFrame, checkpoint: str, now: Callable[[], str], once: bool = False, quiet_ms: int | None = None):
+        """Starts applying a stream of file events; a running one is stopped first. With quiet_ms a path is acted on once nothing has come for so long."""
         self.stop()
-        self.stream = events.ingest_stream(events.accepted(changes), lambda up, down: self.apply_changes(up, down, now()), checkpoint, once)
+        changes = events.accepted(changes)
+        if quiet_ms is not None:
+            changes = stateful.debounced(changes, quiet_ms).withColumnRenamed("last_ts", "ts")
+        self.stream = events.ingest_stream(changes, lambda up, down: self.apply_changes(up, down, now()), checkpoint, once)
         return self.stream
 
     def stop(self) -> None:

@@ -61,9 +61,9 @@ def priority(size_bytes: Column, age_hours: Column, active: Column, change: Colu
 
 
 def queue(tasks: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Tasks (file_path, priority, enqueued_at) in the order they are taken: the latest of each path, at most `capacity`."""
-    latest = tasks.groupBy("file_path").agg(F.max_by(F.struct(*tasks.columns), F.struct("enqueued_at", "priority")).alias("t")).select("t.*")
-    return latest.orderBy(F.desc("priority"), "enqueued_at", "file_path").limit(capacity)
+    """Tasks (file_path, priority, enqueued_at) in the order they are taken: the latest of each path. A full queue refuses newcomers: the `capacity` paths that came first are in it."""
+    latest = tasks.groupBy("file_path").agg(F.max_by(F.struct(*tasks.columns), F.struct("enqueued_at", "priority")).alias("t"), F.min("enqueued_at").alias("_came"))
+    return latest.orderBy("_came", "file_path").limit(capacity).select("t.*").orderBy(F.desc("priority"), "enqueued_at", "file_path")
 
 
 def queue_status(tasks: DataFrame) -> DataFrame:
@@ -136,7 +136,8 @@ def ingest_stream(events: DataFrame, apply: Callable[[DataFrame, DataFrame], Non
         last = rows.groupBy("file_path").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type"))
         apply(last.filter("event_type <> 'deleted'").select("file_path"), last.filter("event_type = 'deleted'").select("file_path"))
 
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    stateful = events.isStreaming and "transformWithState" in events._jdf.queryExecution().analyzed().toString()
+    writer = events.writeStream.foreachBatch(batch).outputMode("update" if stateful else "append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
 
