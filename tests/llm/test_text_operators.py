@@ -113,6 +113,35 @@ def test_digests_of_items_without_ids(spark, monkeypatch):
     assert got == {0: (3, 2, seven, True), 1: (2, 2, seven, True), 2: (0, 0, nothing, False)}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.lists(st.sampled_from(["a", "b", "B!", "é", "cc"]), max_size=14).map(" ".join)), max_size=6), st.lists(st.sampled_from(["a", "b", "é", "cc", "zz"]), max_size=20), st.integers(1, 4), st.integers(1, 9), st.booleans())
+def test_compiled_windows_find_what_they_should(items, doc, n, most, clash):
+    """Windows in flat arrays, items cut into pieces, and windows that share a hash, against a plain search."""
+    hasher = decontaminate.WordHasher()
+    if clash:
+        hasher = lambda w: np.full(len(w), 7, np.uint64)
+    want_mask, want = np.zeros(len(doc), bool), set()
+    for item, text in items:
+        w = [x.decode() for x in decontaminate.words(text)]
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            window = w[i : i + n]
+            for s in range(len(doc) - len(window) + 1):
+                if doc[s : s + len(window)] == window:
+                    want_mask[s : s + len(window)] = True
+                    want.add(None if item is None else str(item))
+    for parts in ([items], [p for row in items for p in decontaminate.pieces([row], n, most)]):
+        mask, found = np.zeros(len(doc), bool), set()
+        for part in parts:
+            with pytest.MonkeyPatch.context() as patch:
+                if clash:
+                    patch.setattr(decontaminate, "WordHasher", lambda: hasher)
+                patch.setattr(decontaminate, "SLICE", 3)
+                compiled = decontaminate.compile_items(part, n)
+            m, f = decontaminate.scan([x.encode() for x in doc], compiled, hasher)
+            mask, found = mask | m, found | f
+        assert (mask == want_mask).all() and found == want
+
+
 def test_benchmark_in_parts_gives_the_same(spark, corpus, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(words(120, 1)[i * 20 : i * 20 + 15])) for i in range(6)], "item_id long, text string")
     whole = sorted(map(repr, decontaminate.find_hits(docs(spark, corpus), bench).collect()))
