@@ -1,7 +1,8 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids come from balanced two-way splits of a bounded sample of the distinct vectors (`sample_rows`, the smallest hashes of the ids),
-one list for every LIST_ROWS distinct vectors. Every vector of the table is indexed: it goes to its nearest list and is replicated to every
+one list for every LIST_ROWS distinct vectors, but at most one for FITTED_ROWS vectors of the sample (5,000 lists by default: from a million distinct vectors on lists grow with the
+table, and `sample_rows` should grow with it too). Every vector of the table is indexed: it goes to its nearest list and is replicated to every
 further list whose centroid is at most (1 + `closure`) times as far (up to `replicas` lists), so boundary vectors are found from either side.
 Lists that hold more than BLOCK_ROWS vectors are cut into blocks, each scanned by a task of its own, so tasks are balanced whatever the lists are.
 

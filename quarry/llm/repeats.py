@@ -3,7 +3,7 @@
 A window is `width` consecutive words of one document. The pass has four steps.
 
 1. Documents are dealt into blocks by their id. Each block sends every distinct window's 64-bit hash with the smallest id of the
-   block to a shard of the hash space, packed (sorted deltas, compressed), so the exchange costs some 7 bytes a window.
+   block to a shard of the hash space, packed (sorted deltas, compressed). Blocks and shards grow with the table, so the exchange costs some 9.5 bytes a window at 0.5 GB and 10.5 at a terabyte (simulated).
 2. A shard confirms which windows recur in other blocks and asks the block of the smallest id (the owner) to show them to the others.
 3. The owner's block joins windows that are asked for and follow each other to passages, and sends these word sequences, with the
    owner's id, to the blocks that asked: every block is the shard of all phrases that its documents can contain, and of no others.
@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, pack, pack_sorted, parts_of, prepare, raw_words, rolling, unpack, unpack_sorted
+from .common import input_bytes, mix64, pack, pack_sorted, prepare, raw_words, rolling, unpack, unpack_sorted
 
 WIDTH = 13
+#: Bytes of a table from which blocks and shards grow, megabytes of a block at most.
+GROWS_FROM, MOST_BLOCK_MB = 0.5e9, 64.0
 #: First of the letters that stand for words; two blocks of surrogates are skipped. With more distinct words than letters, words are numbers.
 FIRST, SURROGATES, LETTERS = 16, (0xD800, 0xE000), 1_100_000
 #: Windows of one phrase at most: longer passages are several phrases, so that the automaton stays shallow.
@@ -220,12 +222,19 @@ def kept_text(text: str | None, words: bytes, mask: np.ndarray, layout: bool) ->
     return out.decode("utf-8", "surrogatepass")
 
 
+def dealing(size: int, block_mb: float, shard_mb: float) -> tuple[int, int]:
+    """(shards, blocks) of a table of so many bytes. A block sends a message to every shard: from GROWS_FROM bytes on blocks grow with the square root of the table, up to MOST_BLOCK_MB, and shards with its fourth root, so that messages stay full."""
+    more = max(1.0, size / GROWS_FROM)
+    block, shard = max(block_mb, min(MOST_BLOCK_MB, block_mb * more**0.5)), shard_mb * more**0.25
+    return max(12, int(size / (shard * 1e6)) + 1), max(32, int(size / (block * 1e6)) + 1)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, block_mb: float = 0.4, shard_mb: float = 4.0, layout: bool = False) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the kept words joined by one blank, or (layout) the text without the removed words and the white space after each."""
     import zstandard
 
     prepare(docs.sparkSession)
-    n_shards, blocks = parts_of(docs, shard_mb, 12), parts_of(docs, block_mb, 32)
+    n_shards, blocks = dealing(input_bytes(docs), block_mb, shard_mb)
     docs = docs.drop("_block", "_id", "n_words", "n_removed", "kept_text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     # The block comes first, so that all uses of the dealt documents can share one exchange.

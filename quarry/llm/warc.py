@@ -9,7 +9,7 @@ from the node's first byte, level by level up to one hash a file, then ranges of
 audit compares the roots and, level by level, reads only children of nodes that differ; it ends where none differ, so an intact replica costs
 one comparison. Only records of differing leaves are compared with each other, which tells changed, lost and added ones.
 
-Null urls and pages count as empty. Records without a page id are dealt to files of negative numbers by their hashes (so a changed one counts as
+Null urls and pages count as empty. Urls with control characters are written encoded, so that they end no header and forge no field. Records without a page id are dealt to files of negative numbers by their hashes (so a changed one counts as
 one lost and one added). Repeated rows are records of their own; equal ones are counted before they are dealt, and records of one page id are ordered by
 their hashes and summed up by the hashes' beginnings, so neither fills a task. Empty tables give no rows. Extra columns are ignored.
 """
@@ -28,6 +28,8 @@ DATE, PER_FILE, FANOUT = "2024-01-01T00:00:00Z", 1_000, 16
 CRLF = "\r\n"
 #: Megabytes of records without a page id in one file.
 LOOSE_MB = 8.0
+#: Characters that no header's value may have, and the header that says how they are written.
+CONTROL, ENCODED = r"[\x00-\x1F\x7F]", "X-Target-Encoding"
 
 
 def records(pages: DataFrame, date: str = DATE, per_file: int = PER_FILE, contents: bool = True, loose_files: int | None = None) -> DataFrame:
@@ -37,10 +39,13 @@ def records(pages: DataFrame, date: str = DATE, per_file: int = PER_FILE, conten
     place of the first. Records without a page id go to `loose_files` files (by default as many as their table's size asks for).
     """
     url, html, number = F.coalesce(F.col("url"), F.lit("")), F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    # A line break in a header's value would end it: a url with control characters is written as a form's value, and a header says so.
+    odd = url.rlike(CONTROL)
+    shown, note = F.when(odd, F.url_encode(url)).otherwise(url), F.when(odd, F.lit(f"{CRLF}{ENCODED}: form")).otherwise(F.lit(""))
     block = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"), html)
     record = F.concat(
         F.lit(f"WARC/1.0{CRLF}WARC-Type: response{CRLF}WARC-Record-ID: <urn:sha256:"), F.sha2(F.concat(number, F.lit(" "), url), 256),
-        F.lit(f">{CRLF}WARC-Date: {date}{CRLF}X-Page-ID: "), number, F.lit(f"{CRLF}WARC-Target-URI: "), url, F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.sha2(html, 256),
+        F.lit(f">{CRLF}WARC-Date: {date}{CRLF}X-Page-ID: "), number, F.lit(f"{CRLF}WARC-Target-URI: "), shown, note, F.lit(f"{CRLF}WARC-Payload-Digest: sha256:"), F.sha2(html, 256),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2), block, F.lit(CRLF * 2),
     )
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(url, 256).alias("key"), record.alias("record"))
@@ -103,6 +108,7 @@ def parse(data: bytes):
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """file, seq, first_byte, length, hash, page_id, url, html of every record of the WARC files that `write_archive` wrote, from their bytes alone."""
     import hashlib
+    from urllib.parse import unquote_plus
 
     columns = ["file", "seq", "first_byte", "length", "hash", "page_id", "url", "html"]
 
@@ -113,7 +119,10 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
                 for k, (at, record, fields, html) in enumerate(parse(bytes(data))):
                     number = fields.get(b"X-Page-ID", b"")
                     page = int(number) if number.removeprefix(b"-").isdigit() else None
-                    rows.append((int(path.rsplit("file=", 1)[1].split("/", 1)[0]), k, at, len(record), hashlib.sha256(record).hexdigest(), page, text(fields.get(b"WARC-Target-URI")), text(html)))
+                    url = text(fields.get(b"WARC-Target-URI"))
+                    if url is not None and fields.get(ENCODED.encode()) == b"form":
+                        url = unquote_plus(url)
+                    rows.append((int(path.rsplit("file=", 1)[1].split("/", 1)[0]), k, at, len(record), hashlib.sha256(record).hexdigest(), page, url, text(html)))
                 yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content").filter(F.col("path").contains("file="))

@@ -103,7 +103,7 @@ def test_record_bytes(spark):
 
 
 def test_archives_are_written_and_read_back(spark, tmp_path):
-    odd = [(500, "http://h/é", "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"), (501, None, None), (None, "u", "x")]
+    odd = [(502, "http://a\r\nContent-Length: 3\r\n\r\nxyz", "forged"), (503, "http://h/a b%0Dc+d", "plain"), (504, "tab\there%41+", "form"), (500, "http://h/é", "a\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\n"), (501, None, None), (None, "u", "x")]
     kept = pages(spark, 40).drop("seq").unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
     warc.write_archive(kept, str(tmp_path / "a"), per_file=20)
     back = warc.read_archive(spark, str(tmp_path / "a"))

@@ -663,3 +663,18 @@ def test_digests_are_those_of_the_contract(spark):
     from quarry.llm.queries import _sha
 
     assert spark.range(1).select(_sha(F.lit("é,b"))).first()[0] == hashlib.sha256("é,b".encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("size", "most"), [(0.5e9, 10.0), (30e9, 10.5), (1e12, 11.0)])
+def test_messages_stay_full(size, most):
+    """Bytes a window that blocks send to shards, with 24 bytes for each row, on random hashes and owners."""
+    shards, blocks = repeats.dealing(int(size), 0.4, 4.0)
+    windows, documents = int(size / 0.51e9 * 140e6 / blocks), int(size / 0.51e9 * 256_410 / blocks)
+    r, width, n, sent = np.random.default_rng(1), (1 << 64) // shards, 0, 0
+    for k in range(200):
+        m = r.poisson(windows / shards)
+        hashes = np.sort(r.integers(0, width, m, dtype=np.uint64)) + np.uint64(k * width % (1 << 63))
+        owners = r.integers(0, documents, m) * blocks + 7
+        sent += len(pack_sorted(hashes)) + len(pack(owners.astype(np.int64))) + 24
+        n += m
+    assert sent / n <= most and size / shards < 60e6
