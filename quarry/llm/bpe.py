@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,13 @@ def load(path: str) -> dict:
     }
 
 
+def code_points() -> Iterator[str]:
+    """All code points but surrogates, some at a time, so that the driver holds few of them."""
+    for first in range(0, 0x110000, 0x2000):
+        if not 0xD800 <= first < 0xE000:
+            yield "".join(chr(c) for c in range(first, first + 0x2000) if not 0xD800 <= c < 0xE000)
+
+
 def same_classes(pattern: str) -> str:
     r"""The pattern with \p{L}, \p{N} and \s adjusted to the characters that the tokenizers library counts among them.
 
@@ -89,12 +97,14 @@ def same_classes(pattern: str) -> str:
     import regex
     from tokenizers import Regex, pre_tokenizers
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for name, ours in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
-        theirs = {c for run, _ in pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every) for c in run}
-        mine = set(regex.findall(ours, every))
-        shown = ours
-        for op, odd in (("--", mine - theirs), ("||", theirs - mine)):
+        only_mine, only_theirs, shown = set(), set(), ours
+        for some in code_points():
+            theirs = {c for run, _ in pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(some) for c in run}
+            mine = set(regex.findall(ours, some))
+            only_mine |= mine - theirs
+            only_theirs |= theirs - mine
+        for op, odd in (("--", only_mine), ("||", only_theirs)):
             if odd:
                 shown = f"[{shown}{op}[{''.join(map(span, ranges(odd)))}]]"
         pattern = pattern.replace(name, shown)
@@ -108,10 +118,12 @@ def odd_letters() -> tuple[dict[str, str], dict[str, str]]:
     """
     from tokenizers import normalizers
 
-    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)] if c != 10]
-    joined = "\n".join(every)
-    lower = {c: x for c, x in zip(every, normalizers.Lowercase().normalize_str(joined).split("\n"), strict=True) if x != c.replace("Σ", "σ").lower()}
-    apart = {c: unicodedata.normalize("NFD", c) for c, x in zip(every, normalizers.NFD().normalize_str(joined).split("\n"), strict=True) if x != unicodedata.normalize("NFD", c)}
+    lower, apart = {}, {}
+    for some in code_points():
+        every = [c for c in some if c != "\n"]
+        joined = "\n".join(every)
+        lower |= {c: x for c, x in zip(every, normalizers.Lowercase().normalize_str(joined).split("\n"), strict=True) if x != c.replace("Σ", "σ").lower()}
+        apart |= {c: unicodedata.normalize("NFD", c) for c, x in zip(every, normalizers.NFD().normalize_str(joined).split("\n"), strict=True) if x != unicodedata.normalize("NFD", c)}
     if wrong := [c for c, x in apart.items() if x == c] + [c for c in [*lower, *(x[0] for x in apart.values())] if c < "\u0100"]:
         raise Unsupported(f"letters that Python treats otherwise: {wrong}")
     return lower, apart
