@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
@@ -51,8 +52,39 @@ def page_at(marks: list[tuple[int, int]], at: int) -> int | None:
     return marks[k - 1][1] if k else None
 
 
-def prose(text: str | None, size: int = CHUNK * LETTERS, overlap: int = OVERLAP * LETTERS, most: int = MOST_TOKENS * LETTERS - 2 * LETTERS) -> list[tuple]:
-    """(chunk_id, text, start_pos, end_pos, page_number, total_chunks) of one text; null and blank texts have none."""
+#: Of a text, where each of its tokens ends, in letters and without special tokens.
+Tokenizer = Callable[[str], Sequence[int]]
+
+
+def trimmed(text: str, tokenizer: Tokenizer, most: int) -> str:
+    """The beginning of text that has at most most tokens, in the text's own letters. A word that is cut may have other tokens than before, so what is left is counted again."""
+    while len(ends := tokenizer(text)) > most:
+        text = text[: min(ends[most - 1], len(text) - 1)].rstrip() if most > 0 else ""
+    return text
+
+
+def tokenizer_file(path: str) -> Callable[[], Tokenizer]:
+    """Loader of a tokenizer file: the caller reads it once, and each task that chunks builds its own from what was read."""
+    with open(path, encoding="utf-8") as f:
+        content = f.read()
+
+    def load() -> Tokenizer:
+        import tokenizers
+
+        t = tokenizers.Tokenizer.from_str(content)
+        t.no_truncation()
+        t.no_padding()
+        return lambda text: [end for _, end in t.encode(text, add_special_tokens=False).offsets]
+
+    return load
+
+
+def prose(text: str | None, size: int = CHUNK * LETTERS, overlap: int = OVERLAP * LETTERS, tokenizer: Tokenizer | None = None, most: int = MOST_TOKENS) -> list[tuple]:
+    """(chunk_id, text, start_pos, end_pos, page_number, total_chunks) of one text; null and blank texts have none.
+
+    A chunk has at most most tokens, two of which are kept for special ones; without a tokenizer four letters count as one. What is cut off a chunk is lost to it, as in the
+    application, unless the next chunk's overlap has it; a tokenizer's failure fails the task. end_pos is start_pos and the length of the chunk's text.
+    """
     if overlap * 5 >= size * 4:
         raise ValueError("the overlap must stay under four fifths of the size")
     text = re.sub(REGION, "", text or "")
@@ -61,8 +93,10 @@ def prose(text: str | None, size: int = CHUNK * LETTERS, overlap: int = OVERLAP
     while start < len(text):
         end = len(text) if start + size >= len(text) else places.split(start, start + size)
         chunk = text[start:end].strip()
-        if len(chunk) // LETTERS > MOST_TOKENS:
-            chunk = chunk[:most]
+        if tokenizer:
+            chunk = trimmed(chunk, tokenizer, most - 2)
+        elif len(chunk) // LETTERS > most:
+            chunk = chunk[: (most - 2) * LETTERS].rstrip()
         if chunk:
             out.append((len(out), chunk, start, start + len(chunk), page_at(marks, start)))
         if places is None or end - overlap >= len(text) - overlap:
@@ -71,33 +105,58 @@ def prose(text: str | None, size: int = CHUNK * LETTERS, overlap: int = OVERLAP
     return [(*c, len(out)) for c in out]
 
 
-def prose_chunks(docs: DataFrame, size: int = CHUNK * LETTERS, overlap: int = OVERLAP * LETTERS) -> DataFrame:
-    """CHUNKS of (file_path, text); each text is sequential, texts are independent, so nothing is shuffled."""
+def prose_chunks(docs: DataFrame, size: int = CHUNK * LETTERS, overlap: int = OVERLAP * LETTERS, tokenizer: Callable[[], Tokenizer] | None = None, most: int = MOST_TOKENS) -> DataFrame:
+    """CHUNKS of (file_path, text); each text is sequential, texts are independent, so nothing is shuffled. tokenizer makes one, once a task."""
 
     def run(batches):
         names = ["file_path", "chunk_id", "text", "start_pos", "end_pos", "page_number", "total_chunks"]
         kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        tokens = tokenizer() if tokenizer else None
         for b in batches:
-            rows = [(p, *c) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in prose(t, size, overlap)]
+            rows = [(p, *c) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in prose(t, size, overlap, tokens, most)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
 
     return docs.select("file_path", "text").mapInArrow(run, CHUNKS)
 
 
+def register_prose_chunks(spark: SparkSession, name: str = "prose_chunks", tokenizer: Callable[[], Tokenizer] | None = None) -> None:
+    """Makes the chunker a table function of SQL: `SELECT d.file_path, c.* FROM d, LATERAL prose_chunks(d.text) c`, or `prose_chunks(d.text, size, overlap)` in letters."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk_id int, text string, start_pos int, end_pos int, page_number int, total_chunks int")
+    class ProseChunks:
+        def __init__(self):
+            self.tokens = tokenizer() if tokenizer else None
+
+        def eval(self, text, size=CHUNK * LETTERS, overlap=OVERLAP * LETTERS):
+            yield from prose(text, size, overlap, self.tokens)
+
+    spark.udtf.register(name, ProseChunks)
+
+
 def with_keys(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_key", F.concat("file_path", F.lit(":"), F.col("chunk_id").cast("string")))
 
 
-def page_column(marks: Column, at: Column) -> Column:
-    """Page of a position: the last of the marks (pos, page), ordered by pos, that is not behind it; null before the first."""
-    return F.try_element_at(F.filter(marks, lambda m: m.getField("pos") <= at), F.lit(-1)).getField("page")
+def page_marks(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos from 0, page) of every page mark in the text of each key: a running sum over the lengths of what lies between marks, so the work grows with their number."""
+    between = F.transform(F.split(text, r"\[Page \d+\]"), F.length)
+    zipped = F.arrays_zip(between.alias("length"), F.regexp_extract_all(text, F.lit(PAGE), F.lit(1)).alias("number"))
+    each = texts.select(key, F.posexplode(zipped).alias("i", "m")).select(key, "i", F.col("m.length").alias("length"), F.col("m.number").alias("number")).filter("number is not null")
+    mark = F.length("number") + 7
+    pos = F.sum(F.col("length") + mark).over(Window.partitionBy(key).orderBy("i")) - mark
+    return each.select(key, pos.cast("int").alias("pos"), F.col("number").cast("int").alias("page"))
+
 
+def pages_at(marks: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """places (key, pos, any other columns) with the page of each: that of the last mark of the key that is not behind it, null before the first.
 
-def page_marks(text: Column) -> Column:
-    """Marks of a text as an array of (pos from 0, page), by running lengths of the parts between them."""
-    parts, numbers = F.split(text, r"\[Page \d+\]"), F.regexp_extract_all(text, F.lit(PAGE), F.lit(1))
-    before = lambda i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.aggregate(F.slice(numbers, 1, i), F.lit(0), lambda s, n: s + F.length(n) + 7)
-    return F.transform(numbers, lambda n, i: F.named_struct(F.lit("pos"), before(i), F.lit("page"), n.cast("int")))
+    An as-of join as one sort: marks and places of a key are lined up by position, and every place takes the last page seen. Equal places stay apart.
+    """
+    others = [c for c in places.columns if c not in (key, "pos")]
+    lined = places.select(key, "pos", F.struct(F.lit(1).alias("_"), *others).alias("place"), F.lit(None).cast("int").alias("page")).unionByName(marks.select(key, "pos", "page"), allowMissingColumns=True)
+    seen = Window.partitionBy(key).orderBy("pos", F.col("place").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return lined.withColumn("page", F.last("page", ignorenulls=True).over(seen)).filter("place is not null").select(key, "pos", *(f"place.{c}" for c in others), "page")
 
 
 def sheet_chunks(rows: DataFrame, rows_per_chunk: int = SHEET_ROWS) -> DataFrame:

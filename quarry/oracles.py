@@ -113,7 +113,26 @@ body AS (SELECT *, k // 20 AS g FROM placed WHERE k >= 0),
 texts AS (SELECT file_path, sheet, g, '[File: ' || regexp_extract(file_path, '([^/]*)$', 1) || ' | Sheet: ' || sheet || ' | Rows: ' || (g * 20 + 1) || '-' || (g * 20 + count(*)) || ']' || chr(10)
   || 'Headers: ' || array_to_string(any_value(header), ' | ') || chr(10) || string_agg('Row ' || (k + 1) || ': ' || array_to_string(cells, ' | '), chr(10) ORDER BY k) AS text FROM body GROUP BY 1, 2, 3)"""
 
+# Prose chunks, one step a row: a chunk ends behind the last sentence end in the 119 places before the window's end, else behind the last blank line in 239, else behind the
+# last white space in 59, else where the window ends. The tables' texts hold no page marks.
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_PROSE = rf"""WITH RECURSIVE docs AS ({DUCK_DOCUMENTS}),
+texts AS (SELECT file_path, t, length(t) AS n FROM (SELECT file_path, regexp_replace(text, '\[Region: [^\]]*\]\n?', '', 'g') AS t FROM docs) WHERE length(t) > 0),
+steps AS (SELECT file_path, t, n, 0 AS a, 0 AS z FROM texts
+  UNION ALL
+  SELECT file_path, t, n, b, CASE WHEN b + 1200 >= n THEN n ELSE b + 1200 - 239 + coalesce(
+      list_max(list_filter(range(120, 239), lambda j: substr(r, j + 1, 1) IN ('!', '?') AND regexp_matches(substr(r, j + 2, 1), '{_SPACE}') OR substr(r, j + 1, 1) = '.' AND regexp_matches(substr(r, j + 2), '^ *(?:\p{{Lu}}|$)'))),
+      list_max(list_filter(range(0, 239), lambda j: substr(r, j + 1, 1) = chr(10) AND substr(r, j + 2, 1) IN ('', chr(10)))),
+      list_max(list_filter(range(180, 239), lambda j: regexp_matches(substr(r, j + 1, 1), '{_SPACE}'))), 238) + 1 END
+  FROM (SELECT file_path, t, n, b, substr(t, b + 1200 - 239 + 1) AS r FROM (SELECT *, CASE WHEN z = 0 THEN 0 ELSE z - 200 END AS b FROM steps WHERE z < n))),
+cut AS (SELECT file_path, a, regexp_replace(substr(t, a + 1, z - a), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM steps WHERE z > 0),
+good AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY a) - 1 AS k, count(*) OVER (PARTITION BY file_path) AS c FROM cut WHERE text <> '')
+SELECT file_path, CAST(k AS INT) AS chunk_id, text, CAST(a AS INT) AS start_pos, CAST(a + length(text) AS INT) AS end_pos, CAST(NULL AS INT) AS page_number, CAST(c AS INT) AS total_chunks FROM good"""
+
+
 ORACLES: dict[str, str] = {
+    "prose_chunks": _PROSE,
+    "prose_chunks_sql": _PROSE,
     "doc_search_page": _search("(lower(file_path) LIKE '%src1%' OR lower(content_preview) LIKE '%src1%') AND lower(file_type) = 'en'", 50, 20),
     "doc_search_date_range": _search("last_modified >= TIMESTAMP '2024-01-05' AND last_modified <= TIMESTAMP '2024-01-20'", 30, 0),
     "docs_by_type": f"{_DOCS} SELECT id, file_path, {_TS.format('indexed_at')} AS indexed_at FROM docs WHERE file_type = 'de'",

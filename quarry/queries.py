@@ -291,6 +291,12 @@ def prose_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.prose_chunks(docs)
 
 
+def prose_chunks_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunker as a table function that SQL joins to the texts."""
+    chunking.register_prose_chunks(spark)
+    return spark.sql("SELECT d.file_path, c.* FROM {docs} d, LATERAL prose_chunks(d.text) c", docs=fx.indexed_documents(spark, sf).select("file_path", "text"))
+
+
 def sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").filter("l_linenumber is not null")
     cells = F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_linestatus")])
@@ -300,8 +306,8 @@ def sheet_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_lookup(spark: SparkSession, sf: str) -> DataFrame:
     marked = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Intro. "), F.regexp_replace("text", "\\. ", ". [Page 3] ")).alias("t"))
-    marks = marked.select("doc_id", chunking.page_marks(F.col("t")).alias("m"), F.explode(F.array(*[F.lit(x) for x in (0, 50, 100, 400, 2000)])).alias("place"))
-    return marks.select("doc_id", "place", F.size("m").cast("long").alias("marks"), chunking.page_column(F.col("m"), F.col("place")).alias("page"))
+    places = marked.select("doc_id", F.explode(F.array(*[F.lit(x) for x in (0, 50, 100, 400, 2000)])).alias("pos"), F.regexp_count("t", F.lit(chunking.PAGE)).cast("long").alias("marks"))
+    return chunking.pages_at(chunking.page_marks(marked, "doc_id", "t"), places, "doc_id").select("doc_id", F.col("pos").alias("place"), "marks", "page")
 
 
 def doc_title(spark: SparkSession, sf: str) -> DataFrame:
@@ -435,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         corpus_metadata, corpus_summary_text, distinct_types, ui_filtered, ui_sort, folder_tree, filename_prefix, autocomplete, trie_stats, category_listing, cache_stats, session_message_counts,
         message_totals, week_activity, daily_message_counts, response_trend, active_directories, usage_upsert, most_used_docs, chat_history_pairs, chat_role_list, last_six_pairs, last_message, chat_titles,
         link_sources, tokenize_docs, bm25_term_stats, bm25_topk, cosine_topk, rrf_fuse, hybrid_topk, hybrid_filename_filter, aggregation_mode_topk, selected_files_first, single_file_mode, source_rows,
-        context_blocks, truncate_context, prose_chunks, sheet_chunks, page_lookup, doc_title, listing_previews, classify_questions, rewrite_questions, aggregation_intent, detect_filename, category_intent,
+        context_blocks, truncate_context, prose_chunks, prose_chunks_sql, sheet_chunks, page_lookup, doc_title, listing_previews, classify_questions, rewrite_questions, aggregation_intent, detect_filename, category_intent,
         coalesce_events, stream_window_counts, stream_dedup, update_priority, update_queue, queue_retention, ingest_diff, ingest_resume, ingest_upsert, delete_cascade, reject_reasons, edit_apply_counts, cell_values,
     )
 }
