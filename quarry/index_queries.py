@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixtures as fx
 from .operators import retrieval as rt
 from .operators.keyword import KeywordIndex, built
+from .operators.names import NameIndex
 from .operators.vectors import VectorIndex
 from .oracles import ORACLES as _BASE
 from .plans.engine import Corpus
@@ -113,6 +115,33 @@ def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
     return found.agg(F.count("*").alias("questions"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough"))
 
 
+def _name_index(spark: SparkSession, sf: str) -> NameIndex:
+    """All names, in parts of some 200, after strangers that split parts have gone again and late ones have come."""
+    docs = fx.indexed_documents(spark, sf).select("id", "file_path")
+    none, late = docs.limit(0), F.col("id") % 9 == 4
+    strangers = docs.select("id", F.concat(F.lit("/corpus/x/Doc_1"), (F.col("id") % 5).cast("string"), F.lit("/doc_1"), F.col("id").cast("string"), F.lit("~.md")).alias("file_path"))
+    index = NameIndex(Ledger(spark, _folder(spark, "names")), part_rows=200)
+    change = lambda added, removed: index.ledger.change("names", lambda c: index.update(c, added, removed))
+    change(docs.filter(~late).unionByName(docs.filter("id % 2 = 0 and id % 9 <> 4")), none)
+    change(strangers, none)
+    change(docs.filter(late), strangers)
+    return index
+
+
+def names_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by a prefix of their name, from the parts of the index that can hold it."""
+    return _name_index(spark, sf).search(" DOC_7", "txt")
+
+
+def autocomplete_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return _name_index(spark, sf).autocomplete("doc_1")
+
+
+def name_index_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The shape of the name tree, from neighbours in sorted parts."""
+    return _name_index(spark, sf).stats()
+
+
 def ask_search(spark: SparkSession, sf: str) -> DataFrame:
     """The sources that the engine names for a search question."""
     chunks = _documents_as_chunks(spark, sf)
@@ -132,7 +161,7 @@ class _Scanned:
         return rt.cosine_topk(self.vectors, query, k)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_history, bm25_after_updates, bm25_updated_terms, vector_index_topk, vector_index_recall, ask_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_history, bm25_after_updates, bm25_updated_terms, vector_index_topk, vector_index_recall, names_indexed, autocomplete_indexed, name_index_stats, ask_search)}
 
 ORACLES: dict[str, str] = {
     "workspace_history": """WITH v AS (
@@ -145,5 +174,8 @@ SELECT CAST(version AS BIGINT) AS version, operation, count(*) AS told, count(*)
     "bm25_updated_terms": _BASE["bm25_term_stats"],
     "vector_index_topk": _BASE["cosine_topk"],
     "vector_index_recall": "SELECT count(*) AS questions, CAST(sum((SELECT least(40, count(*)) FROM embeddings)) AS BIGINT) AS wanted, true AS enough FROM embeddings WHERE vec_id % 250 = 0",
+    "names_indexed": _BASE["filename_prefix"],
+    "autocomplete_indexed": _BASE["autocomplete"],
+    "name_index_stats": _BASE["trie_stats"],
     "ask_search": _BASE["source_rows"],
 }

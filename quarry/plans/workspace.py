@@ -14,6 +14,7 @@ from ..operators import catalog, ingest
 from ..operators import retrieval as r
 from ..operators.chunking import with_keys
 from ..operators.keyword import KeywordIndex
+from ..operators.names import NameIndex
 from ..operators.vectors import VectorIndex
 from ..schemas import CHUNKS, INDEXED_DOCUMENTS
 from ..session import stored
@@ -36,7 +37,7 @@ class Outside(ValueError):
 class Workspace:
     """Tables of one directory in the ledger of `folder` (a folder that all machines share).
 
-    Every change is one commit of all it touches: documents, chunks, postings and vectors. It rewrites only the buckets of the files it is about; index segments are added. Two
+    Every change is one commit of all it touches: documents, chunks, names, postings and vectors. It rewrites only the buckets of the files it is about; index segments are added. Two
     workspaces on one folder, in one process or two, see each other's commits and never overwrite them.
     """
 
@@ -52,7 +53,7 @@ class Workspace:
 
     def __post_init__(self):
         self.ledger = Ledger(self.spark, self.folder, self.buckets)
-        self.keywords, self.vectors = KeywordIndex(self.ledger), VectorIndex(self.ledger)
+        self.keywords, self.vectors, self.names = KeywordIndex(self.ledger), VectorIndex(self.ledger), NameIndex(self.ledger)
 
     @property
     def directory(self) -> str | None:
@@ -78,8 +79,10 @@ class Workspace:
                 return "empty"
 
             def noted(change: Change) -> None:
-                docs, _ = files.scan_and_upsert(change.table("documents", DOCUMENTS), scan.drop("content"), as_of, resume)
+                known = change.table("documents", DOCUMENTS)
+                docs = stored(files.scan_and_upsert(known, scan.drop("content"), as_of, resume)[0], "documents")
                 change.replace("documents", docs)
+                self.named(change, docs, known)
 
             self.ledger.change("scan", noted)
             self.ingest(scan, as_of)
@@ -118,14 +121,20 @@ class Workspace:
         return after
 
     def write(self, change: Change, docs: DataFrame, chunks: DataFrame, paths: DataFrame, buckets: list[str]) -> None:
-        """New rows of some buckets, and what the files at `paths` have in them now instead of what they had, in both indexes."""
-        chunks = stored(chunks, "chunks")
+        """New rows of some buckets, and what the files at `paths` have in them now instead of what they had, in the indexes."""
+        chunks, docs = stored(chunks, "chunks"), stored(docs, "documents")
         change.replace("documents", docs, buckets=buckets)
         change.replace("chunks", chunks, buckets=buckets)
         of = lambda t: t.join(paths, "file_path", "left_semi").select("chunk_key", "text")
         old, new = of(change.table("chunks", SCHEMAS["chunks"], buckets)), of(chunks)
         self.keywords.update(change, new, old)
         self.vectors.update(change, self.embed(new), old)
+        of = lambda t: t.join(paths, "file_path", "left_semi")
+        self.named(change, of(docs), of(change.table("documents", DOCUMENTS, buckets)))
+
+    def named(self, change: Change, docs: DataFrame, before: DataFrame) -> None:
+        """The index of names after some documents have come and gone."""
+        self.names.update(change, *(a.select("file_path").join(b.select("file_path"), "file_path", "left_anti") for a, b in ((docs, before), (before, docs))))
 
     def corpus(self, **more) -> Corpus:
         """Questions to the latest snapshot, by the stored indexes."""
@@ -163,6 +172,7 @@ class Workspace:
             if change.written:
                 self.keywords.clear(change)
                 self.vectors.clear(change)
+                self.names.clear(change)
 
         self.ledger.change("clear", run)
 
@@ -172,6 +182,13 @@ class Workspace:
     def history(self) -> DataFrame:
         return self.ledger.history()
 
+    def autocomplete(self, prefix: str, most: int = 10) -> DataFrame:
+        return self.names.autocomplete(prefix, most)
+
+    def find(self, prefix: str, file_type: str | None = None) -> DataFrame:
+        """Paths of the files whose name starts like prefix."""
+        return self.names.search(prefix, file_type)
+
     def apply_changes(self, upserts: DataFrame, deletions: DataFrame, as_of: str) -> None:
         """A micro-batch of file events in one commit: deleted files go, others are scanned and ingested. Only the batch's files are opened (if they are more than LISTED, the directory is listed)."""
         wanted = upserts.select("file_path").distinct()
