@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .operators import chats
 from .operators import retrieval as rt
 from .operators.keyword import KeywordIndex, built
 from .operators.names import NameIndex
 from .operators.vectors import VectorIndex
 from .oracles import ORACLES as _BASE
+from .plans import history as hist
 from .plans.engine import Corpus
+from .service_oracles import ORACLES as _SERVICE
 from .queries import KEYWORDS, _documents_as_chunks, _query_vector, _vectors
 from .session import shared_folder, table
 from .sources.ledger import Change, Ledger
@@ -142,6 +145,15 @@ def name_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _name_index(spark, sf).stats()
 
 
+def history_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """The history of every conversation with summaries that are kept: first of what had been said by the third turn, then of everything, then again."""
+    pairs = chats.message_pairs(table(spark, sf, "conversations"))
+    cache = hist.Summaries(Ledger(spark, _folder(spark, "summaries")))
+    for said in (pairs.filter("position <= 3"), pairs):
+        hist.history(said, keep=1, cache=cache)
+    return hist.history(pairs, keep=1, cache=cache).select("session_id", "position", "role", F.sha2("content", 256).alias("content_sha256"))
+
+
 def ask_search(spark: SparkSession, sf: str) -> DataFrame:
     """The sources that the engine names for a search question."""
     chunks = _documents_as_chunks(spark, sf)
@@ -161,7 +173,7 @@ class _Scanned:
         return rt.cosine_topk(self.vectors, query, k)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_history, bm25_after_updates, bm25_updated_terms, vector_index_topk, vector_index_recall, names_indexed, autocomplete_indexed, name_index_stats, ask_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (workspace_history, bm25_after_updates, bm25_updated_terms, vector_index_topk, vector_index_recall, names_indexed, autocomplete_indexed, name_index_stats, history_cached, ask_search)}
 
 ORACLES: dict[str, str] = {
     "workspace_history": """WITH v AS (
@@ -177,5 +189,6 @@ SELECT CAST(version AS BIGINT) AS version, operation, count(*) AS told, count(*)
     "names_indexed": _BASE["filename_prefix"],
     "autocomplete_indexed": _BASE["autocomplete"],
     "name_index_stats": _BASE["trie_stats"],
+    "history_cached": _SERVICE["history_rows"],
     "ask_search": _BASE["source_rows"],
 }

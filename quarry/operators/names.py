@@ -59,16 +59,16 @@ class NameIndex:
     def update(self, change: Change, added: DataFrame, removed: DataFrame) -> None:
         """Files (file_path) that are new and files that are gone."""
         cuts = self.cuts(change.base)
-        new, gone = stored(keyed(added).withColumn("part", self.part_of(cuts)), "names"), stored(keyed(removed).withColumn("part", self.part_of(cuts)), "names")
-        touched = [r["part"] for r in new.select("part").unionByName(gone.select("part")).distinct().collect()]  # at most all parts
+        both = keyed(added).withColumn("gone", F.lit(False)).unionByName(keyed(removed).withColumn("gone", F.lit(True)))
+        told = stored(both.withColumn("part", self.part_of(cuts)), "names")
+        touched = [r["part"] for r in told.select("part").distinct().collect()]  # at most all parts
         if touched:
-            old = change.table(self.name, NAMES, touched).join(gone.select("k"), "k", "left_anti")
-            rows = stored(old.unionByName(new).dropDuplicates(["k"]), "names")
+            old = change.table(self.name, NAMES, touched).join(told.filter("gone").select("k"), "k", "left_anti")
+            rows = stored(old.unionByName(told.filter("not gone").drop("gone")).dropDuplicates(["k"]), "names")
             cuts = self.split(change, cuts, rows)
             change.replace_parts(self.name, rows.withColumn("part", self.part_of(cuts)), "part", touched, ("k",))
             unstored(rows)
-        unstored(new)
-        unstored(gone)
+        unstored(told)
 
     def split(self, change: Change, cuts: list[tuple[str, str]], rows: DataFrame) -> list[tuple[str, str]]:
         """The bounds after parts that have become too large are split."""

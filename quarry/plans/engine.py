@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as TooLong
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_lines
@@ -51,13 +51,13 @@ class Corpus:
     """documents (id, file_path, text and catalog columns), their chunks, keyword index and vectors, all as DataFrames.
 
     Postings and vectors are stored for further questions until `close`; those of a workspace (keywords: KeywordIndex, vectors: VectorIndex) are its own. writer: (question, context) -> answer; model: messages -> text, used instead where
-    there is one; editor: (instruction, content) -> changes.
+    there is one; editor: (instruction, content) -> changes. summarise makes a column of summaries out of one of transcripts; with summaries they are kept and not made twice.
     """
 
     def __init__(
         self, documents: DataFrame, chunks: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] = r.hashed_vectors, writer: Callable[[str, str], str] = extract, taxonomy: tuple[str, ...] = (),
         provider: str = "groq", model: Callable[[list[dict]], str] | None = None, editor: Callable[[str, str], list[dict]] = no_changes, compress: bool = False, keyword_index: bool = True,
-        keywords=None, vectors=None,
+        keywords=None, vectors=None, summarise: Callable[[Column], Column] = history.last_line, summaries: history.Summaries | None = None,
     ):
         self.documents = documents
         self.chunks = chunks if chunks is not None else with_keys(prose_chunks(documents))
@@ -65,6 +65,7 @@ class Corpus:
         self.provider, self.model, self.editor, self.compress = provider, model, editor, compress
         self.keywords = keywords if keywords is not None else r.Bm25Index(self.chunks, keep=True) if keyword_index else None
         self.vectors, self.owned = vectors if vectors is not None else stored(embed(self.chunks), "vectors"), [t for t, given in (("keywords", keywords), ("vectors", vectors)) if given is None]
+        self.summarise, self.summaries = summarise, summaries
         self.proposals: list[DataFrame] = []
 
     def close(self) -> None:
@@ -140,7 +141,7 @@ class Corpus:
         """The messages of a model call: system, what was said in the session (older pairs summarised) and the question."""
         if pairs is None:
             return [{"role": "system", "content": SYSTEM}, {"role": "user", "content": question}]
-        rows = history.history(pairs.filter(F.col("session_id") == session))
+        rows = history.history(pairs.filter(F.col("session_id") == session), summarise=self.summarise, cache=self.summaries)
         found = history.messages(SYSTEM, rows, question).first()  # a dozen messages
         return [m.asDict() for m in found["messages"]] if found else self.said(None, None, question)
 

@@ -22,6 +22,7 @@ from ..sources import files, office, readers
 from ..sources.ledger import BUCKETS, Change, Ledger, Snapshot
 from ..streaming import events, stateful
 from .engine import Corpus
+from .history import Summaries
 
 DOCUMENTS = ", ".join(c for c in INDEXED_DOCUMENTS.split(", ") if not c.startswith("last_processed"))
 SCHEMAS = {"documents": DOCUMENTS, "chunks": f"{CHUNKS}, chunk_key string"}
@@ -138,7 +139,7 @@ class Workspace:
 
     def corpus(self, **more) -> Corpus:
         """Questions to the latest snapshot, by the stored indexes."""
-        return Corpus(self.table("documents"), self.table("chunks"), self.embed, taxonomy=self.taxonomy, keywords=self.keywords, vectors=self.vectors, **more)
+        return Corpus(self.table("documents"), self.table("chunks"), self.embed, **{"taxonomy": self.taxonomy, "keywords": self.keywords, "vectors": self.vectors, "summaries": Summaries(self.ledger), **more})
 
     def inside(self, path: str) -> str:
         """The path, if it is in the directory."""
