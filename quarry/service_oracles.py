@@ -136,6 +136,7 @@ UNION ALL SELECT 'how many invoices do we have', 'document_listing', 'No documen
     "model_messages": f"""{_history(2)}, s AS (SELECT session_id, coalesce(max(content) FILTER (role = 'system'), '') AS notes, count(*) FILTER (role <> 'system') AS n, string_agg(role || ': ' || content || {_N}, '' ORDER BY position) FILTER (role <> 'system') AS said FROM rows GROUP BY 1)
 SELECT session_id, CAST(n + 2 AS INT) AS n, sha256('system: Be brief.' || CASE WHEN notes <> '' THEN {_N} || notes ELSE '' END || {_N} || coalesce(said, '') || 'user: and now?') AS messages_sha256 FROM s""",
     "last_sources": "WITH l AS (SELECT user_id AS session_id, arg_max(event_id, (ts, event_id)) AS id FROM events GROUP BY 1) SELECT session_id, CASE WHEN id % 3 > 0 THEN '/d/' || id END AS file_path FROM l",
+    "status_rows": "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER w AS k, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE k = 1 OR event_type IS DISTINCT FROM b",
     "accepted_events": """WITH e AS (SELECT 'f' || user_id || CASE WHEN event_id % 3 = 0 THEN '.exe' ELSE '.TXT' END AS f, 'g' || user_id || '.pdf' AS g, event_type AS t FROM events),
 s AS (SELECT f AS file_path, CASE WHEN t IN ('error', 'signup') THEN 'deleted' ELSE 'modified' END AS event_type FROM e UNION ALL SELECT g, 'created' FROM e WHERE t = 'error')
 SELECT file_path, event_type, count(*) AS events FROM s WHERE event_type = 'deleted' OR file_path NOT LIKE '%.exe' GROUP BY 1, 2""",

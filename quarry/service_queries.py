@@ -18,6 +18,7 @@ from .queries import AS_OF, _both, _documents_as_chunks, _scan, _ts
 from .session import table
 from .sources import files, office, office_write
 from .streaming import events as ev
+from .streaming import status as st
 
 STAMP = "2024-01-05 00:00:00"
 
@@ -394,6 +395,12 @@ def queue_counts(spark: SparkSession, sf: str) -> DataFrame:
     return ev.queue_status(table(spark, sf, "events").select(status.alias("status")))
 
 
+def status_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events that differ from the one before."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    return st.changed(rows, "user_id", ("ts", "event_id"), "event_type").select("event_id", "user_id", "event_type")
+
+
 def waiting_events(spark: SparkSession, sf: str) -> DataFrame:
     return ev.waiting(fx.file_events(spark, sf).select(F.concat("file_path", F.lit("#"), F.col("event_id").cast("string")).alias("file_path"), "event_type", "ts")).select("file_path")
 
@@ -405,6 +412,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         removed_files, rename_folder, edit_proposals, edits_applied, edit_paragraphs, sessions_changed, answers_set, link_rows, session_history, one_document, docs_in_error, layout_previews, suggestion_lines,
         tool_results, listing_rows, category_answers, first_page_progress, token_usage, prompt_cuts, calendar_dates, snippet_positions, shown_numbers, whole_files, compressed_context, answer_selected,
         answer_single_file, joined_context, semantic_only, files_named, hashed_vectors, ask_listing, history_rows, model_messages, last_sources, accepted_events, enqueued_files, tasks_taken,
-        queue_counts, waiting_events,
+        queue_counts, status_rows, waiting_events,
     )
 }
