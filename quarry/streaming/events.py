@@ -62,8 +62,12 @@ def priority(size_bytes: Column, age_hours: Column, active: Column, change: Colu
 
 def queue(tasks: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Tasks (file_path, priority, enqueued_at) in the order they are taken: the latest of each path. A full queue refuses newcomers: the `capacity` paths that came first are in it."""
-    latest = tasks.groupBy("file_path").agg(F.max_by(F.struct(*tasks.columns), F.struct("enqueued_at", "priority")).alias("t"), F.min("enqueued_at").alias("_came"))
-    return latest.orderBy("_came", "file_path").limit(capacity).select("t.*").orderBy(F.desc("priority"), "enqueued_at", "file_path")
+    return latest(tasks).orderBy("_came", "file_path").limit(capacity).select("t.*").orderBy(F.desc("priority"), "enqueued_at", "file_path")
+
+
+def latest(tasks: DataFrame) -> DataFrame:
+    """The latest task of each path as t, and when the path first came."""
+    return tasks.groupBy("file_path").agg(F.max_by(F.struct(*tasks.columns), F.struct("enqueued_at", "priority")).alias("t"), F.min("enqueued_at").alias("_came"))
 
 
 def queue_status(tasks: DataFrame) -> DataFrame:
@@ -92,8 +96,8 @@ def waiting(events: DataFrame, capacity: int = WAITING) -> DataFrame:
 
 
 def taken(tasks: DataFrame, n: int) -> DataFrame:
-    """Tasks (file_path, priority, enqueued_at, state) after the first n pending ones were taken: they become active."""
-    first = queue(tasks.filter("state = 'pending'"), n).select(F.col("file_path").alias("_p"), F.lit(True).alias("_t"))
+    """Tasks (file_path, priority, enqueued_at, state) after the n most urgent pending ones were taken: they become active. What is pending is in the queue already, so nothing is refused here."""
+    first = latest(tasks.filter("state = 'pending'")).select("t.*").orderBy(F.desc("priority"), "enqueued_at", "file_path").limit(n).select(F.col("file_path").alias("_p"), F.lit(True).alias("_t"))
     state = F.when(F.col("_t") & (F.col("state") == "pending"), "active").otherwise(F.col("state"))
     return tasks.join(F.broadcast(first), F.col("file_path") == F.col("_p"), "left").withColumn("state", state).drop("_p", "_t")  # at most n rows
 
