@@ -91,22 +91,31 @@ def listing_preview(status: Column, preview: Column, chunks: Column, name: Colum
 
 
 def layout_preview(text: Column, n: int = 500) -> Column:
-    """Preview that shows slices of the full, left and right regions of page 1 if the text marks them, else its beginning."""
-    page = F.substring_index(_after(text, "[Page 1]"), "\n\n[Page ", 1)
+    """Preview that shows slices of the full, left and right regions of page 1 if the text marks them, else its beginning. Each step's value is bound, so that it is made once for a row."""
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    part = lambda name: strip(F.substring_index(_after(page, f"[Region: {name}]"), "[Region:", 1))
     sizes = {"full": int(n * 0.40), "left": int(n * 0.28)}
     frame = sum(map(len, ("[Page 1]\n[Region: full]\n", "\n[Region: left]\n", "\n[Region: right]\n")))
     sizes["right"] = max(80, min(int(n * 0.32), n - frame - sizes["full"] - sizes["left"]))
-    shown = [F.when(part(r) != "", F.concat(F.lit(f"[Region: {r}]\n"), F.regexp_replace(F.substring(part(r), 1, k), r"\s+$", ""))) for r, k in sizes.items()]
-    composed = F.regexp_replace(F.substring(strip(F.concat_ws("\n", F.lit("[Page 1]"), *shown)), 1, n), r"\s+$", "")
-    marked = text.contains("[Region:") & text.contains("[Page 1]")
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).when(marked, composed).otherwise(strip(F.substring(text, 1, n)))
+
+    def shown(page: Column, name: str, most: int) -> Column:
+        part = lambda rest: strip(F.substring_index(rest, "[Region:", 1))
+        slice_ = lambda p: F.when(p != "", F.concat(F.lit(f"[Region: {name}]\n"), F.regexp_replace(F.substring(p, 1, most), r"\s+$", "")))
+        return bound(_after(page, f"[Region: {name}]"), lambda rest: bound(part(rest), slice_))
+
+    composed = lambda page: F.regexp_replace(F.substring(strip(F.concat_ws("\n", F.lit("[Page 1]"), *(shown(page, r, k) for r, k in sizes.items()))), 1, n), r"\s+$", "")
+    first = lambda t: bound(_after(t, "[Page 1]"), lambda rest: bound(F.substring_index(rest, "\n\n[Page ", 1), composed))
+    marked = lambda t: t.contains("[Region:") & t.contains("[Page 1]")
+    return bound(text, lambda t: F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).when(marked(t), first(t)).otherwise(strip(F.substring(t, 1, n))))
+
+
+def bound(value: Column, of) -> Column:
+    """of(value), the value being computed once for a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def _after(text: Column, token: str) -> Column:
     """What follows the first token; empty without it."""
-    return F.when(F.instr(text, token) > 0, F.substr(text, F.instr(text, token) + F.lit(len(token)))).otherwise(F.lit(""))
+    return bound(F.instr(text, token), lambda at: F.when(at > 0, F.substr(text, at + F.lit(len(token)))).otherwise(F.lit("")))
 
 
 def clean_lines(text: Column, least: int, most: int) -> Column:

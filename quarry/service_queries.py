@@ -234,10 +234,10 @@ def docs_in_error(spark: SparkSession, sf: str) -> DataFrame:
 
 def layout_previews(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as marked pages: a heading, two columns and a second page."""
-    part = lambda a, n: F.regexp_replace(F.substring(F.regexp_replace("text", r"[\x09-\x0D ]+", " "), a, n), r"^ +| +$", "")
+    part = lambda a, n: F.regexp_replace(F.substring("flat", a, n), r"^ +| +$", "")
     marked = F.concat(F.lit("[Page 1]\n[Region: full]\n"), part(1, 300), F.lit("\n[Region: left]\n"), part(301, 100), F.lit("\n[Region: right]\n"), part(401, 50), F.lit("\n\n[Page 2]\n[Region: full]\nmore"))
-    d = table(spark, sf, "documents").filter("length(text) > 600")
-    return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, tx.layout_preview(marked)).otherwise(tx.layout_preview(F.regexp_replace("text", r"[\x09-\x0D ]+", " "))).alias("preview"))
+    d = table(spark, sf, "documents").filter("length(text) > 600").select("doc_id", F.regexp_replace("text", r"[\x09-\x0D ]+", " ").alias("flat"))
+    return d.select("doc_id", tx.layout_preview(F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("flat"))).alias("preview"))
 
 
 def suggestion_lines(spark: SparkSession, sf: str) -> DataFrame:
