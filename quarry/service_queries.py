@@ -14,7 +14,7 @@ from .operators import catalog, chats, edit, ingest
 from .operators import retrieval as rt
 from .plans import history as hist
 from .plans.engine import Corpus
-from .queries import AS_OF, _both, _documents_as_chunks, _scan, _ts
+from .queries import AS_OF, _both, _documents_as_chunks, _query_vector, _scan, _ts, _vectors
 from .session import table
 from .sources import files, office, office_write
 from .streaming import events as ev
@@ -325,7 +325,7 @@ def joined_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def semantic_only(spark: SparkSession, sf: str) -> DataFrame:
-    chunks, s, _ = _both(spark, sf, 40)
+    chunks, s = _documents_as_chunks(spark, sf), rt.cosine_topk(_vectors(spark, sf), _query_vector(spark, sf), 40)
     return rt.hybrid(chunks, s, None, rt.POLICIES["search"]).select("pos", "chunk_key", F.round("score", 6).alias("score"))
 
 
