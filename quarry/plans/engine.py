@@ -50,7 +50,7 @@ def no_changes(instruction: str, content: str) -> list[dict]:
 class Corpus:
     """documents (id, file_path, text and catalog columns), their chunks, keyword index and vectors, all as DataFrames.
 
-    Postings and vectors are stored for further questions until `close`; those of a workspace (keywords: KeywordIndex, vectors: VectorIndex) are its own. writer: (question, context) -> answer; model: messages -> text, used instead where
+    Postings, and from the first search on vectors, are stored for further questions until `close`; those of a workspace (keywords: KeywordIndex, vectors: VectorIndex) are its own. writer: (question, context) -> answer; model: messages -> text, used instead where
     there is one; editor: (instruction, content) -> changes. summarise makes a column of summaries out of one of transcripts; with summaries they are kept and not made twice.
     """
 
@@ -64,15 +64,23 @@ class Corpus:
         self.embed, self.writer, self.taxonomy = embed, writer, taxonomy
         self.provider, self.model, self.editor, self.compress = provider, model, editor, compress
         self.keywords = keywords if keywords is not None else r.Bm25Index(self.chunks, keep=True) if keyword_index else None
-        self.vectors, self.owned = vectors if vectors is not None else stored(embed(self.chunks), "vectors"), [t for t, given in (("keywords", keywords), ("vectors", vectors)) if given is None]
+        self._vectors, self.owned = vectors, [t for t, given in (("keywords", keywords), ("vectors", vectors)) if given is None]
         self.summarise, self.summaries = summarise, summaries
         self.proposals: list[DataFrame] = []
 
     def close(self) -> None:
         if "keywords" in self.owned and self.keywords is not None:
             self.keywords.close()
-        if "vectors" in self.owned:
-            unstored(self.vectors)
+        if "vectors" in self.owned and self._vectors is not None:
+            unstored(self._vectors)
+            self._vectors = None
+
+    @property
+    def vectors(self):
+        """The vectors of the chunks; unless they are given, they are made for the first question that searches."""
+        if self._vectors is None:
+            self._vectors = stored(self.embed(self.chunks), "vectors")
+        return self._vectors
 
     def policy(self, filename: str | None, aggregation: bool) -> r.Policy:
         return r.POLICIES["aggregation" if aggregation else "file" if filename else "search"]
