@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,21 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(words, lambda t: F.concat(F.array(t), parts(t)))), F.array().cast("array<string>"))
 
 
+_TOKENS, _SEPARATORS, _STOP = re.compile(TOKEN), re.compile(SEPARATORS), frozenset(STOP_WORDS)
+
+
+def token_counts(text: str | None) -> Counter:
+    """How often each of the `tokens` of a text is there; each distinct token is looked at once."""
+    counts = Counter(_TOKENS.findall((text or "").lower()))
+    for t in _STOP & counts.keys():
+        del counts[t]
+    for t, n in [(t, n) for t, n in counts.items() if not t.isalnum()]:
+        for p in _SEPARATORS.split(t):
+            if len(p) > 2:
+                counts[p] += n
+    return counts
+
+
 def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 

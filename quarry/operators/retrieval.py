@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.text import SNIPPET, cut, suffix, tokens
+from ..functions.text import SNIPPET, cut, suffix, token_counts, tokens
 from ..session import stored, unstored
 
 # BM25 parameters, fusion constant, caps.
@@ -34,6 +38,46 @@ POLICIES = {"listing": Policy(120, 120, 1000, 0), "aggregation": Policy(100, 50,
 
 class Bm25Index:
     """Postings (chunk_key, tok, tf) of (chunk_key, text); lengths and statistics derive from them.
+def postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_key, tok, tf, dl) of (chunk_key, text), a row for each distinct token of a key; dl is the number of the key's tokens. Null keys are a key.
+
+    Texts are dealt and sorted by their key before they are tokenised: they are smaller than their tokens, and rows of one key follow each other, so counts need no exchange.
+    """
+    key = chunks.schema["chunk_key"].dataType
+    dealt = chunks.select("chunk_key", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_key").sortWithinPartitions("chunk_key")
+
+    def run(batches):
+        names, schema = ["chunk_key", "tok", "tf", "dl"], to_arrow_type(key)
+        keys, toks, tfs, dls = [], [], [], []
+        for k, counts in counted(batches):
+            keys += [k] * len(counts)
+            toks += counts.keys()
+            tfs += counts.values()
+            dls += [counts.total()] * len(counts)
+            if len(keys) >= EMITTED:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, schema), pa.array(toks, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], names)
+                keys, toks, tfs, dls = [], [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(keys, schema), pa.array(toks, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], names)
+
+    return dealt.mapInArrow(run, T.StructType([T.StructField("chunk_key", key), T.StructField("tok", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())]))
+
+
+def counted(batches):
+    """(key, token counts) of batches (key, text) sorted by key, each key once."""
+    last, counts = None, None
+    for b in batches:
+        for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            more = token_counts(text.as_py())
+            if counts is not None and k == last:
+                counts.update(more)
+            else:
+                if counts is not None:
+                    yield last, counts
+                last, counts = k, more
+    if counts is not None:
+        yield last, counts
+
+
 
     `keep` writes the postings, and from them lengths and statistics, to tables in the shared folder, so that texts are tokenised and counted once for all
     that is asked of them; `close` removes them.
@@ -277,8 +321,20 @@ def compressed(rows: DataFrame, extract=lambda text: text, filename: str | None
 
 
 def hashed_vectors(chunks: DataFrame, size: int = 64) -> DataFrame:
-    """Deterministic default embedding: normalised hashed term frequencies of the first 1800 characters."""
-    toks = chunks.select("chunk_key", F.transform(tokens(F.substring("text", 1, 1800)), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int")).alias("h"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("h", lambda x: x == i)).cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return toks.select("chunk_key", counts.alias("v")).select("chunk_key", F.transform("v", lambda x: x / F.greatest(norm(F.col("v")), F.lit(1e-12))).alias("embedding"))
+    """Deterministic default embedding: normalised hashed term frequencies (by Spark's xxhash64) of the first 1800 characters."""
+    key = chunks.schema["chunk_key"].dataType
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            out = np.zeros((b.num_rows, size))
+            for row, text in zip(out, b.column(1), strict=True):
+                for t, n in token_counts(text.as_py()).items():
+                    h = xxhash.xxh64_intdigest(t, seed=42)
+                    row[(h - (1 << 64) if h >> 63 else h) % size] += n
+            out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, out.size + 1, size, dtype=np.int32), out.ravel())], ["chunk_key", "embedding"])
+
+    some = chunks.select("chunk_key", F.substring("text", 1, 1800).alias("text"))
+    return some.mapInArrow(run, T.StructType([T.StructField("chunk_key", key), T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
