@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder, stored, unstored  # noqa: F401
-
-#: Rows of one Arrow batch: texts can be long, so batches stay small.
-BATCH_ROWS = 512
+from ..session import BATCH_ROWS, shared_folder, stored, unstored  # noqa: F401
 
 
 def prepare(spark: SparkSession) -> SparkSession:

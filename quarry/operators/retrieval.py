@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.text import SNIPPET, cut, suffix, token_counts, tokens
 from ..session import stored, unstored
 
+#: Postings of one Arrow batch, at least.
+EMITTED = 50_000
 # BM25 parameters, fusion constant, caps.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 RRF_K, PER_FILE, DOMINANT, STRONGLY_DOMINANT, PRIMARY_CHUNKS = 60, 4, 0.6, 0.8, 3
@@ -36,8 +38,6 @@ class Policy:
 POLICIES = {"listing": Policy(120, 120, 1000, 0), "aggregation": Policy(100, 50, 50, 2000), "search": Policy(40, 12, 25, 0), "file": Policy(40, 12, 20, 0)}
 
 
-class Bm25Index:
-    """Postings (chunk_key, tok, tf) of (chunk_key, text); lengths and statistics derive from them.
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_key, tok, tf, dl) of (chunk_key, text), a row for each distinct token of a key; dl is the number of the key's tokens. Null keys are a key.
 
@@ -78,21 +78,20 @@ def counted(batches):
         yield last, counts
 
 
+class Bm25Index:
+    """Postings (chunk_key, tok, tf, dl) of (chunk_key, text); statistics derive from them.
 
-    `keep` writes the postings, and from them lengths and statistics, to tables in the shared folder, so that texts are tokenised and counted once for all
+    `keep` writes the postings, and from them statistics, to tables in the shared folder, so that texts are tokenised and counted once for all
     that is asked of them; `close` removes them.
     """
 
     def __init__(self, chunks: DataFrame, keep: bool = False):
         self.chunks = chunks.select("chunk_key")
-        # Texts are dealt by their key before they are tokenised: they are smaller than their tokens, and counting needs no exchange after it.
-        dealt = chunks.select("chunk_key", "text").repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_key")
-        occurrences = dealt.select("chunk_key", F.explode(tokens(F.col("text"))).alias("tok"))
-        self.postings = occurrences.groupBy("chunk_key", "tok").agg(F.count("*").alias("tf"))
+        self.postings = postings(chunks)
         self.kept: dict[str, DataFrame] = {}
         if keep:
             self.postings = self.kept["postings"] = stored(self.postings, "postings")
-            for name in ("lengths", "totals", "term_stats"):
+            for name in ("totals", "term_stats"):
                 self.kept[name] = stored(getattr(self, name)(), name)
 
     def close(self) -> None:
@@ -125,7 +124,7 @@ def counted(batches):
 
     def lengths(self) -> DataFrame:
         """chunk_key, dl: tokens of every chunk that has any."""
-        return self.kept["lengths"] if "lengths" in self.kept else self.postings.groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
+        return self.postings.groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
 
     def totals(self) -> DataFrame:
         """n chunks (also those without tokens) and their mean length."""
@@ -149,12 +148,11 @@ def counted(batches):
         asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("qf"))
         avgdl = self.totals().select("avgdl").scalar()
         hits = self.postings.join(F.broadcast(asked), "tok")  # the words of one question
-        if "lengths" in self.kept:
-            lengths = self.kept["lengths"]
-        else:
+        if "dl" not in self.postings.columns:
             lengths = self.postings.join(hits.select("chunk_key").distinct(), "chunk_key", "left_semi").groupBy("chunk_key").agg(F.sum("tf").alias("dl"))
+            hits = hits.join(lengths, "chunk_key")
         terms = self.term_stats().join(F.broadcast(asked.select("tok")), "tok", "left_semi")  # the words of one question
-        hits = hits.join(lengths, "chunk_key").join(F.broadcast(terms), "tok")
+        hits = hits.join(F.broadcast(terms), "tok")
         part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
         best = hits.groupBy("chunk_key").agg(F.sum(part).alias("score")).orderBy(F.round("score", 9).desc(), "chunk_key").limit(k)
         return ranked(best, F.round("score", 9).desc(), F.col("chunk_key")).filter("score > 0")

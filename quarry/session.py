@@ -13,8 +13,13 @@ def session(app: str = "quarry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Rows of one Arrow batch: texts can be long, so batches stay small.
+BATCH_ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
