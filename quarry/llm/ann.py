@@ -27,9 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.pairs import distances, exact, nearest_in_parts, packed
 from .common import mix64, prepare, stored
 
 #: Bound of the sample that centroids are fitted on.
@@ -40,6 +42,8 @@ LIST_ROWS, FITTED_ROWS, BLOCK_ROWS = 200, 4, 4_000
 WIDTH, LEAST_LISTS = 64, 4
 #: Sampled vectors that calibrate the ratio, the share of their neighbours that it must lead to, and queries of one block of an exact search.
 CALIBRATING, REACH, EXACT_BLOCK = 128, 0.98, 256
+#: Rows that a query is sent on in at once.
+ROUTED = 4_096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -123,15 +127,6 @@ class CentroidGraph:
         return sorted((d, i) for d, i in out if d <= (1 + ratio) * least)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)[None, :]))
-
-
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, term by term."""
-    return np.sqrt(((x - q) ** 2).sum(axis=1))
-
-
 def nearest_of(points: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """query_id, vec_id, score and lists of the k nearest other rows of each query, by an exact pass over all points; at most k rows a query and task are shuffled."""
     shared = points.sparkSession.sparkContext.broadcast((ids, q))
@@ -232,8 +227,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: flo
             pdf = pdf[pdf["embedding"].map(len) == size]
             if len(pdf):
                 d = distances(np.stack(pdf["embedding"]), c)
-                near = np.argsort(d, axis=1, kind="stable")[:, :replicas]
+                near = np.argpartition(d, replicas - 1, axis=1)[:, :replicas] if replicas < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(d), 1))
                 dn = np.take_along_axis(d, near, axis=1)
+                order = np.lexsort((near, dn), axis=1)
+                near, dn = np.take_along_axis(near, order, axis=1), np.take_along_axis(dn, order, axis=1)
                 n = (dn <= (1 + closure) * dn[:, :1]).sum(axis=1)
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "lists": [row[:m] for row, m in zip(near.astype(np.int32), n, strict=True)]})
 
@@ -255,30 +252,24 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, closure: flo
             n = pdf["lists"].map(len).to_numpy()
             lists, ids = np.concatenate([*pdf["lists"], np.empty(0, np.int32)]).astype(np.int64), np.repeat(pdf["vec_id"].to_numpy(), n)
             block = (mix64(ids.astype(np.int64).view(np.uint64)) % blocks[lists].astype(np.uint64)).astype(np.int64)
-            yield pd.DataFrame({"list": lists, "block": block, "vec_id": ids, "embedding": np.repeat(pdf["embedding"].to_numpy(), n)})
+            points = packed(pdf["embedding"]).take(pa.array(np.repeat(np.arange(len(pdf)), n)))
+            yield pd.DataFrame({"part": lists << 32 | block, "key": ids, "point": points.to_pylist()})
 
     def route(batches):
         g, (held, blocks) = shared.value, plan.value
         for pdf in batches:
             pdf = pdf[pdf["embedding"].map(len) == size]
-            out = [(j, b, i, v) for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True) for j in visited(g, np.asarray(v), ratio, held, least) for b in range(blocks[j])]
-            yield pd.DataFrame(out, columns=["list2", "block2", "query_id", "q"])
-
-    postings = placed.mapInPandas(post, "list int, block int, vec_id long, embedding array<double>")
-    asked = usable(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).mapInPandas(route, "list2 int, block2 int, query_id long, q array<double>")
-
-    def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, ids = np.stack(left["embedding"]), left["vec_id"].to_numpy()
-            for i, q in zip(right["query_id"].tolist(), right["q"], strict=True):
-                d = exact(np.asarray(q), x)
-                own = ids != i
-                order = np.lexsort((ids[own], d[own]))[: k * int(repeats)]
-                out += [(i, int(j), float(s)) for j, s in zip(ids[own][order], d[own][order], strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = postings.groupBy("list", "block").cogroup(asked.groupBy("list2", "block2")).applyInPandas(scan, "query_id long, vec_id long, score double")
+            for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                parts = np.concatenate([j << 32 | np.arange(blocks[j]) for j in visited(g, np.asarray(v), ratio, held, least)])
+                point = np.asarray(v, np.float64).tobytes()
+                for at in range(0, len(parts), ROUTED):  # a query's own rows, and not those of all queries of a batch, are what is held
+                    some = parts[at : at + ROUTED]
+                    yield pd.DataFrame({"part": some, "key": i, "point": [point] * len(some)})
+
+    kind = "part long, key long, point binary"
+    postings = placed.mapInPandas(post, kind)
+    asked = usable(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")).mapInPandas(route, kind)
+    found = nearest_in_parts(postings, asked, k * int(repeats), own=False).toDF("query_id", "vec_id", "score")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
