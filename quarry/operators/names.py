@@ -17,8 +17,10 @@ import uuid
 from bisect import bisect_right
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import basename, suffix
 from ..session import stored, unstored
@@ -51,22 +53,31 @@ class NameIndex:
         """(bound, part) by bound; the first bound is below every key."""
         return [tuple(c) for c in snapshot.properties.get(f"{self.name}_cuts", [["", "0"]])]
 
-    def part_of(self, cuts: list[tuple[str, str]]) -> Column:
-        """The part of a row: that of the last bound not above its key (compared with each, of which there are at most some MOST_PARTS)."""
-        bounds, parts = (F.from_json(F.lit(json.dumps(x)), "array<string>") for x in zip(*cuts, strict=True))
-        return F.element_at(parts, F.size(F.filter(bounds, lambda b: b <= F.col("k"))))
+    def parted(self, rows: DataFrame, cuts: list[tuple[str, str]]) -> DataFrame:
+        """rows with their part: that of the last bound not above its key, found by bisection; the bounds (some MOST_PARTS at most) go along with every task."""
+        rows = rows.drop("part")
+        shared = rows.sparkSession.sparkContext.broadcast(([b.encode() for b, _ in cuts], [p for _, p in cuts]))
+        at = rows.columns.index("k")
+
+        def run(batches):
+            bounds, parts = shared.value
+            for b in batches:
+                found = [parts[bisect_right(bounds, k.encode()) - 1] for k in b.column(at).to_pylist()]  # by bytes, as Spark compares
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "part"])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("part", T.StringType())]))
 
     def update(self, change: Change, added: DataFrame, removed: DataFrame) -> None:
         """Files (file_path) that are new and files that are gone."""
         cuts = self.cuts(change.base)
         both = keyed(added).withColumn("gone", F.lit(False)).unionByName(keyed(removed).withColumn("gone", F.lit(True)))
-        told = stored(both.withColumn("part", self.part_of(cuts)), "names")
+        told = stored(self.parted(both, cuts), "names")
         touched = [r["part"] for r in told.select("part").distinct().collect()]  # at most all parts
         if touched:
             old = change.table(self.name, NAMES, touched).join(told.filter("gone").select("k"), "k", "left_anti")
             rows = stored(old.unionByName(told.filter("not gone").drop("gone")).dropDuplicates(["k"]), "names")
             cuts = self.split(change, cuts, rows)
-            change.replace_parts(self.name, rows.withColumn("part", self.part_of(cuts)), "part", touched, ("k",))
+            change.replace_parts(self.name, self.parted(rows, cuts), "part", touched, ("k",))
             unstored(rows)
         unstored(told)
 
