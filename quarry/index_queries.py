@@ -13,7 +13,7 @@ from .operators import chats
 from .operators import retrieval as rt
 from .operators.keyword import KeywordIndex, built
 from .operators.names import NameIndex
-from .operators.vectors import VectorIndex
+from .operators.vectors import VectorIndex, scan_many
 from .oracles import ORACLES as _BASE
 from .plans import history as hist
 from .plans.engine import Corpus
@@ -108,14 +108,10 @@ def vector_index_topk(spark: SparkSession, sf: str) -> DataFrame:
 def vector_index_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate searches for every 250th vector, counted against scans of everything: whether at least nine in ten of the 40 nearest are found."""
     index, v = _vector_index(spark, sf), _vectors(spark, sf)
-    asked = v.filter("chunk_key % 250 = 0").collect()  # the questions
-    found = None
-    for q in asked:
-        exact = rt.cosine_topk(v, list(q["embedding"]), 40).select(F.col("chunk_key").cast("string").alias("chunk_key"))
-        near = index.search(list(q["embedding"]), 40).select("chunk_key", F.lit(1).alias("hit"))
-        part = exact.join(near, "chunk_key", "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("found"))
-        found = part if found is None else found.unionByName(part)
-    return found.agg(F.count("*").alias("questions"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough"))
+    asked = v.filter("chunk_key % 250 = 0").select(F.col("chunk_key").cast("string").alias("query_key"), "embedding")
+    exact, near = scan_many(v, asked, 40).select("query_key", "chunk_key"), index.search_many(asked, 40).select("query_key", "chunk_key", F.lit(1).alias("hit"))
+    found = exact.join(near, ["query_key", "chunk_key"], "left")
+    return asked.agg(F.count("*").alias("questions")).crossJoin(found.agg(F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough")))  # a row each
 
 
 def _name_index(spark: SparkSession, sf: str) -> NameIndex:

@@ -13,11 +13,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.text import bound
 from ..session import stored, unstored
 from ..sources.ledger import Change, Ledger, Snapshot
+from .pairs import distances, nearest_in_parts, packed
 from .retrieval import cosine_topk
 
 #: Vectors that centroids are made from at most, vectors of a list aimed at, lists at most, how far beyond the nearest list an approximate search goes, growth that asks for new centroids.
@@ -40,10 +45,26 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def nearest_list(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """rows with list and distance of the nearest centroid; the centroids (at most MOST_LISTS) go along as one broadcast array."""
-    every = centroids.agg(F.collect_list(F.struct("list", "centroid")).alias("_c"))  # at most MOST_LISTS
-    best = F.array_min(F.transform("_c", lambda c: F.struct(distance(F.col("unit"), c["centroid"]).alias("d"), c["list"].alias("l"))))
-    return rows.join(F.broadcast(every)).withColumn("_b", best).withColumn("list", F.col("_b.l")).withColumn("distance", F.col("_b.d")).drop("_c", "_b")
+    """rows with list and distance of the nearest centroid; the centroids (at most MOST_LISTS) go along with every task. A vector of another length goes to the first list, without a distance."""
+    found = centroids.select("list", "centroid").orderBy("list").collect()  # at most MOST_LISTS
+    if not found:
+        return rows.limit(0).withColumn("list", F.lit(None).cast("long")).withColumn("distance", F.lit(None).cast("double"))
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["list"] for r in found]), np.array([r["centroid"] for r in found])))
+    at = rows.columns.index("unit")
+
+    def run(batches):
+        lists, c = shared.value
+        for b in batches:
+            unit = b.column(at)
+            sound = np.array([len(v) == c.shape[1] for v in unit], bool)
+            to, far = np.full(b.num_rows, lists[0]), np.full(b.num_rows, np.nan)
+            if sound.any():
+                x = unit.filter(pa.array(sound)).flatten().to_numpy().reshape(-1, c.shape[1])
+                near = distances(x, c).argmin(axis=1)
+                to[sound], far[sound] = lists[near], np.sqrt(((x - c[near]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(to, pa.int64()), pa.array(far, pa.float64(), mask=~sound)], [*b.schema.names, "list", "distance"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("list", T.LongType()), T.StructField("distance", T.DoubleType())]))
 
 
 @dataclass
@@ -147,3 +168,70 @@ class VectorIndex:
         if snapshot.rows(self.name("dead")) and len(lists) < len(snapshot.parts(self.name("lists"))) and out.count() < k:
             out = self.read(snapshot, self.lists(snapshot, query), query, k)
         return out
+
+    def search_many(self, queries: DataFrame, k: int, snapshot: Snapshot | None = None, ratio: float = RATIO) -> DataFrame:
+        """query_key, chunk_key, score, rank: approximate searches for many questions (query_key string, embedding) at once; each reads the lists that `search` would. Score is the distance of unit vectors.
+
+        Questions are dealt to their lists by a shuffle; only the centroids (at most MOST_LISTS) go along with every task. Lists without enough living vectors give fewer than k rows.
+        """
+        snapshot = snapshot or self.ledger.snapshot()
+        radii = snapshot.table(self.name("radii"), RADII).groupBy("list").agg(F.sum("rows").alias("rows"))
+        near = snapshot.table(self.name("centroids"), CENTROIDS).join(radii, "list").orderBy("list").collect()
+        if not near:
+            return self.ledger.spark.createDataFrame([], "query_key string, chunk_key string, score double, rank int")
+        shared = self.ledger.spark.sparkContext.broadcast((np.array([r["list"] for r in near]), np.array([r["rows"] for r in near]), np.array([r["centroid"] for r in near])))
+
+        def route(batches):
+            lists, rows, centroids = shared.value
+            for b in batches:
+                for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    d = np.sqrt(((centroids - np.asarray(v)) ** 2).sum(axis=1))
+                    order = np.lexsort((lists, d))
+                    before = np.concatenate([[0], np.cumsum(rows[order])[:-1]])
+                    at = lists[order][(before < k) | (d[order] <= ratio * d[order[0]])]
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([key] * len(at), pa.string()), pa.array([np.asarray(v).tobytes()] * len(at), pa.binary())], ["part", "key", "point"])
+
+        unit = normalised(queries.select(F.col("query_key").alias("chunk_key"), "embedding")).select("chunk_key", "unit")
+        asked = unit.mapInArrow(route, PART)
+        points = in_parts(normalised_lists(self.living(snapshot, snapshot.table(self.name("lists"), LISTS))))
+        return many_best(points, asked, k)
+
+
+PART = "part long, key string, point binary"
+
+
+def normalised_lists(rows: DataFrame) -> DataFrame:
+    """(part, key, unit) of rows of LISTS."""
+    return rows.select(F.col("list").alias("part"), F.col("chunk_key").cast("string").alias("key"), unit_of(F.col("embedding")).alias("unit"))
+
+
+def unit_of(e: Column) -> Column:
+    return bound(F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.transform(e, lambda x: x / n))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """(part, key, unit) with the vectors as bytes."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(b.column(2).to_pylist())], ["part", "key", "point"])
+
+    return rows.mapInArrow(run, PART)
+
+
+def many_best(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    found = nearest_in_parts(points, asked, k, own=True).toDF("query_key", "chunk_key", "score")
+    order = Window.partitionBy("query_key").orderBy("score", "chunk_key")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def scan_many(vectors: DataFrame, queries: DataFrame, k: int, part_rows: int = 32_768) -> DataFrame:
+    """query_key, chunk_key, score, rank: for many questions (query_key string, embedding) the k nearest of all vectors, exactly.
+
+    The work grows with questions times vectors. Vectors are dealt to parts of some part_rows by their keys and every question goes to every part, so a task holds one part and a few questions.
+    """
+    all_ = normalised(vectors.select(F.col("chunk_key").cast("string").alias("chunk_key"), "embedding"))
+    parts = max(1, -(-all_.count() // part_rows))
+    dealt = all_.select(F.pmod(F.xxhash64("chunk_key"), F.lit(parts)).alias("part"), F.col("chunk_key").alias("key"), "unit")
+    every = normalised(queries.select(F.col("query_key").alias("chunk_key"), "embedding")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("chunk_key").alias("key"), "unit")
+    return many_best(in_parts(dealt), in_parts(every), k)
