@@ -14,38 +14,95 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import stored, unstored
 from ..sources.ledger import Change, Ledger, Snapshot
-from .retrieval import FLOOR, K1, B, ranked
+from .retrieval import FLOOR, K1, B, counted, postings, ranked
 
 #: Chunks of a group, segments of like size that are merged, groups whose numbers are pushed into the scan at most, what rounding may add to a bound.
 GROUP, TIER, PUSHED, SLACK = 128, 4, 2_000, 1e-6
 BLOCKS = "tok string, grp long, n int, impacts array<struct<tf:long,dl:long>>, entries array<struct<chunk_key:string,tf:long,dl:long>>, segment long"
 TERMS, TOTALS, DEAD = "tok string, df long", "chunks long, tokens long", "chunk_key string, segment long"
-POSTINGS = "chunk_key string, tok string, tf long, dl long"
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """POSTINGS of (chunk_key, text); dl is the number of the chunk's tokens."""
-    toks = tokens(F.col("text"))
-    counted = chunks.select("chunk_key", toks.alias("t")).select("chunk_key", F.size("t").cast("long").alias("dl"), F.explode("t").alias("tok"))
-    return counted.groupBy("chunk_key", "dl", "tok").agg(F.count("*").alias("tf")).select("chunk_key", "tok", "tf", "dl")
+def blocks(texts: DataFrame) -> DataFrame:
+    """BLOCKS without segment of (chunk_key, text), stored. Texts are dealt and sorted by key, GROUP keys are a group, and a group's blocks are made from its texts: postings are not exchanged."""
+    return stored(in_order(texts.select("chunk_key", "text")).mapInArrow(grouped(lambda batches: ((k, c, c.total()) for k, c in counted(batches))), unsorted(texts)), "blocks")
 
 
-def blocks(kept: DataFrame, segment: int) -> DataFrame:
-    """BLOCKS of stored postings, sorted by word and group. Groups follow the order of the keys, so that chunks of a file are together."""
-    keys = kept.select("chunk_key").distinct()
-    numbered = stored(keys.sort("chunk_key").select("chunk_key", F.shiftright(F.monotonically_increasing_id(), GROUP.bit_length() - 1).alias("grp")), "keyword-groups")
-    entry = F.struct("chunk_key", "tf", "dl")
-    made = kept.join(numbered, "chunk_key").groupBy("tok", "grp").agg(F.sort_array(F.collect_list(entry)).alias("entries"))  # at most GROUP of them
-    each = F.array_distinct(F.transform("entries", lambda e: e["tf"]))
-    shortest = lambda tf: F.array_min(F.transform(F.filter("entries", lambda e: e["tf"] == tf), lambda e: e["dl"]))
-    heads = F.transform(each, lambda tf: F.struct(tf.alias("tf"), shortest(tf).alias("dl")))
-    return made.select("tok", "grp", F.size("entries").alias("n"), heads.alias("impacts"), "entries", F.lit(segment).cast("long").alias("segment")).sort("tok", "grp")
+def regrouped(postings: DataFrame) -> DataFrame:
+    """BLOCKS without segment of (chunk_key, tok, tf, dl), stored: postings are dealt and sorted by key once."""
+
+    def keys(batches):
+        last, counts, n = None, None, 0
+        for b in batches:
+            for k, t, tf, dl in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if counts is None or k != last:
+                    if counts is not None:
+                        yield last, counts, n
+                    last, counts, n = k, {}, dl
+                counts[t] = counts.get(t, 0) + tf
+        if counts is not None:
+            yield last, counts, n
+
+    return stored(in_order(postings.select("chunk_key", "tok", "tf", "dl")).mapInArrow(grouped(keys), unsorted(postings)), "blocks")
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_key").sortWithinPartitions("chunk_key")
+
+
+def unsorted(rows: DataFrame) -> str:
+    return f"tok string, grp long, n int, impacts array<struct<tf:long,dl:long>>, entries array<struct<chunk_key:{rows.schema['chunk_key'].dataType.simpleString()},tf:long,dl:long>>"
+
+
+def grouped(keys: Callable) -> Callable:
+    """Makes blocks of what `keys` gives from Arrow batches: (key, counts of its tokens, number of them), sorted by key. A task holds one group."""
+
+    def run(batches):
+        first, row, group = TaskContext.get().partitionId() << 33, 0, []
+        for kept in keys(batches):
+            group.append(kept)
+            row += 1
+            if row % GROUP == 0:
+                yield batch(group, (first | row - 1) >> GROUP.bit_length() - 1)
+                group = []
+        if group:
+            yield batch(group, (first | row - 1) >> GROUP.bit_length() - 1)
+
+    def batch(group, number):
+        toks: dict[str, list] = {}
+        for i, (_, counts, _) in enumerate(group):
+            for t, tf in counts.items():
+                toks.setdefault(t, []).append((i, tf))
+        lengths = [n for _, _, n in group]
+        at, tfs, sizes, heads, starts = [], [], [0], [], [0]
+        for entries in toks.values():
+            best: dict[int, int] = {}
+            for i, tf in entries:
+                at.append(i)
+                tfs.append(tf)
+                best[tf] = min(best.get(tf, lengths[i]), lengths[i])
+            heads += best.items()
+            sizes.append(len(at))
+            starts.append(len(heads))
+        names, whole = pa.array([k for k, _, _ in group]), lambda x: pa.array(x, pa.int64())
+        listed = lambda offsets, columns, of: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, of))
+        impacts = listed(starts, [whole([tf for tf, _ in heads]), whole([dl for _, dl in heads])], ["tf", "dl"])
+        entries = listed(sizes, [names.take(whole(at)), whole(tfs), whole([lengths[i] for i in at])], ["chunk_key", "tf", "dl"])
+        n = [b - a for a, b in zip(sizes, sizes[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(list(toks), pa.string()), whole([number] * len(toks)), pa.array(n, pa.int32()), impacts, entries], ["tok", "grp", "n", "impacts", "entries"])
+
+    return run
+
+
+def sorted_blocks(made: DataFrame, segment: int) -> DataFrame:
+    return made.withColumn("segment", F.lit(segment).cast("long")).sort("tok", "grp")
 
 
 def impact(tf: Column, dl: Column, avgdl: float) -> Column:
@@ -71,12 +128,13 @@ class KeywordIndex:
     def update(self, change: Change, added: DataFrame, removed: DataFrame) -> None:
         """One segment: chunks (chunk_key, text) that are new, and those (with the text they were indexed by) that go; a changed chunk is in both."""
         segment = self.next_segment(change.base)
-        new, old = stored(postings(added), "postings"), stored(postings(removed), "postings")
-        signed = new.select("tok", F.lit(1).alias("s")).unionByName(old.select("tok", F.lit(-1).alias("s")))
+        new, old = blocks(added), stored(postings(removed).select("tok", "tf"), "postings")
+        signed = new.select("tok", F.col("n").cast("long").alias("s")).unionByName(old.select("tok", F.lit(-1).cast("long").alias("s")))
         change.part(self.name("terms"), str(segment), signed.groupBy("tok").agg(F.sum("s").alias("df")).filter("df <> 0").sort("tok"))
-        count = lambda chunks, kept, sign: chunks.agg(F.count("*").alias("chunks")).crossJoin(kept.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select((sign * F.col("chunks")).alias("chunks"), (sign * F.col("tokens")).alias("tokens"))
-        change.part(self.name("totals"), str(segment), count(added, new, 1).unionByName(count(removed, old, -1)))  # one row each
-        change.part(self.name("blocks"), str(segment), blocks(new, segment), **PAGES)
+        count = lambda chunks, tfs, sign: chunks.agg(F.count("*").alias("chunks")).crossJoin(tfs.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select((sign * F.col("chunks")).alias("chunks"), (sign * F.col("tokens")).alias("tokens"))
+        every = new.select(F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["tf"]).alias("tf"))
+        change.part(self.name("totals"), str(segment), count(added, every, 1).unionByName(count(removed, old, -1)))  # one row each
+        change.part(self.name("blocks"), str(segment), sorted_blocks(new, segment), **PAGES)
         change.part(self.name("dead"), str(segment), removed.select("chunk_key", F.lit(segment).cast("long").alias("segment")))
         for t in (new, old):
             unstored(t)
@@ -104,8 +162,8 @@ class KeywordIndex:
             change.drop(self.name(t), segments)
         change.table(self.name("dead"), DEAD)
         entries = change.table(self.name("blocks"), BLOCKS, segments).select("tok", "segment", F.inline("entries"))
-        living = stored(self.living(change.base, entries).select("chunk_key", "tok", "tf", "dl"), "postings")
-        change.part(self.name("blocks"), str(new), blocks(living, new), **PAGES)
+        living = regrouped(self.living(change.base, entries))
+        change.part(self.name("blocks"), str(new), sorted_blocks(living, new), **PAGES)
         unstored(living)
         left = [int(p) for p in change.base.parts(self.name("blocks")) if p not in segments]
         change.drop(self.name("blocks"), segments)
