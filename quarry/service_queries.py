@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import text as tx
+from .functions.batches import each, gathered
 from .operators import catalog, chats, edit, ingest
 from .operators import retrieval as rt
 from .plans import history as hist
@@ -85,11 +87,13 @@ def _written(rows: DataFrame, kind: str) -> DataFrame:
     size = lambda lines: max(3, -(-len(lines) // office.MOST_SLIDES))
     make = {"docx": office_write.docx, "pptx": lambda lines: office_write.pptx([lines[i : i + size(lines)] for i in range(0, len(lines), size(lines))])}[kind]
 
+    schema = pa.schema([("file_path", pa.string()), ("file_type", pa.string()), ("content", pa.binary())])
+
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"file_path": pdf["file_path"], "file_type": kind, "content": [make(list(x)) for x in pdf["lines"]]})
+        for b in batches:
+            yield from gathered(((p, kind, make(lines)) for p, lines in each(b)), schema, lambda r: len(r[2]))
 
-    return rows.mapInPandas(run, "file_path string, file_type string, content binary")
+    return rows.select("file_path", "lines").mapInArrow(run, "file_path string, file_type string, content binary")
 
 
 def docx_texts(spark: SparkSession, sf: str) -> DataFrame:

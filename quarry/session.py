@@ -13,13 +13,14 @@ def session(app: str = "quarry", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Rows of one Arrow batch: texts can be long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch, which ends with the row that fills either: texts can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.batches import each, gathered
 from ..operators.ingest import IMAGES
 from . import files, office
 
@@ -33,8 +33,7 @@ def read_by(rows: DataFrame, readers: dict[str, Reader], ocr: Reader | None = No
 
     def run(batches):
         for b in batches:
-            out = [one(k, c) for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["file_path", "text", "failure"])
+            yield from gathered(((p, *one(k, c)) for p, k, c in each(b)), office.TEXTS, lambda r: len(r[1] or ""))
 
     kinds = [*readers, *(IMAGES if ocr is not None else ())]
     return rows.filter(rows["file_type"].isin(*kinds)).select("file_path", "file_type", "content").mapInArrow(run, "file_path string, text string, failure string")
