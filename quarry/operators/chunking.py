@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import each, gathered
 from ..functions.text import basename
 from ..schemas import CHUNKS
 
@@ -111,10 +112,9 @@ def prose_chunks(docs: DataFrame, size: int = CHUNK * LETTERS, overlap: int = OV
     def run(batches):
         names = ["file_path", "chunk_id", "text", "start_pos", "end_pos", "page_number", "total_chunks"]
         kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        tokens = tokenizer() if tokenizer else None
+        tokens, schema = tokenizer() if tokenizer else None, pa.schema(list(zip(names, kinds, strict=True)))
         for b in batches:
-            rows = [(p, *c) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in prose(t, size, overlap, tokens, most)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+            yield from gathered(((p, *c) for p, t in each(b) for c in prose(t, size, overlap, tokens, most)), schema, lambda r: len(r[2]))
 
     return docs.select("file_path", "text").mapInArrow(run, CHUNKS)
 
