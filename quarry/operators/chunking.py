@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.batches import each, gathered
 from ..functions.text import basename
 from ..schemas import CHUNKS
+from ..session import stored
 
 # Sizes in tokens, letters of a token, markers, rows of a sheet chunk.
 CHUNK, OVERLAP, MOST_TOKENS, LETTERS = 300, 50, 512, 4
@@ -160,19 +161,33 @@ def pages_at(marks: DataFrame, places: DataFrame, key: str) -> DataFrame:
 
 
 def sheet_chunks(rows: DataFrame, rows_per_chunk: int = SHEET_ROWS) -> DataFrame:
-    """CHUNKS of sheet rows (file_path, sheet, row_no, cells): groups of rows under the sheet's first non-blank row as header."""
+    """CHUNKS of sheet rows (file_path, sheet, row_no, cells): groups of rows under the sheet's first non-blank row as header.
+
+    A sheet may be larger than a task: rows are sorted by range over all tasks, and a row's number in its sheet is its place in its task's span of the sheet and the lengths of the spans
+    before it. Windows see spans and sheets only. The sorted rows are stored in the shared folder, since their places must not change between jobs; rows is read twice.
+    """
     trimmed = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
     filled = rows.select("file_path", "sheet", "row_no", trimmed.alias("c")).filter(F.exists("c", lambda x: x != ""))
     last = F.size("c") - F.coalesce(F.array_position(F.reverse(F.transform("c", lambda x: x != "")), True), F.lit(1)).cast("int") + 1
-    order = Window.partitionBy("file_path", "sheet").orderBy("row_no")
-    placed = filled.withColumn("c", F.slice("c", F.lit(1), last)).withColumn("k", F.row_number().over(order) - 2).withColumn("header", F.first("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    body = placed.filter("k >= 0").withColumn("g", F.floor(F.col("k") / rows_per_chunk).cast("int"))
-    groups = body.groupBy("file_path", "sheet", "g", "header").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("r"), F.count("*").alias("n"))  # at most rows_per_chunk rows
-    first, final = F.col("g") * rows_per_chunk + 1, F.col("g") * rows_per_chunk + F.col("n")
-    lines = F.transform("r", lambda x: F.concat(F.lit("Row "), (x["k"] + 1).cast("string"), F.lit(": "), F.array_join(x["c"], " | ")))
-    head = F.format_string("[File: %s | Sheet: %s | Rows: %d-%d]", basename(F.col("file_path")), F.col("sheet"), first, final)
-    title = F.when(F.size("header") > 0, F.array(F.concat(F.lit("Headers: "), F.array_join("header", " | ")))).otherwise(F.array().cast("array<string>"))
-    text = F.array_join(F.concat(F.array(head), title, lines), "\n")
-    of_file = Window.partitionBy("file_path")
-    out = groups.select("file_path", "sheet", "g", text.alias("text")).withColumn("chunk_id", F.row_number().over(of_file.orderBy("sheet", "g")) - 1).withColumn("total_chunks", F.count("*").over(of_file))
-    return out.select("file_path", F.col("chunk_id").cast("int").alias("chunk_id"), "text", F.lit(0).alias("start_pos"), F.length("text").alias("end_pos"), F.lit(None).cast("int").alias("page_number"), F.col("total_chunks").cast("int").alias("total_chunks"))
+    lines = filled.select("file_path", "sheet", "row_no", F.array_join(F.slice("c", F.lit(1), last), " | ").alias("line"))
+    order = ("file_path", "sheet", "row_no")
+    placed = stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).select("file_path", "sheet", "line", F.monotonically_increasing_id().alias("at")), "sheet-rows")
+    placed = placed.withColumn("part", F.shiftrightunsigned("at", 33))  # the task; rows of one have consecutive places
+
+    of_sheet, of_file = Window.partitionBy("file_path", "sheet"), Window.partitionBy("file_path")
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = placed.groupBy("part", "file_path", "sheet").agg(F.count("*").alias("n"), F.min("at").alias("start"))
+    spans = stored(spans.withColumn("before", sum_before("n", of_sheet.orderBy("part"))).withColumn("rows", F.sum("n").over(of_sheet)).withColumn("head", F.min("start").over(of_sheet)), "sheet-spans")
+    sheets = spans.filter("start = head").withColumn("chunks", F.floor((F.col("rows") - 2 + rows_per_chunk) / rows_per_chunk))
+    sheets = sheets.withColumn("earlier", sum_before("chunks", of_file.orderBy("sheet"))).withColumn("total_chunks", F.sum("chunks").over(of_file)).select("file_path", "sheet", "head", "earlier", "total_chunks")
+    sheets = stored(sheets.join(placed.select(F.col("at").alias("head"), F.col("line").alias("header")), "head"), "sheets")
+
+    same = (placed["part"] == spans["part"]) & placed["file_path"].eqNullSafe(spans["file_path"]) & placed["sheet"].eqNullSafe(spans["sheet"])
+    body = placed.join(spans, same).select("head", (F.col("at") - F.col("start") + F.col("before") - 1).alias("k"), "line").filter("k >= 0").withColumn("g", F.floor(F.col("k") / rows_per_chunk))
+    groups = body.groupBy("head", "g").agg(F.sort_array(F.collect_list(F.struct("k", "line"))).alias("r"))  # at most rows_per_chunk rows
+    first, final = F.col("g") * rows_per_chunk + 1, F.col("g") * rows_per_chunk + F.size("r")
+    title = F.format_string("[File: %s | Sheet: %s | Rows: %d-%d]", basename(F.col("file_path")), F.col("sheet"), first, final)
+    numbered = F.transform("r", lambda x: F.concat(F.lit("Row "), (x["k"] + 1).cast("string"), F.lit(": "), x["line"]))
+    text = F.array_join(F.concat(F.array(title, F.concat(F.lit("Headers: "), "header")), numbered), "\n")
+    out = groups.join(sheets, "head").select("file_path", (F.col("earlier") + F.col("g")).cast("int").alias("chunk_id"), text.alias("text"), F.col("total_chunks").cast("int").alias("total_chunks"))
+    return out.select("file_path", "chunk_id", "text", F.lit(0).alias("start_pos"), F.length("text").alias("end_pos"), F.lit(None).cast("int").alias("page_number"), "total_chunks")

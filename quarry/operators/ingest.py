@@ -103,7 +103,7 @@ def run(known: DataFrame, chunks: DataFrame, scan: DataFrame, read: Callable[[Da
     prose = stored(read(work).select("file_path", "text").filter(F.trim("text") != ""), "texts")  # a reader sees each file once, whatever is made of its text
     made = prose_chunks(prose)
     if sheets is not None:
-        made = made.unionByName(sheet_chunks(sheets(work)))
+        made = made.unionByName(sheet_chunks(stored(sheets(work), "cells")))
     made = stored(made, "chunks")
     counts = made.groupBy("file_path").agg(F.count("*").cast("int").alias("chunks_count"), F.min_by("text", "chunk_id").alias("first"))
     titles = prose.select("file_path", layout_preview(F.col("text"), PREVIEW).alias("shown"), document_title(F.col("text"), list(taxonomy)).alias("document_category"))
