@@ -1,7 +1,7 @@
 """A keyword index that is kept up by segments and searched without reading all postings of a question's words.
 
-Every change of the corpus writes one segment: the postings of the chunks added, in blocks of a word and a group of GROUP neighbouring chunks, sorted by word and group; the
-change of each word's document frequency and of the totals; and the keys of the chunks that are no longer there, whose postings in older segments are dead from then on. Statistics
+Every change of the corpus writes one segment: the postings of the chunks added, in blocks of a word and a group of GROUP neighbouring chunks, in runs of some hundred thousand
+blocks sorted by word and group; the change of each word's document frequency and of the totals; and the keys of the chunks that are no longer there, whose postings in older segments are dead from then on. Statistics
 are sums over segments, so scores are those of an index built afresh. Segments of like size are merged, TIER at a time, without their dead postings.
 
 A block's head holds, for each term frequency in it, the shortest chunk that has it, so that the best score of any of its chunks is known exactly for any mean length. The heads of
@@ -11,9 +11,11 @@ groups below it, whose postings are never read.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,17 +28,19 @@ from .retrieval import FLOOR, K1, B, counted, postings, ranked
 
 #: Chunks of a group, segments of like size that are merged, groups whose numbers are pushed into the scan at most, what rounding may add to a bound.
 GROUP, TIER, PUSHED, SLACK = 128, 4, 2_000, 1e-6
+#: Postings of a run, at least, and blocks of one Arrow batch; groups and keys of chunks that went that a merge sends to every task at most.
+RUN, SLICE, BROADCAST = 1 << 20, 4_096, 500_000
 BLOCKS = "tok string, grp long, n int, impacts array<struct<tf:long,dl:long>>, entries array<struct<chunk_key:string,tf:long,dl:long>>, segment long"
 TERMS, TOTALS, DEAD = "tok string, df long", "chunks long, tokens long", "chunk_key string, segment long"
 
 
 def blocks(texts: DataFrame) -> DataFrame:
-    """BLOCKS without segment of (chunk_key, text), stored. Texts are dealt and sorted by key, GROUP keys are a group, and a group's blocks are made from its texts: postings are not exchanged."""
-    return stored(in_order(texts.select("chunk_key", "text")).mapInArrow(grouped(lambda batches: ((k, c, c.total()) for k, c in counted(batches))), unsorted(texts)), "blocks")
+    """BLOCKS without segment of (chunk_key, text). Texts are dealt and sorted by key, GROUP keys are a group, and a group's blocks are made from its texts: postings are not exchanged."""
+    return in_order(texts.select("chunk_key", "text")).mapInArrow(grouped(lambda batches: ((k, c, c.total()) for k, c in counted(batches))), unnumbered(texts))
 
 
 def regrouped(postings: DataFrame) -> DataFrame:
-    """BLOCKS without segment of (chunk_key, tok, tf, dl), stored: postings are dealt and sorted by key once."""
+    """BLOCKS without segment of (chunk_key, tok, tf, dl): postings are dealt and sorted by key once."""
 
     def keys(batches):
         last, counts, n = None, None, 0
@@ -50,59 +54,74 @@ def regrouped(postings: DataFrame) -> DataFrame:
         if counts is not None:
             yield last, counts, n
 
-    return stored(in_order(postings.select("chunk_key", "tok", "tf", "dl")).mapInArrow(grouped(keys), unsorted(postings)), "blocks")
+    return in_order(postings.select("chunk_key", "tok", "tf", "dl")).mapInArrow(grouped(keys), unnumbered(postings))
 
 
 def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_key").sortWithinPartitions("chunk_key")
 
 
-def unsorted(rows: DataFrame) -> str:
+def unnumbered(rows: DataFrame) -> str:
     return f"tok string, grp long, n int, impacts array<struct<tf:long,dl:long>>, entries array<struct<chunk_key:{rows.schema['chunk_key'].dataType.simpleString()},tf:long,dl:long>>"
 
 
 def grouped(keys: Callable) -> Callable:
-    """Makes blocks of what `keys` gives from Arrow batches: (key, counts of its tokens, number of them), sorted by key. A task holds one group."""
+    """Makes blocks of what `keys` gives from Arrow batches: (key, counts of its tokens, number of them), sorted by key. They come in runs sorted by word and group; a task holds one run."""
 
     def run(batches):
-        first, row, group = TaskContext.get().partitionId() << 33, 0, []
+        first, row, held = TaskContext.get().partitionId() << 33, 0, Run(GROUP)
         for kept in keys(batches):
-            group.append(kept)
+            held.add(*kept)
             row += 1
-            if row % GROUP == 0:
-                yield batch(group, (first | row - 1) >> GROUP.bit_length() - 1)
-                group = []
-        if group:
-            yield batch(group, (first | row - 1) >> GROUP.bit_length() - 1)
-
-    def batch(group, number):
-        toks: dict[str, list] = {}
-        for i, (_, counts, _) in enumerate(group):
-            for t, tf in counts.items():
-                toks.setdefault(t, []).append((i, tf))
-        lengths = [n for _, _, n in group]
-        at, tfs, sizes, heads, starts = [], [], [0], [], [0]
-        for entries in toks.values():
-            best: dict[int, int] = {}
-            for i, tf in entries:
-                at.append(i)
-                tfs.append(tf)
-                best[tf] = min(best.get(tf, lengths[i]), lengths[i])
-            heads += best.items()
-            sizes.append(len(at))
-            starts.append(len(heads))
-        names, whole = pa.array([k for k, _, _ in group]), lambda x: pa.array(x, pa.int64())
-        listed = lambda offsets, columns, of: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, of))
-        impacts = listed(starts, [whole([tf for tf, _ in heads]), whole([dl for _, dl in heads])], ["tf", "dl"])
-        entries = listed(sizes, [names.take(whole(at)), whole(tfs), whole([lengths[i] for i in at])], ["chunk_key", "tf", "dl"])
-        n = [b - a for a, b in zip(sizes, sizes[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(list(toks), pa.string()), whole([number] * len(toks)), pa.array(n, pa.int32()), impacts, entries], ["tok", "grp", "n", "impacts", "entries"])
+            if row % GROUP == 0 and len(held.ids) >= RUN:
+                yield from held.blocks(first // GROUP)
+                first, row, held = first + row, 0, Run(GROUP)
+        yield from held.blocks(first // GROUP)
 
     return run
 
 
-def sorted_blocks(made: DataFrame, segment: int) -> DataFrame:
-    return made.withColumn("segment", F.lit(segment).cast("long")).sort("tok", "grp")
+class Run:
+    """Postings of some groups, as numbers of words and of chunks."""
+
+    def __init__(self, group: int):
+        self.group, self.names, self.lengths, self.sizes, self.ids, self.tfs = group, [], [], [], [], []
+        self.words: defaultdict[str, int] = defaultdict()
+        self.words.default_factory = self.words.__len__
+
+    def add(self, key, counts: dict[str, int], length: int) -> None:
+        self.names.append(key)
+        self.lengths.append(length)
+        self.sizes.append(len(counts))
+        self.ids.extend(map(self.words.__getitem__, counts))
+        self.tfs.extend(counts.values())
+
+    def blocks(self, first: int) -> Iterator[pa.RecordBatch]:
+        """Arrow batches of BLOCKS without segment, sorted by word and group; groups are numbered from first on."""
+        if not self.ids:
+            return
+        toks = list(self.words)
+        order = np.array(sorted(range(len(toks)), key=toks.__getitem__))
+        rank, groups = np.argsort(order), len(self.sizes) // self.group + 1
+        chunk = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        block = rank[np.array(self.ids)] * groups + chunk // self.group
+        by = np.argsort(block, kind="stable")
+        block, chunk, tf = block[by], chunk[by], np.array(self.tfs)[by]
+        dl = np.array(self.lengths)[chunk]
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        ends, which = np.append(starts, len(block)), np.repeat(np.arange(len(starts)), np.diff(starts, append=len(block)))
+        by = np.lexsort((dl, tf, which))
+        heads = by[(np.diff(which[by], prepend=-1) != 0) | (np.diff(tf[by], prepend=-1) != 0)]
+        head_ends = np.searchsorted(which[heads], np.arange(len(starts) + 1))
+        words, names = pa.array(toks, pa.string()), pa.array(self.names)
+        listed = lambda ends, columns, of: pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.StructArray.from_arrays(columns, of))
+        for a in range(0, len(starts), SLICE):
+            numbers, at, top = block[starts[a : a + SLICE]], ends[a : a + SLICE + 1], head_ends[a : a + SLICE + 1]
+            every, best = slice(at[0], at[-1]), heads[top[0] : top[-1]]
+            impacts = listed(top, [pa.array(tf[best]), pa.array(dl[best])], ["tf", "dl"])
+            entries = listed(at, [names.take(pa.array(chunk[every])), pa.array(tf[every]), pa.array(dl[every])], ["chunk_key", "tf", "dl"])
+            columns = [words.take(pa.array(order[numbers // groups])), pa.array(first + numbers % groups), pa.array(np.diff(at), pa.int32()), impacts, entries]
+            yield pa.RecordBatch.from_arrays(columns, ["tok", "grp", "n", "impacts", "entries"])
 
 
 def impact(tf: Column, dl: Column, avgdl: float) -> Column:
@@ -128,31 +147,35 @@ class KeywordIndex:
     def update(self, change: Change, added: DataFrame, removed: DataFrame) -> None:
         """One segment: chunks (chunk_key, text) that are new, and those (with the text they were indexed by) that go; a changed chunk is in both."""
         segment = self.next_segment(change.base)
-        new, old = blocks(added), stored(postings(removed).select("tok", "tf"), "postings")
+        new = change.part(self.name("blocks"), str(segment), blocks(added).withColumn("segment", F.lit(segment).cast("long")), **PAGES)
+        old = stored(postings(removed).select("tok", "tf"), "postings")
         signed = new.select("tok", F.col("n").cast("long").alias("s")).unionByName(old.select("tok", F.lit(-1).cast("long").alias("s")))
         change.part(self.name("terms"), str(segment), signed.groupBy("tok").agg(F.sum("s").alias("df")).filter("df <> 0").sort("tok"))
         count = lambda chunks, tfs, sign: chunks.agg(F.count("*").alias("chunks")).crossJoin(tfs.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select((sign * F.col("chunks")).alias("chunks"), (sign * F.col("tokens")).alias("tokens"))
-        every = new.select(F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["tf"]).alias("tf"))
+        every = new.select(F.explode("entries.tf").alias("tf"))
         change.part(self.name("totals"), str(segment), count(added, every, 1).unionByName(count(removed, old, -1)))  # one row each
-        change.part(self.name("blocks"), str(segment), sorted_blocks(new, segment), **PAGES)
         change.part(self.name("dead"), str(segment), removed.select("chunk_key", F.lit(segment).cast("long").alias("segment")))
-        for t in (new, old):
-            unstored(t)
+        unstored(old)
 
     def clear(self, change: Change) -> None:
         for t in ("blocks", "terms", "totals", "dead"):
             change.drop(self.name(t))
 
     def due(self, snapshot: Snapshot) -> list[str]:
-        """The segments of the smallest tier (by powers of TIER) that has TIER of them."""
-        tiers: dict[int, list[str]] = {}
-        for p, entries in snapshot.parts(self.name("blocks")).items():
-            tiers.setdefault(_log(sum(e["rows"] for e in entries)), []).append(p)
-        full = sorted(t for t, parts in tiers.items() if len(parts) >= TIER)
-        return sorted(tiers[full[0]], key=int) if full else []
+        """The smallest segments of like size (none over TIER times another) of which there are TIER."""
+        sizes = sorted((sum(e["rows"] for e in entries), p) for p, entries in snapshot.parts(self.name("blocks")).items())
+        for least, _ in sizes:
+            like = [p for rows, p in sizes if least <= rows <= TIER * max(least, 1)]
+            if len(like) >= TIER:
+                return sorted(like, key=int)
+        return []
 
     def merge(self, change: Change, segments: list[str]) -> None:
-        """Some segments become one, with their living postings; keys that no older segment can hold are forgotten."""
+        """Some segments become one, with their living postings; keys that no older segment can hold are forgotten.
+
+        Groups of which over half of GROUP chunks live stay as they are, without the postings of those that went: their blocks are read and written in order, and only what is left of the other
+        groups is exchanged to make full groups of it.
+        """
         new = self.next_segment(change.base)
         for t, kind in (("terms", TERMS), ("totals", TOTALS)):
             rows, names = change.table(self.name(t), kind, segments), [c.split()[0] for c in kind.split(", ")]
@@ -161,14 +184,39 @@ class KeywordIndex:
             change.part(self.name(t), str(new), merged)
             change.drop(self.name(t), segments)
         change.table(self.name("dead"), DEAD)
-        entries = change.table(self.name("blocks"), BLOCKS, segments).select("tok", "segment", F.inline("entries"))
-        living = regrouped(self.living(change.base, entries))
-        change.part(self.name("blocks"), str(new), sorted_blocks(living, new), **PAGES)
-        unstored(living)
+        rows = change.table(self.name("blocks"), BLOCKS, segments)
+        groups = stored(self.groups(change.base, rows), "groups")
+        held, sparse = groups.agg(F.count("*") + F.coalesce(F.sum(F.size("gone")), F.lit(0)), F.count_if(F.col("living").between(1, GROUP // 2))).first()
+        near = F.broadcast if held <= BROADCAST else lambda t: t
+        after, end = {}, 0
+        for r in groups.groupBy("segment").agg(F.max("grp").alias("grp")).orderBy("segment").collect():  # a row for each segment
+            after[r["segment"]], end = end, end + r["grp"] + 1
+        merged, small = None, None
+        if after:
+            merged = kept_blocks(rows.join(near(groups.filter(F.col("living") > GROUP // 2).drop("living")), ["segment", "grp"]))
+            number = F.col("grp") + F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in after.items() for x in pair)), F.col("segment"))
+            merged = merged.select("tok", number.alias("grp"), "n", "impacts", "entries")
+            if held > BROADCAST:  # the join may have dealt the blocks anew
+                merged = merged.sort("tok", "grp")
+        if sparse:
+            few = rows.join(near(groups.filter(F.col("living").between(1, GROUP // 2)).drop("living")), ["segment", "grp"])
+            small = stored(few.select("tok", "gone", F.inline("entries")).filter(~went(F.col("gone"), F.col("chunk_key"))).drop("gone"), "postings")
+            merged = merged.unionByName(regrouped(small).withColumn("grp", F.col("grp") + end))
+        change.part(self.name("blocks"), str(new), (rows.drop("segment").limit(0) if merged is None else merged).withColumn("segment", F.lit(new).cast("long")), **PAGES)
+        for t in (groups, small):
+            if t is not None:
+                unstored(t)
         left = [int(p) for p in change.base.parts(self.name("blocks")) if p not in segments]
         change.drop(self.name("blocks"), segments)
         change.drop(self.name("dead"), [p for p in change.base.parts(self.name("dead")) if int(p) <= min(left, default=new)])
 
+    def groups(self, snapshot: Snapshot, blocks: DataFrame) -> DataFrame:
+        """segment, grp, living, gone: how many chunks of each group live, and the keys of those that went in a later segment."""
+        chunks = blocks.select("segment", "grp", F.explode("entries.chunk_key").alias("chunk_key")).distinct()
+        last = snapshot.table(self.name("dead"), DEAD).groupBy("chunk_key").agg(F.max("segment").alias("_went"))
+        late = F.coalesce(F.col("_went") > F.col("segment"), F.lit(False))
+        return chunks.join(last, "chunk_key", "left").groupBy("segment", "grp").agg(F.count_if(~late).alias("living"), F.collect_list(F.when(late, F.col("chunk_key"))).alias("gone"))
+
     def tidy(self) -> None:
         """Merges as long as a tier is full."""
         while segments := self.due(self.ledger.snapshot()):
@@ -266,6 +314,19 @@ class KeywordIndex:
 PAGES = {"parquet.page.row.count.limit": "512"}
 
 
+def went(gone: Column, key: Column) -> Column:
+    return F.coalesce(F.array_contains(gone, key), F.lit(False))
+
+
+def kept_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks without the postings of the chunks of `gone`; heads are made anew where one went."""
+    left = F.when(F.size("gone") == 0, F.col("entries")).otherwise(F.filter("entries", lambda e: ~went(F.col("gone"), e["chunk_key"])))
+    rows = rows.withColumn("entries", left).filter(F.size("entries") > 0)
+    shortest = lambda tf: F.array_min(F.transform(F.filter("entries", lambda e: e["tf"] == tf), lambda e: e["dl"]))
+    anew = F.transform(F.array_distinct("entries.tf"), lambda tf: F.struct(tf.alias("tf"), shortest(tf).alias("dl")))
+    return rows.withColumn("impacts", F.when(F.size("entries") == F.col("n"), F.col("impacts")).otherwise(anew)).withColumn("n", F.size("entries"))
+
+
 def raw_idf(n: int) -> Column:
     return F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
@@ -274,10 +335,6 @@ def weight_of(weights: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("tok"))
 
 
-def _log(rows: int) -> int:
-    return (max(rows, 1).bit_length() - 1) // (TIER.bit_length() - 1)
-
-
 def built(spark: SparkSession, folder: str, chunks: DataFrame) -> KeywordIndex:
     """An index of chunks (chunk_key, text) in a folder of its own."""
     index = KeywordIndex(Ledger(spark, folder))

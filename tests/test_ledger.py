@@ -171,6 +171,39 @@ def test_groups_that_cannot_win_are_not_read(spark, tmp_path, monkeypatch):
     fresh.close()
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_merges_exchange_only_what_is_left_of_sparse_groups(spark, tmp_path, monkeypatch, broadcast):
+    import pyarrow.parquet as pq
+
+    from quarry.operators import keyword
+
+    exchanged, regrouped = [], keyword.regrouped
+    monkeypatch.setattr(keyword, "GROUP", 8)
+    monkeypatch.setattr(keyword, "BROADCAST", broadcast, raising=False)
+    monkeypatch.setattr(keyword, "regrouped", lambda p: exchanged.append(p.count()) or regrouped(p))
+    state = chunk_rows(400)
+    index = built(spark, str(tmp_path / "k"), as_chunks(spark, state))
+    for f in (tmp_path / "k" / "keyword_blocks").glob("*/*.parquet"):
+        at = [(r["tok"], r["grp"]) for r in pq.read_table(f, columns=["tok", "grp"]).to_pylist()]
+        assert at == sorted(at)
+    gone = {k: state[k] for i, k in enumerate(sorted(state)) if i < 20 or i % 19 == 0}  # whole groups, and some of others
+    new = {k: f"{v} word3 common1" for k, v in list(gone.items())[15:25]} | {"/new/1.txt:0": "word1 fresh"}
+    index.ledger.change("update", lambda c: index.update(c, as_chunks(spark, new), as_chunks(spark, gone)))
+    state = {k: v for k, v in state.items() if k not in gone} | new
+    index.ledger.change("merge", lambda c: index.merge(c, sorted(c.base.parts("keyword_blocks"), key=int)))
+    snapshot = index.ledger.snapshot()
+    found = snapshot.table("keyword_blocks").collect()
+    got = sorted((b["tok"], *e) for b in found for e in b["entries"])
+    assert got == sorted((p["tok"], p["chunk_key"], p["tf"], p["dl"]) for p in rt.postings(as_chunks(spark, state)).collect())
+    assert len(exchanged) == 1 and 0 < exchanged[0] < len(got) / 3
+    assert len({(b["tok"], b["grp"]) for b in found}) == len(found) and list(snapshot.parts("keyword_blocks")) == ["3"] and not snapshot.parts("keyword_dead")
+    groups = {}
+    for b in found:
+        assert b["n"] == len(b["entries"]) and sorted(map(tuple, b["impacts"])) == sorted((tf, min(e["dl"] for e in b["entries"] if e["tf"] == tf)) for tf in {e["tf"] for e in b["entries"]})
+        groups.setdefault(b["grp"], set()).update(e["chunk_key"] for e in b["entries"])
+    assert max(map(len, groups.values())) <= 8 and sum(map(len, groups.values())) == len({k for _, k, _, _ in got})
+
+
 def test_empty_keyword_index(spark, tmp_path):
     index = built(spark, str(tmp_path / "k"), as_chunks(spark, []))
     assert index.search("anything").count() == 0 and index.term_stats().count() == 0
