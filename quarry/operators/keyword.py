@@ -11,6 +11,7 @@ groups below it, whose postings are never read.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ from .retrieval import FLOOR, K1, B, counted, postings, ranked
 #: Chunks of a group, segments of like size that are merged, groups whose numbers are pushed into the scan at most, what rounding may add to a bound.
 GROUP, TIER, PUSHED, SLACK = 128, 4, 2_000, 1e-6
 #: Postings of a run, at least, and blocks of one Arrow batch; groups and keys of chunks that went that a merge sends to every task at most.
-RUN, SLICE, BROADCAST = 1 << 20, 4_096, 500_000
+RUN, SLICE, BROADCAST = 1 << 19, 4_096, 500_000
 BLOCKS = "tok string, grp long, n int, impacts array<struct<tf:long,dl:long>>, entries array<struct<chunk_key:string,tf:long,dl:long>>, segment long"
 TERMS, TOTALS, DEAD = "tok string, df long", "chunks long, tokens long", "chunk_key string, segment long"
 
@@ -85,7 +86,7 @@ class Run:
     """Postings of some groups, as numbers of words and of chunks."""
 
     def __init__(self, group: int):
-        self.group, self.names, self.lengths, self.sizes, self.ids, self.tfs = group, [], [], [], [], []
+        self.group, self.names, self.lengths, self.sizes, self.ids, self.tfs = group, [], [], [], array("q"), array("q")
         self.words: defaultdict[str, int] = defaultdict()
         self.words.default_factory = self.words.__len__
 
@@ -104,9 +105,9 @@ class Run:
         order = np.array(sorted(range(len(toks)), key=toks.__getitem__))
         rank, groups = np.argsort(order), len(self.sizes) // self.group + 1
         chunk = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        block = rank[np.array(self.ids)] * groups + chunk // self.group
+        block = rank[np.frombuffer(self.ids, np.int64)] * groups + chunk // self.group
         by = np.argsort(block, kind="stable")
-        block, chunk, tf = block[by], chunk[by], np.array(self.tfs)[by]
+        block, chunk, tf = block[by], chunk[by], np.frombuffer(self.tfs, np.int64)[by]
         dl = np.array(self.lengths)[chunk]
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         ends, which = np.append(starts, len(block)), np.repeat(np.arange(len(starts)), np.diff(starts, append=len(block)))
@@ -320,7 +321,8 @@ def went(gone: Column, key: Column) -> Column:
 
 def kept_blocks(rows: DataFrame) -> DataFrame:
     """Blocks without the postings of the chunks of `gone`; heads are made anew where one went."""
-    left = F.when(F.size("gone") == 0, F.col("entries")).otherwise(F.filter("entries", lambda e: ~went(F.col("gone"), e["chunk_key"])))
+    hit = F.coalesce(F.arrays_overlap("entries.chunk_key", "gone"), F.lit(True))
+    left = F.when(~hit, F.col("entries")).otherwise(F.filter("entries", lambda e: ~went(F.col("gone"), e["chunk_key"])))
     rows = rows.withColumn("entries", left).filter(F.size("entries") > 0)
     shortest = lambda tf: F.array_min(F.transform(F.filter("entries", lambda e: e["tf"] == tf), lambda e: e["dl"]))
     anew = F.transform(F.array_distinct("entries.tf"), lambda tf: F.struct(tf.alias("tf"), shortest(tf).alias("dl")))
