@@ -102,6 +102,7 @@ class Run:
         if not self.ids:
             return
         toks = list(self.words)
+        self.words.default_factory = None  # it refers to the words, which would stay until a collection of cycles
         order = np.array(sorted(range(len(toks)), key=toks.__getitem__))
         rank, groups = np.argsort(order), len(self.sizes) // self.group + 1
         chunk = np.repeat(np.arange(len(self.sizes)), self.sizes)
